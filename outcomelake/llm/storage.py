@@ -1,0 +1,40 @@
+"""Where intermediate tables and checkpoints go: the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    Only where the setting is absent, as in local tests, a temporary folder is made and kept as the
+    context's checkpoint directory, so that later calls find the same one.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="outcomelake-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks that ran on it, never the steps before.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
