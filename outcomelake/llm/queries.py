@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cross_polytope import near_vectors
 from .minhash import near_duplicates
+from .packing import pack
+from .storage import new_path
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``pages`` as WARC archives in the shared folder and read the records back."""
+    folder = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder)
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of ``embeddings`` whose cosine is at least 0.9."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all ``documents`` into sequences of at most 1024."""
+    return pack(_table(spark, sf_dir, "documents"), capacity=1024)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` whose 3-word shingle sets have a Jaccard similarity of at least 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op6_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
