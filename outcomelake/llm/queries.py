@@ -10,6 +10,7 @@ from .cross_polytope import near_vectors
 from .minhash import near_duplicates
 from .packing import pack
 from .storage import new_path
+from .subword import quality_scores
 from .warc import read_archives, write_archives
 
 
@@ -29,6 +30,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all ``documents`` by subword embeddings fitted on labels outside the fold crc32 mod 3 = 1."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack the tokens of all ``documents`` into sequences of at most 1024."""
     return pack(_table(spark, sf_dir, "documents"), capacity=1024)
@@ -40,7 +46,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op6_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op4_quality_classifier, op6_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
