@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cross_polytope import near_vectors
 from .minhash import near_duplicates
 from .packing import pack
+from .rule_trees import quality_rules
 from .storage import new_path
 from .subword import quality_scores
 from .warc import read_archives, write_archives
@@ -35,6 +36,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the trees' verdict for all ``documents``."""
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack the tokens of all ``documents`` into sequences of at most 1024."""
     return pack(_table(spark, sf_dir, "documents"), capacity=1024)
@@ -46,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op4_quality_classifier, op6_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
