@@ -13,6 +13,7 @@ from .rule_trees import quality_rules
 from .storage import new_path
 from .subword import quality_scores
 from .warc import read_archives, write_archives
+from .weak_supervision import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``, fitted on labels outside the fold crc32 mod 5 = 0."""
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all ``documents`` by subword embeddings fitted on labels outside the fold crc32 mod 3 = 1."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -52,7 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
