@@ -17,6 +17,11 @@ from .text_kernels import mix64, shingle_sets, text_chunks
 #: Up to so many ids are sent to all executors to filter a scan (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Members of a band that are compared as one block; a larger band is dealt out as pairs of blocks.
+BLOCK_ROWS = 1024
+#: Shingles counted at once within a block.
+COLUMNS = 4096
+
 _SIGNATURE_SCHEMA = "id long, n_shingles long, digest binary, bands array<long>"
 _SIGNATURE_ARROW = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SET_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -107,28 +112,92 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough; the sets are made anew from the texts."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-needed")
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, hashes) of the documents with the given ids, made anew from their texts."""
+    needed = written(ids.select("id").distinct(), "minhash-needed")
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    sets = written(docs.join(needed, "id", "left_semi").mapInArrow(_full_sets(k), "id long, n long, hashes binary"), "minhash-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "minhash-links")
+    return written(docs.join(needed, "id", "left_semi").mapInArrow(_full_sets(k), "id long, n long, hashes binary"), "minhash-sets")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets share, as a matrix."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1])))
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], column[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(column, column[at] + COLUMNS, "left"))
+        present = np.zeros((len(sets), int(column[end - 1] - column[at]) + 1), np.float32)
+        present[owner[at:end], column[at:end] - column[at]] = 1
+        common += present @ present.T
+        at = end
+    return common
+
+
+def _links_across(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the groups of one block of a band: enough to connect all that its links connect."""
+    rows = rows.combine_chunks()
+    ids, group = rows["id"].to_numpy(), rows["group"].to_numpy()
+    label = np.unique(group, return_inverse=True)[1]
+    if not label.any():
+        return ids[:0], ids[:0]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"]]
+    sizes, common = np.array([len(s) for s in sets]), common_counts(sets)
+    near = 100 * common >= percent * (sizes[:, None] + sizes - common)
+    a, b = np.nonzero(np.triu(near & (label[:, None] != label), 1))
+    taken = []
+    for i, j in zip(a, b, strict=True):
+        if label[i] != label[j]:
+            label[label == label[j]] = label[i]
+            taken.append((i, j))
+    i, j = np.array(taken, dtype=np.int64).reshape(-1, 2).T
+    return ids[i], ids[j]
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _across(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted by block; a block may go over the end of a batch."""
+        rest: pa.Table | None = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                rest = more if rest is None else pa.concat_tables([rest, more])
+            if rest is None or not rest.num_rows:
+                continue
+            band, low, high = (rest[c].to_numpy() for c in ("band", "low", "high"))
+            change = np.flatnonzero((band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(band)]))
+            table, rest = rest, None
+            if batch is not None:
+                starts, ends, rest = starts[:-1], ends[:-1], table.slice(starts[-1])
+            found = [_links_across(table.slice(s, e - s), percent) for s, e in zip(starts, ends, strict=True) if e - s > 1]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return run
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, permutations: int = 128, star_rounds: int = 3) -> DataFrame:
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, permutations: int = 128) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of documents that near-duplicate links connect.
 
     A document's set holds the distinct ``words``-word shingles of its lower-cased, blank-separated words.
     Two documents link when ``100 * |common| >= percent * |union|``. Equal sets become one class at once.
-    Class representatives are banded over min-max signatures; within a band, candidates are compared with
-    a leader, then those still outside the band's largest component with another of its members, and at
-    last every pair of a band that is still in two components. Links inside a component change nothing,
-    so groups of thousands of copies cost some links a member and never all their pairs, and no candidate
-    pair between different components is left out. Each link is confirmed on full sets.
+    Class representatives are banded over min-max signatures. Every member of a band is compared with one
+    other of it; a band whose members are then still in several groups is compared whole, by counting
+    common shingles of all its members in a task and returning no more links than join its groups. So a
+    group of thousands of copies never becomes pairs as rows, and no candidate pair is left out. A band of
+    more than ``BLOCK_ROWS`` members is dealt out as pairs of blocks. Every link is confirmed on full sets.
 
     Defined cases: a null, empty or blank text has ``n_shingles`` 0, is its own component and kept. A null
     id is returned with a null component, kept. Rows that repeat an id are one vertex, each returned. Other
@@ -144,37 +213,32 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     crowded = written(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), "minhash-bands")
     members = written(members.join(crowded, "band", "left_semi").distinct(), "minhash-members")
 
+    # First each member of a band against one other of it, then whatever is still in several groups.
+    leaders = members.groupBy("band").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "band")).alias("leader"))
+    leaders = written(leaders.select("band", F.col("leader.id").alias("other"), F.col("leader.n").alias("other_n")), "minhash-leaders")
     enough = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    links, tried, groups = None, None, None
-    for turn in range(star_rounds + 1):
-        if groups is None:
-            placed = members.withColumn("group", F.col("id"))
-        else:
-            placed = members.join(groups.select("id", "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("group"))
-            split = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band")
-            placed = placed.join(written(split, "minhash-open"), "band", "left_semi")
-        placed = written(placed, "minhash-placed")
-        if placed.isEmpty():
-            break
-        # Of each band, the largest group (by members, then by number) and a member of it, another one each turn.
-        by_group = placed.groupBy("band", "group").agg(F.count("*").alias("size"), F.min_by(F.struct("id", "n"), F.xxhash64("id", "band", F.lit(turn))).alias("leader"))
-        main = written(by_group.groupBy("band").agg(F.max_by(F.struct("group", "leader"), F.struct("size", "group")).alias("main")).select("band", F.col("main.group").alias("main"), F.col("main.leader.id").alias("other"), F.col("main.leader.n").alias("other_n")), "minhash-main")
-        outside = placed.join(main, "band").where(F.col("group") != F.col("main"))
-        if turn < star_rounds:
-            pairs = outside.where(enough).select("id", "other")
-        else:
-            against = placed.select("band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
-            outside = outside.drop("other", "other_n")
-            pairs = outside.join(against, "band").where(enough & (F.col("group") != F.col("other_group")) & ((F.col("other_group") == F.col("main")) | (F.col("id") < F.col("other")))).select("id", "other")
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _confirmed(pairs, docs, words, percent)
-        links = found if links is None else links.unionByName(found)
+    pairs = members.join(leaders, "band").where(enough & (F.col("id") != F.col("other")))
+    pairs = written(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "minhash-pairs")
+    groups = None
+    if not members.isEmpty():
+        sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, words)
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        links = written(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "minhash-links")
         groups = connected_components(links, "minhash-groups")
 
+        placed = members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("group"))
+        split = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+        split = written(split.select("band", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "minhash-open")
+        placed = written(placed.join(split, "band"), "minhash-placed")
+        if not placed.isEmpty():
+            part = F.pmod(F.xxhash64("id"), "parts").cast("int")
+            blocks = placed.select("band", "id", "group", part.alias("part"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+            blocks = blocks.select("band", "id", "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+            blocks = blocks.join(_sets_of(placed, docs, words).select("id", "hashes"), "id")
+            blocks = blocks.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
+            across = written(blocks.select("id", "group", "hashes", "band", "low", "high").mapInArrow(_across(percent), "a long, b long"), "minhash-across")
+            groups = connected_components(links.unionByName(across), "minhash-groups")
+
     if groups is not None:
         classes = written(classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "minhash-labels")
     else:
