@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import digests, format_conversations
 from .cross_polytope import near_vectors
+from .license_templates import license_scan
 from .minhash import near_duplicates
+from .mixing import mix
 from .packing import pack
 from .rule_trees import quality_rules
 from .storage import new_path
@@ -16,6 +19,10 @@ from .warc import read_archives, write_archives
 from .weak_supervision import toxicity_scores
 
 
+#: Target parts of the tokens by language, for mixing.
+MIXTURE = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,13 +59,31 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all ``documents``."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at which ``documents`` mix to target parts of their languages."""
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), weights=MIXTURE)
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back from the formatted texts, of all ``conversations`` and one that quotes control strings."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(turns.unionByName(extra)))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` whose 3-word shingle sets have a Jaccard similarity of at least 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op7_license_scans, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
