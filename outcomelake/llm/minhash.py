@@ -246,3 +246,23 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     result = signed.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join with distinct ids: sent to all tasks up to :data:`BROADCAST_IDS` of them, else by a shuffle."""
+    ids = written(ids, "minhash-ids").withColumnRenamed("id", id_col)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how).select(*docs.columns)
+
+
+def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that near-duplicate removal keeps: one a group.
+
+    Of rows that repeat an id one stays, too. Rows with a null id all stay.
+    """
+    found = written(near_duplicates(documents, id_col=id_col, text_col=text_col, words=words, percent=percent).withColumnRenamed(id_col, "id"), "minhash-result")
+    left = _by_ids(documents, found.where("not kept").select("id").distinct(), id_col, "left_anti")
+    repeated = written(found.where("kept and id is not null").groupBy("id").count().where("count > 1").select("id"), "minhash-repeated")
+    if repeated.isEmpty():
+        return left
+    once = _by_ids(left, repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return _by_ids(left, repeated, id_col, "left_anti").unionByName(once)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .storage import written
 from .subword import SubwordModel, train
@@ -24,7 +25,7 @@ def _memberships(model: SubwordModel):
             tokens = np.zeros(batch.num_rows, np.int64)
             for at, end, texts in text_chunks(batch.column(1)):
                 tokens[at:end] = np.diff(texts.words(BLANKS)[2])
-            yield pa.record_batch([batch.column(0), pa.array(tokens), pa.array(list(posteriors), pa.list_(pa.float64()))], names=["id", "tokens", "posteriors"])
+            yield pa.record_batch([batch.column(0), pa.array(tokens), pa.array(list(posteriors), pa.list_(pa.float64())), *batch.columns[2:]], names=["id", "tokens", "posteriors", *batch.schema.names[2:]])
 
     return run
 
@@ -105,6 +106,17 @@ def rate_column(history: list[np.ndarray], step: float, momentum: float, ridge:
     return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in history)), start, move)
 
 
+def _rated(documents: DataFrame, labels: DataFrame, rows: DataFrame, schema: str | StructType, *, id_col: str, text_col: str, domain_col: str, weights: dict[str, float] | None, rows_per_domain: int, ridge: float) -> DataFrame:
+    """``rows``, whose columns are a key named ``id``, a text and others, with tokens, posteriors, rate and copies."""
+    domains, model = domain_model(documents, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, rows_per_domain=rows_per_domain)
+    memberships = written(rows.mapInArrow(_memberships(model), schema), "mixing-memberships")
+    wanted = np.array([(weights or {}).get(d, 0.0) if weights else 1.0 for d in domains])
+    wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(domains), 1 / len(domains))
+    rate = fit_rates(memberships, wanted, ridge=ridge)
+    chance = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    return memberships.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+
+
 def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, rows_per_domain: int = 500, ridge: float = 1e-4) -> DataFrame:
     """(id, tokens, posteriors, rate, copies): how often each document enters the mixture.
 
@@ -119,12 +131,14 @@ def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Weights of unknown domains are left out and the rest scaled to sum 1. Other columns are ignored. An
     empty table gives an empty result.
     """
-    domains, model = domain_model(documents, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, rows_per_domain=rows_per_domain)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    memberships = written(docs.mapInArrow(_memberships(model), "id long, tokens long, posteriors array<double>"), "mixing-memberships")
-    wanted = np.array([(weights or {}).get(d, 0.0) if weights else 1.0 for d in domains])
-    wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(domains), 1 / len(domains))
-    rate = fit_rates(memberships, wanted, ridge=ridge)
-    chance = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    rated = memberships.withColumn("rate", rate)
-    return rated.select(F.col("id").alias(id_col), "tokens", "posteriors", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
+    rated = _rated(documents, labels, docs, "id long, tokens long, posteriors array<double>", id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
+    return rated.select(F.col("id").alias(id_col), "tokens", "posteriors", "rate", "copies")
+
+
+def mixed(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, rows_per_domain: int = 500, ridge: float = 1e-4) -> DataFrame:
+    """The rows of ``documents``, with all their columns, as often as :func:`mix` gives each; no shuffle."""
+    whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    schema = StructType([StructField("id", LongType()), StructField("tokens", LongType()), StructField("posteriors", ArrayType(DoubleType())), whole.schema["row"]])
+    rated = _rated(documents, labels, whole, schema, id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
+    return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

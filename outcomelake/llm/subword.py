@@ -169,6 +169,30 @@ def _score(model: SubwordModel):
     return run
 
 
+def quality_model(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, rows_per_class: int = 2000) -> SubwordModel:
+    """The model fitted on at most ``rows_per_class`` labelled documents of each class outside the held-out fold."""
+    train_rows = fold(F.col("id"), folds) != held_out
+    sample = labelled_sample(documents, labels, label_col="quality", rows=rows_per_class, keep=train_rows, id_col=id_col, text_col=text_col, by_class=True).orderBy("id").toPandas()
+    share = labels.where((fold(F.col("doc_id"), folds) != held_out) & F.col("quality").isNotNull()).agg(F.avg(F.col("quality").cast("double")).alias("p")).first().p
+    share = 0.5 if share is None else share
+    if sample.label.nunique() == 2:
+        model = train(sample.text.tolist(), sample.label.to_numpy(np.int64), 2, prior=np.array([1 - share, share]))
+    else:
+        model = SubwordModel(np.zeros((2, 2), np.float32), np.log(np.array([max(1 - share, 1e-9), max(share, 1e-9)])), ())
+    return model
+
+
+def without_low_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose whole text is predicted good; one pass, no shuffle."""
+    model, at = quality_model(documents, labels, id_col=id_col, text_col=text_col), documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.posteriors(batch.column(at))[:, 1] >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, rows_per_class: int = 2000) -> DataFrame:
     """(id, held_out, score, predicted): the probability that a document's quality label is 1.
 
@@ -180,14 +204,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
     not held out. With no usable label every score is 0.5; with labels of one class, that class's share.
     Repeated rows are each scored alike. Other columns are ignored. An empty table gives an empty result.
     """
-    train_rows = fold(F.col("id"), folds) != held_out
-    sample = labelled_sample(documents, labels, label_col="quality", rows=rows_per_class, keep=train_rows, id_col=id_col, text_col=text_col, by_class=True).orderBy("id").toPandas()
-    share = labels.where((fold(F.col("doc_id"), folds) != held_out) & F.col("quality").isNotNull()).agg(F.avg(F.col("quality").cast("double")).alias("p")).first().p
-    share = 0.5 if share is None else share
-    if sample.label.nunique() == 2:
-        model = train(sample.text.tolist(), sample.label.to_numpy(np.int64), 2, prior=np.array([1 - share, share]))
-    else:
-        model = SubwordModel(np.zeros((2, 2), np.float32), np.log(np.array([max(1 - share, 1e-9), max(share, 1e-9)])), ())
+    model = quality_model(documents, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out, rows_per_class=rows_per_class)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = docs.mapInArrow(_score(model), "id long, score double")
     out = F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(False))

@@ -253,6 +253,24 @@ def _score(model: LinearModel):
     return run
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, fit_rows: int = 12_000) -> LinearModel:
+    """The model fitted on at most ``fit_rows`` labelled documents outside the held-out fold."""
+    sample = labelled_sample(documents, labels, label_col="toxic", rows=fit_rows, keep=fold(F.col("id"), folds) != held_out, id_col=id_col, text_col=text_col)
+    return fit(sample)
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose whole text is not predicted toxic; one pass, no shuffle."""
+    model, at = toxicity_model(documents, labels, id_col=id_col, text_col=text_col), documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(words_of(text.as_py() or ""), remembered) < 0.5 for text in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, fit_rows: int = 12_000) -> DataFrame:
     """(id, held_out, score, predicted): the probability that a document is toxic.
 
@@ -263,8 +281,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "d
     labels of both classes every score is the share of toxic labels, 0 when there are none. Repeated rows
     are each scored alike. Other columns are ignored. An empty table gives an empty result.
     """
-    sample = labelled_sample(documents, labels, label_col="toxic", rows=fit_rows, keep=fold(F.col("id"), folds) != held_out, id_col=id_col, text_col=text_col)
-    model = fit(sample)
+    model = toxicity_model(documents, labels, id_col=id_col, text_col=text_col, folds=folds, held_out=held_out, fit_rows=fit_rows)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = docs.mapInArrow(_score(model), "id long, score double")
     out = F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(False))
