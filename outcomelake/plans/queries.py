@@ -1,0 +1,418 @@
+"""Registered queries of the outcome-analytics operators, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import coverage, distill, lifecycle, normalize, recurrence
+from ..schemas import EVENT
+from ..sources import changes, scans, sinks
+from ..sources.storage import written
+from .tables import EXPERIENCES, RULES, experiences, part_path, rules, table, text, touched
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+DAYS, NOW = 14, "2024-02-01 00:00:00"
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        _queries[query.__name__] = query
+        if sql is not None:
+            _sql[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window rows with flake marks, written once, since several parts of a query read them."""
+    return written(recurrence.with_flakes(recurrence.in_window(experiences(spark, sf_dir), DAYS)), "window")
+
+
+_KEYS = r"""keyed0 AS (SELECT *, list_filter([CASE WHEN class <> '' AND key <> '' THEN 'class_key:' || class || ':' || key END, CASE WHEN message <> '' THEN 'message:' || message END], lambda x: x IS NOT NULL) AS ks FROM exp),
+keyed AS (SELECT * EXCLUDE (ks), CASE WHEN len(ks) > 0 THEN ks ELSE [signature_id] END AS sigs FROM keyed0)"""
+_WINDOW = f"""win AS (SELECT * FROM keyed WHERE recorded_at >= (SELECT max(recorded_at) FROM exp) - INTERVAL {DAYS} DAY),
+fail AS (SELECT * FROM win WHERE actor_kind = 'agent' AND kind IN ('ci_failure', 'revert', 'review_correction')),
+members AS (SELECT sig, count(*) AS n FROM (SELECT unnest(sigs) AS sig FROM fail) GROUP BY 1),
+uses AS (SELECT sig, count(*) AS paths, max(u) AS most FROM (SELECT sig, path, count(*) AS u FROM (SELECT unnest(sigs) AS sig, paths[1] AS path FROM fail) GROUP BY 1, 2) GROUP BY 1),
+flaky AS (SELECT sig FROM members JOIN uses USING (sig) WHERE n >= 3 AND most = 1 AND paths >= n),
+heur AS (SELECT DISTINCT experience_id FROM (SELECT experience_id, flake_discount, unnest(sigs) AS sig FROM fail) WHERE flake_discount = 0 AND sig IN (SELECT sig FROM flaky)),
+marked AS (SELECT win.*, experience_id IN (SELECT experience_id FROM heur) AS heuristic FROM win)"""
+_PAIRS = """own AS (SELECT * FROM marked WHERE kind IN ('ci_failure', 'revert', 'review_correction') AND actor_kind <> 'uncertain' AND NOT (flake_discount > 0 OR heuristic)),
+own_keys AS (SELECT *, unnest(sigs) AS sig FROM own),
+cand AS (SELECT DISTINCT c.experience_id AS cid, p.experience_id AS pid, p.recorded_at AS pat,
+    c.extraction IN ('structured', 'log_parsed_high') AND p.extraction IN ('structured', 'log_parsed_high') AND len(list_intersect(c.paths, p.paths)) > 0 AS ok
+  FROM own_keys c JOIN own_keys p ON c.sig = p.sig AND c.pr <> p.pr AND (p.recorded_at, p.experience_id) < (c.recorded_at, c.experience_id) WHERE c.actor_kind = 'agent'),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY cid ORDER BY ok DESC, pat DESC, pid DESC) = 1),
+pairs AS (SELECT c.experience_id AS current_experience_id, p.experience_id AS prior_experience_id, c.pr AS current_pr, p.pr AS prior_pr, c.url AS current_url, p.url AS prior_url, c.signature_id,
+    list_filter(p.sigs, lambda s: list_contains(c.sigs, s))[1] AS matched_signature_id, CASE WHEN ok THEN 'confirmed' ELSE 'possible' END AS confidence, p.source_ref AS prior_ref, c.source_ref AS current_ref, c.recorded_at AS seen_at
+  FROM best JOIN own c ON c.experience_id = cid JOIN own p ON p.experience_id = pid)"""
+_BASE = f"WITH {EXPERIENCES}, {_KEYS}, {_WINDOW}"
+_ALL = f"{_BASE}, {_PAIRS}"
+
+
+@registered(f"WITH {EXPERIENCES} SELECT experience_id, kind, pr FROM exp WHERE kind IN ('ci_failure', 'revert', 'review_correction')")
+def failure_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiences(spark, sf_dir).where(C.is_failure(F.col("kind"))).select("experience_id", "kind", "pr")
+
+
+@registered(f"{_BASE} SELECT experience_id, pr, actor_kind, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at FROM win")
+def window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.in_window(experiences(spark, sf_dir), DAYS).select("experience_id", "pr", "actor_kind", C.rfc3339_text(F.col("recorded_at")).alias("recorded_at"))
+
+
+@registered(f"WITH {EXPERIENCES}, {_KEYS} SELECT experience_id, array_to_string(sigs, '|') AS keys FROM keyed")
+def signature_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiences(spark, sf_dir).select("experience_id", F.array_join(F.transform(recurrence.signature_keys(), recurrence.key_text), "|").alias("keys"))
+
+
+@registered(f"""WITH {EXPERIENCES} SELECT experience_id, array_to_string(list_filter([
+  CASE WHEN NOT starts_with(signature_id, 'sig_generated') THEN 'id_check_key:' || signature_id || ':' || check_name || ':' || key END,
+  CASE WHEN class <> '' THEN 'class_check_key:' || class || ':' || check_name || ':' || key END, CASE WHEN message <> '' THEN 'message:' || message END,
+  CASE WHEN class = '' AND message = '' THEN 'id:' || signature_id END], lambda x: x IS NOT NULL), '|') AS keys FROM exp""")
+def cluster_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiences(spark, sf_dir).select("experience_id", F.regexp_replace(F.array_join(distill.cluster_keys(), "|"), recurrence.SEPARATOR, ":").alias("keys"))
+
+
+@registered(f"{_BASE} SELECT sig AS signature FROM flaky")
+def flake_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.flaky_keys(recurrence.in_window(experiences(spark, sf_dir), DAYS)).select(recurrence.key_text(F.col("sig")).alias("signature"))
+
+
+@registered(f"""{_BASE}, flakes AS (SELECT * FROM marked WHERE actor_kind = 'agent' AND kind IN ('ci_failure', 'revert', 'review_correction') AND (flake_discount > 0 OR heuristic)),
+support AS (SELECT DISTINCT f.experience_id AS fid, s.experience_id AS sid, s.pr, s.source_ref FROM (SELECT experience_id, unnest(sigs) AS sig FROM flakes) f JOIN (SELECT experience_id, pr, source_ref, unnest(sigs) AS sig FROM fail) s ON f.sig = s.sig AND f.experience_id <> s.experience_id)
+SELECT experience_id, f.pr, signature_id, CASE WHEN flake_discount = 0 THEN 1.0 ELSE flake_discount END AS flake_discount, CASE WHEN heuristic THEN 'heuristic' ELSE 'explicit' END AS reason,
+  coalesce(array_to_string(list(s.pr ORDER BY s.pr) FILTER (WHERE s.pr IS NOT NULL), ','), '') AS supporting_prs, count(s.sid) AS supporting FROM flakes f LEFT JOIN support s ON s.fid = experience_id GROUP BY experience_id, f.pr, signature_id, flake_discount, heuristic""")
+def flake_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recurrence.flake_support(_marked(spark, sf_dir))
+    return found.select("experience_id", "pr", "signature_id", "flake_discount", "reason", F.array_join(F.col("supporting_prs").cast("array<string>"), ",").alias("supporting_prs"), F.size("supporting_prs").cast("long").alias("supporting"))
+
+
+@registered(f"{_ALL} SELECT current_experience_id, prior_experience_id, current_pr, prior_pr, current_url, prior_url, signature_id, matched_signature_id, confidence FROM pairs")
+def recurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.recurrence_pairs(_marked(spark, sf_dir)).drop("refs")
+
+
+@registered(f"""{_ALL}, c AS (SELECT count(*) AS window_experience_count, count(*) FILTER (actor_kind = 'agent' AND f) AS agent_failure_denominator, count(*) FILTER (actor_kind = 'human' AND f) AS human_failure_excluded_count,
+  count(*) FILTER (actor_kind <> 'uncertain' AND NOT f) AS non_failure_outcome_count, count(*) FILTER (actor_kind = 'uncertain') AS attribution_uncertain_count,
+  count(*) FILTER (actor_kind = 'agent' AND f AND (flake_discount > 0 OR heuristic)) AS flake_discounted_count, count(DISTINCT pr) AS prs_analyzed, count(DISTINCT CASE WHEN actor_kind = 'agent' THEN pr END) AS agent_attributed_prs,
+  count(*) FILTER (actor_kind = 'agent') AS agent_attributed_experiences FROM (SELECT *, kind IN ('ci_failure', 'revert', 'review_correction') AS f FROM marked)),
+p AS (SELECT count(*) FILTER (confidence = 'confirmed') AS confirmed_recurrence_count, count(*) FILTER (confidence = 'possible') AS possible_recurrence_count FROM pairs)
+SELECT *, round(confirmed_recurrence_count::DOUBLE / agent_failure_denominator, 4) AS headline_err, printf('%.1f%%', round(round_even(round(confirmed_recurrence_count::DOUBLE / agent_failure_denominator, 4) * 100, 1), 1)) AS headline_err_percent FROM c, p""")
+def err_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _marked(spark, sf_dir)
+    return recurrence.error_recurrence(rows, recurrence.recurrence_pairs(rows))
+
+
+@registered(f"{_BASE} SELECT kind, count(*) AS failures FROM fail GROUP BY 1")
+def metrics_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.failures_by_kind(recurrence.in_window(experiences(spark, sf_dir), DAYS))
+
+
+@registered(f"""{_ALL}, sides AS (SELECT matched_signature_id AS s, prior_pr AS pr, prior_experience_id AS id, 0 AS n FROM pairs WHERE confidence = 'confirmed' UNION ALL SELECT matched_signature_id, current_pr, current_experience_id, 1 FROM pairs WHERE confidence = 'confirmed'),
+g AS (SELECT s AS signature_id, sum(n)::BIGINT AS repeat_count, array_to_string(list_sort(list(DISTINCT pr)), ',') AS prs, array_to_string(list_sort(list(DISTINCT id)), ',') AS experience_ids FROM sides GROUP BY 1)
+SELECT row_number() OVER (ORDER BY repeat_count DESC, signature_id) AS rank, * FROM g""")
+def top_mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recurrence.top_mistakes(recurrence.recurrence_pairs(_marked(spark, sf_dir)))
+    return found.select(F.col("rank").cast("long").alias("rank"), "signature_id", "repeat_count", F.array_join(F.col("prs").cast("array<string>"), ",").alias("prs"), F.array_join("experience_ids", ",").alias("experience_ids"))
+
+
+@registered(f"""{_ALL}, cited AS (SELECT pr, url, experience_id, recorded_at AS seen_at, experience_id AS by_id, 0 AS turn FROM marked WHERE actor_kind = 'uncertain' OR (kind IN ('ci_failure', 'revert', 'review_correction') AND ((actor_kind = 'human' AND flake_discount > 0) OR (actor_kind = 'agent' AND (flake_discount > 0 OR heuristic))))
+UNION ALL SELECT prior_pr, prior_url, prior_experience_id, seen_at, current_experience_id, 0 FROM pairs UNION ALL SELECT current_pr, current_url, current_experience_id, seen_at, current_experience_id, 1 FROM pairs)
+SELECT pr, url, experience_id FROM cited QUALIFY row_number() OVER (PARTITION BY pr ORDER BY seen_at DESC, by_id DESC, turn DESC) = 1""")
+def citations_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _marked(spark, sf_dir)
+    return recurrence.citations(rows, recurrence.recurrence_pairs(rows))
+
+
+@registered(f"WITH {EXPERIENCES} SELECT strftime(last_ingest_at, '%Y-%m-%dT%H:%M:%SZ') AS last_ingest_at, max(merged_since_ingest) AS merged_since_ingest FROM exp WHERE last_ingest_at = (SELECT max(last_ingest_at) FROM exp) GROUP BY 1")
+def ingest_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.ingest_freshness(experiences(spark, sf_dir)).select(C.rfc3339_text(F.col("last_ingest_at")).alias("last_ingest_at"), "merged_since_ingest")
+
+
+@registered()
+def report_one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report: summary, freshness, badge, gate and baseline."""
+    rows = _marked(spark, sf_dir)
+    summary = recurrence.error_recurrence(rows, recurrence.recurrence_pairs(rows)).join(recurrence.ingest_freshness(rows), how="left")
+    return scans.compare_baseline(recurrence.gate(recurrence.badge(summary, NOW), True, 0.25), None).drop("last_ingest_at")
+
+
+@registered(f"""WITH {EXPERIENCES}, r AS (SELECT pr, least(1.0, count(*) FILTER (kind = 'ci_failure') / 3.0)::DOUBLE AS headline_err, max(last_ingest_at) AS ingest_at, max(merged_since_ingest) AS m FROM exp GROUP BY 1)
+SELECT pr, round(headline_err, 4) AS headline_err, CASE WHEN ingest_at IS NULL OR m IS NULL OR TIMESTAMP '{NOW}' - ingest_at > INTERVAL 30 DAY OR m > 20 THEN 'lightgrey' WHEN headline_err >= 0.3 THEN 'orange' WHEN headline_err >= 0.1 THEN 'yellow' ELSE 'brightgreen' END AS badge_color FROM r""")
+def badge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_pr = experiences(spark, sf_dir).groupBy("pr").agg(F.least(F.lit(1.0), F.count_if(F.col("kind") == "ci_failure") / 3.0).alias("headline_err"), F.max("last_ingest_at").alias("last_ingest_at"), F.max("merged_since_ingest").alias("merged_since_ingest"))
+    return recurrence.badge(by_pr, NOW).select("pr", F.round("headline_err", 4).alias("headline_err"), "badge_color")
+
+
+def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiences(spark, sf_dir).select("experience_id", F.col("key").alias("component"))
+
+
+@registered(f"""WITH {EXPERIENCES}, a AS (SELECT max(recorded_at) AS anchor FROM exp), e AS (SELECT key AS component, recorded_at, flake_discount, pow(0.5, epoch(anchor - recorded_at) / 86400.0 / 90.0) AS r, CASE extraction WHEN 'structured' THEN 1.0 WHEN 'log_parsed_high' THEN 0.85 WHEN 'log_parsed_low' THEN 0.45 ELSE 0.2 END::DOUBLE AS x, kind FROM exp, a),
+t AS (SELECT component, max(recorded_at) AS last_failed FROM e WHERE kind IN ('ci_failure', 'revert', 'review_correction') GROUP BY 1),
+c AS (SELECT component, count(*) AS n FROM e JOIN t USING (component) WHERE kind IN ('fix_held', 'merged_clean') AND recorded_at > last_failed GROUP BY 1),
+g AS (SELECT component, count(*) AS evidence_count, avg(r) AS r, avg(x) AS x, avg(flake_discount) AS f FROM e WHERE kind IN ('ci_failure', 'revert', 'review_correction') GROUP BY 1),
+v AS (SELECT component, evidence_count, coalesce(n, 0) AS contradictions, r, round((0.40 * least(1.0, sqrt(evidence_count) / sqrt(3.0)) + 0.25 * r + 0.20 * x + 0.15 * greatest(0.0, 1 - f)) * (1 - least(0.65, 0.25 * coalesce(n, 0))), 4) AS conf FROM g LEFT JOIN c USING (component)),
+w AS (SELECT *, CASE WHEN evidence_count < 3 AND conf > 0.6 THEN 0.6 ELSE conf END AS confidence FROM v)
+SELECT component, evidence_count, contradictions, round(round(r, 4), 3) AS recency_weight, round(confidence, 3) AS confidence FROM w""")
+def confidence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = experiences(spark, sf_dir)
+    rows = every.withColumn("heuristic", F.lit(False)).withColumn("discount", distill.effective_discount()).where(C.is_failure(F.col("kind"))).withColumn("component", F.col("key")).withColumn("rule_kind", F.lit("avoid"))
+    anchor = F.lit(every.agg(F.max("recorded_at").alias("t")).first().t)
+    found = distill.confidence(rows, distill.contradiction_counts(every, _by_key(spark, sf_dir)), anchor)
+    return found.select("component", "evidence_count", "contradictions", F.round("recency_weight", 3).alias("recency_weight"), F.round("confidence", 3).alias("confidence"))
+
+
+@registered(f"""WITH {EXPERIENCES}, t AS (SELECT key AS component, max(recorded_at) FILTER (kind IN ('ci_failure', 'revert', 'review_correction')) AS lf, max(recorded_at) FILTER (kind IN ('fix_held', 'merged_clean')) AS lp FROM exp GROUP BY 1),
+n AS (SELECT component, count(*) FILTER (kind IN ('fix_held', 'merged_clean') AND recorded_at > lf) AS avoid, count(*) FILTER (kind IN ('ci_failure', 'revert', 'review_correction') AND recorded_at > lp) AS playbook FROM exp JOIN t ON key = component GROUP BY 1)
+SELECT component, 'avoid' AS rule_kind, avoid AS contradictions FROM n UNION ALL SELECT component, 'playbook', playbook FROM n""")
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.contradiction_counts(experiences(spark, sf_dir), _by_key(spark, sf_dir))
+
+
+@registered(f"""WITH {EXPERIENCES}, n AS (SELECT key, paths[1] AS path, count(*) AS n FROM exp GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, path) AS place FROM n)
+SELECT key, string_agg(path, ',' ORDER BY place) AS scope_paths FROM r WHERE place <= 3 GROUP BY 1""")
+def scope_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = experiences(spark, sf_dir).select("key", F.explode(C.scope_paths(F.col("paths"))).alias("path"))
+    return distill.top_values(values, ["key"], "path", "scope_paths").select("key", F.array_join("scope_paths", ",").alias("scope_paths"))
+
+
+@registered()
+def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all experiences, with their keys and signals (iterative; tested against a replay)."""
+    return distill.clusters(experiences(spark, sf_dir)).withColumn("cluster_key", F.regexp_replace("cluster_key", recurrence.SEPARATOR, ":"))
+
+
+@registered()
+def rule_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drafts = distill.draft_rules(experiences(spark, sf_dir))
+    return drafts.select("id", "kind", "status", "statement", "confidence", "evidence_count", "contradictions", "review_label", F.array_join("scope_paths", ",").alias("scope_paths"))
+
+
+@registered(f"WITH {RULES} SELECT path, id AS rule_id FROM matches")
+def rule_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.path_matches(touched(spark, sf_dir), rules(spark, sf_dir))
+
+
+@registered(f"""WITH {RULES}, m AS (SELECT matches.path, rules.* EXCLUDE (folder) FROM matches JOIN rules USING (id)),
+g AS (SELECT path, count(*) AS n, sum(evidence_count)::BIGINT AS e, max(CASE WHEN kind = 'avoid' THEN 1 ELSE 0 END) AS risky, string_agg(id, ',' ORDER BY confidence DESC, id) AS ids, string_agg('exp_' || p_partkey, ',' ORDER BY confidence DESC, id) AS x FROM m GROUP BY 1)
+SELECT path, CASE WHEN risky = 1 THEN 'covered_risky' WHEN risky = 0 THEN 'covered_clean' ELSE 'no_coverage' END AS coverage, coalesce(n, 0) AS matched_rule_count, coalesce(e, 0) AS evidence_count, coalesce(ids, '') AS matched_rule_ids, coalesce(x, '') AS experience_ids FROM touched LEFT JOIN g USING (path)""")
+def coverage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coverage.path_coverage(touched(spark, sf_dir), rules(spark, sf_dir))
+    return found.select("path", "coverage", "matched_rule_count", "evidence_count", F.array_join("matched_rule_ids", ",").alias("matched_rule_ids"), F.array_join("experience_ids", ",").alias("experience_ids"))
+
+
+_SUMMARY = f"""WITH {RULES}, l AS (SELECT touched.path, max(CASE WHEN kind = 'avoid' THEN 1 WHEN kind IS NOT NULL THEN 0 END) AS risky FROM touched LEFT JOIN matches USING (path) LEFT JOIN rules USING (id) GROUP BY 1),
+s AS (SELECT count(*) AS touched_path_count, count(*) FILTER (risky = 0) AS covered_clean_count, count(*) FILTER (risky = 1) AS covered_risky_count, count(*) FILTER (risky IS NULL) AS no_coverage_count FROM l),
+u AS (SELECT count(*) AS matched_rule_count, coalesce(sum(evidence_count), 0)::BIGINT AS evidence_count, max(confidence) FILTER (kind <> 'playbook') AS top FROM rules WHERE id IN (SELECT id FROM matches)),
+w AS (SELECT *, CASE WHEN no_coverage_count > 0 OR touched_path_count = 0 THEN 'no_coverage' WHEN covered_risky_count > 0 THEN 'covered_risky' ELSE 'covered_clean' END AS coverage FROM s, u)"""
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked, own = touched(spark, sf_dir), rules(spark, sf_dir)
+    matches = written(coverage.path_matches(asked, own), "matches")
+    return coverage.coverage_summary(coverage.path_coverage(asked, own), matches, own), coverage.risk_matches(matches, own)
+
+
+@registered(f"{_SUMMARY} SELECT touched_path_count, covered_clean_count, covered_risky_count, no_coverage_count, matched_rule_count, evidence_count, coverage, round(evidence_count / touched_path_count, 4)::DOUBLE AS experience_density FROM w")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, sf_dir)[0].withColumn("experience_density", F.round("experience_density", 4))
+
+
+@registered(f"{_SUMMARY} SELECT coverage, top AS max_avoid_confidence, CASE WHEN top >= 0.75 THEN 'match_high' WHEN top >= 0 THEN 'match_medium' WHEN coverage = 'covered_clean' THEN 'covered_clean' ELSE 'no_coverage' END AS risk_level FROM w")
+def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.risk(*_summary(spark, sf_dir)).select("coverage", "max_avoid_confidence", "risk_level")
+
+
+@registered(f"WITH {RULES} SELECT t.path AS context_id, r.id AS rule_id FROM touched t JOIN rules r ON contains(lower('Please look at ' || t.path || ' first'), lower(r.scope))")
+def recall_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = touched(spark, sf_dir).distinct().select(F.col("path").alias("context_id"), text("Please look at ", F.col("path"), " first").alias("context"))
+    return coverage.recall_in_texts(contexts, rules(spark, sf_dir))
+
+
+@registered(f"""WITH {EXPERIENCES}, a AS (SELECT experience_id AS assessment_id, pr AS change_id, CASE WHEN kind = 'merged_clean' THEN 'covered_clean' WHEN kind = 'ci_failure' THEN 'match_high' WHEN kind = 'revert' THEN 'match_medium' ELSE 'no_coverage' END AS risk_level, pr % 10 / 10.0 AS top, signature_id AS fp FROM exp),
+p AS (SELECT pr AS change_id, max(signature_id) AS fp, max(recorded_at) AS gen_at FROM exp WHERE pr % 2 = 0 GROUP BY 1),
+d AS (SELECT assessment_id, CASE WHEN risk_level = 'covered_clean' THEN 'clean' WHEN risk_level IN ('match_high', 'match_medium') AND top < 0.6 THEN 'low_confidence' WHEN a.fp = p.fp THEN 'unchanged' WHEN TIMESTAMP '2024-01-20 00:00:00' < p.gen_at + INTERVAL 10 MINUTE THEN 'debounced' ELSE '' END AS skip_reason FROM a LEFT JOIN p USING (change_id))
+SELECT assessment_id, skip_reason, skip_reason = '' AS comment FROM d""")
+def advise_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = experiences(spark, sf_dir)
+    level = F.when(F.col("kind") == "merged_clean", "covered_clean").when(F.col("kind") == "ci_failure", "match_high").when(F.col("kind") == "revert", "match_medium").otherwise("no_coverage")
+    asked = every.select(F.col("experience_id").alias("assessment_id"), F.col("pr").alias("change_id"), level.alias("risk_level"), (F.col("pr") % 10 / 10.0).alias("max_avoid_confidence"), F.col("signature_id").alias("diff_fingerprint"))
+    prior = every.where("pr % 2 = 0").groupBy(F.col("pr").alias("change_id")).agg(F.max("signature_id").alias("diff_fingerprint"), F.max("recorded_at").alias("generated_at"))
+    return lifecycle.comment_decision(asked, prior, "2024-01-20 00:00:00").select("assessment_id", "skip_reason", "comment")
+
+
+@registered(f"WITH {RULES} SELECT id, confidence FROM rules WHERE status = 'active' AND review_label = 'accepted' AND human_review AND review_decision = 'approved' ORDER BY confidence DESC, id LIMIT 25")
+def compile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.compiled(rules(spark, sf_dir)).select("id", "confidence")
+
+
+@registered(f"WITH {RULES} SELECT s.status, count(r.id) AS rules FROM (SELECT unnest(['candidate', 'active', 'stale', 'contradicted', 'retired']) AS status) s LEFT JOIN rules r USING (status) GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.status_counts(rules(spark, sf_dir))
+
+
+@registered(f"""WITH {RULES} SELECT id, CASE WHEN p_partkey % 3 = 0 AND status = 'active' AND review_label = 'accepted' OR p_partkey % 3 = 0 AND status = 'retired' AND p_partkey % 2 = 0 THEN status ELSE 'candidate' END AS status,
+  CASE WHEN p_partkey % 3 = 0 AND status = 'active' AND review_label = 'accepted' OR p_partkey % 3 = 0 AND status = 'retired' AND p_partkey % 2 = 0 THEN review_label ELSE 'suggested' END AS review_label FROM rules""")
+def lifecycle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = rules(spark, sf_dir)
+    key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    existing = own.where(key % 3 == 0).withColumn("review_decision", F.when((F.col("status") == "retired") & (key % 2 == 0), "rejected").otherwise(F.col("review_decision")))
+    drafts = own.withColumns({"status": F.lit("candidate"), "review_label": F.lit("suggested"), "review_decision": F.lit("pending"), "human_review": F.lit(False)})
+    return lifecycle.merge_lifecycle(drafts, existing).select("id", "status", "review_label")
+
+
+@registered("""WITH t AS (SELECT 'rule_' || (conv_id % 50) AS id, max_by((['approve', 'reject', 'edit', 'merge'])[(length(text) % 4) + 1], conv_id * 100 + turn) AS action FROM conversations WHERE conv_id % 50 <= 40 GROUP BY 1),
+r AS (SELECT 'rule_' || i AS id, (['candidate', 'active', 'stale', 'contradicted', 'retired'])[i % 5 + 1] AS status FROM range(50) x(i)), b AS (SELECT r.*, action, coalesce(action IN ('approve', 'edit') AND status IN ('stale', 'contradicted', 'retired'), false) AS refused FROM r LEFT JOIN t USING (id))
+SELECT id, refused, CASE WHEN refused OR action IS NULL THEN status WHEN action = 'approve' THEN 'active' WHEN action = 'edit' THEN 'candidate' ELSE 'retired' END AS status FROM b""")
+def review_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = table(spark, sf_dir, "conversations").where("conv_id % 50 <= 40").select(text("rule_", F.col("conv_id") % 50).alias("rule_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.element_at(F.array(*map(F.lit, lifecycle.REVIEWS)), F.length("text") % 4 + 1).alias("action"))
+    actions = actions.withColumn("action", F.element_at(F.create_map(*(x for k, v in (("approve", "approve"), ("reject", "reject"), ("edit", "edit"), ("merge", "merge")) for x in (F.lit(k), F.lit(v)))), F.col("action")))
+    own = spark.range(50).select(text("rule_", F.col("id")).alias("id"), F.element_at(F.array(*map(F.lit, C.LIFECYCLE)), (F.col("id") % 5 + 1).cast("int")).alias("status"), F.lit("suggested").alias("review_label"), F.lit("pending").alias("review_decision"), F.lit(False).alias("human_review"), F.lit("cluster_summary").alias("statement_origin"))
+    return lifecycle.reviewed(own, actions).select("id", "refused", "status")
+
+
+@registered(f"""WITH {EXPERIENCES}, s AS (SELECT *, -1 AS seq FROM exp WHERE pr % 2 = 0), f AS (SELECT * REPLACE (CASE WHEN pr % 6 = 0 THEN recorded_at + INTERVAL 40 DAY ELSE recorded_at END AS recorded_at, 1.0::DOUBLE AS flake_discount), pr AS seq FROM exp WHERE pr % 3 = 0),
+b AS (SELECT *, strftime(recorded_at, '%Y-%m') AS month FROM (SELECT * FROM s UNION ALL SELECT * FROM f)) SELECT month, experience_id, flake_discount FROM b QUALIFY row_number() OVER (PARTITION BY month, experience_id ORDER BY seq DESC) = 1""")
+def month_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = experiences(spark, sf_dir)
+    fresh = every.where("pr % 3 = 0").withColumn("flake_discount", F.lit(1.0)).withColumn("recorded_at", F.when(F.col("pr") % 6 == 0, F.col("recorded_at") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("recorded_at"))).withColumn("batch_seq", F.col("pr"))
+    return sinks.merged_months(every.where("pr % 2 = 0"), fresh).select("month", "experience_id", "flake_discount")
+
+
+@registered("""WITH l AS (SELECT o_orderkey AS pr, l_linenumber AS n, l_returnflag AS f, l_linestatus AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+e AS (SELECT pr, 'ci_failure' AS outcome_kind, 'line' || n AS item FROM l WHERE f = 'R' UNION ALL SELECT pr, 'revert', 'line' || n FROM l WHERE f = 'A' AND n % 2 = 0 UNION ALL SELECT pr, 'review_correction', 'line' || n FROM l WHERE f = 'N' AND n % 3 = 0)
+SELECT * FROM e UNION ALL SELECT DISTINCT pr, 'merged_clean', '' FROM l WHERE pr NOT IN (SELECT pr FROM e)""")
+def github_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export nested from orders and lines, then flattened to events."""
+    name, at = text("line", F.col("l_linenumber")), F.lit("2024-01-01T00:00:00Z")
+    none = F.lit(None).cast("string")
+    failed = F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct(name.alias("name"), none.alias("status"), F.lit("failure").alias("conclusion"), at.alias("completed_at"), none.alias("url"), name.alias("signature_key"), none.alias("message"))))
+    undone = F.collect_list(F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 2 == 0), F.struct(name.alias("commit"), at.alias("created_at"), none.alias("url"), text("Revert \"x\" of #", F.col("o_orderkey")).alias("message"))))
+    comment = F.collect_list(F.when(F.col("l_returnflag") == "N", F.struct(none.alias("id"), none.alias("url"), at.alias("created_at"), none.alias("body"), name.alias("path"), F.when(F.col("l_linenumber") % 3 == 0, "yes").otherwise("no").alias("marked"), none.alias("correction"), name.alias("signature_key"))))
+    empty = F.array().cast("array<string>")
+    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(failed.alias("check_runs"), undone.alias("reverts"), comment.alias("review_comments"))
+    corrections = F.filter("review_comments", lambda x: F.lit(False))
+    pulls = own.select(F.lit("acme/shop").alias("repo"), F.array(F.struct(F.col("o_orderkey").alias("number"), F.lit("bot").alias("author"), at.alias("merged_at"), text("c", F.col("o_orderkey")).alias("merge_commit"), text("https://github.com/acme/shop/pull/", F.col("o_orderkey")).alias("url"), empty.alias("labels"), empty.alias("coauthors"), F.array(F.lit("a.py")).alias("files"), none.alias("flake_discount"), F.lit(False).alias("revert_scan_truncated"), "check_runs", "reverts", corrections.alias("review_corrections"), "review_comments")).alias("pull_requests"))
+    found = scans.export_events(pulls)
+    item = F.when(F.col("outcome_kind") == "revert", F.col("commit")).when(F.col("outcome_kind") == "merged_clean", "").otherwise(F.col("signature_key"))
+    return found.select("pr", "outcome_kind", item.alias("item"))
+
+
+@registered("""SELECT p_partkey, 'src/' || lower(p_type) || '/p' || p_partkey || '.py' AS cleaned FROM part WHERE p_partkey % 4 <> 3 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 4 = 3""")
+def path_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, kind = F.col("p_partkey"), F.lower("p_type")
+    raw = F.when(key % 4 == 0, text("./src//", kind, "/p", key, ".py")).when(key % 4 == 1, text(" src/x/../", kind, "/./p", key, ".py ")).when(key % 4 == 2, text("src/", kind, "/p", key, ".py")).otherwise(text("../", kind))
+    return table(spark, sf_dir, "part").select("p_partkey", C.clean_path(raw).alias("cleaned"))
+
+
+@registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderkey + 1 END AS number FROM orders""")
+def pr_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    url = F.when(key % 3 == 0, text("https://github.com/acme/shop/pull/", key + 1)).when(key % 3 == 1, text("HTTPS://GitHub.com/acme/shop/pull/", key + 1, "/")).otherwise(text("https://github.com/acme/shop/pull/", key + 1, "?x=1"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.pr_url_number(url).alias("number"))
+
+
+@registered("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", C.slug(text(F.col("p_name"), " & ", F.col("p_type"), "!")).alias("slug"))
+
+
+@registered("""WITH c AS (SELECT p_partkey, length(p_name) AS n, unnest(string_split(p_name, '')) AS ch FROM part), k AS (SELECT p_partkey, n, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2, 3)
+SELECT p_partkey, round(sum(-(k / n::DOUBLE) * log2(k / n::DOUBLE)), 6) AS bits FROM k GROUP BY 1""")
+def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(C.entropy(F.col("p_name")), 6).alias("bits"))
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'key [REDACTED:token] end' ELSE 'key none end' END AS redacted FROM orders")
+def secret_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    raw = F.when(key % 2 == 0, text("key ", "ghp_", F.substring(F.sha2(key.cast("string"), 256), 1, 30), " end")).otherwise(F.lit("key none end"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.redact_tokens(raw).alias("redacted"))
+
+
+@registered("SELECT p_partkey, p_partkey % 3 <> 2 AS hash_like FROM part")
+def hash_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    value = F.when(key % 3 == 0, F.sha2(key.cast("string"), 256)).when(key % 3 == 1, text("sha256:", F.sha2(key.cast("string"), 256))).otherwise(text("sig_", key))
+    return table(spark, sf_dir, "part").select("p_partkey", C.is_hash_like(value).alias("hash_like"))
+
+
+@registered(f"WITH {RULES} SELECT p_partkey AS change_id, 'diff' AS input_kind, path FROM files")
+def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = part_path()
+    body = text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n@@ -1,2 +1,2 @@\n keep\n--- old/path.py\n+++ new/path.py\n")
+    return changes.touched_paths(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), body.alias("content")))
+
+
+@registered(f"WITH {RULES} SELECT p_partkey AS change_id, 'plan' AS input_kind, path FROM files")
+def plan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = text("Run python3 scripts/check.py ", part_path(), " and compare https://example.com/a/b before release.")
+    return changes.touched_paths(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), body.alias("content")))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events made of experiences: some in nested spelling, some with a broken field."""
+    own = experiences(spark, sf_dir)
+    n = F.regexp_extract("experience_id", r"(\d+)", 1).cast("long")
+    nested = n % 2 == 0
+    pr = F.when(n % 13 == 0, "1.5").otherwise(F.col("pr").cast("string"))
+    at = F.when(n % 19 == 0, F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss")).otherwise(C.rfc3339_text(F.col("recorded_at")))
+    given = {
+        "repo": F.lit(" acme/shop "), "recorded_at": at, "pr": F.when(~nested, pr), "action": F.when(nested, F.struct(pr.alias("pr"), F.lit("c1").alias("commit"))), "commit": F.when(~nested, "c1"),
+        "paths": F.col("paths"), "actor": F.when(F.col("actor_kind") == "agent", " Fix-Bot ").otherwise("someone"), "labels": F.when(F.col("pr") % 5 == 0, F.array(F.lit(" AI "))), "outcome_kind": F.col("kind"), "signature_class": F.col("class"), "signature_key": F.col("key"), "message": F.col("message"),
+        "extraction_confidence": F.col("extraction"), "flake_discount": F.col("flake_discount").cast("string"), "provenance_urls": F.col("urls"), "source_kind": F.when(n % 23 == 0, "Agent self-report"),
+    }
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], EVENT).schema}
+    return own.select(F.col("experience_id").alias("row_id"), *(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
+POLICY = normalize.AttributionPolicy(labels=("ai",), logins=("fix-bot",))
+
+
+@registered(f"""WITH {EXPERIENCES}, e AS (SELECT *, CAST(substr(experience_id, 5) AS BIGINT) AS n FROM exp WHERE actor_kind = 'agent' OR pr % 5 = 0)
+SELECT experience_id AS source_ref, CASE WHEN pr % 5 = 0 THEN 'pr_label' ELSE 'bot_login' END AS attribution_method, 0.9::DOUBLE AS attribution_confidence,
+  concat_ws(',', CASE WHEN n % 23 = 0 THEN 'self_report' END, CASE WHEN n % 19 = 0 THEN 'recorded_at' END, CASE WHEN n % 13 = 0 THEN 'pr' END) AS errors,
+  CASE WHEN n % 13 = 0 OR n % 19 = 0 THEN '' ELSE 'exp_' || lpad(pr::VARCHAR, greatest(4, length(pr::VARCHAR))::INTEGER, '0') || '_' || substr(sha256(concat_ws(chr(0), pr::VARCHAR, 'c1', strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ'), kind,
+    CASE kind WHEN 'ci_failure' THEN 'failed' WHEN 'revert' THEN 'reverted' WHEN 'review_correction' THEN 'corrected' WHEN 'fix_held' THEN 'held' ELSE 'passed' END,
+    'sig_' || substr(sha256(cl || '|' || kind || '|' || key), 1, 12), extraction, cl, kind, key, CASE WHEN message = '' THEN '' ELSE 'sha256:' || sha256(message) END, url)), 1, 12) END AS experience_id
+FROM (SELECT *, CASE WHEN class <> '' THEN class WHEN kind = 'ci_failure' THEN 'test_failure' WHEN kind IN ('revert', 'review_correction') THEN kind ELSE 'unknown' END AS cl FROM e)""")
+def exp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = normalize.normalized(raw_events(spark, sf_dir), POLICY, ref=F.col("row_id"))
+    return found.select("source_ref", "attribution_method", "attribution_confidence", F.array_join("errors", ",").alias("errors"), "experience_id")
+
+
+@registered(f"""WITH {EXPERIENCES} SELECT count(*) AS records, count(*) FILTER (actor_kind = 'agent') AS agent, count(*) FILTER (actor_kind = 'human') AS human, count(*) FILTER (actor_kind = 'uncertain') AS uncertain FROM exp""")
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.ingest_counters(experiences(spark, sf_dir))
+
+
+@registered()
+def provider_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.provider_cost(experiences(spark, sf_dir), 0.01, 5.0)
+
+
+@registered()
+def source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.source_digest(experiences(spark, sf_dir), F.date_format("recorded_at", "yyyy-MM"))
+
+
+@registered(f"WITH {RULES} SELECT id, kind FROM rules WHERE p_partkey = 0 AND (status <> 'active' OR review_label = 'accepted')")
+def rule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that break the contract: of these just number 0, since no pull request has that number."""
+    return lifecycle.citation_errors(rules(spark, sf_dir).where("status <> 'active' or review_label = 'accepted'")).join(rules(spark, sf_dir), "id").select("id", "kind")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
