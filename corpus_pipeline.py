@@ -12,7 +12,7 @@ from outcomelake.llm.minhash import one_of_each
 from outcomelake.llm.mixing import mixed
 from outcomelake.llm.packing import pack
 from outcomelake.llm.queries import MIXTURE
-from outcomelake.llm.storage import written
+from outcomelake.sources.storage import written
 from outcomelake.llm.subword import without_low_quality
 from outcomelake.llm.weak_supervision import without_toxic
 from outcomelake.packaging import ship_package

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
-from .storage import written
+from ..operators.components import connected_components
+from ..sources.storage import written
 
 #: Rows of a bucket that are compared as one block; a larger bucket is dealt out as pairs of blocks.
 BLOCK_ROWS = 4096

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .storage import written
+from ..operators.components import connected_components
+from ..sources.storage import written
 from .text_kernels import mix64, shingle_sets, text_chunks
 
 #: Up to so many ids are sent to all executors to filter a scan (16 bytes each); more are joined by a shuffle.

@@ -13,7 +13,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .rule_trees import quality_rules
-from .storage import new_path
+from ..sources.storage import new_path
 from .subword import quality_scores
 from .warc import read_archives, write_archives
 from .weak_supervision import toxicity_scores
