@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from ..sources.storage import written
 
 #: Words whose ids a worker remembers; beyond that it starts anew (this bounds memory and changes no id).
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 800_000
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
+#: How byte-level vocabularies write bytes: printable ones as themselves, all others as characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class _Irregular(Exception):
     """A text with white space other than single spaces between words; it is encoded as a whole."""
 
@@ -32,16 +37,26 @@ class _Words(dict):
 
     def __init__(self, tokenizer, lead: str):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.model, self.lead = tokenizer, tokenizer.model, lead
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Irregular
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        found = self[word] = np.asarray(self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = word.rstrip(".,")
+        if letters.isalpha() and len(letters) + 1 >= len(word):
+            # The pre-tokeniser makes one part of letters with the space before, and one of the mark after.
+            ids = self.part(self.lead + letters) + (self.part(word[len(letters) :]) if len(letters) < len(word) else [])
+        else:
+            ids = self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids
+        found = self[word] = np.asarray(ids, "<u4").tobytes()
         return found
 
+    def part(self, text: str) -> list[int]:
+        """Ids of a text that the pre-tokeniser leaves whole."""
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+
 
 class TextEncoder:
     """Ids of whole texts by a tokenizer file; its special tokens' strings are ordinary text."""
