@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +26,14 @@ BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256))
 
 
 class _Irregular(Exception):
-    """A text with white space other than single spaces between words; it is encoded as a whole."""
+    """A text with white space other than single spaces or newlines between words; it is encoded as a whole."""
 
 
 class _Words(dict):
     """Little-endian ids of words, made when first asked for.
 
-    Byte-level pre-tokenisation puts a single space with the word after it, so a text cut before such
-    spaces has the ids of its parts, one after the other.
+    Byte-level pre-tokenisation puts a single space with the word after it and makes a part of a single
+    newline, so a text cut there has the ids of its parts, one after the other.
     """
 
     def __init__(self, tokenizer, lead: str):
@@ -50,12 +51,14 @@ class _Words(dict):
             ids = self.part(self.lead + letters) + (self.part(word[len(letters) :]) if len(letters) < len(word) else [])
         else:
             ids = self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids
-        found = self[word] = np.asarray(ids, "<u4").tobytes()
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def part(self, text: str) -> list[int]:
-        """Ids of a text that the pre-tokeniser leaves whole."""
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+        """Ids of a text that the pre-tokeniser leaves whole: letters, a mark, or a space and letters."""
+        # Of the ASCII characters here the space alone is not written as itself.
+        written_out = text.replace(" ", BYTE_CHARACTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return [t.id for t in self.model.tokenize(written_out)]
 
 
 class TextEncoder:
@@ -67,14 +70,18 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+        self.newline = np.asarray(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        words = text.split(" ")
+        lines = []
         try:
-            return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+            for line in text.split("\n"):
+                words = line.split(" ")
+                lines.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])))
+            return self.newline.join(lines)
         except _Irregular:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
