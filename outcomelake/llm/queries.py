@@ -31,7 +31,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write ``pages`` as WARC archives in the shared folder and read the records back."""
     folder = new_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,38 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+#: What reaches a document or vector through links, and the columns that follow from it.
+_REACHED = """reach(id, other) AS (SELECT id, id FROM ids UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
+
+_SQL = {
+    "op1_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages), d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS response FROM d WHERE payload_bytes >= 1000 GROUP BY 1), r AS (SELECT d.*, CASE WHEN page_id <> response THEN response END AS refers_to FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1000)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op2_embedding_near_dedup": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings), v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+l AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id WHERE CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= 0.9 ELSE false END),
+{_REACHED}, n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON a = c.id""",
+    "op9_chat_formatting": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, length(CASE role WHEN 'user' THEN '[INST]  [/INST]' WHEN 'assistant' THEN '<s></s>' WHEN 'system' THEN '<<SYS>>__<</SYS>>_' ELSE '<<ROLE ' || role || '>>__<</ROLE>>_' END)
+  + list_sum(list_transform(['\', '<s>', '</s>', '<<SYS>>', '<</SYS>>', '<<ROLE', '<</ROLE', '[INST]', '[/INST]', '>>' || chr(10)], lambda k: (length(text) - length(replace(text, k, ''))) // length(k))) AS added FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(text) + added)::BIGINT AS formatted_chars FROM m GROUP BY 1""",
+    "op10_minhash_near_dedup": rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+t AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM t),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.id <> y.id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * common >= 85 * (p.n + q.n - common)), {_REACHED}
+SELECT c.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, c.id = component_id AS kept FROM c LEFT JOIN n USING (id)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op7_license_scans, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express in reasonable time."""
-    return {}
+    return dict(_SQL)
