@@ -53,7 +53,9 @@ def _log_tail(hits: int, n: int, p: float) -> float:
 def mine_terms(sample: DataFrame, most: int, expected_false: float = 0.3) -> list[tuple[str, int, int]]:
     """(term, toxic documents, clean documents): terms far too frequent among toxic documents to be chance.
 
-    Over all terms in as many documents or more, fewer than ``expected_false`` would look so by chance.
+    Over all terms in as many documents or more, fewer than ``expected_false`` would look so by chance. A
+    term must be 4 times as frequent in toxic documents as in clean ones, which is possible at every share
+    of toxic documents, and 9 of 10 documents with it must be toxic.
     """
     totals = {row.label: row.n for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
@@ -66,7 +68,7 @@ def mine_terms(sample: DataFrame, most: int, expected_false: float = 0.3) -> lis
     for n in sorted(by_size, reverse=True):
         total += by_size[n]
         at_least[n] = total
-    likely = counts.where(F.col("toxic") > 4 * share * (F.col("toxic") + F.col("clean"))).where("toxic >= 9 * clean")
+    likely = counts.where(F.col("toxic") * (1 - share) >= 4 * share * F.col("clean")).where("toxic >= 9 * clean")
     found = []
     for row in likely.orderBy(F.desc("toxic"), "clean", "term").limit(50 * most).collect():
         n = row.toxic + row.clean

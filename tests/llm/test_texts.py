@@ -92,6 +92,25 @@ def test_toxicity_held_out(tables):
     assert n > 50 and share > 0.95
 
 
+@pytest.mark.parametrize(("share", "copies"), [(0.02, False), (0.3, False), (0.6, False), (0.9, False), (0.35, True), (0.6, True)])
+def test_toxicity_at_every_share(spark, share, copies):
+    """Distinct toxic documents, or a third of all rows as copies of one toxic text beside distinct ones."""
+    rng, n = np.random.default_rng(7), 3000
+    plain, bad = [f"{a}{b}" for a in "bcdfghjk" for b in ("alo", "emi", "iru", "opa", "usa", "ane", "ilo")], ["vilescum", "grubbertwit", "snorkhead", "moldwretch"]
+    copied = " ".join([*rng.choice(plain, 30), *bad[:2]])
+    rows = []
+    for i in range(n):
+        toxic = i < share * n
+        words = [*rng.choice(plain, 30), *(rng.choice(bad, 2) if toxic else ())]
+        rng.shuffle(words)
+        rows.append((i, copied if copies and i < n // 3 else " ".join(words), int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    wrong = weak_supervision.toxicity_scores(docs, labels).join(labels, "doc_id").where("predicted <> toxic").groupBy("toxic").count().collect()
+    assert sum(r["count"] for r in wrong) <= 0.01 * n, wrong
+    left = {r.doc_id for r in weak_supervision.without_toxic(docs, labels).collect()}
+    assert len(left ^ {i for i, _, t in rows if not t}) <= 0.01 * n
+
+
 @pytest.mark.parametrize("score", [subword.quality_scores, weak_supervision.toxicity_scores])
 def test_score_cases(odd, score):
     docs, labels = odd
