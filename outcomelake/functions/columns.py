@@ -188,6 +188,19 @@ def redact_tokens(c: Column) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p, "[REDACTED:token]"), TOKEN_PATTERNS, c)
 
 
+def has_secret_like_token(c: Column, chars: str = r"A-Za-z0-9+_=/-") -> Column:
+    """Whether a run of token characters, without ``-_=+/`` at its ends, looks like a secret; false for null."""
+    tokens = F.regexp_extract_all(c, F.lit(f"[{chars}]{{32,}}"), F.lit(0))
+    return F.coalesce(F.exists(tokens, lambda t: is_secret_like(F.regexp_replace(t, "^[-_=+/]+|[-_=+/]+$", ""))), F.lit(False))
+
+
+def has_secret_like_segment(url: Column) -> Column:
+    """The same for a URL of the host: its path's segments, as written and unescaped, count one by one, if it is canonical."""
+    path = F.regexp_extract(url, r"^(?i:https://github\.com)/([^?#]*)", 1)
+    inside = has_secret_like_token(path, r"A-Za-z0-9+_=-") | has_secret_like_token(F.try_url_decode(path), r"A-Za-z0-9+_=-")
+    return inside | (~valid_provenance_url(url) & has_secret_like_token(url))
+
+
 def is_secret_name(c: Column) -> Column:
     """Field names whose values are secrets; dashes and blanks count as underscores, and plurals alike."""
     name = F.regexp_replace(F.lower(c), "[- ]", "_")

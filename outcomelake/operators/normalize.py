@@ -6,13 +6,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from ..functions.columns import (
     ACTOR_KINDS, ATTRIBUTION_METHODS, CLASS_BY_KIND, EXTRACTION_SCORES, OUTCOME_KINDS, TERMINAL_BY_KIND, TERMINAL_STATES,
-    clean_path, distinct_filled, filled, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, trimmed, url_repo, valid_provenance_url,
+    clean_path, distinct_filled, filled, has_secret_like_segment, has_secret_like_token, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, trimmed, url_repo, valid_provenance_url,
 )
+from ..schemas import EVENT
 
 NUL = "\u0000"
+URL_FIELDS = ("pr_url", "check_run_url", "revert_url", "review_url", "provenance_urls", "urls")
+#: Shapes of hashes, which are no secrets in the fields of these names.
+_DIGEST = r"[0-9a-fA-F]{6,128}|sha1:[0-9a-fA-F]{40}|sha256:[0-9a-fA-F]{64}|sha512:[0-9a-fA-F]{128}"
+HASH_FIELDS = {"commit": "[0-9a-fA-F]{6,64}", "commits": "[0-9a-fA-F]{6,64}", "diff_fingerprint": _DIGEST, "message_fingerprint": _DIGEST, "signature_id": "sig_[0-9a-fA-F]{6,64}|" + _DIGEST}
 
 
 @dataclass(frozen=True)
@@ -50,13 +56,44 @@ def experience_id(pr: Column, recorded_at: Column, urls: Column, *parts: Column)
     return F.when(recorded_at.isNotNull() & pr.isNotNull(), made)
 
 
+def _redacted(value: Column, kind: DataType) -> Column:
+    """A field with the known tokens of all its texts replaced."""
+    if isinstance(kind, StringType):
+        return redact_tokens(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _redacted(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(_redacted(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
+
+
+def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
+    """Conditions under which a field's texts hold a token that may be a secret of an unknown kind."""
+    if isinstance(kind, ArrayType):
+        return [F.exists(value, lambda x: F.greatest(*_unsafe(x, kind.elementType, name), F.lit(False)))]
+    if isinstance(kind, StructType):
+        return [c for f in kind for c in _unsafe(value[f.name], f.dataType, f.name)]
+    if not isinstance(kind, StringType):
+        return []
+    if name in URL_FIELDS:
+        return [has_secret_like_segment(trimmed(value))]
+    if name in HASH_FIELDS:
+        return [has_secret_like_token(value) & ~trimmed(value).rlike(f"^({HASH_FIELDS[name]})$")]
+    return [has_secret_like_token(value)]
+
+
 def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(), *, ref: Column | None = None) -> DataFrame:
     """Experiences with a column ``errors``; the schema of ``events`` is :data:`outcomelake.schemas.EVENT`.
 
-    Every field is the first spelling that is not blank, flat or nested. Free text is redacted. Rows of
+    Every field is the first spelling that is not blank, flat or nested. Known tokens are redacted in
+    every text field; a token that may be a secret of an unknown kind breaks the rule ``redaction``, except
+    for hashes in their fields and canonical URLs, of which each segment is looked at by itself. Rows of
     uncertain attribution leave the result unless the policy includes them.
     """
     c = F.col
+    kinds = {f.name: f.dataType for f in events.schema if f.name in StructType.fromDDL(EVENT).names}
+    events = events.withColumns({n: _redacted(c(n), k) for n, k in kinds.items()})
+    unsafe = F.greatest(F.lit(False), F.lit(False), *(F.coalesce(x, F.lit(False)) for n, k in kinds.items() for x in _unsafe(c(n), k, n)))
     repo = filled(c("repo"))
     owner = filled(c("repo_owner"), F.split_part(repo, F.lit("/"), F.lit(1)))
     name = filled(c("repo_name"), F.split_part(repo, F.lit("/"), F.lit(2)))
@@ -77,7 +114,7 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
     check = filled(c("check_name"), c("outcome.signature.check_name"), kind)
     key = filled(c("signature_key"), c("outcome.signature.key"), F.try_element_at(paths, F.lit(1)), commit)
     extraction = filled(c("extraction_confidence"), c("outcome.signature.extraction_confidence"), F.lit("structured"))
-    text = redact_tokens(filled(c("message"), c("outcome.message")))
+    text = filled(c("message"), c("outcome.message"))
     message = filled(c("message_fingerprint"), c("outcome.signature.message_fingerprint"), F.when(text != "", sha256(text)))
     signature = filled(c("signature_id"), c("outcome.signature.signature_id"), F.concat(F.lit("sig_"), short_hash(joined("|", kind_of, check, key))))
     urls = distinct_filled(F.concat(F.coalesce("provenance_urls", "provenance.urls", none), F.array_compact(F.array("pr_url", "check_run_url", "revert_url", "review_url"))))
@@ -91,11 +128,11 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
         own_id.alias("experience_id"), owner.alias("repo_owner"), name.alias("repo_name"), recorded.alias("recorded_at"), pr.alias("pr"), commit.alias("commit"), paths.alias("paths"), diff.alias("diff_fingerprint"),
         actor.alias("actor_kind"), method.alias("attribution_method"), certainty.alias("attribution_confidence"), kind.alias("kind"), terminal.alias("terminal_state"), signature.alias("signature_id"), kind_of.alias("class"),
         check.alias("check_name"), key.alias("key"), message.alias("message"), extraction.alias("extraction"), discount.alias("flake_discount"), urls.alias("urls"), (ref if ref is not None else F.lit("event")).alias("source_ref"),
-        rfc3339(c("metadata.last_ingest_at")).alias("last_ingest_at"), c("metadata.merged_since_ingest").try_cast("long").alias("merged_since_ingest"), F.exists(F.array(*reported), is_self_report).alias("self_reported"),
+        rfc3339(c("metadata.last_ingest_at")).alias("last_ingest_at"), c("metadata.merged_since_ingest").try_cast("long").alias("merged_since_ingest"), F.exists(F.array(*reported), is_self_report).alias("self_reported"), unsafe.alias("unsafe"),
     )
     if not policy.include_uncertain:
         base = base.where("actor_kind <> 'uncertain'")
-    return base.withColumn("errors", record_errors()).drop("self_reported")
+    return base.withColumn("errors", record_errors()).drop("self_reported", "unsafe")
 
 
 def record_errors() -> Column:
@@ -103,6 +140,7 @@ def record_errors() -> Column:
     c = F.col
     rules = {
         "self_report": c("self_reported"),
+        "redaction": c("unsafe"),
         "repo": (c("repo_owner") == "") | (c("repo_name") == ""),
         "recorded_at": c("recorded_at").isNull(),
         "pr": c("pr").isNull() | (c("pr") < 1),

@@ -46,6 +46,20 @@ def test_normalised_events(spark, tmp_path):
     assert first.experience_id.startswith("exp_0140_") and first.terminal_state == "failed" and first["class"] == "test_failure" and first.attribution_method == "uncertain"
 
 
+def test_tokens_in_every_field(spark, tmp_path):
+    known, unknown = "ghp_" + "a1B2" * 8, "qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC"
+    url = EVENTS[0]["provenance_urls"][0]
+    fields = [{"paths": [f"src/{known}.py"]}, {"signature_key": known}, {"check_name": f"run {known}"}, {"commit": known}, {"outcome": {"signature": {"key": known}}}, {"message_fingerprint": known}, {"provenance_urls": [f"{url}/{known}"]}]
+    rows = normalize.normalized(scans.events_jsonl(spark, lines(tmp_path / "known.jsonl", [EVENTS[0] | f for f in fields]))).collect()
+    assert len(rows) == len(fields) and not any("ghp_" in str(r) for r in rows) and all("redaction" not in r.errors for r in rows)
+    fields = [{"paths": [f"src/{unknown}.py"]}, {"signature_key": unknown}, {"message": f"see {unknown}"}, {"commit": unknown}, {"signature_id": unknown}, {"message_fingerprint": unknown}, {"context": {"paths": [unknown]}}, {"provenance_urls": [f"{url}/{unknown}"]}, {"revert_url": f"{url}/%71{unknown[1:]}"}]
+    rows = normalize.normalized(scans.events_jsonl(spark, lines(tmp_path / "unknown.jsonl", [EVENTS[0] | f for f in fields]))).collect()
+    assert len(rows) == len(fields) and all("redaction" in r.errors for r in rows)
+    digest = "0123456789abcdef" * 4
+    sound = [EVENTS[0], EVENTS[0] | {"message_fingerprint": f"sha256:{digest}", "commit": digest[:40], "signature_id": f"sig_{digest[:32]}"}, EVENTS[0] | {"check_run_url": f"{url}/checks/Windows-2019-x64-Release/jobs/31"}]
+    assert all(not r.errors for r in normalize.normalized(scans.events_jsonl(spark, lines(tmp_path / "sound.jsonl", sound))).collect())
+
+
 def test_upsert_rewrites_just_its_months(spark, tmp_path):
     rows = normalize.accepted(normalize.normalized(scans.events_jsonl(spark, lines(tmp_path / "e.jsonl", EVENTS)))).withColumn("batch_seq", F.lit(0).cast("long"))
     table = str(tmp_path / "table")
