@@ -1,4 +1,4 @@
-"""Make this package importable in the executors' Python workers."""
+"""Make this package importable in the executors' Python workers, and bound what they are sent at once."""
 
 from __future__ import annotations
 
@@ -10,9 +10,21 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Arrow batches of texts are bounded by bytes, and by fewer rows than Spark's default of 10,000, since a row may be
+#: a long text. A session that sets these itself keeps its own values.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    stated = spark.conf.getAll
+    for name, value in ARROW.items():
+        if name not in stated:
+            spark.conf.set(name, value)
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once for each application."""
+    """Send the package's source to the executors, once for each application, and bound the Arrow batches."""
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
