@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..sources.storage import written
 from .subword import SubwordModel, train
@@ -18,14 +18,21 @@ from .text_kernels import BLANKS, text_chunks
 MOST_DOMAINS = 64
 
 
-def _memberships(model: SubwordModel):
+#: Columns that are added while documents are rated; no column of theirs is lost if it has such a name.
+TOKENS, POSTERIORS = "mixing tokens", "mixing posteriors"
+
+
+def _memberships(model: SubwordModel, text_at: int, keep: list[int]):
+    """Batches with the columns numbered ``keep``, their tokens and their posteriors; the text is read where it stands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            posteriors = model.posteriors(batch.column(1))
-            tokens = np.zeros(batch.num_rows, np.int64)
-            for at, end, texts in text_chunks(batch.column(1)):
+            posteriors, tokens = model.posteriors(batch.column(text_at)), np.zeros(batch.num_rows, np.int64)
+            for at, end, texts in text_chunks(batch.column(text_at)):
                 tokens[at:end] = np.diff(texts.words(BLANKS)[2])
-            yield pa.record_batch([batch.column(0), pa.array(tokens), pa.array(list(posteriors), pa.list_(pa.float64())), *batch.columns[2:]], names=["id", "tokens", "posteriors", *batch.schema.names[2:]])
+            flat, offsets = pa.array(posteriors.ravel()), np.arange(batch.num_rows + 1, dtype=np.int32) * posteriors.shape[1]
+            columns = [*(batch.column(i) for i in keep), pa.array(tokens), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in keep), TOKENS, POSTERIORS])
 
     return run
 
@@ -106,12 +113,45 @@ def rate_column(history: list[np.ndarray], step: float, momentum: float, ridge:
     return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in history)), start, move)
 
 
-def _rated(documents: DataFrame, labels: DataFrame, rows: DataFrame, schema: str | StructType, *, id_col: str, text_col: str, domain_col: str, weights: dict[str, float] | None, rows_per_domain: int, ridge: float) -> DataFrame:
-    """``rows``, whose columns are a key named ``id``, a text and others, with tokens, posteriors, rate and copies."""
+def targets_of(domains: list[str], weights: dict[str, float] | None, present: np.ndarray) -> np.ndarray:
+    """Each domain's target part of the tokens.
+
+    Without ``weights`` all are alike. A domain that ``weights`` does not name keeps its ``present`` part, and
+    the named ones share the rest by their weights. Weights of unknown domains are left out.
+    """
+    if not weights:
+        return np.full(len(domains), 1 / len(domains))
+    own = np.array([weights.get(d, 0.0) for d in domains])
+    named = np.array([d in weights for d in domains])
+    if own.sum() <= 0:
+        return present
+    return np.where(named, own / own.sum() * (1 - present[~named].sum()), present)
+
+
+def present_parts(memberships: DataFrame, k: int) -> np.ndarray:
+    """The domains' expected parts of the tokens before mixing; equal ones of no tokens."""
+    total = F.sum(F.col("tokens")).cast("double")
+    row = memberships.agg(*(F.try_divide(F.sum(F.col("tokens") * F.col("posteriors")[d]), total).alias(f"p{d}") for d in range(k))).first()
+    return np.full(k, 1 / k) if row[0] is None else np.array(list(row), dtype=np.float64)
+
+
+def _rated(documents: DataFrame, labels: DataFrame, *, keep: list[str], id_col: str, text_col: str, domain_col: str, weights: dict[str, float] | None, rows_per_domain: int, ridge: float) -> DataFrame:
+    """The columns ``keep`` as c0, c1, ..., with id, tokens, posteriors, rate and copies.
+
+    Every text goes to Python once, within its row.
+    """
     domains, model = domain_model(documents, labels, id_col=id_col, text_col=text_col, domain_col=domain_col, rows_per_domain=rows_per_domain)
-    memberships = written(rows.mapInArrow(_memberships(model), schema), "mixing-memberships")
-    wanted = np.array([(weights or {}).get(d, 0.0) if weights else 1.0 for d in domains])
-    wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(domains), 1 / len(domains))
+    columns = list(dict.fromkeys([*keep, id_col, text_col]))
+    kinds = {f.name: f.dataType for f in documents.schema}
+    rows = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    if not isinstance(kinds[text_col], StringType):
+        rows = rows.withColumn("text", F.col(f"c{columns.index(text_col)}").cast("string"))
+    text_at = columns.index(text_col) if isinstance(kinds[text_col], StringType) else len(columns)
+    kept = sorted({*range(len(keep)), columns.index(id_col)})
+    schema = StructType([*(StructField(f"c{i}", kinds[columns[i]]) for i in kept), StructField(TOKENS, LongType()), StructField(POSTERIORS, ArrayType(DoubleType()))])
+    memberships = written(rows.mapInArrow(_memberships(model, text_at, kept), schema), "mixing-memberships")
+    memberships = memberships.withColumns({"id": F.col(f"c{columns.index(id_col)}").cast("long"), "tokens": F.col(f"`{TOKENS}`"), "posteriors": F.col(f"`{POSTERIORS}`")})
+    wanted = targets_of(domains, weights, present_parts(memberships, len(domains)))
     rate = fit_rates(memberships, wanted, ridge=ridge)
     chance = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
     return memberships.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
@@ -123,22 +163,32 @@ def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Domains are the values of ``domain_col`` among documents that the label table covers; a classifier
     fitted on ``rows_per_domain`` of each gives every document its posteriors, in the domains' order.
     ``weights`` are the domains' target parts of the tokens, equal ones without it; the expected total
-    stays that of the input. ``copies`` is the rate rounded down, or up with the probability of its
-    fraction, by a hash of the id.
+    stays that of the input, and a domain that ``weights`` does not name keeps its part. ``copies`` is the
+    rate rounded down, or up with the probability of its fraction, by a hash of the id.
+    :func:`mixture_residual` says how near the targets the rates came.
 
     Defined cases: a null or empty text has no tokens and rate as its posteriors say. A null id is mixed
     by the hash of null. Repeated rows are rated alike. With fewer than two domains all rates are near 1.
     Weights of unknown domains are left out and the rest scaled to sum 1. Other columns are ignored. An
     empty table gives an empty result.
     """
-    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rated = _rated(documents, labels, docs, "id long, tokens long, posteriors array<double>", id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
+    rated = _rated(documents, labels, keep=[], id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
     return rated.select(F.col("id").alias(id_col), "tokens", "posteriors", "rate", "copies")
 
 
+def mixture_residual(mixed_rows: DataFrame, targets: np.ndarray) -> np.ndarray:
+    """By how much each domain's expected part of the tokens, at the rates of :func:`mix`, is off its target."""
+    total = F.sum("tokens").cast("double")
+    row = mixed_rows.agg(*(F.try_divide(F.sum(F.col("tokens") * F.col("rate") * F.col("posteriors")[d]), total).alias(f"p{d}") for d in range(len(targets)))).first()
+    return np.array([x or 0.0 for x in row], dtype=np.float64) - targets
+
+
 def mixed(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, rows_per_domain: int = 500, ridge: float = 1e-4) -> DataFrame:
-    """The rows of ``documents``, with all their columns, as often as :func:`mix` gives each; no shuffle."""
-    whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
-    schema = StructType([StructField("id", LongType()), StructField("tokens", LongType()), StructField("posteriors", ArrayType(DoubleType())), whole.schema["row"]])
-    rated = _rated(documents, labels, whole, schema, id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
-    return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
+    """The rows of ``documents``, with all their columns, as often as :func:`mix` gives each; no shuffle.
+
+    Null ids, null texts and repeated rows are treated as there; columns of any name are kept. An empty
+    table gives an empty result.
+    """
+    rated = _rated(documents, labels, keep=documents.columns, id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)]
+    return rated.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*own)

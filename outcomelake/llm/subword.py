@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .labelled import fold, labelled_sample
 
 #: Code points worked on at once (it bounds memory; texts are never cut).
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 _AGAIN = np.uint32(0x5BD1E995)
