@@ -13,12 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; it bounds the memory of the wide numpy arrays, not the length of a text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
+#: Two prime moduli with a base each. Sums of bytes times powers are taken in a prime field: modulo a power of two,
+#: whole families of texts (Thue-Morse words among them) would have equal sums under every base.
+_LANES = ((np.uint64(2147483647), np.uint64(1_104_729_377)), (np.uint64(2147483629), np.uint64(1_758_213_953)))
+#: Bytes hashed at once; no sum of so many terms overflows.
+_HASH_BYTES = 1 << 17
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,15 +35,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            _powers[name] = table
-    return _powers["up"], _powers["down"]
+def _powers_of(base: int, modulus: int, n: int) -> np.ndarray:
+    """base ** i modulo a prime below 2 ** 31, for i below n."""
+    out, done = np.ones(n, dtype=np.uint64), 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, modulus)) % np.uint64(modulus)
+        done += more
+    return out
+
+
+def _power_tables(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the lane's base and of its inverse; tables for longer ranges than usual are not kept."""
+    modulus, base = map(int, _LANES[lane])
+    if n <= _HASH_BYTES + 1 and lane in _powers:
+        return _powers[lane]
+    size = max(n, _HASH_BYTES + 1)
+    tables = _powers_of(base, modulus, size), _powers_of(pow(base, -1, modulus), modulus, size)
+    if size == _HASH_BYTES + 1:
+        _powers[lane] = tables
+    return tables
 
 
 class Texts:
@@ -73,12 +88,27 @@ class Texts:
         return first, last, np.searchsorted(first, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges: equal bytes have equal hashes wherever they stand."""
-        up, down = _power_tables(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        """64-bit hashes of the byte ranges, which stand in order: equal bytes have equal hashes wherever they stand.
+
+        Runs of ranges of about :data:`_HASH_BYTES` are hashed at once; memory follows the longest range.
+        """
+        out, at = np.empty(len(starts), dtype=np.uint64), 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(ends, starts[at] + _HASH_BYTES, "right")))
+            low, high = int(starts[at]), int(ends[end - 1])
+            own, first, last = self.data[low:high].astype(np.uint64) + np.uint64(1), starts[at:end] - low, ends[at:end] - low
+            both = np.zeros(end - at, dtype=np.uint64)
+            for lane, (modulus, _) in enumerate(_LANES):
+                up, down = _power_tables(lane, len(own) + 1)
+                terms = own * up[: len(own)]
+                if len(own) > _HASH_BYTES:
+                    terms %= modulus
+                total = np.zeros(len(own) + 1, dtype=np.uint64)
+                np.cumsum(terms, out=total[1:])
+                both = (both << np.uint64(31)) | ((total[last] - total[first]) % modulus * down[first] % modulus)
+            out[at:end] = mix64(both)
+            at = end
+        return out
 
 
 def string_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -125,7 +155,7 @@ def shingle_sets(texts: Texts, k: int) -> list[np.ndarray]:
     texts = texts.lower_ascii()
     starts, ends, first = texts.words(BLANKS)
     words = texts.hashes(starts, ends)
-    salt = mix64(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    salt = mix64(np.arange(1, k + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
     by_width = mix64(np.arange(k + 1, dtype=np.uint64))
     out = []
     for i in range(len(texts)):
