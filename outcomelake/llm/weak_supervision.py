@@ -19,8 +19,9 @@ from ..sources.storage import written
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms beside whole words.
 STEMS = (3, 4, 5, 6)
-#: Words whose terms a worker remembers; beyond that it starts anew (this bounds memory and changes no score).
-REMEMBERED_WORDS = 300_000
+#: Words whose terms a task remembers, and how long they may be; beyond that it starts anew (this bounds memory
+#: and changes no score).
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 60_000, 64
 TOXIC, CLEAN, ABSTAIN = 1, 0, 2
 
 
@@ -112,31 +113,23 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
 
 
-def vote_shares(votes: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """voter, class, vote: which part of the rows with that vote has that label, drawn a little to the prior."""
-    shares = np.empty((votes.shape[1], 2, 3))
-    for v in range(3):
-        cast = votes == v
-        shares[:, 1, v] = ((cast * labels[:, None]).sum(0) + prior) / (cast.sum(0) + 1)
-    shares[:, 0] = 1 - shares[:, 1]
-    return shares
+def fit_label_model(votes: np.ndarray, prior: float, *, rounds: int = 20, smoothing: float = 0.5, strength: float = 80.0, tolerance: float = 1e-4) -> LabelModel:
+    """Accuracies and correlations of the voters, from how they agree; labels give the share ``prior`` of toxic rows alone.
 
-
-def fit_label_model(votes: np.ndarray, prior: float, belief: np.ndarray, rounds: int = 10, smoothing: float = 0.5) -> LabelModel:
-    """Expectation-maximisation over votes, under a prior belief of how right each vote is.
-
-    It starts from the belief with independent voters. Every round measures, under the current posteriors, each
-    voter's table of votes and each pair's conditional mutual information; the strongest dependencies,
-    as a spanning tree, become parents, so that voters which repeat one another do not count twice. The
-    belief weighs as much as the votes themselves; without it, two classes found from votes alone could
-    be any two kinds of documents.
+    Expectation-maximisation starts from independent voters that are all alike: a vote multiplies the odds of
+    its class by ``strength``, which only says what a vote for a class means. Every round
+    measures, under the current posteriors, each voter's table of votes and each pair's conditional mutual
+    information; the strongest dependencies, as a spanning tree, become parents, so that voters which
+    repeat one another do not count twice. Rounds end when no posterior moves by more than ``tolerance``.
     """
     n, voters = votes.shape
     hot = (votes[:, :, None] == np.arange(3)).astype(np.float64)
-    cast = hot.sum(0)
-    start = belief * cast[:, None, :] + smoothing
+    odds = prior / (1 - prior) * np.array([1 / strength, strength, 1.0])  # of rows with a vote CLEAN, TOXIC, ABSTAIN
+    toxic = odds / (1 + odds)
+    start = np.stack((1 - toxic, toxic)) * hot.sum(0)[:, None, :] + smoothing
     start /= start.sum(-1, keepdims=True)
-    q = LabelModel(prior, [-1] * voters, np.repeat(start[:, :, None, :], 3, axis=2), np.empty(0), np.empty(0)).posterior(votes)
+    model = LabelModel(prior, [-1] * voters, np.repeat(start[:, :, None, :], 3, axis=2), np.empty(0), np.empty(0))
+    q = model.posterior(votes)
     flat = hot.reshape(n, -1)
     for _ in range(rounds):
         joint = []
@@ -159,12 +152,14 @@ def fit_label_model(votes: np.ndarray, prior: float, belief: np.ndarray, rounds:
         tables = np.empty((voters, 2, 3, 3))
         for j, parent in enumerate(parents):
             counts = joint[:, parent, j] if parent >= 0 else np.repeat(joint[:, j, j].diagonal(axis1=1, axis2=2)[:, None, :], 3, axis=1)
-            counts = counts + counts.sum(0) * belief[j][:, None, :] + smoothing
+            counts = counts + smoothing
             tables[j] = counts / counts.sum(-1, keepdims=True)
         model = LabelModel(prior, parents, tables, np.empty(0), information)
-        q = model.posterior(votes)
-    right = (hot[:, :, TOXIC] * q[:, None] + hot[:, :, CLEAN] * (1 - q)[:, None]).sum(0)
-    model.accuracies = right / np.maximum(hot[:, :, :2].sum((0, 2)), 1)
+        before, q = q, model.posterior(votes)
+        if np.abs(q - before).max() <= tolerance:
+            break
+    agreed = (hot[:, :, TOXIC] * q[:, None] + hot[:, :, CLEAN] * (1 - q)[:, None]).sum(0)
+    model.accuracies = agreed / np.maximum(hot[:, :, :2].sum((0, 2)), 1)
     return model
 
 
@@ -180,9 +175,11 @@ class LinearModel:
         for word in words:
             found = remembered.get(word)
             if found is None:
-                if len(remembered) >= REMEMBERED_WORDS:
-                    remembered.clear()
-                found = remembered[word] = tuple(t for t in terms_of(word) if t in self.weights)
+                found = tuple(t for t in terms_of(word) if t in self.weights)
+                if len(word) <= REMEMBERED_LENGTH:
+                    if len(remembered) >= REMEMBERED_WORDS:
+                        remembered.clear()
+                    remembered[word] = found
             if found:
                 held.update(found)
         z = self.bias + sum(self.weights[t] for t in sorted(held))
@@ -207,9 +204,10 @@ def train_linear(rows: list[list[int]], target: np.ndarray, terms: list[str], *,
 def fit(sample: DataFrame, *, most_terms: int = 400, lexicon_voters: int = 40) -> LinearModel:
     """Mine terms, let voters vote on the sample, fit the label model and train the classifier on its posteriors.
 
-    Labels serve to find the lexicon, the share of toxic documents and the label model's prior belief in
-    each voter; the classifier's targets are the label model's posteriors. Without labels of both classes, or without terms, the model is the share
-    of toxic documents (0 without any label).
+    Labels serve to find the lexicon and the share of toxic documents from which the label model starts.
+    How right each voter is, and which repeat one another, the label model finds from their votes alone; the
+    classifier's targets are its posteriors. Without labels of both classes, or without terms, the model is
+    the share of toxic documents (0 without any label).
     """
     texts = sample.orderBy("id").toPandas()
     share = float(texts.label.mean()) if len(texts) else 0.0
@@ -241,7 +239,7 @@ def fit(sample: DataFrame, *, most_terms: int = 400, lexicon_voters: int = 40) -
     votes[:, : len(chosen)][presence[:, chosen]] = TOXIC
     votes[:, len(chosen) :] = [pattern_votes(text, int(n)) for text, n in zip(texts.text, hits, strict=True)]
     prior = min(max(share, 1e-3), 1 - 1e-3)
-    posterior = fit_label_model(votes, prior, vote_shares(votes, texts.label.to_numpy(), prior)).posterior(votes)
+    posterior = fit_label_model(votes, prior).posterior(votes)
     return train_linear(held, posterior, terms)
 
 
