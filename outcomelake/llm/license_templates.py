@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES
 from .text_kernels import Texts, byte_table, text_chunks
 
 #: Bytes between words: ASCII characters other than digits and lower-case letters (A-Z are lowered before).
@@ -19,27 +20,6 @@ SEPARATORS = byte_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 #: The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices by label, in the markup of license templates: words are mandatory; a region between
-#: ``<<beginOptional>>`` and ``<<endOptional>>`` may be missing; ``<<var;name=...;words=a-b>>`` stands for
-#: a to b words of any kind.
-NOTICES = {
-    "mit-notice": (
-        "<<beginOptional>>this <<var;name=work;words=1-3>> is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-        "<<beginOptional>>this <<var;name=work;words=1-3>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    ),
-    "apache-2.0": (
-        "licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2.0",
-        "Apache License <<beginOptional>>Version<<endOptional>> 2.0 <<beginOptional>>January 2004<<endOptional>>",
-    ),
-    "gpl-2.0": ("<<beginOptional>>GNU<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 2",),
-    "gpl-3.0": ("<<beginOptional>>GNU<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 3",),
-    "lgpl": ("GNU <<var;name=kind;words=1-1>> General Public License", "Lesser General Public License"),
-    "cc-by-nc-4.0": ("licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> <<beginOptional>>CC BY NC<<endOptional>> <<beginOptional>>Attribution NonCommercial<<endOptional>> 4.0",),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the <<beginOptional>><<var;name=clauses;words=1-2>><<endOptional>> BSD License"),
-    "mpl-2.0": ("Mozilla Public License <<beginOptional>>v<<endOptional>> <<beginOptional>>Version<<endOptional>> 2.0",),
-}
-
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARKUP = re.compile(r"<<(beginOptional|endOptional|var)((?:;[^<>]*)?)>>")
 
@@ -60,6 +40,7 @@ class Automaton:
     free: list[list[int]] = field(default_factory=list)
     final: int = 0
     full: int = 0
+    mandatory: list[str] = field(default_factory=list)
 
     def state(self) -> int:
         self.on.append({})
@@ -93,7 +74,7 @@ class Automaton:
 
 
 def compiled(label: str, template: str, base: bool = False) -> Automaton:
-    """The automaton of a template. A template must not begin or end with a replaceable region."""
+    """The automaton of a template. A template must not begin with a replaceable region, and needs a mandatory word."""
     out = Automaton(label, base)
     here, opened, position = out.state(), [], 0
     for part in [*_MARKUP.finditer(template), None]:
@@ -101,6 +82,8 @@ def compiled(label: str, template: str, base: bool = False) -> Automaton:
             after = out.state()
             out.on[here][word] = after
             here, out.full = after, out.full + 1
+            if not opened:
+                out.mandatory.append(word)
         if part is None:
             break
         position = part.end()
@@ -127,6 +110,8 @@ def compiled(label: str, template: str, base: bool = False) -> Automaton:
                 out.free[s].append(here)
     if opened:
         raise ValueError(f"an optional region of {label} has no end")
+    if not out.mandatory or out.any_word[0] is not None:
+        raise ValueError(f"a template of {label} has no mandatory word, or begins with a replaceable region")
     out.final = here
     return out
 
@@ -134,7 +119,8 @@ def compiled(label: str, template: str, base: bool = False) -> Automaton:
 def automata(notices: dict[str, tuple[str, ...]] | None = None) -> list[Automaton]:
     """The base phrases' automata and those of the notices."""
     base = [compiled(label, phrase, base=True) for phrase, label in BASE_PHRASES.items()]
-    return base + [compiled(label, template) for label, templates in (notices or NOTICES).items() for template in templates]
+    own = NOTICES if notices is None else notices
+    return base + [compiled(label, template) for label, templates in own.items() for template in templates]
 
 
 def scan(words: list[str], starts: list[int], machines: list[Automaton], by_word: dict[str, list[Automaton]]) -> dict:
@@ -173,8 +159,8 @@ def _find(notices: dict[str, tuple[str, ...]] | None):
                 by_word.setdefault(word, []).append(machine)
         heads = np.array([_hash_of(w) for w in by_word], dtype=np.uint64)
         reach = max(len(m.on) for m in machines)
-        # A text can hold a license only where one of these words occurs, too.
-        kernels = np.array([_hash_of(w) for w in ("license", "permission", "redistribution", "licensed")], dtype=np.uint64)
+        # Each template's longest mandatory word: a text without any of these holds no license.
+        kernels = np.array([_hash_of(w) for w in {max(m.mandatory, key=lambda w: (len(w), w)) for m in machines}], dtype=np.uint64)
         for batch in batches:
             for at, end, texts in text_chunks(batch.column(1)):
                 texts = texts.lower_ascii()
@@ -224,9 +210,10 @@ def license_scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     places of the base phrases, which are templates without such regions; ``first_word`` and
     ``last_word`` are their smallest and largest starts. ``labels`` adds those of the notices found. The
     score is 0 without a match, 0.5 with base phrases alone, and nears 1 as more of a notice's words
-    stand in the text.
+    stand in the text. ``notices`` (:data:`outcomelake.llm.license_texts.NOTICES` without it) gives the templates
+    by label; texts that hold none of the templates' longest mandatory words are passed over.
 
-    Defined cases: a null or empty text has no words and score 0. Null ids and repeated rows are scanned
+    Defined cases: templates that match at one place all count, the best of them for the score. a null or empty text has no words and score 0. Null ids and repeated rows are scanned
     like others. Other columns are ignored. An empty table gives an empty result.
     """
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
