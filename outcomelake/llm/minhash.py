@@ -17,8 +17,9 @@ from .text_kernels import mix64, shingle_sets, text_chunks
 #: Up to so many ids are sent to all executors to filter a scan (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: Members of a band that are compared as one block; a larger band is dealt out as pairs of blocks.
-BLOCK_ROWS = 1024
+#: Members of a band, and shingles of them all, that are compared as one block; a larger band is dealt out as pairs
+#: of blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles counted at once within a block.
 COLUMNS = 4096
 
@@ -197,7 +198,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     other of it; a band whose members are then still in several groups is compared whole, by counting
     common shingles of all its members in a task and returning no more links than join its groups. So a
     group of thousands of copies never becomes pairs as rows, and no candidate pair is left out. A band of
-    more than ``BLOCK_ROWS`` members is dealt out as pairs of blocks. Every link is confirmed on full sets.
+    more than ``BLOCK_ROWS`` members, or ``BLOCK_SHINGLES`` shingles, is dealt out as pairs of blocks. Every link is confirmed on full sets.
 
     Defined cases: a null, empty or blank text has ``n_shingles`` 0, is its own component and kept. A null
     id is returned with a null component, kept. Rows that repeat an id are one vertex, each returned. Other
@@ -226,9 +227,12 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         links = written(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "minhash-links")
         groups = connected_components(links, "minhash-groups")
 
-        placed = members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("group"))
-        split = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-        split = written(split.select("band", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "minhash-open")
+        placed = members.join(groups, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("group"))
+        split = placed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("who")).where("low <> high and size > 2")
+        # Bands of the same members are compared once.
+        split = split.groupBy("size", "shingles", "who").agg(F.min_by(F.struct("band", "size", "shingles"), "band").alias("one")).select("one.*")
+        parts = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        split = written(split.select("band", parts.alias("parts")), "minhash-open")
         placed = written(placed.join(split, "band"), "minhash-placed")
         if not placed.isEmpty():
             part = F.pmod(F.xxhash64("id"), "parts").cast("int")
@@ -251,13 +255,14 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi or anti join with distinct ids: sent to all tasks up to :data:`BROADCAST_IDS` of them, else by a shuffle."""
     ids = written(ids, "minhash-ids").withColumnRenamed("id", id_col)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how).select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents``, with all their columns, that near-duplicate removal keeps: one a group.
 
-    Of rows that repeat an id one stays, too. Rows with a null id all stay.
+    Of rows that repeat an id one stays, too. Rows with a null id all stay, and so does one row of each null or
+    empty text's id, since they link with nothing. Columns of any name are kept; an empty table gives an empty result.
     """
     found = written(near_duplicates(documents, id_col=id_col, text_col=text_col, words=words, percent=percent).withColumnRenamed(id_col, "id"), "minhash-result")
     left = _by_ids(documents, found.where("not kept").select("id").distinct(), id_col, "left_anti")
