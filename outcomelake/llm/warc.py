@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +24,10 @@ _RECORD_URI = "urn:outcomelake:page:"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace of RFC 4122
 #: Up to so many repeated payloads are sent to all executors (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
-#: Keys of the boundary sample for each shard.
-SAMPLE_PER_SHARD = 32
+#: Keys of the boundary sample for each shard, and in all; for more shards there are fewer keys each.
+SAMPLE_PER_SHARD, SAMPLE = 32, 1 << 18
+#: What a record takes besides its payload, about.
+HEAD_BYTES = 600
 READ_BYTES = 1 << 20
 
 _MANIFEST = "shard int, sequence int, temporary string, name string, bytes long, records long, sha1 string"
@@ -133,30 +135,42 @@ def _commit(folder: str):
     return run
 
 
-def _shards(keys: list[tuple[str, int]]):
-    """A column function: the number of boundaries at or below (url, page_id)."""
-    urls, ids = np.array([k[0].encode() for k in keys], dtype=object), np.array([k[1] for k in keys], dtype=np.int64)
+Key = tuple[bytes, int, int]
+
+
+def boundaries(sample: list[tuple[Key, int]], shards: int) -> list[Key]:
+    """Keys that cut the sample, (key, bytes) in the order of keys, into runs of about equal numbers of bytes."""
+    total, done, cuts = sum(size for _, size in sample), 0, []
+    for key, size in sample:
+        # A shard begins with the first key at or behind its part of the bytes.
+        if done * shards >= (len(cuts) + 1) * total:
+            cuts += [key] * (done * shards // total - len(cuts))
+        done += size
+    return sorted(set(cuts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
 
-        bounds = list(zip(urls.tolist(), ids.tolist(), strict=True))
+def _shards(bounds: list[Key]):
+    """Batches with each row's shard: the number of boundaries at or below its (url, page_id, tie)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             url = batch["url"].fill_null("").cast(pa.binary()).to_pylist()
             page = batch["page_id"].fill_null(-(1 << 63)).to_pylist()
-            shard = pa.array([bisect.bisect_right(bounds, k) for k in zip(url, page, strict=True)], pa.int32())
+            shard = pa.array([bisect.bisect_right(bounds, k) for k in zip(url, page, batch["tie"].to_pylist(), strict=True)], pa.int32())
             yield pa.record_batch([*batch.columns, shard], names=[*batch.schema.names, "shard"])
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 32 << 20, most_shards: int = 4096, roll_bytes: int = 1 << 30, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, shard_bytes: int = 32 << 20, most_shards: int = 1 << 16, roll_bytes: int = 1 << 30, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row under ``folder`` and return the manifest (also in ``folder``/_manifest).
 
     Rows with equal payloads of ``revisit_bytes`` or more have one response, that of the largest page id;
-    the others are revisits of it. Rows are sorted by (url, page id) over shards whose boundaries are
-    quantiles of the keys with the smallest hashes, so equal input gives equal files however it is
-    partitioned. A shard's files roll at ``roll_bytes`` compressed. Every task writes under temporary
+    the others are revisits of it. Rows are sorted by (url, page id, a hash of the payload) over shards whose
+    boundaries cut the rows with the smallest hashes of their keys into equal numbers of bytes; a revisit
+    counts without its payload. So equal input gives equal files however it is partitioned, and rows without
+    a url or id are spread, too. There are as many shards as ``shard_bytes`` asks for, ``most_shards`` at most,
+    since the driver holds their boundaries. A shard's files roll at ``roll_bytes`` compressed. Every task writes under temporary
     names of its own; the manifest, which Spark commits, holds what the tasks that succeeded wrote, and a
     second job moves just those to their final names. Both jobs can be repeated after a failure.
     ``folder`` is a URI that pyarrow's file systems can write from every executor.
@@ -183,15 +197,18 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     else:
         rows = rows.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("is_revisit"))
 
-    total = pages.agg(F.sum(F.octet_length(payload)).alias("n")).first().n or 0
+    rows = rows.withColumn("tie", F.xxhash64("payload"))
+    own_bytes = F.when(F.col("is_revisit"), 0).otherwise(F.octet_length("payload")) + HEAD_BYTES
+    total = rows.agg(F.sum(own_bytes).alias("n")).first().n or 0
     shards = max(1, min(most_shards, -(-total // shard_bytes)))
-    keys = pages.select(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("page_id"))
-    sample = sorted((r.url.encode(), r.page_id) for r in keys.orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(SAMPLE_PER_SHARD * shards).collect()) if shards > 1 else []
-    bounds = [sample[len(sample) * i // shards] for i in range(1, shards)] if sample else []
-    bounds = [(u.decode(), p) for u, p in sorted(set(bounds))]
-
-    dealt = rows.mapInArrow(_shards(bounds), "page_id long, url string, payload binary, refers_to long, is_revisit boolean, shard int")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "url", "page_id", F.sha1("payload"))
+    bounds: list[Key] = []
+    if shards > 1:
+        keys = rows.select(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "tie", own_bytes.cast("long").alias("size"))
+        drawn = keys.orderBy(F.xxhash64("url", "page_id", "tie"), "url", "page_id", "tie").limit(min(SAMPLE_PER_SHARD * shards, max(SAMPLE, shards))).collect()
+        bounds = boundaries(sorted(((r.url.encode(), r.page_id, r.tie), r.size) for r in drawn), shards)
+
+    dealt = rows.mapInArrow(_shards(bounds), "page_id long, url string, payload binary, refers_to long, is_revisit boolean, tie long, shard int")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "url", "page_id", "tie", "payload")
     manifest = written(dealt.mapInArrow(_write(folder, roll_bytes, date), _MANIFEST), "warc-manifest")
     final = manifest.mapInArrow(_commit(folder), _MANIFEST).select("shard", "sequence", "name", "bytes", "records", "sha1")
     final.write.mode("overwrite").parquet(f"{folder}/_manifest")
