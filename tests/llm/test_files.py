@@ -6,9 +6,11 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from outcomelake.llm import chat, packing, warc
@@ -74,17 +76,16 @@ def test_damage_is_found(spark):
         warc.read_archives(spark, folder).collect()
 
 
-def whole_ids(text):
-    from tokenizers import Tokenizer
+ENCODER, PLAIN = packing.TextEncoder(*packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer()[0])
+
 
-    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+def whole_ids(text):
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_packing_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    odd = [(-1, ""), (-2, None), (-3, " double  space\n\n and\ttabs "), (-4, "w" * 50_000), (-5, "it's 3.5 <|endoftext|> ok"), (None, "no id"), (-6, "\u00a0x \u3000 y")]
+    odd = [(-7, "a <|endoftext|> b"), (-8, "<|endoftext|>\n<|endoftext|><|endoftext|> x"), (-9, "x<|endoftext|>.\nnext <|endo ftext|>"), (-1, ""), (-2, None), (-3, " double  space\n\n and\ttabs "), (-4, "w" * 50_000), (-5, "it's 3.5 <|endoftext|> ok"), (None, "no id"), (-6, "\u00a0x \u3000 y")]
     rows = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     got = packing.pack(rows, with_ids=True).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
@@ -99,6 +100,24 @@ def test_packing_round_trip(spark):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "the", " ", "  ", "\n", "\t", ".", ",", "x1", "é", "<", "|", ">", "'s", "\u4f60", "\u3000", "\u0301", "\U0001f600"]), max_size=14).map("".join) | st.text(max_size=30))
+@settings(max_examples=1500, deadline=None)
+def test_ids_by_ranks_equal_the_plain_call(text):
+    assert ENCODER.ids(text) == np.asarray(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_cases(spark):
+    """Repeated rows, clashing columns, ties of length, and a tokenizer without ranks."""
+    rows = [(1, "a b", "clash", 0), (1, "a b", "clash", 0), (None, None, "clash", 0), (2, "a b", "clash", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset string, piece int")
+    for path in (None, packing.default_tokenizer()[0]):
+        got = packing.pack(docs, tokenizer_path=path, capacity=4)
+        assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        found = sorted((str(r.doc_id), r.length, r.offset) for r in got.collect())
+        assert [f[:2] for f in found] == [("1", 3), ("1", 3), ("2", 3), ("None", 1)]
+        assert sorted((r.sequence_id, r.offset) for r in got.collect()) == [(0, 0), (0, 3), (1, 0), (2, 0)]
+
+
 def test_packing_is_nearly_the_best_of_all():
     rng = np.random.default_rng(8)
     for _ in range(5):
@@ -156,15 +175,41 @@ def test_conversations(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_long_conversations_come_in_parts(spark, monkeypatch):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"[INST]{t}</s>" * 50) for i in (1, None) for t in range(40)] + [(2, 0, "user", "x" * 100_000), (2, 1, "assistant", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda r: str(r.conv_id)
+    want = sorted(chat.digests(chat.format_conversations(table)).collect(), key=key)
+    monkeypatch.setattr(chat, "PART_CHARS", 3000)
+    parts = list(chat._turn_rows(iter([pa.record_batch([pa.array(c) for c in zip(*((r[0] or 0, r[2], r[3]) for r in rows), strict=True)], names=["id", "role", "text"])])))
+    assert len(parts) > 10 and [p[1] for p in parts if p[0] == 1] == list(range(sum(p[0] == 1 for p in parts)))
+    digest = {}
+    for conv_id, part, own in parts:
+        text, spans = chat.format_turns(own)
+        digest.setdefault(conv_id or None, chat._Digest()).add(text, [{"start": a, "end": b} for a, b in spans])
+    assert sorted((d.row(i) for i, d in digest.items()), key=lambda r: str(r[0])) == [tuple(r) for r in want]
+
+
 def test_layouts(spark):
-    records = [
-        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "i", "output": "a"},
-        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"system": "s", "prompt": "q", "response": "a"}, {"question": "q", "answer": "a"}, {"unknown": 1},
+    plain, parts = [("user", "q"), ("assistant", "a")], [{"type": "text", "text": "q"}, {"type": "image", "url": "u"}, {"type": "text", "text": "r"}]
+    cases = [
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, plain), ({"prompt": "q", "completion": "a"}, plain),
+        ({"instruction": "q", "output": "a"}, plain), ({"instruction": "q", "input": "i", "output": "a"}, [("user", "q"), ("user", "i"), ("assistant", "a")]),
+        ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, plain), ({"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), *plain]),
+        ({"question": "q", "answer": "a"}, plain), ({"unknown": 1}, None), ({"messages": []}, []), ({"messages": ["q"]}, None),
+        ({"id": 7, "source": {"name": "web"}, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a", "tool_calls": []}]}, plain),
+        ({"prompt": "q", "prompt_id": "1", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, plain),
+        ({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": None}]}, [("user", "qr"), ("assistant", "")]),
+        ({"system": None, "messages": [{"role": "user", "content": "q"}]}, [("user", "q")]), ({"id": 1, "prompt": "q"}, None), ({"prompt": "q" * 200_000, "completion": "a", "meta": []}, [("user", "q" * 200_000), ("assistant", "a")]),
     ]
-    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{broken"), (92, "[]")]
-    got = {r.record_id: chat.parse(r.formatted) if r.formatted is not None else None for r in chat.format_records(spark.createDataFrame(rows, "record_id long, record string")).collect()}
-    plain = [("user", "q"), ("assistant", "a")]
-    assert got == {0: plain, 1: plain, 2: plain, 3: [("user", "q"), ("user", "i"), ("assistant", "a")], 4: plain, 5: [("system", "s"), *plain], 6: plain, 7: None, 90: None, 91: None, 92: None}
+    rows = [(i, json.dumps(r), "x", "y") for i, (r, _) in enumerate(cases)] + [(90, None, "x", "y"), (91, "{broken", "x", "y"), (92, "[]", "x", "y"), (1, json.dumps(cases[1][0]), "x", "y"), (None, json.dumps(cases[1][0]), "x", "y")]
+    table = spark.createDataFrame(rows, "record_id long, record string, formatted string, layout string")
+    found = chat.format_records(table)
+    got = [(r.record_id, chat.parse(r.formatted) if r.formatted is not None else None) for r in found.collect()]
+    assert found.columns == ["record_id", "layout", "formatted", "loss_spans"]
+    want = [*((i, t) for i, (_, t) in enumerate(cases)), (90, None), (91, None), (92, None), (1, plain), (None, plain)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert chat.format_records(table.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark):

@@ -141,7 +141,7 @@ def test_label_model_finds_accuracies_and_doubles():
     right = [0.95, 0.85, 0.75, 0.6]
     votes = np.stack([np.where(rng.uniform(size=4000) < p, truth, ~truth) for p in right], axis=1).astype(int)
     votes = np.column_stack((votes, votes[:, 2]))  # one voter repeats another
-    model = weak_supervision.fit_label_model(votes, 0.3, weak_supervision.vote_shares(votes, truth.astype(int), 0.3))
+    model = weak_supervision.fit_label_model(votes, 0.3)  # without any label
     assert np.abs(model.accuracies[:4] - right).max() < 0.06
     assert model.parents[4] == 2 or model.parents[2] == 4
     assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.94
@@ -190,6 +190,61 @@ def test_template_markup(template, text, taken):
     assert license_templates.compiled("x", template).longest(text.split(), 0) == taken
 
 
+def naive_labels(text, notices):
+    """Labels by a regular expression for each template, tried at every word."""
+    line = " " + "".join(w + " " for w in license_templates.words_of(text))
+    labels = set()
+    for label, templates in notices.items():
+        for template in templates:
+            pattern = ""
+            for part in re.split(r"(<<.*?>>)", template):
+                if part == "<<beginOptional>>":
+                    pattern += "(?:"
+                elif part == "<<endOptional>>":
+                    pattern += ")?"
+                elif part.startswith("<<var"):
+                    pattern += r"(?:[^ ]+ ){%s,%s}" % re.search(r"words=(\d+)-(\d+)", part).groups()
+                else:
+                    pattern += "".join(re.escape(w) + " " for w in license_templates.words_of(part))
+            if re.search("(?<= )" + pattern, line):
+                labels.add(label)
+    return labels
+
+
+def filled_in(template):
+    return re.sub(r"<<var[^>]*>>", "Ann Example", re.sub(r"<<(begin|end)Optional>>", "", template))
+
+
+def test_license_labels_equal_a_naive_matcher(spark, tables):
+    """Every template written out, with and without its optional regions, some with a word changed or left out, and the table's texts."""
+    rng, texts = np.random.default_rng(1), []
+    for templates in license_templates.NOTICES.values():
+        for template in templates:
+            whole, short = filled_in(template), filled_in(re.sub(r"<<beginOptional>>[^<]*<<endOptional>>", "", template))
+            words = whole.split()
+            at = int(rng.integers(len(words)))
+            texts += [f"see: {whole} ok", short, " ".join(words[:at] + words[at + 1 :]), " ".join([*words[:at], "other", *words[at + 1 :]]), whole[: len(whole) // 2]]
+    texts += ["GNU Affero General Public License version 3", "GNU Lesser General Public License version 2.1", "licensed under Creative Commons 4.0", "Permission is hereby granted, free of charge", "any GNU General Public License, either version 3 of it"]
+    texts += [r.text for r in tables[0].select("text").limit(300).collect()]
+    got = license_templates.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    base = {label: (phrase,) for phrase, label in license_templates.BASE_PHRASES.items()}
+    for i, text in enumerate(texts):
+        assert set(filter(None, got.labels[i].split(","))) == naive_labels(text, license_templates.NOTICES) | naive_labels(text, base), text
+    labels = {texts[i]: got.labels[i] for i in range(len(texts))}
+    assert labels["GNU Affero General Public License version 3"] == "agpl,agpl-3.0,gpl"
+    assert labels["GNU Lesser General Public License version 2.1"] == "gpl,lgpl,lgpl-2.1" and labels["licensed under Creative Commons 4.0"] == ""
+
+
+def test_notices_of_the_user(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved"), (2, "MIT License"), (3, "all rights are reserved")], "doc_id long, text string")
+    own = {"arr": ("all rights reserved",), "arr-long": ("all rights <<beginOptional>>are<<endOptional>> reserved",)}
+    assert {r.doc_id: r.labels for r in license_templates.license_scan(docs, notices=own).collect()} == {1: "arr,arr-long", 2: "mit", 3: "arr-long"}
+    assert {r.doc_id: r.labels for r in license_templates.license_scan(docs, notices={}).collect()} == {1: "", 2: "mit", 3: ""}
+    for bad in ("<<var;name=x;words=1-2>> a", "<<beginOptional>>a<<endOptional>>"):
+        with pytest.raises(ValueError):
+            license_templates.compiled("x", bad)
+
+
 def test_license_cases(odd):
     docs, _ = odd
     got = license_templates.license_scan(docs)
