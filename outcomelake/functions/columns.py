@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the domain.
@@ -21,9 +21,13 @@ ATTRIBUTION_METHODS = ("bot_login", "coauthor_trailer", "pr_label", "manual", "u
 LIFECYCLE = ("candidate", "active", "stale", "contradicted", "retired")
 
 
+#: White space of all kinds, as Unicode has it.
+BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trimmed(c: Column) -> Column:
     """All white space off both ends; null stays null."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def filled(*candidates: Column) -> Column:
@@ -37,6 +41,11 @@ def lookup(c: Column, table: dict, default: object = None) -> Column:
     return chain.otherwise(F.lit(default))
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows with their columns computed once: what is selected from them later reads values, and repeats no expression."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def sha256(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
@@ -165,7 +174,7 @@ def alphabets(c: Column) -> Column:
 
 def is_secret_like(c: Column) -> Column:
     """32 characters or more, of two alphabets or more, with over 4.2 bits each."""
-    return (F.length(c) >= 32) & (alphabets(c) >= 2) & (entropy(c) > 4.2)
+    return (F.length(c) >= SHORTEST_SECRET) & (alphabets(c) >= 2) & (entropy(c) > 4.2)
 
 
 def is_hash_like(c: Column) -> Column:
@@ -182,16 +191,20 @@ TOKEN_PATTERNS = (
 #: Nouns of fields that hold secrets, alone or as a name's end.
 SECRET_NOUNS = ("token", "secret", "password")
 SECRET_NAMES = ("api_key", "private_key")
+#: No access token and no secret of an unknown kind is shorter.
+SHORTEST_TOKEN, SHORTEST_SECRET = 20, 32
 
 
 def redact_tokens(c: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, p, "[REDACTED:token]"), TOKEN_PATTERNS, c)
+    """The text with access tokens replaced; shorter texts are not looked at."""
+    replaced = reduce(lambda x, p: F.regexp_replace(x, p, "[REDACTED:token]"), TOKEN_PATTERNS, c)
+    return F.when(F.length(c) < SHORTEST_TOKEN, c).otherwise(replaced)
 
 
 def has_secret_like_token(c: Column, chars: str = r"A-Za-z0-9+_=/-") -> Column:
     """Whether a run of token characters, without ``-_=+/`` at its ends, looks like a secret; false for null."""
-    tokens = F.regexp_extract_all(c, F.lit(f"[{chars}]{{32,}}"), F.lit(0))
-    return F.coalesce(F.exists(tokens, lambda t: is_secret_like(F.regexp_replace(t, "^[-_=+/]+|[-_=+/]+$", ""))), F.lit(False))
+    tokens = F.regexp_extract_all(c, F.lit(f"[{chars}]{{{SHORTEST_SECRET},}}"), F.lit(0))
+    return F.when(F.length(c) < SHORTEST_SECRET, False).otherwise(F.coalesce(F.exists(tokens, lambda t: is_secret_like(F.btrim(t, F.lit("-_=+/")))), F.lit(False)))
 
 
 def has_secret_like_segment(url: Column) -> Column:
@@ -214,13 +227,32 @@ def is_self_report(c: Column) -> Column:
     return F.coalesce(compact.isin("agentobservation", "agentnote") | compact.rlike("selfreport|reflection"), F.lit(False))
 
 
+_GLOB_CHAR = r"(?:\\.|[^\\\]\-])"
+_GLOB_CLASS = rf"\[\^?(?:{_GLOB_CHAR}(?:-{_GLOB_CHAR})?)+\]"
+_GLOB_PART = rf"(?s)\\.|{_GLOB_CLASS}|[^\\\[]"
+
+
 def glob_regex(c: Column) -> Column:
-    """A regular expression for a path glob: ``*`` and ``?`` stay within a segment; ``/**`` at the end takes the subtree."""
+    """A regular expression for a path glob, null for a broken one.
+
+    ``*`` and ``?`` stay within a segment, classes may be negated, a backslash takes the next character as it
+    stands, and ``/**`` at the end takes the subtree.
+    """
     subtree = c.endswith("/**")
     body = F.when(subtree, F.substring(c, F.lit(1), F.length(c) - 3)).otherwise(c)
-    quoted = F.regexp_replace(body, r"([.^$+(){}|])", r"\\$1")
-    starred = F.regexp_replace(F.regexp_replace(quoted, r"(?<!\\)\*", "[^/]*"), r"(?<!\\)\?", "[^/]")
-    return F.concat(F.lit("^"), starred, F.when(subtree, F.lit("(/.*)?$")).otherwise(F.lit("$")))
+    parts = F.regexp_extract_all(body, F.lit(_GLOB_PART), F.lit(0))
+
+    def inside(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.substring(x, F.lit(2), F.length(x)), r"\\([A-Za-z0-9])", "$1"), r"(?<!\\)([\[&~])", r"\\$1")
+
+    def piece(x: Column) -> Column:
+        plain = F.when(x.startswith("\\"), F.substring(x, F.lit(2), F.length(x))).otherwise(x)
+        return F.when(x == "*", "[^/]*").when(x == "?", "[^/]").when(x.startswith("["), F.concat(F.lit("["), inside(x))).otherwise(F.regexp_replace(plain, r"([^A-Za-z0-9\P{ASCII}])", r"\\$1"))
+
+    first, last = (F.regexp_extract_all(body, F.lit(rf"({_GLOB_CHAR})-({_GLOB_CHAR})"), F.lit(i)) for i in (1, 2))
+    turned = F.exists(F.zip_with(first, last, lambda a, b: F.right(a, F.lit(1)) > F.right(b, F.lit(1))), lambda x: x) & F.contains(body, F.lit("["))
+    sound = (F.array_join(parts, "") == body) & ~turned
+    return F.when(sound, F.concat(F.lit(r"\A"), F.array_join(F.transform(parts, piece), ""), F.when(subtree, F.lit(r"(?:/.*)?\z")).otherwise(F.lit(r"\z"))))
 
 
 def has_glob(c: Column) -> Column:
@@ -236,5 +268,5 @@ def reverts_pull(message: Column, pr: Column, shas: Column) -> Column:
     """A commit message that reverts the pull request: by a commit's hash, or by its number with clear edges."""
     low = F.lower(message)
     by_number = F.rlike(low, F.concat(F.lit(r"(?<![a-z0-9_])(#|pull/|pr |pr#)"), pr.cast("string"), F.lit(r"(?![a-z0-9_])")))
-    by_sha = F.exists(F.coalesce(shas, F.array().cast("array<string>")), lambda s: (F.length(s) >= 7) & F.contains(low, F.lower(s)))
+    by_sha = F.exists(F.coalesce(shas, F.array().cast("array<string>")), lambda s: (s != "") & F.contains(low, F.lower(s)))
     return F.coalesce(F.contains(low, F.lit("revert")) & (by_sha | by_number), F.lit(False))

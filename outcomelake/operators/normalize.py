@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions.columns import (
     ACTOR_KINDS, ATTRIBUTION_METHODS, CLASS_BY_KIND, EXTRACTION_SCORES, OUTCOME_KINDS, TERMINAL_BY_KIND, TERMINAL_STATES,
-    clean_path, distinct_filled, filled, has_secret_like_segment, has_secret_like_token, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, trimmed, url_repo, valid_provenance_url,
+    clean_path, distinct_filled, filled, has_secret_like_segment, has_secret_like_token, is_secret_name, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, staged, trimmed, url_repo, valid_provenance_url,
 )
-from ..schemas import EVENT
+from ..schemas import EVENT, EXPERIENCE
 
 NUL = "\u0000"
 URL_FIELDS = ("pr_url", "check_run_url", "revert_url", "review_url", "provenance_urls", "urls")
@@ -41,11 +41,10 @@ def _any_of(values: Column, wanted: tuple[str, ...]) -> Column:
 
 
 def attribution(labels: Column, coauthors: Column, login: Column, stated: Column, policy: AttributionPolicy) -> tuple[Column, Column]:
-    """(actor kind, method): as stated, else by label, co-author or login, else uncertain."""
+    """(actor kind, method): the kind as stated, else by label, co-author or login, else uncertain; the method found."""
     by_login = F.coalesce(F.lower(trimmed(login)).isin(*(x.strip().lower() for x in policy.logins)), F.lit(False)) if policy.logins else F.lit(False)
     method = F.when(_any_of(labels, policy.labels), "pr_label").when(_any_of(coauthors, policy.coauthors), "coauthor_trailer").when(by_login, "bot_login").otherwise("uncertain")
-    kind = F.when(stated != "", stated).when(method == "uncertain", "uncertain").otherwise("agent")
-    return kind, F.when(stated != "", F.lit("")).otherwise(method)
+    return F.when(stated != "", stated).when(method == "uncertain", "uncertain").otherwise("agent"), method
 
 
 def experience_id(pr: Column, recorded_at: Column, urls: Column, *parts: Column) -> Column:
@@ -57,22 +56,28 @@ def experience_id(pr: Column, recorded_at: Column, urls: Column, *parts: Column)
 
 
 def _redacted(value: Column, kind: DataType) -> Column:
-    """A field with the known tokens of all its texts replaced."""
+    """A field with the known tokens of all its texts replaced, and the values of a map's secret names."""
     if isinstance(kind, StringType):
         return redact_tokens(value)
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda x: _redacted(x, kind.elementType))
     if isinstance(kind, StructType):
         return F.when(value.isNotNull(), F.struct(*(_redacted(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, v: F.when(is_secret_name(k), F.lit("[REDACTED:secret]")).otherwise(redact_tokens(v)))
     return value
 
 
 def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
-    """Conditions under which a field's texts hold a token that may be a secret of an unknown kind."""
+    """Conditions under which a field's texts hold a token that may be a secret of an unknown kind, or a key any token."""
     if isinstance(kind, ArrayType):
         return [F.exists(value, lambda x: F.greatest(*_unsafe(x, kind.elementType, name), F.lit(False)))]
     if isinstance(kind, StructType):
         return [c for f in kind for c in _unsafe(value[f.name], f.dataType, f.name)]
+    if isinstance(kind, MapType):
+        safe = lambda k, v: F.lower(k).contains("fingerprint") | F.lower(k).isin("digest", "checksum", "node_id") & trimmed(v).rlike(f"^({_DIGEST})$")
+        values = F.exists(F.map_entries(value), lambda e: has_secret_like_token(e["value"]) & ~safe(e["key"], e["value"]))
+        return [values, F.exists(F.map_keys(value), lambda k: has_secret_like_token(k) | (redact_tokens(k) != k))]
     if not isinstance(kind, StringType):
         return []
     if name in URL_FIELDS:
@@ -82,57 +87,73 @@ def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
     return [has_secret_like_token(value)]
 
 
+def _some(*lists: Column) -> Column:
+    """The first list that holds a text that is not blank, without blanks and repeats; an empty one without."""
+    own = F.filter(F.array(*(distinct_filled(x) for x in lists)), lambda x: F.size(x) > 0)
+    return F.coalesce(F.try_element_at(own, F.lit(1)), F.array().cast("array<string>"))
+
+
 def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(), *, ref: Column | None = None) -> DataFrame:
     """Experiences with a column ``errors``; the schema of ``events`` is :data:`outcomelake.schemas.EVENT`.
 
-    Every field is the first spelling that is not blank, flat or nested. Known tokens are redacted in
-    every text field; a token that may be a secret of an unknown kind breaks the rule ``redaction``, except
-    for hashes in their fields and canonical URLs, of which each segment is looked at by itself. Rows of
+    Every field is the first spelling that is not blank, flat or nested; columns of the schema that
+    ``events`` lacks are null. Known tokens are redacted in every text field, and so are the values of secret
+    names in ``metadata``; a token that may be a secret of an unknown kind breaks the rule ``redaction``,
+    except for hashes in their fields and canonical URLs, of which each segment is looked at by itself. Rows of
     uncertain attribution leave the result unless the policy includes them.
+
+    Fields are found, then what follows from them, each in a stage of its own, so that no expression is
+    evaluated twice.
     """
     c = F.col
-    kinds = {f.name: f.dataType for f in events.schema if f.name in StructType.fromDDL(EVENT).names}
-    events = events.withColumns({n: _redacted(c(n), k) for n, k in kinds.items()})
-    unsafe = F.greatest(F.lit(False), F.lit(False), *(F.coalesce(x, F.lit(False)) for n, k in kinds.items() for x in _unsafe(c(n), k, n)))
-    repo = filled(c("repo"))
-    owner = filled(c("repo_owner"), F.split_part(repo, F.lit("/"), F.lit(1)))
-    name = filled(c("repo_name"), F.split_part(repo, F.lit("/"), F.lit(2)))
-    pr_number = number(filled(c("pr"), c("action.pr")))
-    pr = F.when(pr_number == F.floor(pr_number), pr_number.cast("long"))
-    commit = filled(c("commit"), c("action.commit"), F.try_element_at("commits", F.lit(1)))
-    none = F.array().cast("array<string>")
-    paths = F.when(F.size(F.coalesce("paths", none)) > 0, distinct_filled(c("paths"))).otherwise(distinct_filled(F.coalesce("context.paths", none)))
-    kind = filled(c("outcome_kind"), c("outcome.kind"))
-    terminal = filled(c("terminal_state"), c("outcome.terminal_state"), lookup(kind, TERMINAL_BY_KIND))
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(EVENT)}
+    given = {f.name: f.dataType for f in events.schema if f.name in kinds}
+    rows = events.select(*((_redacted(c(n), given[n]) if n in given else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()), (ref if ref is not None else F.lit("event")).alias("source_ref"))
+    rows = staged(rows)
+    unsafe = F.greatest(F.lit(False), F.lit(False), *(F.coalesce(x, F.lit(False)) for n, k in given.items() for x in _unsafe(c(n), k, n)))
+    repo, kind = filled(c("repo")), filled(c("outcome_kind"), c("outcome.kind"))
+    half = lambda i, k: filled(F.when(repo.startswith("{"), F.get_json_object(repo, f"$.{k}")).otherwise(F.split_part(repo, F.lit("/"), F.lit(i))), c(f"repo_{k}"))
     stated = filled(c("actor_kind"), c("attribution.actor_kind"))
-    actor, found = attribution(c("labels"), c("coauthors"), c("actor"), stated, policy)
-    method = filled(c("attribution_method"), c("attribution.method"), found, F.when(actor == "human", "manual").otherwise("uncertain"))
-    given = number(filled(c("attribution_confidence"), c("attribution.confidence")))
-    default = F.when(method == "manual", 1.0).when(method.isin("pr_label", "coauthor_trailer", "bot_login"), 0.9).otherwise(0.0)
-    certainty = F.when(given >= 0, given).otherwise(default)
-    kind_of = filled(c("signature_class"), c("outcome.signature.class"), lookup(kind, CLASS_BY_KIND, "unknown"))
-    check = filled(c("check_name"), c("outcome.signature.check_name"), kind)
-    key = filled(c("signature_key"), c("outcome.signature.key"), F.try_element_at(paths, F.lit(1)), commit)
-    extraction = filled(c("extraction_confidence"), c("outcome.signature.extraction_confidence"), F.lit("structured"))
-    text = filled(c("message"), c("outcome.message"))
-    message = filled(c("message_fingerprint"), c("outcome.signature.message_fingerprint"), F.when(text != "", sha256(text)))
-    signature = filled(c("signature_id"), c("outcome.signature.signature_id"), F.concat(F.lit("sig_"), short_hash(joined("|", kind_of, check, key))))
-    urls = distinct_filled(F.concat(F.coalesce("provenance_urls", "provenance.urls", none), F.array_compact(F.array("pr_url", "check_run_url", "revert_url", "review_url"))))
-    recorded = F.date_trunc("second", rfc3339(filled(c("recorded_at"))))
-    diff = filled(c("diff_fingerprint"), c("context.diff_fingerprint"), sha256(F.concat(pr.cast("string"), F.lit("|"), commit, F.lit("|"), F.array_join(paths, "|"))))
+    login = filled(*(F.when(c(n).startswith("{"), F.get_json_object(n, "$.login")) for n in ("actor", "author")), c("actor"), c("author"))
+    none = F.array().cast("array<string>")
+    address = ("pr_url", "check_run_url", "revert_url", "review_url")
+    single = F.array_compact(F.array(*(F.nullif(filled(c(n), c(f"provenance.{n}")), F.lit("")) for n in address)))
     discount_text = filled(c("flake_discount"))
-    discount = F.when(discount_text == "", 0.0).otherwise(number(discount_text))
-    reported = [c("source_kind"), c("memory_source"), c("metadata.source_kind"), c("metadata.memory_source")]
-    own_id = filled(c("experience_id"), experience_id(pr, recorded, urls, commit, kind, terminal, signature, extraction, kind_of, check, key, message))
-    base = events.select(
-        own_id.alias("experience_id"), owner.alias("repo_owner"), name.alias("repo_name"), recorded.alias("recorded_at"), pr.alias("pr"), commit.alias("commit"), paths.alias("paths"), diff.alias("diff_fingerprint"),
-        actor.alias("actor_kind"), method.alias("attribution_method"), certainty.alias("attribution_confidence"), kind.alias("kind"), terminal.alias("terminal_state"), signature.alias("signature_id"), kind_of.alias("class"),
-        check.alias("check_name"), key.alias("key"), message.alias("message"), extraction.alias("extraction"), discount.alias("flake_discount"), urls.alias("urls"), (ref if ref is not None else F.lit("event")).alias("source_ref"),
-        rfc3339(c("metadata.last_ingest_at")).alias("last_ingest_at"), c("metadata.merged_since_ingest").try_cast("long").alias("merged_since_ingest"), F.exists(F.array(*reported), is_self_report).alias("self_reported"), unsafe.alias("unsafe"),
+    reported = [c("source_kind"), c("memory_source"), c("metadata")["source_kind"], c("metadata")["memory_source"]]
+    pr_number = number(filled(c("pr"), c("action.pr")))
+    rows = rows.select(
+        "source_ref", "metadata", filled(c("experience_id")).alias("experience_id"), half(1, "owner").alias("repo_owner"), half(2, "name").alias("repo_name"),
+        F.date_trunc("second", rfc3339(filled(c("recorded_at")))).alias("recorded_at"), F.when(pr_number == F.floor(pr_number), pr_number.cast("long")).alias("pr"),
+        filled(c("commit"), c("action.commit"), F.try_element_at(_some(c("commits"), c("action.commits")), F.lit(1))).alias("commit"), _some(c("paths"), c("context.paths")).alias("paths"),
+        kind.alias("kind"), filled(c("terminal_state"), c("terminal"), c("outcome.terminal_state"), c("outcome.terminal")).alias("terminal_state"),
+        *(x.alias(n) for x, n in zip(attribution(_some(c("labels"), c("pr_labels")), _some(c("coauthors"), c("coauthor_trailers")), login, stated, policy), ("actor_kind", "found"), strict=True)),
+        filled(c("attribution_method"), c("attribution.method")).alias("method"), stated.alias("stated"), number(filled(c("attribution_confidence"), c("attribution.confidence"))).alias("certainty"),
+        filled(c("signature_class"), c("outcome.signature.class")).alias("class"), filled(c("check_name"), c("outcome.signature.check"), c("outcome.signature.check_name")).alias("check_name"),
+        filled(c("signature_key"), c("outcome.signature.key")).alias("key"), filled(c("extraction_confidence"), c("outcome.signature.extraction_confidence"), F.lit("structured")).alias("extraction"),
+        filled(c("message_fingerprint"), c("outcome.signature.message_fingerprint")).alias("fingerprint"), filled(c("message"), c("log"), c("outcome.message")).alias("text"),
+        filled(c("signature_id"), c("outcome.signature.signature_id")).alias("signature_id"), distinct_filled(F.concat(_some(c("provenance_urls"), c("provenance.urls")), F.coalesce(single, none))).alias("urls"),
+        filled(c("diff_fingerprint"), c("context.diff_fingerprint")).alias("diff"), F.when(discount_text == "", 0.0).otherwise(number(discount_text)).alias("flake_discount"),
+        rfc3339(c("metadata")["last_ingest_at"]).alias("last_ingest_at"), F.coalesce(c("metadata")["merged_prs_since_last_ingest"], c("metadata")["merged_since_ingest"]).try_cast("long").alias("merged_since_ingest"),
+        F.exists(F.array(*reported), is_self_report).alias("self_reported"), unsafe.alias("unsafe"),
     )
     if not policy.include_uncertain:
-        base = base.where("actor_kind <> 'uncertain'")
-    return base.withColumn("errors", record_errors()).drop("self_reported", "unsafe")
+        rows = rows.where("actor_kind <> 'uncertain'")
+    rows = staged(rows)
+    rows = rows.withColumns({
+        "terminal_state": filled(c("terminal_state"), lookup(c("kind"), TERMINAL_BY_KIND)), "class": filled(c("class"), lookup(c("kind"), CLASS_BY_KIND, "unknown")), "check_name": filled(c("check_name"), c("kind")),
+        "key": filled(c("key"), F.try_element_at("paths", F.lit(1)), c("commit")), "message": filled(c("fingerprint"), F.when(c("text") != "", sha256(c("text")))),
+        "attribution_method": F.when(c("stated") == "", c("found")).otherwise(filled(c("method"), F.when(c("actor_kind") == "human", "manual").otherwise("uncertain"))),
+        "diff_fingerprint": filled(c("diff"), sha256(F.concat(c("pr").cast("string"), F.lit("|"), c("commit"), F.lit("|"), F.array_join("paths", "|")))),
+    })
+    rows = staged(rows.drop("fingerprint", "text", "found", "method", "stated", "diff"))
+    default = F.when(c("attribution_method") == "manual", 1.0).when(c("attribution_method").isin("pr_label", "coauthor_trailer", "bot_login"), 0.9).otherwise(0.0)
+    rows = rows.withColumns({
+        "signature_id": filled(c("signature_id"), F.concat(F.lit("sig_"), short_hash(joined("|", c("class"), c("check_name"), c("key"))))), "attribution_confidence": F.when(c("certainty") >= 0, c("certainty")).otherwise(default),
+    })
+    rows = staged(rows.drop("certainty"))
+    made = experience_id(c("pr"), c("recorded_at"), c("urls"), c("commit"), c("kind"), c("terminal_state"), c("signature_id"), c("extraction"), c("class"), c("check_name"), c("key"), c("message"))
+    rows = rows.withColumns({"experience_id": filled(c("experience_id"), made), "errors": record_errors()})
+    return rows.select(*(f.name for f in StructType.fromDDL(EXPERIENCE)), "errors")
 
 
 def record_errors() -> Column:
@@ -157,7 +178,9 @@ def record_errors() -> Column:
         "provenance_repo": F.exists("urls", lambda u: url_repo(u) != F.lower(F.concat(c("repo_owner"), F.lit("/"), c("repo_name")))),
         "provenance_pr": F.exists("urls", lambda u: F.coalesce(pr_path_number(u) != c("pr"), F.lit(False))),
     }
-    return F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules.items())))
+    # Not a filter over an array of them all: what stands below such a function is not compiled.
+    names = F.concat_ws(",", *(F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules.items()))
+    return F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
 
 
 def accepted(checked: DataFrame, mode: str = "fail") -> DataFrame:

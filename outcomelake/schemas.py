@@ -7,7 +7,8 @@ EXPERIENCE = (
     "experience_id string, repo_owner string, repo_name string, recorded_at timestamp, pr long, commit string, "
     "paths array<string>, diff_fingerprint string, actor_kind string, attribution_method string, attribution_confidence double, "
     "kind string, terminal_state string, signature_id string, class string, check_name string, key string, message string, "
-    "extraction string, flake_discount double, urls array<string>, source_ref string, last_ingest_at timestamp, merged_since_ingest long"
+    "extraction string, flake_discount double, urls array<string>, source_ref string, last_ingest_at timestamp, merged_since_ingest long, "
+    "metadata map<string, string>"
 )
 
 #: A reviewed or drafted rule.
@@ -21,13 +22,13 @@ RULE = (
 #: A raw outcome event as JSON lines give it, flat or nested.
 EVENT = (
     "experience_id string, repo string, repo_owner string, repo_name string, recorded_at string, pr string, commit string, commits array<string>, "
-    "paths array<string>, labels array<string>, coauthors array<string>, actor string, actor_kind string, attribution_method string, "
-    "attribution_confidence string, outcome_kind string, terminal_state string, signature_id string, signature_class string, check_name string, "
-    "signature_key string, message_fingerprint string, message string, extraction_confidence string, flake_discount string, "
+    "paths array<string>, labels array<string>, pr_labels array<string>, coauthors array<string>, coauthor_trailers array<string>, actor string, author string, actor_kind string, attribution_method string, "
+    "attribution_confidence string, outcome_kind string, terminal_state string, terminal string, signature_id string, signature_class string, check_name string, "
+    "signature_key string, message_fingerprint string, message string, log string, extraction_confidence string, flake_discount string, "
     "provenance_urls array<string>, pr_url string, check_run_url string, revert_url string, review_url string, diff_fingerprint string, "
     "source_kind string, memory_source string, "
-    "action struct<pr: string, commit: string>, context struct<paths: array<string>, diff_fingerprint: string>, "
-    "outcome struct<kind: string, terminal_state: string, message: string, signature: struct<class: string, check_name: string, key: string, message_fingerprint: string, extraction_confidence: string, signature_id: string>>, "
-    "attribution struct<actor_kind: string, method: string, confidence: string>, provenance struct<urls: array<string>>, "
-    "metadata struct<source_kind: string, memory_source: string, last_ingest_at: string, merged_since_ingest: string>"
+    "action struct<pr: string, commit: string, commits: array<string>>, context struct<paths: array<string>, diff_fingerprint: string>, "
+    "outcome struct<kind: string, terminal_state: string, terminal: string, message: string, signature: struct<class: string, check_name: string, check: string, key: string, message_fingerprint: string, extraction_confidence: string, signature_id: string>>, "
+    "attribution struct<actor_kind: string, method: string, confidence: string>, "
+    "provenance struct<urls: array<string>, pr_url: string, check_run_url: string, revert_url: string, review_url: string>, metadata map<string, string>"
 )
