@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import reverts_pull, rfc3339
+from ..functions.columns import distinct_filled, filled, trimmed, url_repo, valid_provenance_url
 from ..schemas import EVENT, EXPERIENCE, RULE
 
-_CORRECTION = "struct<id: string, url: string, created_at: string, body: string, path: string, marked: string, correction: string, signature_key: string>"
-
-#: A nested export of pull requests with what happened to each.
-EXPORT = (
-    "repo string, pull_requests array<struct<number: long, author: string, merged_at: string, merge_commit: string, url: string, labels: array<string>, coauthors: array<string>, files: array<string>, "
-    "flake_discount: string, revert_scan_truncated: boolean, check_runs: array<struct<name: string, status: string, conclusion: string, completed_at: string, url: string, signature_key: string, message: string>>, "
-    f"reverts: array<struct<commit: string, created_at: string, url: string, message: string>>, review_corrections: array<{_CORRECTION}>, review_comments: array<{_CORRECTION}>>>"
+_SIGNATURE = "signature_id: string, class: string, key: string, check_name: string, check: string, extraction_confidence: string, message_fingerprint: string"
+#: What a check run, a revert, a correction and a pull request may all say. Fields that exports give as a text, a list
+#: or an object are read as text.
+_ITEM_TEXTS = (
+    "name check_name status conclusion completed_at updated_at created_at merged_at committed_at recorded_at resolved_at head_sha commit commit_sha sha commit_id merge_commit_sha "
+    "paths changed_files files path filename signature_class signature_key signature_id message summary title body html_url details_url url check_run_url commit_url revert_url review_url "
+    "extraction_confidence flake_discount message_fingerprint actor_kind attribution_method attribution_confidence marked correction requires_correction is_correction source_kind memory_source"
+).split()
+_ITEM = (
+    ", ".join(f"{n}: string" for n in _ITEM_TEXTS) + f", outcome: struct<flake_discount: string, signature: struct<{_SIGNATURE}>>, output: struct<summary: string>, "
+    "attribution: struct<actor_kind: string, method: string, confidence: string>"
+)
+_PULL = (
+    f"{_ITEM}, number: string, pr: string, action: struct<pr: string>, repo: string, head: struct<sha: string>, pr_url: string, author: string, user: string, actor: string, labels: string, label_names: string, "
+    "coauthors: string, coauthor_trailers: string, revert_scan_truncated: string, metadata: struct<revert_scan_truncated: string>, "
+    + ", ".join(f"{n}: array<struct<{_ITEM}>>" for n in ("check_runs", "checks", "reverts", "review_corrections", "marked_review_corrections"))
 )
+#: A nested export of pull requests with what happened to each.
+EXPORT = f"repo string, repo_owner string, repo_name string, pull_requests array<struct<{_PULL}>>, prs array<struct<{_PULL}>>"
 
 
 def events_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -45,38 +58,127 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=EXPORT, multiLine=True, mode="FAILFAST")
 
 
+def _truthy(*flags: Column) -> Column:
+    return F.coalesce(F.exists(F.array(*flags), lambda x: F.lower(trimmed(x)).isin("true", "yes", "required", "correction")), F.lit(False))
+
+
 def is_failed_check(check: Column) -> Column:
-    return F.coalesce(F.lower(F.coalesce(check["conclusion"], check["status"])).isin("failure", "failed", "timed_out", "action_required"), F.lit(False))
+    return F.lower(filled(check["conclusion"], check["status"])).isin("failure", "failed", "timed_out", "action_required")
 
 
-def is_marked(comment: Column) -> Column:
-    truthy = ("true", "yes", "required", "correction")
-    return F.coalesce(F.lower(comment["marked"]).isin(*truthy), F.lit(False)) | F.coalesce(F.lower(comment["correction"]).isin(*truthy), F.lit(False))
+def is_marked(correction: Column) -> Column:
+    return _truthy(*(correction[n] for n in ("marked", "correction", "requires_correction", "is_correction")))
 
 
-def export_events(export: DataFrame) -> DataFrame:
-    """Events of an export: a failed check, a revert and a marked correction are one each.
+def _list(value: Column) -> Column:
+    """What a field holds as a list: a JSON list's elements, or a text alone; none for numbers and objects."""
+    value = trimmed(value)
+    alone = F.when((value != "") & ~value.rlike(r"^([0-9.+-]+$|\{|\[\])"), F.array(value))
+    return F.coalesce(F.from_json(value, "array<string>"), alone, F.array().cast("array<string>"))
+
+
+def _first_list(*fields: Column) -> Column:
+    """The texts of the first field that holds any."""
+    texts = [F.filter(_list(f), lambda x: (trimmed(x) != "") & ~x.startswith("{")) for f in fields]
+    return F.coalesce(*(F.when(F.size(t) > 0, t) for t in texts), F.array().cast("array<string>"))
+
+
+def _names(field: Column, *keys: str) -> Column:
+    """Of a list's objects the first of the keys that each fills."""
+    own = F.transform(F.filter(_list(field), lambda x: x.startswith("{")), lambda x: filled(*(F.get_json_object(x, f"$.{k}") for k in keys)))
+    return F.filter(own, lambda x: x != "")
+
+
+def _paths(item: Column, fallback: Column) -> Column:
+    own = distinct_filled(F.concat(_first_list(*(item[n] for n in ("paths", "changed_files", "files", "path", "filename"))), _names(item["files"], "filename", "path")))
+    return F.when(F.size(own) > 0, own).otherwise(fallback)
 
-    A pull request is a clean merge where it merged, reverts were looked for to the end, and none of the
-    other three happened.
-    """
-    none = F.array()
-    pulls = export.select("repo", F.explode("pull_requests").alias("p")).select("repo", "p.*")
-    pulls = pulls.withColumns({
-        "failed": F.filter(F.coalesce("check_runs", none.cast(dict(pulls.dtypes)["check_runs"])), is_failed_check),
-        "undone": F.filter(F.coalesce("reverts", none.cast(dict(pulls.dtypes)["reverts"])), lambda r: r["message"].isNull() | reverts_pull(r["message"], F.col("number"), F.array("merge_commit"))),
-        "corrected": F.concat(F.coalesce("review_corrections", none.cast(dict(pulls.dtypes)["review_corrections"])), F.filter(F.coalesce("review_comments", none.cast(dict(pulls.dtypes)["review_comments"])), is_marked)),
-    })
 
-    def common(kind: str, at: Column, url: Column, check: Column, key: Column, message: Column, commit: Column) -> list[Column]:
-        return [F.col("repo"), F.col("number").alias("pr"), F.lit(kind).alias("outcome_kind"), at.alias("recorded_at"), F.col("author").alias("actor"), "labels", "coauthors", F.col("files").alias("paths"), "flake_discount", commit.alias("commit"), check.alias("check_name"), key.alias("signature_key"), message.alias("message"), F.array_compact(F.array(F.col("url"), url)).alias("provenance_urls")]
+def _object_or_text(value: Column, key: str) -> tuple[Column, Column]:
+    """(the key of an object, or nothing; the text that is no object, or nothing)."""
+    is_object = value.startswith("{")
+    return F.when(is_object, F.get_json_object(value, f"$.{key}")), F.when(~is_object, value)
 
-    blank, merge = F.lit(None).cast("string"), F.col("merge_commit")
-    runs = pulls.select("*", F.explode("failed").alias("x")).select(*common("ci_failure", F.coalesce(F.col("x.completed_at"), F.col("merged_at")), F.col("x.url"), F.col("x.name"), F.col("x.signature_key"), F.col("x.message"), merge))
-    undone = pulls.select("*", F.explode("undone").alias("x")).select(*common("revert", F.col("x.created_at"), F.col("x.url"), blank, blank, F.col("x.message"), F.coalesce(F.col("x.commit"), merge)))
-    corrected = pulls.select("*", F.explode("corrected").alias("x")).select(*common("review_correction", F.col("x.created_at"), F.col("x.url"), blank, F.coalesce(F.col("x.signature_key"), F.col("x.path")), F.col("x.body"), merge))
-    clean = pulls.where(F.col("merged_at").isNotNull() & ~F.coalesce("revert_scan_truncated", F.lit(False)) & (F.size("failed") + F.size("undone") + F.size("corrected") == 0)).select(*common("merged_clean", F.col("merged_at"), blank, blank, blank, blank, merge))
-    return runs.unionByName(undone).unionByName(corrected).unionByName(clean)
+
+def _repository(item: Column) -> Column:
+    owner, text = _object_or_text(item["repo"], "owner")
+    name, _ = _object_or_text(item["repo"], "name")
+    return filled(F.when((trimmed(owner) != "") & (trimmed(name) != ""), F.concat(trimmed(owner), F.lit("/"), trimmed(name))), F.when(text.rlike(r"[^/\s]\s*/\s*[^/\s]"), text))
+
+
+#: For each kind of outcome: fields of its time, commit, check name, message and address, and its signature's class.
+_KINDS = {
+    "ci_failure": (("completed_at", "updated_at", "created_at"), ("head_sha", "commit"), ("name",), ("message", "summary", "output.summary", "conclusion"), ("html_url", "details_url", "url", "check_run_url"), "test_failure"),
+    "revert": (("merged_at", "committed_at", "recorded_at", "created_at"), (), (), ("message", "title"), ("html_url", "url", "commit_url", "revert_url"), "revert"),
+    "review_correction": (("resolved_at", "updated_at", "created_at", "recorded_at"), ("commit_id", "commit", "head_sha"), (), ("message", "body", "title"), ("html_url", "url", "review_url"), "review_correction"),
+    "merged_clean": (("merged_at", "updated_at", "created_at"), (), (), (), (), "unknown"),
+}
+
+
+def _event(kind: str, item: Column) -> list[Column]:
+    """The columns of an outcome that ``item`` tells, of rows with their pull request's columns."""
+
+    def field(path: str) -> Column:
+        out = item
+        for key in path.split("."):
+            out = out[key]
+        return out
+
+    at, commit, check, message, address, default = _KINDS[kind]
+    paths, url = _paths(item, F.col("base_paths")), filled(*map(field, address)) if address else F.lit("")
+    given = item["outcome"]["signature"]
+    urls = F.array_compact(F.array(F.col("base_url"), F.when(valid_provenance_url(url), url)))
+    return [
+        F.col("base_repo").alias("repo"), F.col("base_number").alias("pr"), F.lit(kind).alias("outcome_kind"), filled(*map(field, at), item["updated_at"], item["created_at"]).alias("recorded_at"),
+        filled(*map(field, commit), F.col("base_commit")).alias("commit"), paths.alias("paths"), F.col("base_labels").alias("labels"), F.col("base_coauthors").alias("coauthors"), F.col("base_actor").alias("actor"),
+        filled(item["check_name"], given["check_name"], given["check"], *map(field, check), F.lit("merge" if kind == "merged_clean" else kind)).alias("check_name"),
+        filled(item["signature_class"], given["class"], F.lit(default)).alias("signature_class"),
+        filled(item["signature_key"], given["key"], *(_object_or_text(item[n], "path")[1] for n in ("path", "filename")), F.try_element_at(paths, F.lit(1))).alias("signature_key"),
+        filled(item["signature_id"], given["signature_id"]).alias("signature_id"), (filled(*map(field, message)) if message else F.lit("")).alias("message"),
+        filled(item["message_fingerprint"], given["message_fingerprint"]).alias("message_fingerprint"), filled(item["extraction_confidence"], given["extraction_confidence"], F.lit("structured")).alias("extraction_confidence"),
+        filled(item["flake_discount"], item["outcome"]["flake_discount"]).alias("flake_discount"), filled(item["actor_kind"], item["attribution"]["actor_kind"], F.col("base_actor_kind")).alias("actor_kind"),
+        filled(item["attribution_method"], item["attribution"]["method"], F.col("base_method")).alias("attribution_method"), filled(item["attribution_confidence"], item["attribution"]["confidence"], F.col("base_confidence")).alias("attribution_confidence"),
+        F.array_distinct(urls).alias("provenance_urls"), filled(item["source_kind"], F.col("base_source_kind")).alias("source_kind"), filled(item["memory_source"], F.col("base_memory_source")).alias("memory_source"),
+        (filled(item["commit_sha"], item["sha"], item["commit"]) if kind == "revert" else F.lit("")).alias("source_commit"),
+    ]
+
+
+def _items(*lists: Column) -> Column:
+    """The first list that has items; an empty one without."""
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.array().cast(f"array<struct<{_ITEM}>>"))
+
+
+def export_events(export: DataFrame) -> DataFrame:
+    """Events of an export (:data:`EXPORT`), as :func:`outcomelake.operators.normalize.normalized` takes them.
+
+    A failed check, a revert and a marked correction are one each; corrections in the list of marked ones
+    need no mark. A pull request is a clean merge where it merged, reverts were looked for to the end, and
+    none of the other three happened. What is missing in an outcome comes from its pull request, but a
+    revert's own commit is its ``source_commit``. Addresses that are no canonical ones of the host are left
+    out. Every outcome's list is exploded for itself; nothing is gathered or sorted.
+    """
+    whole = F.struct(F.col("repo"))
+    envelope = filled(_repository(whole), F.when((filled(F.col("repo_owner")) != "") & (filled(F.col("repo_name")) != ""), F.concat(trimmed(F.col("repo_owner")), F.lit("/"), trimmed(F.col("repo_name")))))
+    pulls = export.select(envelope.alias("envelope_repo"), F.explode(F.coalesce(F.when(F.size("pull_requests") > 0, F.col("pull_requests")), F.col("prs"))).alias("p"))
+    p = F.col("p")
+    stated = filled(_repository(p), F.col("envelope_repo"))
+    number = filled(F.coalesce(p["number"], p["pr"], p["action"]["pr"]))
+    logins, texts = zip(*(_object_or_text(p[n], "login") for n in ("author", "user", "actor")), strict=True)
+    url = filled(p["html_url"], p["pr_url"], F.when(valid_provenance_url(trimmed(p["url"])), p["url"]))
+    url = F.when(url != "", url).when((stated != "") & (number != ""), F.concat(F.lit("https://github.com/"), stated, F.lit("/pull/"), number))
+    pulls = pulls.select(
+        "p", number.alias("base_number"), filled(stated, url_repo(url)).alias("base_repo"), url.alias("base_url"), filled(p["head_sha"], p["head"]["sha"], p["commit"], p["merge_commit_sha"]).alias("base_commit"),
+        _paths(p, F.array().cast("array<string>")).alias("base_paths"), distinct_filled(F.concat(_first_list(p["labels"], p["label_names"]), _names(p["labels"], "name"))).alias("base_labels"),
+        _first_list(p["coauthors"], p["coauthor_trailers"]).alias("base_coauthors"), filled(*logins, *texts).alias("base_actor"), filled(p["actor_kind"], p["attribution"]["actor_kind"]).alias("base_actor_kind"),
+        filled(p["attribution_method"], p["attribution"]["method"]).alias("base_method"), filled(p["attribution_confidence"], p["attribution"]["confidence"]).alias("base_confidence"),
+        filled(p["source_kind"]).alias("base_source_kind"), filled(p["memory_source"]).alias("base_memory_source"),
+        F.filter(_items(p["check_runs"], p["checks"]), is_failed_check).alias("failed"), _items(p["reverts"]).alias("undone"),
+        F.concat(F.filter(_items(p["review_corrections"]), is_marked), _items(p["marked_review_corrections"])).alias("corrected"),
+    )
+    none_of_them = F.size("failed") + F.size("undone") + F.size("corrected") == 0
+    clean = pulls.where((filled(p["merged_at"]) != "") & ~_truthy(p["revert_scan_truncated"], p["metadata"]["revert_scan_truncated"]) & none_of_them)
+    parts = [pulls.withColumn("x", F.explode(c)).select(*_event(k, F.col("x"))) for k, c in (("ci_failure", "failed"), ("revert", "undone"), ("review_correction", "corrected"))]
+    return reduce(DataFrame.unionByName, [*parts, clean.select(*_event("merged_clean", p))])
 
 
 def coauthors(message: Column) -> Column:
@@ -106,5 +208,3 @@ def models_on_disk(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("found"))
     return manifest.join(files, "path", "left").withColumn("verified", F.coalesce(F.col("found") == F.lower("sha256"), F.lit(False))).drop("found")
 
-
-__all__ = ["baseline", "coauthors", "compare_baseline", "events_document", "events_jsonl", "experiences_parquet", "export_events", "models_on_disk", "read_export", "rfc3339", "rules_parquet"]

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in local tests, a temporary folder is made and kept as the
-    context's checkpoint directory, so that later calls find the same one.
+    Only where the setting is absent and the session is local, as in tests, a temporary folder is made and
+    kept as the context's checkpoint directory, so that later calls find the same one. On a cluster that
+    names neither a folder nor a checkpoint directory this is an error: a folder of the driver's own machine
+    is none that executors can read.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="outcomelake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
