@@ -107,10 +107,14 @@ def provider_cost(experiences: DataFrame, price_per_1000: float, cap: float, dra
     return sums.withColumn("output_tokens", F.lit(96 + 64 * drafts).cast("long")).withColumn("cost", cost).withColumn("status", F.when(F.col("cost") > cap, "over_cap").otherwise("within_cap"))
 
 
-def source_digest(experiences: DataFrame, shard: Column) -> DataFrame:
-    """One row: a digest that changes with any record, whatever their order: of sorted shard digests of sorted record digests."""
-    lines = experiences.select(shard.alias("shard"), F.sha2(F.to_json(F.struct(*(c for c in experiences.columns if c not in ("last_ingest_at", "merged_since_ingest", "source_ref")))), 256).alias("line"))
-    # Records of a shard are summed by their first bytes, so that no shard is gathered in one place.
-    buckets = lines.groupBy("shard", F.substring("line", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
-    shards = buckets.groupBy("shard").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"]), "\n"), 256).alias("digest"))
+def source_digest(experiences: DataFrame, shard: Column, line: Column | None = None) -> DataFrame:
+    """One row: a digest that changes with any record, whatever their order.
+
+    Of a shard's records, each as the text ``line`` (JSON without it), the digests are summed up in four parts,
+    so no list of them is ever made; the digests of the few shards are put in order.
+    """
+    text = line if line is not None else F.to_json(F.struct(*(c for c in experiences.columns if c not in ("last_ingest_at", "merged_since_ingest", "source_ref"))))
+    lines = experiences.select(shard.alias("shard"), F.sha2(text, 256).alias("digest"))
+    parts = [F.sum(F.conv(F.substring("digest", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    shards = lines.groupBy("shard").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
     return shards.agg(sha256(F.array_join(F.array_sort(F.collect_list("digest")), "\n")).alias("source_digest"))

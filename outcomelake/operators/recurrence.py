@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from ..functions.columns import clean_paths, is_failure, is_reliable, percent_text, primary_url, scope_paths, trimmed
 
 SEPARATOR = "\u0000"
+#: Rows of a key that are put in order by one task.
+CHUNK_ROWS = 200_000
 
 
 def signature_keys() -> Column:
@@ -100,26 +103,40 @@ def newest_prior(rows: DataFrame, keys: list[str], chunk: str = "day") -> DataFr
     return placed.select(F.col("row.id").alias("id"), prior.alias("prior")).where("prior is not null")
 
 
-def recurrence_pairs(experiences: DataFrame, *, chunk: str = "day") -> DataFrame:
+def chunk_of(rows: DataFrame, keys: list[str]) -> str:
+    """The longest unit of time in which no key has more than ``CHUNK_ROWS`` rows; seconds if there is none."""
+    counts = rows.groupBy(*keys, F.date_trunc("minute", "recorded_at").alias("at")).agg(F.count("*").alias("n"))
+    largest = {}
+    for unit in ("minute", "hour", "day"):
+        counts = written(counts, "chunk-sizes") if unit == "minute" else counts.groupBy(*keys, F.date_trunc(unit, "at").alias("at")).agg(F.sum("n").alias("n"))
+        largest[unit] = counts.agg(F.max("n").alias("n")).first().n or 0
+    return next((u for u in ("day", "hour", "minute") if largest[u] <= CHUNK_ROWS), "second")
+
+
+def recurrence_pairs(experiences: DataFrame, *, chunk: str | None = None) -> DataFrame:
     """Pairs of an agent's failure with an earlier failure, one at most for each.
 
     ``experiences`` carry ``heuristic`` (see :func:`with_flakes`). Discounted failures and uncertain rows
     take no part; human failures are priors only. A pair is confirmed where both extractions are reliable
     and the cleaned paths overlap; the newest such prior goes before any newer one that is only possible.
-    The matched key is the first of the prior's that the current row has too.
+    The matched key is the first of the prior's that the current row has too. Rows without a signature id,
+    which no normalised record lacks, confirm nothing. ``chunk`` is the unit of time by which a key's rows are
+    taken; without it, it follows from how many rows the largest key has (:func:`chunk_of`).
     """
     own = experiences.where(is_failure(F.col("kind")) & (F.col("actor_kind") != "uncertain") & ~is_discounted())
-    own = own.select("*", signature_keys().alias("sigs"), clean_paths(F.col("paths")).alias("clean"))
-    keyed = own.select("recorded_at", F.col("experience_id").alias("id"), "pr", "actor_kind", "extraction", "clean", F.explode("sigs").alias("sig"))
+    url = primary_url(F.col("urls"), F.col("repo_owner"), F.col("repo_name"), F.col("pr")).alias("url")
+    own = written(own.select("recorded_at", "experience_id", "pr", "actor_kind", "extraction", "signature_id", "source_ref", signature_keys().alias("sigs"), clean_paths(F.col("paths")).alias("clean"), url), "pairs-own")
+    keyed = own.select("recorded_at", F.col("experience_id").alias("id"), "pr", "actor_kind", "extraction", "signature_id", "clean", F.explode("sigs").alias("sig"))
+    chunk = chunk or chunk_of(keyed, ["sig"])
     agents = own.where("actor_kind = 'agent'").select(F.col("experience_id").alias("id"))
     possible = newest_prior(keyed, ["sig"], chunk)
-    reliable = keyed.where(is_reliable(F.col("extraction"))).withColumn("path", F.explode("clean"))
+    reliable = keyed.where(is_reliable(F.col("extraction")) & (trimmed(F.col("signature_id")) != "")).withColumn("path", F.explode("clean"))
     confirmed = newest_prior(reliable, ["sig", "path"], chunk)
     best = possible.select("id", F.lit(False).alias("confirmed"), "prior").unionByName(confirmed.select("id", F.lit(True).alias("confirmed"), "prior"))
     best = best.join(agents, "id", "left_semi").groupBy("id").agg(F.max(F.struct("confirmed", "prior")).alias("best"))
     best = best.select("id", "best.confirmed", F.col("best.prior.id").alias("prior_id"))
 
-    side = own.select("experience_id", "pr", "sigs", "signature_id", "source_ref", primary_url(F.col("urls"), F.col("repo_owner"), F.col("repo_name"), F.col("pr")).alias("url"))
+    side = own.select("experience_id", "pr", "sigs", "signature_id", "source_ref", "url")
     current = side.select(*(F.col(c).alias(f"current_{c}") for c in side.columns))
     prior = side.select(*(F.col(c).alias(f"prior_{c}") for c in side.columns))
     pairs = best.join(current, F.col("id") == F.col("current_experience_id")).join(prior, F.col("prior_id") == F.col("prior_experience_id"))
@@ -160,34 +177,60 @@ def error_recurrence(experiences: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("headline_err", rate).withColumn("headline_err_percent", percent_text(F.col("headline_err")))
 
 
+def ranked(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in a total order: a range-partitioned sort, and each partition's rows counted from those before it.
+
+    Only one row a partition is ever brought together.
+    """
+    placed = written(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn(name, F.col("before") + within + 1).drop("part", "place", "before")
+
+
+def mistake_members(pairs: DataFrame) -> DataFrame:
+    """(signature_id, experience_id, pr, url, source_ref, is_repeat): the two sides of confirmed pairs, a row each, by the matched signature."""
+    confirmed = pairs.where("confidence = 'confirmed'").withColumn("signature_id", F.coalesce(F.nullif("matched_signature_id", F.lit("")), F.col("signature_id"))).where("signature_id <> ''")
+    side = lambda name, ref, repeat: F.struct(F.col(f"{name}_experience_id").alias("experience_id"), F.col(f"{name}_pr").alias("pr"), F.col(f"{name}_url").alias("url"), F.col("refs")[ref].alias("source_ref"), F.lit(repeat).alias("is_repeat"))
+    return confirmed.select("signature_id", F.explode(F.array(side("prior", 0, False), side("current", 1, True))).alias("side")).select("signature_id", "side.*")
+
+
 def top_mistakes(pairs: DataFrame) -> DataFrame:
-    """Confirmed pairs grouped by the matched signature, ranked by how many there are; lists are sorted and distinct.
+    """(rank, signature_id, repeat_count, prs, experiences): signatures by how many confirmed pairs they have.
 
-    The rank is over one row a signature.
+    ``prs`` and ``experiences`` are how many different ones take part; :func:`mistake_members` names them, a
+    row each, since a signature may have any number.
     """
-    confirmed = pairs.where("confidence = 'confirmed'").withColumn("signature", F.coalesce(F.nullif("matched_signature_id", F.lit("")), F.col("signature_id"))).where("signature <> ''")
-    sides = confirmed.select("signature", F.explode(F.array(F.struct(F.col("prior_pr").alias("pr"), F.col("prior_url").alias("url"), F.col("prior_experience_id").alias("id"), F.lit(0).alias("n")), F.struct(F.col("current_pr").alias("pr"), F.col("current_url").alias("url"), F.col("current_experience_id").alias("id"), F.lit(1).alias("n")))).alias("side"), "refs")
-    grouped = sides.groupBy(F.col("signature").alias("signature_id")).agg(
-        F.sum("side.n").alias("repeat_count"),
-        F.array_sort(F.collect_set(F.when(F.col("side.pr") != 0, F.col("side.pr")))).alias("prs"),
-        F.array_sort(F.collect_set(F.when(F.col("side.url") != "", F.col("side.url")))).alias("urls"),
-        F.array_sort(F.collect_set("side.id")).alias("experience_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("refs")))).alias("refs"),
-    )
-    return grouped.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("repeat_count"), "signature_id")))
+    grouped = mistake_members(pairs).groupBy("signature_id").agg(
+        F.count_if("is_repeat").alias("repeat_count"), F.countDistinct(F.when(F.col("pr") != 0, F.col("pr"))).alias("prs"), F.countDistinct("experience_id").alias("experiences"),
+    )
+    return ranked(grouped, F.desc("repeat_count"), "signature_id")
 
 
-def flake_support(experiences: DataFrame) -> DataFrame:
-    """For each discounted agent failure the other agent failures that share a key: their pull requests, repeats kept."""
+def flake_supporters(experiences: DataFrame) -> DataFrame:
+    """(sig, experience_id, pr, source_ref): agent failures by key, which support every discounted one of that key."""
     failures = experiences.where((F.col("actor_kind") == "agent") & is_failure(F.col("kind")))
-    keyed = failures.select("experience_id", "pr", "source_ref", F.explode(signature_keys()).alias("sig"))
-    flakes = failures.where(is_discounted()).select(F.col("experience_id").alias("flake_id"), F.col("pr").alias("flake_pr"), "signature_id", "flake_discount", "heuristic", F.explode(signature_keys()).alias("sig"))
-    support = flakes.join(keyed, "sig").where("experience_id <> flake_id").select("flake_id", "experience_id", "pr", "source_ref").distinct()
-    support = support.groupBy("flake_id").agg(F.array_sort(F.collect_list("pr")).alias("supporting_prs"), F.array_sort(F.collect_set("source_ref")).alias("supporting_refs"))
+    return failures.select(F.explode(signature_keys()).alias("sig"), "experience_id", "pr", "source_ref")
+
+
+def flake_support(experiences: DataFrame) -> DataFrame:
+    """Discounted agent failures with their keys and how many other agent failures share one.
+
+    The failures themselves are those of :func:`flake_supporters` with one of the keys; they are not listed
+    for every flake, which would make all pairs of a key's rows. A record has two keys at most, so the
+    number follows from the sizes of its keys and of the two together.
+    """
+    failures = experiences.where((F.col("actor_kind") == "agent") & is_failure(F.col("kind"))).select("experience_id", "pr", "signature_id", "flake_discount", "heuristic", signature_keys().alias("sigs"))
+    by_key = failures.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
+    by_both = failures.where("size(sigs) = 2").groupBy("sigs").agg(F.count("*").alias("both"))
+    flakes = failures.where(is_discounted()).withColumns({"first": F.col("sigs")[0], "second": F.try_element_at("sigs", F.lit(2))})
+    flakes = flakes.join(by_key.select(F.col("sig").alias("first"), F.col("n").alias("n1")), "first", "left").join(by_key.select(F.col("sig").alias("second"), F.col("n").alias("n2")), "second", "left").join(by_both, "sigs", "left")
     discount = F.round(F.when(F.col("flake_discount") == 0, F.lit(1.0)).otherwise(F.col("flake_discount")), 4)
-    base = failures.where(is_discounted()).select(F.col("experience_id").alias("flake_id"), "pr", "signature_id", discount.alias("flake_discount"), F.when(F.col("heuristic"), "heuristic").otherwise("explicit").alias("reason"))
-    none = F.array().cast("array<bigint>")
-    return base.join(support, "flake_id", "left").select(F.col("flake_id").alias("experience_id"), "pr", "signature_id", "flake_discount", "reason", F.coalesce("supporting_prs", none).alias("supporting_prs"), F.coalesce("supporting_refs", F.array().cast("array<string>")).alias("supporting_refs"))
+    zero = F.lit(0).cast("long")
+    supporting = F.coalesce("n1", zero) + F.coalesce("n2", zero) - F.coalesce("both", zero) - 1
+    return flakes.select("experience_id", "pr", "signature_id", discount.alias("flake_discount"), F.when(F.col("heuristic"), "heuristic").otherwise("explicit").alias("reason"), "sigs", supporting.alias("supporting"))
 
 
 def citations(experiences: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -220,7 +263,7 @@ def badge(report: DataFrame, now: str) -> DataFrame:
     age = F.to_timestamp(F.lit(now)) - F.col("last_ingest_at")
     stale = F.col("last_ingest_at").isNull() | F.col("merged_since_ingest").isNull() | (age > F.expr("INTERVAL 30 DAYS")) | (F.col("merged_since_ingest") > 20)
     color = F.when(stale, "lightgrey").when(F.col("headline_err") >= 0.3, "orange").when(F.col("headline_err") >= 0.1, "yellow").otherwise("brightgreen")
-    return report.withColumn("badge_message", F.concat(F.lit("ERR "), percent_text(F.col("headline_err")))).withColumn("badge_color", color).withColumn("badge_stale", stale)
+    return report.withColumn("badge_message", F.concat(F.lit("ERR "), percent_text(F.col("headline_err")), F.when(stale, " stale").otherwise(""))).withColumn("badge_color", color).withColumn("badge_stale", stale)
 
 
 def gate(report: DataFrame, enabled: bool, threshold: float | None) -> DataFrame:
