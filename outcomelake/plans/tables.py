@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores, where a small table's few files would leave most idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(*parts: object) -> Column:
     return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
@@ -23,7 +29,7 @@ def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiences made of ``events``."""
     user, k, event = F.col("user_id"), F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
     pr = F.floor(event / 3).cast("long") + 1
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         text("exp_", F.lpad(event.cast("string"), 8, "0")).alias("experience_id"), F.lit("acme").alias("repo_owner"), F.lit("shop").alias("repo_name"),
         F.date_trunc("second", F.col("ts").cast("timestamp")).alias("recorded_at"), pr.alias("pr"), F.substring(F.sha2(event.cast("string"), 256), 1, 8).alias("commit"),
         F.array(text("src/m", F.pmod(F.bround("value").cast("long"), F.lit(25)), ".py"), text("tests/test_", k % 9, ".py")).alias("paths"),
@@ -55,12 +61,12 @@ def part_path() -> Column:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules made of ``part``: files, directories, globs and subtrees."""
+    """A rule made of every row of ``part``: files, directories, globs and subtrees. Their paths lie in one folder each."""
     key, folder = F.col("p_partkey"), text("src/", F.lower(F.regexp_replace("p_brand", "#", "_")), "/", F.lower(F.regexp_replace("p_type", " ", "_")))
     scope = F.when(key % 4 == 0, part_path()).when(key % 4 == 1, folder).when(key % 4 == 2, text(folder, "/*1.py")).otherwise(text(folder, "/**"))
     kind = F.when(F.col("p_size") % 3 == 0, "playbook").otherwise("avoid")
     url = text("https://github.com/acme/shop/pull/", key)
-    return table(spark, sf_dir, "part").where((key % 17 == 0) & (F.col("p_size") % 5 != 0)).select(
+    return table(spark, sf_dir, "part").select(
         text("rule_", key).alias("id"), kind.alias("kind"), F.element_at(F.array(*map(F.lit, ("candidate", "active", "active", "stale", "retired"))), (key % 5 + 1).cast("int")).alias("status"), text("statement ", key).alias("statement"),
         F.array(scope).alias("scope_paths"), F.round((key % 101) / 100.0, 2).alias("confidence"), F.col("p_size").cast("long").alias("evidence_count"), F.array(text("exp_", key)).alias("experiences"),
         F.array(F.struct(key.alias("pr"), F.when(kind == "playbook", "fix_held").otherwise("ci_failure").alias("outcome"), url.alias("url"), text("exp_", key).alias("experience_id"))).alias("provenance"),
@@ -69,8 +75,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of parts that were returned."""
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_partkey % 3 = 0").select(F.col("l_partkey").alias("p_partkey"))
+    """Paths of all parts that were returned."""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").join(returned, "p_partkey", "left_semi").select(part_path().alias("path"))
 
 
@@ -80,6 +86,6 @@ rules AS (SELECT 'rule_' || p_partkey AS id, p_partkey, CASE WHEN p_size % 3 = 0
     CASE p_partkey % 4 WHEN 0 THEN path WHEN 1 THEN folder WHEN 2 THEN folder || '/*1.py' ELSE folder || '/**' END AS scope, folder, p_partkey % 4 AS form,
     round((p_partkey % 101) / 100.0, 2)::DOUBLE AS confidence, p_size::BIGINT AS evidence_count, CASE WHEN p_partkey % 5 = 1 THEN 'accepted' ELSE 'suggested' END AS review_label,
     CASE WHEN p_partkey % 5 = 1 THEN 'approved' ELSE 'pending' END AS review_decision, p_partkey % 2 = 0 AS human_review
-  FROM files WHERE p_partkey % 17 = 0 AND p_size % 5 <> 0),
-touched AS (SELECT DISTINCT path FROM files WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 3 = 0)),
-matches AS (SELECT DISTINCT t.path, r.id FROM touched t JOIN rules r ON CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE starts_with(t.path, r.folder || '/') END)"""
+  FROM files),
+touched AS (SELECT DISTINCT path, folder FROM files WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')),
+matches AS (SELECT DISTINCT t.path, r.id FROM touched t JOIN rules r ON t.folder = r.folder AND CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE starts_with(t.path, r.folder || '/') END)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outcomelake.functions import changes
 from outcomelake.functions import columns as C
-from outcomelake.operators import lifecycle, normalize
+from outcomelake.operators import coverage, lifecycle, normalize
 from outcomelake.sources import scans, sinks
 from outcomelake.sources.changes import touched_paths
 from outcomelake.streaming import ingest
@@ -77,16 +77,63 @@ def test_failure_rates(spark, tmp_path):
 
 
 def test_export_becomes_events(spark, tmp_path):
-    base = {"merged_at": "2026-01-02T00:00:00Z", "merge_commit": "0123456789ab", "files": ["src/a.py"]}
+    base = {"merged_at": "2026-01-02T00:00:00Z", "head_sha": "0123456789ab", "files": [{"filename": "src/a.py"}, "src/b.py"], "labels": [{"name": "ai"}, "x"], "author": {"login": "bot"}, "changed_files": 2}
+    own = "https://github.com/acme/shop/pull/"
     pulls = [
-        {"number": 1, **base, "check_runs": [{"name": "t", "conclusion": "failure"}, {"name": "u", "conclusion": "success"}]}, {"number": 2, **base},
-        {"number": 3, **base, "reverts": [{"commit": "c", "created_at": "2026-01-03T00:00:00Z", "message": 'Revert "x" (#3)'}, {"commit": "d", "message": "Revert #33"}]},
-        {"number": 4, **base, "review_comments": [{"path": "src/a.py", "marked": "Yes"}, {"path": "src/b.py", "marked": "no"}]},
-        {"number": 5, **base, "revert_scan_truncated": True}, {"number": 6, "files": ["x"]},
+        {"number": 1, **base, "check_runs": [{"name": "t", "conclusion": "failure", "paths": ["q.py"]}, {"name": "u", "conclusion": "", "status": "Failed", "output": {"summary": "sum"}, "html_url": f"{own}1/checks/2"}, {"name": "v", "conclusion": "success"}]},
+        {"number": 2, **base}, {"number": 3, **base, "reverts": [{"commit_sha": "c", "created_at": "2026-01-03T00:00:00Z", "message": "undo it"}], "marked_review_corrections": [{"message": "fix", "path": "src/z.py"}]},
+        {"number": 4, **base, "review_corrections": [{"marked": False}, {"marked": "Yes", "path": "src/a.py"}, {"requires_correction": True}]},
+        {"number": 5, **base, "revert_scan_truncated": True}, {"number": 6, "files": "x"}, {"number": 7, **base, "review_corrections": [{"marked": False}]},
+        {"pr": 8, **base, "checks": [{"check_name": "c8", "conclusion": "timed_out"}], "html_url": f"{own}8", "head_sha": None, "head": {"sha": "h"}},
     ]
-    (tmp_path / "x.json").write_text(json.dumps({"repo": "acme/shop", "pull_requests": pulls}))
+    (tmp_path / "x.json").write_text(json.dumps({"repo": {"owner": "acme", "name": "shop"}, "pull_requests": pulls}))
     got = scans.export_events(scans.read_export(spark, str(tmp_path / "x.json")))
-    assert sorted((r.pr, r.outcome_kind) for r in got.collect()) == [(1, "ci_failure"), (2, "merged_clean"), (3, "revert"), (4, "review_correction")]
+    rows = sorted(got.collect(), key=lambda r: (r.pr, r.outcome_kind, r.check_name))
+    assert [(r.pr, r.outcome_kind, r.check_name) for r in rows] == [
+        ("1", "ci_failure", "t"), ("1", "ci_failure", "u"), ("2", "merged_clean", "merge"), ("3", "revert", "revert"), ("3", "review_correction", "review_correction"),
+        ("4", "review_correction", "review_correction"), ("4", "review_correction", "review_correction"), ("7", "merged_clean", "merge"), ("8", "ci_failure", "c8"),
+    ]
+    assert rows[0].paths == ["q.py"] and rows[1].message == "sum" and rows[1].provenance_urls == [f"{own}1", f"{own}1/checks/2"] and rows[3].source_commit == "c" and rows[3].commit == "0123456789ab"
+    assert all(r.repo == "acme/shop" and r.actor == "bot" and r.labels == ["x", "ai"] for r in rows) and rows[4].signature_key == "src/z.py" and rows[8].commit == "h"
+    checked = normalize.normalized(got, normalize.AttributionPolicy(labels=("ai",))).collect()
+    assert {e for r in checked for e in r.errors} == {"recorded_at"} and sum(not r.errors for r in checked) == 3  # most items give no time
+
+
+def test_spellings_and_secret_names(spark, tmp_path):
+    flat = EVENTS[0] | {"metadata": {"api_key": "k", "note": "ghp_" + "a1B2" * 8, "merged_prs_since_last_ingest": 4}, "terminal": "held", "log": "boom"}
+    nested = {"repo": {"owner": "acme", "name": "shop"}, "recorded_at": flat["recorded_at"], "action": {"pr": 9, "commits": ["", "c9"]}, "context": {"paths": ["a.py"]}, "author": {"login": "Bot"}, "pr_labels": ["AI"], "outcome": {"kind": "revert", "terminal": "reverted", "signature": {"check": "chk"}}, "provenance": {"pr_url": "https://github.com/acme/shop/pull/9"}}
+    key = EVENTS[0] | {"pr": 10, "provenance_urls": ["https://github.com/acme/shop/pull/10"], "metadata": {"ghp_" + "a1B2" * 8: "v"}}
+    rows = {r.pr: r for r in normalize.normalized(scans.events_jsonl(spark, lines(tmp_path / "e.jsonl", [flat, nested, key])), normalize.AttributionPolicy(labels=("ai",))).collect()}
+    assert rows[140].metadata == {"api_key": "[REDACTED:secret]", "note": "[REDACTED:token]", "merged_prs_since_last_ingest": "4"} and rows[140].merged_since_ingest == 4
+    assert rows[140].terminal_state == "held" and rows[140].message.startswith("sha256:") and rows[10].errors == ["redaction"]
+    assert (rows[9].commit, rows[9].check_name, rows[9].attribution_method, rows[9].errors) == ("c9", "chk", "pr_label", [])
+
+
+@pytest.mark.parametrize(
+    ("glob", "path", "want"),
+    [("src/[^a].py", "src/b.py", True), ("src/[^a].py", "src/a.py", False), ("src/[ab", "src/a", None), ("a[z-a]", "az", None), ("a\\*b", "a*b", True), ("a\\*b", "axb", False), ("a?[b-d]/**", "axc/y/z", True), ("a?[b-d]/**", "axc", True), ("*.py", "x/y.py", False), ("a[]", "a]", None), ("a.b", "axb", False), ("[a\\-c]", "-", True), ("é*", "éa", True)],
+)
+def test_globs(spark, glob, path, want):
+    row = spark.createDataFrame([(glob, path)], "g string, p string").select(F.rlike("p", C.glob_regex(F.col("g"))).alias("r")).first()
+    assert row.r == want
+
+
+def test_recall(spark):
+    rules = spark.createDataFrame([("r1", ["./src/pay/"]), ("r2", ["src/*.py"]), ("r3", ["Big Words"]), ("r4", ["../x"])], "id string, scope_paths array<string>")
+    texts = [(1, "look at `src/pay/x.go`, first"), (2, "see src/a.py. ok"), (3, "some big words here"), (4, "src/pay first"), (5, None), (6, "nothing")]
+    got = coverage.recall_in_texts(spark.createDataFrame(texts, "context_id long, context string"), rules).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "r1"), (2, "r2"), (3, "r3"), (4, "r1")]
+
+
+def test_streamed_ingest(spark, tmp_path):
+    """Two runs over the same folder: new files are merged in, an event that comes again replaces its row."""
+    (tmp_path / "in").mkdir()
+    table, marks = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    for name, events in (("a", EVENTS), ("b", [EVENTS[0] | {"flake_discount": 0.5}, EVENTS[1] | {"pr": 0}])):
+        lines(tmp_path / "in" / f"{name}.json", [e | {"experience_id": f"exp_{e['pr']}"} for e in events])
+        query = ingest.ingest_stream(ingest.event_stream(spark, str(tmp_path / "in")), table, marks)
+        assert query.awaitTermination(240) and query.exception() is None
+    assert {r.pr: r.flake_discount for r in scans.experiences_parquet(spark, table).collect()} == {140: 0.5, 141: 0.0, 142: 0.0, 143: 0.0}
 
 
 def test_paths_of_changes(spark):
