@@ -418,17 +418,35 @@ def redaction_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(docs)
 
 
-@registered(f"WITH {RULES} SELECT p_partkey AS change_id, 'diff' AS input_kind, path FROM files")
+@registered(f"""WITH {RULES} SELECT p_partkey AS change_id, 'diff' AS input_kind, CASE WHEN p_partkey % 4 = 2 THEN 'sp ace/' ELSE '' END || path AS path FROM files
+UNION ALL SELECT p_partkey, 'diff', 'old/' || path FROM files WHERE p_partkey % 4 = 1""")
 def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = part_path()
-    body = text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n@@ -1,2 +1,2 @@\n keep\n--- old/path.py\n+++ new/path.py\n")
-    return changes.touched_paths(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), body.alias("content")))
-
-
-@registered(f"WITH {RULES} SELECT p_partkey AS change_id, 'plan' AS input_kind, path FROM files")
+    """Paths of diffs, one for every part: changed, renamed, quoted and new files, with content that looks like headers."""
+    path, key = part_path(), F.col("p_partkey")
+    hunk = "@@ -1,2 +1,2 @@\n keep\n--- old/path.py\n+++ new/path.py\n"
+    body = (
+        F.when(key % 4 == 0, text("diff --git a/", path, " b/", path, "\n--- a/", path, "\n+++ b/", path, "\n" + hunk))
+        .when(key % 4 == 1, text("diff --git a/old/", path, " b/", path, "\nsimilarity index 90%\nrename from old/", path, "\nrename to ", path, "\n--- a/old/", path, "\n+++ b/", path, "\n" + hunk))
+        .when(key % 4 == 2, text('diff --git "a/sp ace/', path, '" "b/sp ace/', path, '"\n--- "a/sp ace/', path, '"\n+++ "b/sp ace/', path, '"\n' + hunk))
+        .otherwise(text("--- /dev/null\n+++ b/", path, "\t2024-01-01\n@@ -0,0 +1 @@\n++++ b/fake.py\n"))
+    )
+    return changes.touched_paths(table(spark, sf_dir, "part").select(key.alias("change_id"), body.alias("content")))
+
+
+@registered(f"""WITH {RULES} SELECT p_partkey AS change_id, 'plan' AS input_kind, path FROM files UNION ALL SELECT p_partkey, 'plan', 'NOTICE' FROM files WHERE p_partkey % 6 = 5
+UNION ALL SELECT p_partkey, 'plan', 'notes/my file ' || p_partkey || '.md' FROM files WHERE p_partkey % 6 = 0""")
 def plan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = text("Run python3 scripts/check.py ", part_path(), " and compare https://example.com/a/b before release.")
-    return changes.touched_paths(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), body.alias("content")))
+    """Paths of plans, one for every part: in prose, in quotes, in JSON, as an option's value, behind a command, with fragments."""
+    path, key = part_path(), F.col("p_partkey")
+    body = (
+        F.when(key % 6 == 0, text("Please change `", path, "` and 'notes/my file ", key, ".md', nothing of Yes/No or example.org."))
+        .when(key % 6 == 1, text('{"Planned_Paths": ["', path, ':3"], "source": "x/y.py", "Summary": "done by 3/4 of J12/K7"}'))
+        .when(key % 6 == 2, text("Set LEVEL=debug/x, then edit ", path, "#L4; it closes shop/app#12."))
+        .when(key % 6 == 3, text("Build with --target=", path, " (e.g. today)."))
+        .when(key % 6 == 4, text("First bash tools/sync.sh ", path, ", as https://example.com/a/b.py says."))
+        .otherwise(text("NOTICE needs a line, and so does ", path, ":7:1!"))
+    )
+    return changes.touched_paths(table(spark, sf_dir, "part").select(key.alias("change_id"), body.alias("content")))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
