@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +35,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, *, label_col: str,
         chosen = known.orderBy("order", "id").limit(rows)
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return written(docs.join(F.broadcast(chosen.select("id", "label")), "id"), "labelled-sample")
+
+
+def kept_rows(documents: DataFrame, text_col: str, keep: Callable[[pa.Array], list[bool] | np.ndarray]) -> DataFrame:
+    """The rows of ``documents`` whose text passes ``keep``, a batch of texts at a time; columns of any name are kept."""
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

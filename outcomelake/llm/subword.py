@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, labelled_sample
+from .labelled import fold, kept_rows, labelled_sample
 
 #: Code points worked on at once (it bounds memory; texts are never cut).
 CHUNK_CHARS = 1 << 17
@@ -29,11 +29,12 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def feature_hashes(points: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, 32-bit hashes) of each kind of feature in a run of code points.
+def feature_hashes(points: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, 32-bit hashes) of each kind of feature in the code points of texts with a newline after each.
 
     The kinds are words, the word *again* where a word repeats the one before it, and for every given
-    length the character n-grams of words with a blank for the edges of a word.
+    length the character n-grams of words with a blank for the edges of a word. No feature goes over the end
+    of a text, so a text's features don't depend on the texts beside it.
     """
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     starts = ~blank
@@ -51,7 +52,8 @@ def feature_hashes(points: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tup
         total = np.concatenate((np.zeros(1, np.uint32), np.cumsum((points + np.uint32(1)) * power, dtype=np.uint32)))
         words = (total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint32)
         yield first, _spread(words + np.uint32(1))
-        again = np.flatnonzero(words[1:] == words[:-1]) + 1
+        owner = np.searchsorted(offsets, first, "right")
+        again = np.flatnonzero((words[1:] == words[:-1]) & (owner[1:] == owner[:-1])) + 1
         yield first[again], np.full(len(again), _spread(np.array([_AGAIN]))[0])
     for n in lengths:
         if len(points) < n:
@@ -63,6 +65,9 @@ def feature_hashes(points: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tup
             h += np.where(blank[j : j + size], np.uint32(32), points[j : j + size]) * _MULTIPLIERS[j]
             if 0 < j < n - 1:
                 inner &= ~blank[j : j + size]
+        for j in range(1, n):
+            over = offsets[1:] - j
+            inner[over[(over >= 0) & (over < size)]] = False
         at = np.flatnonzero(inner)
         yield at, _spread(h[at])
 
@@ -92,7 +97,7 @@ class SubwordModel:
         shift = np.uint32(32 - (len(self.gains) - 1).bit_length())
         texts, classes = len(offsets) - 1, self.gains.shape[1]
         total, count = np.zeros((texts, classes)), np.zeros(texts)
-        for at, hashes in feature_hashes(points, self.lengths):
+        for at, hashes in feature_hashes(points, offsets, self.lengths):
             if not len(at):
                 continue
             cuts = np.searchsorted(at, offsets)
@@ -124,7 +129,7 @@ def train(texts: list[str], classes: np.ndarray, n_classes: int, *, prior: np.nd
     documents = []
     for _, _, points, offsets in point_chunks(pa.array(texts, pa.string())):
         ids: list[list[np.ndarray]] = [[] for _ in range(len(offsets) - 1)]
-        for at, hashes in feature_hashes(points, lengths):
+        for at, hashes in feature_hashes(points, offsets, lengths):
             bucket, cuts = hashes >> shift, np.searchsorted(at, offsets)
             for i, own in enumerate(ids):
                 own.append(bucket[cuts[i] : cuts[i + 1]])
@@ -183,14 +188,13 @@ def quality_model(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc
 
 
 def without_low_quality(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose whole text is predicted good; one pass, no shuffle."""
-    model, at = quality_model(documents, labels, id_col=id_col, text_col=text_col), documents.columns.index(text_col)
+    """The rows of ``documents``, with all their columns, whose whole text is predicted good; one pass, no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.posteriors(batch.column(at))[:, 1] >= 0.5))
-
-    return documents.mapInArrow(run, documents.schema)
+    Null and empty texts, null ids and repeated rows are judged as :func:`quality_scores` does; columns of any
+    name are kept. Without a usable label every row stays; an empty table gives an empty result.
+    """
+    model = quality_model(documents, labels, id_col=id_col, text_col=text_col)
+    return kept_rows(documents, text_col, lambda texts: model.posteriors(texts)[:, 1] >= 0.5)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1, rows_per_class: int = 2000) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, labelled_sample
+from .labelled import fold, kept_rows, labelled_sample
 from ..sources.storage import written
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -260,15 +260,19 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose whole text is not predicted toxic; one pass, no shuffle."""
-    model, at = toxicity_model(documents, labels, id_col=id_col, text_col=text_col), documents.columns.index(text_col)
+    """The rows of ``documents``, with all their columns, whose whole text is not predicted toxic; one pass, no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(words_of(text.as_py() or ""), remembered) < 0.5 for text in batch.column(at)], pa.bool_()))
+    Null and empty texts, null ids and repeated rows are judged as :func:`toxicity_scores` does; columns of any
+    name are kept. Without labels of both classes all rows go or stay by the share of toxic labels; an empty
+    table gives an empty result.
+    """
+    model = toxicity_model(documents, labels, id_col=id_col, text_col=text_col)
+    remembered: dict[str, tuple[str, ...]] = {}  # every task gets its own, empty at first
+
+    def is_clean(texts: pa.Array) -> list[bool]:
+        return [model.score(words_of(text.as_py() or ""), remembered) < 0.5 for text in texts]
 
-    return documents.mapInArrow(run, documents.schema)
+    return kept_rows(documents, text_col, is_clean)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, fit_rows: int = 12_000) -> DataFrame:
