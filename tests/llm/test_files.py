@@ -12,7 +12,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from outcomelake.llm import chat, packing, warc
 from outcomelake.sources.storage import new_path
 
@@ -210,30 +209,3 @@ def test_layouts(spark):
     want = [*((i, t) for i, (_, t) in enumerate(cases)), (90, None), (91, None), (92, None), (1, plain), (None, plain)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert chat.format_records(table.limit(0)).count() == 0
-
-
-def test_pipeline_stages(spark):
-    """Each stage against what its operator's own results say about its input."""
-    from outcomelake.llm.minhash import near_duplicates
-    from outcomelake.llm.mixing import mix
-    from outcomelake.llm.queries import MIXTURE
-    from outcomelake.llm.subword import quality_scores
-    from outcomelake.llm.weak_supervision import toxicity_scores
-    from outcomelake.sources.storage import written
-
-    sf_dir = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    expected = [
-        lambda d: ids(toxicity_scores(d, labels).where("predicted = 0")),
-        lambda d: ids(quality_scores(d, labels).where("predicted = 1")),
-        lambda d: ids(near_duplicates(d, words=5, percent=80).where("kept")),
-        lambda d: sorted(i for r in mix(d, labels, weights=MIXTURE).collect() for i in [r.doc_id] * r.copies),
-    ]
-    for (_, stage), want in zip(corpus_pipeline.STAGES[:-1], expected, strict=True):
-        out = written(stage(spark, docs, sf_dir), "test-stage")
-        assert out.columns == docs.columns and ids(out) == want(docs)
-        docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
