@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return rows
 of ``documents`` with its columns; the last returns the pieces of the documents in packed sequences.
+
+Defined cases, alike in all stages: a null text counts as empty; rows with a null id are judged like others
+and never near-duplicates; of rows that repeat an id near-duplicate removal leaves one; ties keep the
+smallest id; an empty table gives an empty result; extra columns, whatever their names, are kept up to the
+last stage, which returns its own.
 """
 
 from __future__ import annotations
