@@ -15,7 +15,6 @@ TERMINAL_STATES = ("passed", "failed", "reverted", "corrected", "held")
 TERMINAL_BY_KIND = {"merged_clean": "passed", "ci_failure": "failed", "revert": "reverted", "review_correction": "corrected", "fix_held": "held"}
 CLASS_BY_KIND = {"revert": "revert", "review_correction": "review_correction", "ci_failure": "test_failure"}
 EXTRACTION_SCORES = {"structured": 1.0, "log_parsed_high": 0.85, "log_parsed_low": 0.45, "unknown": 0.2}
-EXTRACTION_METHODS = {"log_parsed_high": "log_parse", "log_parsed_low": "log_parse", "unknown": "revert_metadata"}
 ACTOR_KINDS = ("agent", "human", "uncertain")
 ATTRIBUTION_METHODS = ("bot_login", "coauthor_trailer", "pr_label", "manual", "uncertain")
 LIFECYCLE = ("candidate", "active", "stale", "contradicted", "retired")
@@ -90,14 +89,6 @@ def distinct_filled(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, trimmed), lambda x: x != ""))
 
 
-def sorted_distinct(c: Column) -> Column:
-    return F.array_sort(distinct_filled(c))
-
-
-def distinct_numbers(c: Column) -> Column:
-    return F.array_distinct(F.filter(c, lambda x: x != 0))
-
-
 def is_failure(kind: Column) -> Column:
     return kind.isin(*FAILURE_KINDS)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import LIFECYCLE, is_failure, lookup, pr_url_number, sha256
+from .recurrence import ranked
 
 #: What a review action makes of status, label and decision.
 REVIEWS = {
@@ -52,9 +53,33 @@ def status_counts(rules: DataFrame) -> DataFrame:
 
 
 def by_lifecycle(rules: DataFrame) -> DataFrame:
-    """Rules by state in the order of their life, unknown states last, then by id."""
+    """Rules with their place in the order of their life, unknown states last, then by id, and their state as a title."""
     place = F.array_position(F.array(*map(F.lit, LIFECYCLE)), F.col("status"))
-    return rules.orderBy(F.when(place == 0, len(LIFECYCLE) + 1).otherwise(place), "id")
+    return ranked(rules, F.when(place == 0, len(LIFECYCLE) + 1).otherwise(place), "id", name="place").withColumn("title", F.initcap("status"))
+
+
+def draft_summary(rules: DataFrame) -> DataFrame:
+    """(status, kind, review_label, drafts, least_confidence): drafted rules by state."""
+    return rules.groupBy("status", "kind", "review_label").agg(F.count("*").alias("drafts"), F.min("confidence").alias("least_confidence"))
+
+
+def merge_targets(actions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Merge actions (rule_id, target) with ``valid``: whether the target is another rule that exists and is not itself retired."""
+    alive = rules.where("status <> 'retired'").select(F.col("id").alias("target"), F.lit(True).alias("known"))
+    return actions.join(alive, "target", "left").select("rule_id", "target", (F.coalesce("known", F.lit(False)) & (F.col("rule_id") != F.col("target"))).alias("valid"))
+
+
+def compiled_context_id(chosen: DataFrame, target: str) -> DataFrame:
+    """One row: an id of a target and the rules compiled for it (200 at most, see :func:`compiled`), their confidences and addresses."""
+    line = F.concat_ws("|", "id", F.format_string("%.4f", F.col("confidence")), F.array_join(F.array_sort(F.transform("provenance", lambda p: p["url"])), ","))
+    lines = F.array_sort(F.collect_list(line))
+    return chosen.agg(sha256(F.concat(F.lit(target + "\n"), F.array_join(lines, "\n"))).alias("context_id"), F.count("*").alias("rules"))
+
+
+def latest_states(states: DataFrame) -> DataFrame:
+    """(change_id, diff_fingerprint, risk_level, generated_at): the newest advisory state of each change, for :func:`comment_decision`."""
+    newest = F.max(F.struct("generated_at", "diff_fingerprint", "risk_level")).alias("last")
+    return states.groupBy("change_id").agg(newest).select("change_id", "last.diff_fingerprint", "last.risk_level", "last.generated_at")
 
 
 def compiled(rules: DataFrame, most: int = 25) -> DataFrame:

@@ -182,12 +182,13 @@ def ranked(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
 
     Only one row a partition is ever brought together.
     """
-    placed = written(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("place", 33)
-    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn(name, F.col("before") + within + 1).drop("part", "place", "before")
+    placed = written(rows.orderBy(*order).withColumn("ranked at", F.monotonically_increasing_id()), "ranked").withColumn("ranked part", F.shiftright("`ranked at`", 33))
+    counts = placed.groupBy("ranked part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("ranked part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("ranked part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked before"))
+    within = F.col("ranked at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(starts), "ranked part").withColumn(name, F.col("ranked before") + within + 1)
+    return numbered.drop("ranked part", "ranked at", "ranked before")
 
 
 def mistake_members(pairs: DataFrame) -> DataFrame:
@@ -252,6 +253,18 @@ def citations(experiences: DataFrame, pairs: DataFrame) -> DataFrame:
     return last.select("pr", "last.url", "last.experience_id")
 
 
+def report_lists(experiences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(list, place, pr, experience_id): a report's pairs, flakes and uncertain records in the order in which it gives them."""
+    agent_flake = (F.col("actor_kind") == "agent") & is_failure(F.col("kind")) & is_discounted()
+    parts = {
+        "pairs": pairs.select(F.col("current_pr").alias("pr"), F.col("current_experience_id").alias("experience_id")),
+        "flakes": experiences.where(agent_flake).select("pr", "experience_id"),
+        "uncertain": experiences.where("actor_kind = 'uncertain'").select("pr", "experience_id"),
+    }
+    found = [ranked(rows, "pr", "experience_id", name="place").select(F.lit(name).alias("list"), "place", "pr", "experience_id") for name, rows in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def ingest_freshness(experiences: DataFrame) -> DataFrame:
     """One row: the latest ingest time, and of its rows the most pull requests merged since; nulls are ignored."""
     latest = experiences.where("last_ingest_at is not null").groupBy("last_ingest_at").agg(F.max("merged_since_ingest").alias("merged_since_ingest"))

@@ -506,6 +506,62 @@ def rule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.citation_errors(rules(spark, sf_dir).withColumn("provenance", cited)).select("id", F.array_join("errors", ",").alias("errors"))
 
 
+@registered(f"""{_ALL}, u AS (SELECT 'pairs' AS list, current_pr AS pr, current_experience_id AS experience_id FROM pairs UNION ALL SELECT 'uncertain', pr, experience_id FROM marked WHERE actor_kind = 'uncertain'
+  UNION ALL SELECT 'flakes', pr, experience_id FROM marked WHERE actor_kind = 'agent' AND kind IN ('ci_failure', 'revert', 'review_correction') AND (flake_discount > 0 OR heuristic))
+SELECT list, row_number() OVER (PARTITION BY list ORDER BY pr, experience_id) AS place, pr, experience_id FROM u""")
+def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _marked(spark, sf_dir)
+    return recurrence.report_lists(rows, recurrence.recurrence_pairs(rows))
+
+
+@registered(f"""WITH {RULES}, l AS (SELECT touched.path, string_split(folder, '/')[2] AS change_id, count(id) AS n FROM touched LEFT JOIN matches USING (path) GROUP BY 1, 2), b AS (SELECT *, max(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY change_id) AS bare FROM l)
+SELECT change_id, path FROM b WHERE bare = 0 OR n = 0""")
+def uncovered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's returned parts as a change: its paths without coverage, or all."""
+    found = coverage.path_coverage(touched(spark, sf_dir), rules(spark, sf_dir))
+    return coverage.uncovered_paths(found.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("change_id"), "path", "coverage"))
+
+
+@registered(f"WITH {RULES} SELECT row_number() OVER (ORDER BY list_position(['candidate', 'active', 'stale', 'contradicted', 'retired'], status), id) AS place, id, upper(status[1]) || status[2:] AS title FROM rules")
+def lifecycle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.by_lifecycle(rules(spark, sf_dir)).select("place", "id", "title")
+
+
+@registered(f"WITH {RULES} SELECT status, kind, review_label, count(*) AS drafts, min(confidence) AS least_confidence FROM rules GROUP BY 1, 2, 3")
+def draft_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.draft_summary(rules(spark, sf_dir))
+
+
+@registered(f"""WITH {RULES}, a AS (SELECT id AS rule_id, 'rule_' || CASE WHEN p_partkey % 7 = 0 THEN p_partkey WHEN p_partkey % 7 = 1 THEN -p_partkey - 1 ELSE p_partkey + 1 END AS target FROM rules)
+SELECT rule_id, target, rule_id <> target AND target IN (SELECT id FROM rules WHERE status <> 'retired') AS valid FROM a""")
+def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule to be merged: into the next one, itself or one that doesn't exist."""
+    own, key = rules(spark, sf_dir), F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    target = text("rule_", F.when(key % 7 == 0, key).when(key % 7 == 1, -key - 1).otherwise(key + 1))
+    return lifecycle.merge_targets(own.select(F.col("id").alias("rule_id"), target.alias("target")), own)
+
+
+@registered(f"""WITH {RULES}, c AS (SELECT id, confidence, p_partkey FROM rules WHERE status = 'active' AND review_label = 'accepted' AND human_review AND review_decision = 'approved' ORDER BY confidence DESC, id LIMIT 25)
+SELECT 'sha256:' || sha256('agents' || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY l), '')) AS context_id, count(*) AS rules FROM (SELECT concat_ws('|', id, printf('%.4f', confidence), 'https://github.com/acme/shop/pull/' || p_partkey) AS l FROM c)""")
+def compiled_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.compiled_context_id(lifecycle.compiled(rules(spark, sf_dir)), "agents")
+
+
+@registered(f"""WITH {EXPERIENCES} SELECT pr AS change_id, signature_id AS diff_fingerprint, kind AS risk_level, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS generated_at FROM exp
+QUALIFY row_number() OVER (PARTITION BY pr ORDER BY recorded_at DESC, signature_id DESC, kind DESC) = 1""")
+def advisory_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = experiences(spark, sf_dir).select(F.col("pr").alias("change_id"), F.col("signature_id").alias("diff_fingerprint"), F.col("kind").alias("risk_level"), F.col("recorded_at").alias("generated_at"))
+    return lifecycle.latest_states(states).withColumn("generated_at", C.rfc3339_text(F.col("generated_at")))
+
+
+@registered("SELECT o_orderkey, o_orderkey % 5 IN (0, 2, 4) AS reverted FROM orders")
+def revert_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit messages that revert a pull request by its number or a short hash, and some that only look so, one for every order."""
+    key = F.col("o_orderkey")
+    message = F.when(key % 5 == 0, text('Revert "x" (#', key, ")")).when(key % 5 == 1, text("Revert #", key, "1")).when(key % 5 == 2, text("This reverts commit x", key, "y.")).when(key % 5 == 3, text("undo #", key)).otherwise(text("revert of pull/", key, "."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.reverts_pull(message, key, F.array(text("x", key, "y"))).alias("reverted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

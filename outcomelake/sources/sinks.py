@@ -27,7 +27,8 @@ def upsert_experiences(fresh: DataFrame, path: str) -> None:
     """Rewrite just the months that ``fresh`` touches.
 
     The merged months are first written whole under a temporary path, so a failure before the swap leaves
-    the table as it was, and running it again gives the same table.
+    the table as it was. The swap is made month by month: a failure within it leaves some months new and some
+    old, and running it again gives the same table.
     """
     spark = fresh.sparkSession
     months = [r.month for r in fresh.select(F.date_format("recorded_at", "yyyy-MM").alias("month")).distinct().collect()]
@@ -49,6 +50,26 @@ def report_json(report: DataFrame) -> str:
     return json.dumps(json.loads(report.select(F.to_json(F.struct(*report.columns)).alias("r")).first().r), sort_keys=True, indent=2)
 
 
+def save_baseline(report: DataFrame, path: str) -> bool:
+    """Write the one-row report as the next runs' baseline, unless its gate failed; says whether it was written.
+
+    The row is computed and held before the old baseline is replaced, so a report that can't be computed leaves
+    it as it was.
+    """
+    row = report.select(F.to_json(F.struct(*report.columns)).alias("value"), "gate_status").first()
+    if row is None or row.gate_status == "failed":
+        return False
+    report.sparkSession.createDataFrame([(row.value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return True
+
+
+def report_text(report: DataFrame, kinds: DataFrame) -> str:
+    """The one-row report for people, with failures by kind in order; a kind is one of a fixed few."""
+    row = report.first()
+    lines = [f"Recurrence: {row.headline_err_percent} ({row.confirmed_recurrence_count} of {row.agent_failure_denominator} failures)", f"Possible: {row.possible_recurrence_count}"]
+    return "\n".join(lines + [f"{r.kind}: {r.failures}" for r in kinds.orderBy("kind").limit(100).collect()]) + "\n"
+
+
 def report_html(report: DataFrame) -> str:
     """The one-row report as a table; all text is escaped."""
     rows = "".join(f"<tr><th>{html.escape(k)}</th><td>{html.escape(str(v))}</td></tr>" for k, v in report.first().asDict().items())

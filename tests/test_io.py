@@ -183,3 +183,30 @@ def test_pages_and_blocks():
         sinks.upsert_block(sinks.END + sinks.BEGIN, "x")
     with pytest.raises(ValueError):
         lifecycle.compiled(None, 0)
+
+
+def test_baseline_is_written_unless_the_gate_failed(spark, tmp_path):
+    report = spark.createDataFrame([(0.25, "25.0%", 1, 4, 2, "d", "passed")], "headline_err double, headline_err_percent string, confirmed_recurrence_count long, agent_failure_denominator long, possible_recurrence_count long, source_digest string, gate_status string")
+    path = str(tmp_path / "baseline")
+    assert sinks.save_baseline(report, path) and scans.baseline(spark, path).first().baseline_err == 0.25
+    assert not sinks.save_baseline(report.withColumn("gate_status", F.lit("failed")).withColumn("headline_err", F.lit(0.9)), path)
+    assert scans.baseline(spark, path).first().baseline_err == 0.25
+    kinds = spark.createDataFrame([("revert", 2), ("ci_failure", 3)], "kind string, failures long")
+    assert sinks.report_text(report, kinds) == "Recurrence: 25.0% (1 of 4 failures)\nPossible: 2\nci_failure: 3\nrevert: 2\n"
+    assert json.loads(sinks.report_json(report))["headline_err"] == 0.25 and "&lt;" in sinks.report_html(report.withColumn("source_digest", F.lit("<b>")))
+
+
+def test_pages_rules_and_models(spark, tmp_path):
+    rules = spark.createDataFrame([("a`b", "avoid", "active", "s", ["x"], 0.5), ("c", "avoid", "stale", "t", ["x"], 0.25)], "id string, kind string, status string, statement string, scope_paths array<string>, confidence double")
+    assert "- ``a`b`` (avoid, active, 0.5): s" in sinks.memory_page(rules)
+    rules.write.parquet(str(tmp_path / "rules"))
+    assert [r.id for r in scans.rules_parquet(spark, str(tmp_path / "rules"), active_only=True).collect()] == ["a`b"]
+    comment = sinks.advisory_comment("match_high", ["a", "b", "c", "d"], "f1")
+    assert "outcomelake:advisory f1" in comment and "`c` and 1 more" in comment
+    (tmp_path / "m.bin").write_bytes(b"model")
+    path, digest = f"file:{tmp_path}/m.bin", __import__("hashlib").sha256(b"model").hexdigest()
+    manifest = spark.createDataFrame([(path, digest.upper()), (path, "0"), ("file:/none", digest)], "path string, sha256 string")
+    assert sorted((r.sha256, r.verified) for r in scans.models_on_disk(spark, f"{tmp_path}/m.bin", manifest).collect()) == sorted([(digest.upper(), True), ("0", False), (digest, False)])
+    cases = spark.createDataFrame([("agent", "agent"), ("human", "agent"), ("uncertain", "agent")], "expected string, actual string")
+    assert tuple(normalize.attribution_precision(cases).first()) == (3, 2, 0.5)
+    assert [r.r for r in spark.createDataFrame([("Co-authored-by: A Bot <a@b>\r\nx\nco-authored-by: A Bot <c>",)], "m string").select(scans.coauthors(F.col("m")).alias("r")).collect()] == [["A Bot"]]
