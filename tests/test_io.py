@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outcomelake.functions import changes
 from outcomelake.functions import columns as C
 from outcomelake.operators import coverage, lifecycle, normalize
-from outcomelake.sources import scans, sinks
+from outcomelake.sources import scans, sinks, storage
 from outcomelake.sources.changes import touched_paths
 from outcomelake.streaming import ingest
 
@@ -210,3 +210,13 @@ def test_pages_rules_and_models(spark, tmp_path):
     cases = spark.createDataFrame([("agent", "agent"), ("human", "agent"), ("uncertain", "agent")], "expected string, actual string")
     assert tuple(normalize.attribution_precision(cases).first()) == (3, 2, 0.5)
     assert [r.r for r in spark.createDataFrame([("Co-authored-by: A Bot <a@b>\r\nx\nco-authored-by: A Bot <c>",)], "m string").select(scans.coauthors(F.col("m")).alias("r")).collect()] == [["A Bot"]]
+
+
+def test_shared_folder(spark, monkeypatch):
+    path = storage.new_path(spark, "x")
+    assert path != storage.new_path(spark, "x") and path.startswith(storage.shared_dir(spark))
+    kept = storage.written(spark.range(3).toDF("id"), "kept")
+    assert kept.count() == 3
+    monkeypatch.setattr(storage, "_own_dir", lambda s: f"{storage.shared_dir(s)}/outcomelake-test")  # not what other tests read
+    storage.written(spark.range(3).toDF("id"), "gone")
+    assert storage.clear_shared(spark) and not storage.clear_shared(spark) and kept.count() == 3
