@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations
 from .cross_polytope import near_vectors
 from .license_templates import license_scan
+from .line_dedup import without_common_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .periodic_runs import periodic_runs, with_planted_periods
 from .rule_trees import quality_rules
 from ..sources.storage import new_path
 from .subword import quality_scores
+from .vector_codes import digest_of, vector_codes
 from .warc import read_archives, write_archives
 from .weak_supervision import toxicity_scores
 
@@ -82,6 +86,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 12 words in all ``documents``, a tenth of them made periodic, and digests of what remains."""
+    found = periodic_runs(_table(spark, sf_dir, "documents"), least_length=12, rewrite=with_planted_periods)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    every = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("one", first)
+    longest = {"start": -F.col("one.start"), "length": F.col("one.length"), "period": -F.col("one.period"), "exponent_milli": F.expr("1000 * one.length div -one.period")}
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(c.alias(n) for n, c in longest.items()), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters or more that five ``documents`` or more share, dropped but for their last holder."""
+    kept = without_common_lines(_table(spark, sf_dir, "documents"), least_documents=5, least_chars=40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all ``embeddings``: 16 parts, 64 entries each, two rounds."""
+    coded, codebooks = vector_codes(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest_of(codebooks)).alias("codebooks_sha256"))
+
+
 #: What reaches a document or vector through links, and the columns that follow from it.
 _REACHED = """reach(id, other) AS (SELECT id, id FROM ids UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
 c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
@@ -109,9 +135,33 @@ l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b
 SELECT c.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, c.id = component_id AS kept FROM c LEFT JOIN n USING (id)""",
 }
 
+_SQL["op12_line_dedup"] = """WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents), l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5), d AS (SELECT k.*, c.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY r, doc_id"""
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments a1 .. and the codebooks after each, as common table expressions over the parts p and the first codebooks e0."""
+    out = ""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT vec_id, label, p.part, any_value(p.v) AS v, min(64 * d + entry) AS best FROM (SELECT p.*, entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - e.v[i]) * (p.v[i] - e.v[i])))::BIGINT AS d FROM p JOIN e{i} e ON p.part = e.part) p GROUP BY ALL)"""
+        if i < rounds:
+            out += f""", m{i} AS (SELECT part, best % 64 AS entry, place, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT part, best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY ALL),
+e{i + 1} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(n.v, e.v) AS v FROM e{i} e LEFT JOIN (SELECT part, entry, list(x ORDER BY place) AS v FROM m{i} GROUP BY ALL) n ON n.part = e.part AND n.entry = e.entry)"""
+    return out
+
+
+_SQL["op13_vector_codes"] = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS v FROM k, range(16) r(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT DISTINCT vec_id FROM k) ORDER BY vec_id LIMIT 64), e0 AS MATERIALIZED (SELECT part, entry, v FROM p JOIN f USING (vec_id)){_rounds_sql(2)},
+c AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op7_license_scans, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_best_fit_packing, op7_license_scans, op8_mixing, op9_chat_formatting, op10_minhash_near_dedup, op11_periodic_runs, op12_line_dedup, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
