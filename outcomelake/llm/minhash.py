@@ -129,13 +129,13 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     column = np.concatenate(([0], np.cumsum(flat[1:] != flat[:-1])))
     shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], column[shared]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.int32)
     at = 0
     while at < len(column):
         end = int(np.searchsorted(column, column[at] + COLUMNS, "left"))
         present = np.zeros((len(sets), int(column[end - 1] - column[at]) + 1), np.float32)
         present[owner[at:end], column[at:end] - column[at]] = 1
-        common += present @ present.T
+        common += (present @ present.T).astype(np.int32)
         at = end
     return common
 
@@ -261,7 +261,8 @@ def _by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents``, with all their columns, that near-duplicate removal keeps: one a group.
 
-    Of rows that repeat an id one stays, too. Rows with a null id all stay, and so does one row of each null or
+    Of rows that repeat an id the one with the least text stays, too (of those with one text, the one
+    whose columns have the least hash). Rows with a null id all stay, and so does one row of each null or
     empty text's id, since they link with nothing. Columns of any name are kept; an empty table gives an empty result.
     """
     found = written(near_duplicates(documents, id_col=id_col, text_col=text_col, words=words, percent=percent).withColumnRenamed(id_col, "id"), "minhash-result")
@@ -269,5 +270,11 @@ def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated = written(found.where("kept and id is not null").groupBy("id").count().where("count > 1").select("id"), "minhash-repeated")
     if repeated.isEmpty():
         return left
-    once = _by_ids(left, repeated, id_col, "left_semi").dropDuplicates([id_col])
+    # Tasks keep one row an id before anything is shuffled.
+    again = _by_ids(left, repeated, id_col, "left_semi")
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(again.columns)]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(again.columns)))))
+    once = again.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min_by(F.struct(*own), F.struct(text, rest)).alias("row"))
+    once = once.select("row.*").toDF(*again.columns)
     return _by_ids(left, repeated, id_col, "left_anti").unionByName(once)

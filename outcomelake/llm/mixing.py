@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..sources.storage import written
+from .labelled import MOST_BYTES, one_text_each, within_bytes
 from .subword import SubwordModel, train
 from .text_kernels import BLANKS, text_chunks
 
-#: Domains are few; more than this is refused, since each costs a column of sums a round.
-MOST_DOMAINS = 64
-
+#: More domains than this are an error, since every document carries a posterior for each.
+MOST_DOMAINS = 4096
+#: Up to so many domains each is a column of the sums; beyond it the sums are rows.
+COLUMN_DOMAINS = 64
+#: Documents that the classifier is fitted on, over all domains.
+MOST_ROWS = 32_000
+#: Rounds after which the documents' state is written, so that no round goes over more rounds than these again.
+KEEP_ROUNDS = 10
 
 #: Columns that are added while documents are rated; no column of theirs is lost if it has such a name.
 TOKENS, POSTERIORS = "mixing tokens", "mixing posteriors"
@@ -40,31 +46,55 @@ def _memberships(model: SubwordModel, text_at: int, keep: list[int]):
 def domain_model(documents: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, domain_col: str, rows_per_domain: int) -> tuple[list[str], SubwordModel]:
     """Domains, and a classifier of texts fitted on documents that the label table covers.
 
-    At most ``rows_per_domain`` documents of each domain serve, those with the smallest hashes of their
-    ids. Documents of a null domain serve for none.
+    At most ``rows_per_domain`` documents of each domain serve (:data:`MOST_ROWS` over all domains, and texts of
+    :data:`~.labelled.MOST_BYTES`), those with the smallest hashes of their ids. Documents of a null domain serve for
+    none; of rows that repeat id and domain the text with the least hash serves alone.
     """
-    named = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{domain_col}`").cast("string").alias("domain")).where("id is not null and domain is not null").distinct()
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{domain_col}`").cast("string").alias("domain"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    named = docs.select("id", "domain").where("id is not null and domain is not null").distinct()
     known = written(named.join(labels.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id"), "mixing-labelled")
     domains = sorted(r.domain for r in known.select("domain").distinct().limit(MOST_DOMAINS + 1).collect())
     if len(domains) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
-    chosen = None
-    for domain in domains:
-        own = known.where(F.col("domain") == domain).orderBy(F.xxhash64("id"), "id").limit(rows_per_domain)
-        chosen = own if chosen is None else chosen.unionByName(own)
     if len(domains) < 2:
         return domains or ["all"], SubwordModel(np.zeros((2, max(1, len(domains))), np.float32), np.zeros(max(1, len(domains))), ())
-    texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").orderBy("id", "text", "domain").toPandas()
+    most = max(1, min(rows_per_domain, MOST_ROWS // len(domains)))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("order", "id"))
+    chosen = known.withColumn("order", F.xxhash64("id")).withColumn("place", place).where(F.col("place") <= most)
+    sample = written(one_text_each(docs.join(F.broadcast(chosen), ["id", "domain"]), ["id", "domain"], ["place"]), "mixing-sample")
+    sample = within_bytes(sample, MOST_BYTES, ["place", "domain", "id"]).orderBy("id", "text", "domain").toPandas()
     classes = sample.domain.map({d: i for i, d in enumerate(domains)}).to_numpy(np.int64)
     return domains, train(sample.text.tolist(), classes, len(domains), lengths=(3,), buckets=1 << 16, least_steps=600)
 
 
-def pull_matrix(memberships: DataFrame, k: int) -> np.ndarray:
-    """sum_i (n_i / N) p_i p_i', whose eigenvalues say how fast the rates of the domains move."""
+def domain_sums(memberships: DataFrame, weight: Column, k: int) -> np.ndarray:
+    """The sum over all documents of a weight times each of the posteriors; zeros of no documents."""
+    if k <= COLUMN_DOMAINS:
+        row = memberships.agg(*(F.sum(weight * F.col("posteriors")[d]).alias(f"d{d}") for d in range(k))).first()
+        return np.array([x or 0.0 for x in row], dtype=np.float64)
+    rows = memberships.select(weight.alias("weight"), "posteriors").select("weight", F.posexplode("posteriors").alias("domain", "p"))
+    out = np.zeros(k)
+    for row in rows.groupBy("domain").agg(F.sum(F.col("weight") * F.col("p")).alias("s")).collect():
+        out[row.domain] = row.s or 0.0
+    return out
+
+
+def extreme_pulls(memberships: DataFrame, total: float, k: int) -> tuple[float, float]:
+    """Bounds of the eigenvalues of sum_i (n_i / N) p_i p_i', which say how fast the rates of the domains move.
+
+    Up to :data:`COLUMN_DOMAINS` domains the matrix is summed up. Its rows add up to the domains' parts, the
+    greatest of which is no less than any eigenvalue; this serves beyond.
+    """
+    if k > COLUMN_DOMAINS:
+        return 0.0, float(domain_sums(memberships, F.col("tokens") / F.lit(total), k).max())
+    matrix = np.array([domain_sums(memberships, F.col("tokens") / F.lit(total) * F.col("posteriors")[i], k) for i in range(k)]) if k <= 8 else _pull_matrix(memberships, total, k)
+    values = np.linalg.eigvalsh(matrix)
+    return float(values[0]), float(values[-1])
+
+
+def _pull_matrix(memberships: DataFrame, total: float, k: int) -> np.ndarray:
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total = F.sum("tokens")
-    sums = memberships.agg(*((F.sum(F.col("tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]) / total).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    sums = memberships.agg(*(F.sum(F.col("tokens") / F.lit(total) * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"m{i}_{j}") for i, j in pairs)).first()
     out = np.zeros((k, k))
     for i, j in pairs:
         out[i, j] = out[j, i] = sums[f"m{i}_{j}"] or 0.0
@@ -78,30 +108,39 @@ def fit_rates(memberships: DataFrame, targets: np.ndarray, *, ridge: float = 1e-
     |sum_i (n_i / N) p_i r_i - targets|^2 + ridge * sum_i (n_i / N) (r_i - 1)^2. In the metric that weighs
     a document by its tokens, a projected gradient step for document i reads p_i . residual and its own
     rate only. So a rate follows from the residuals so far, and a round is one sum over the documents of
-    as many numbers as there are domains; rates are never stored or moved. The step and the momentum come
-    from the extreme eigenvalues of :func:`pull_matrix`. Rounds end when no domain's share is further than
+    as many numbers as there are domains. Every :data:`KEEP_ROUNDS` rounds tokens, posteriors and the state of each
+    document are written, so that the rounds' cost grows with their number only. The step and the momentum come
+    from :func:`extreme_pulls`. Rounds end when no domain's share is further than
     ``tolerance`` from its target or from its last value's by a hundredth of that.
     """
     k = len(targets)
     total = memberships.agg(F.sum("tokens").alias("n")).first().n or 0
     if not total:
         return F.lit(1.0)
-    values = np.linalg.eigvalsh(pull_matrix(memberships, k)) + ridge
-    step, spread = 1 / values[-1], np.sqrt(values[-1] / max(values[0], ridge))
+    least, most = (x + ridge for x in extreme_pulls(memberships, float(total), k))
+    step, spread = 1 / most, np.sqrt(most / max(least, ridge))
     momentum = float((spread - 1) / (spread + 1))
     history: list[np.ndarray] = []
+    kept = 0
+    state = memberships.select("tokens", "posteriors").withColumn("state", first_state())
     for _ in range(most_rounds):
-        ahead = rate_column(history, step, momentum, ridge)["point"]
-        sums = memberships.agg(*((F.sum(F.col("tokens") * ahead * F.col("posteriors")[d]) / float(total)).alias(f"d{d}") for d in range(k))).first()
-        history.append(np.array([sums[d] or 0.0 for d in range(k)]) - targets)
+        if len(history) - kept == KEEP_ROUNDS:
+            state = written(state.withColumn("state", rate_column(history[kept:], step, momentum, ridge, F.col("state"))), "mixing-state")
+            kept = len(history)
+        ahead = rate_column(history[kept:], step, momentum, ridge, F.col("state"))["point"]
+        history.append(domain_sums(state, F.col("tokens") / F.lit(float(total)) * ahead, k) - targets)
         if np.abs(history[-1]).max() <= tolerance or (len(history) > 1 and np.abs(history[-1] - history[-2]).max() <= tolerance / 100):
             break
-    return rate_column(history, step, momentum, ridge)["rate"]
+    return rate_column(history, step, momentum, ridge, first_state())["rate"]
+
 
+def first_state() -> Column:
+    """A document's rate, and the point at which the next step is taken, before the first round."""
+    return F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
 
-def rate_column(history: list[np.ndarray], step: float, momentum: float, ridge: float) -> Column:
-    """A struct of a document's rate after the given residuals and the point at which the next is taken."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
+
+def rate_column(history: list[np.ndarray], step: float, momentum: float, ridge: float, start: Column) -> Column:
+    """A document's state after the given residuals, from the state ``start`` on."""
     if not history:
         return start
 
@@ -130,9 +169,8 @@ def targets_of(domains: list[str], weights: dict[str, float] | None, present: np
 
 def present_parts(memberships: DataFrame, k: int) -> np.ndarray:
     """The domains' expected parts of the tokens before mixing; equal ones of no tokens."""
-    total = F.sum(F.col("tokens")).cast("double")
-    row = memberships.agg(*(F.try_divide(F.sum(F.col("tokens") * F.col("posteriors")[d]), total).alias(f"p{d}") for d in range(k))).first()
-    return np.full(k, 1 / k) if row[0] is None else np.array(list(row), dtype=np.float64)
+    total = memberships.agg(F.sum("tokens").alias("n")).first().n or 0
+    return domain_sums(memberships, F.col("tokens") / F.lit(float(total)), k) if total else np.full(k, 1 / k)
 
 
 def _rated(documents: DataFrame, labels: DataFrame, *, keep: list[str], id_col: str, text_col: str, domain_col: str, weights: dict[str, float] | None, rows_per_domain: int, ridge: float) -> DataFrame:
@@ -169,8 +207,8 @@ def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     Defined cases: a null or empty text has no tokens and rate as its posteriors say. A null id is mixed
     by the hash of null. Repeated rows are rated alike. With fewer than two domains all rates are near 1.
-    Weights of unknown domains are left out and the rest scaled to sum 1. Other columns are ignored. An
-    empty table gives an empty result.
+    Weights of unknown domains are left out and the rest scaled to sum 1. More than :data:`MOST_DOMAINS` domains
+    are an error. Other columns are ignored. An empty table gives an empty result.
     """
     rated = _rated(documents, labels, keep=[], id_col=id_col, text_col=text_col, domain_col=domain_col, weights=weights, rows_per_domain=rows_per_domain, ridge=ridge)
     return rated.select(F.col("id").alias(id_col), "tokens", "posteriors", "rate", "copies")
@@ -178,9 +216,10 @@ def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def mixture_residual(mixed_rows: DataFrame, targets: np.ndarray) -> np.ndarray:
     """By how much each domain's expected part of the tokens, at the rates of :func:`mix`, is off its target."""
-    total = F.sum("tokens").cast("double")
-    row = mixed_rows.agg(*(F.try_divide(F.sum(F.col("tokens") * F.col("rate") * F.col("posteriors")[d]), total).alias(f"p{d}") for d in range(len(targets)))).first()
-    return np.array([x or 0.0 for x in row], dtype=np.float64) - targets
+    total = mixed_rows.agg(F.sum("tokens").alias("n")).first().n or 0
+    if not total:
+        return -targets
+    return domain_sums(mixed_rows, F.col("tokens") / F.lit(float(total)) * F.col("rate"), len(targets)) - targets
 
 
 def mixed(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", weights: dict[str, float] | None = None, rows_per_domain: int = 500, ridge: float = 1e-4) -> DataFrame:

@@ -193,13 +193,14 @@ def quality_rules(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc
 
     Defined cases: a null or empty text has counts of 0 and fails the base rules. Without labels of both
     classes every score is 1, so the base rules decide alone. Null ids and repeated rows are judged like
-    others. Other columns are ignored. An empty table gives an empty result.
+    others; of rows that repeat an id, the trees are fitted on the one with the least counts. Other columns are ignored. An empty table gives an empty result.
     """
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = written(docs.mapInArrow(_count, "id long, " + ", ".join(f"{c} long" for c in COUNTS)), "rules-counts")
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label")).where((fold(F.col("id"), folds) != held_out) & F.col("label").isNotNull())
     known = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    sample = counted.join(F.broadcast(known), "id").orderBy("id").toPandas()
+    sample = counted.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct(*COUNTS)).alias("least"), F.first("label").alias("label"))
+    sample = sample.select("id", "label", "least.*").orderBy("id").toPandas()
     trees = None
     if sample.label.nunique() == 2:
         trees = boost(inputs({c: sample[c].to_numpy() for c in COUNTS}), sample.label.to_numpy(np.float64), tuple(d for _, d in FEATURES))

@@ -70,12 +70,20 @@ def mine_terms(sample: DataFrame, most: int, expected_false: float = 0.3) -> lis
         total += by_size[n]
         at_least[n] = total
     likely = counts.where(F.col("toxic") * (1 - share) >= 4 * share * F.col("clean")).where("toxic >= 9 * clean")
-    found = []
-    for row in likely.orderBy(F.desc("toxic"), "clean", "term").limit(50 * most).collect():
-        n = row.toxic + row.clean
-        if _log_tail(row.toxic, n, share) + np.log(at_least[n]) <= np.log(expected_false):
-            found.append((row.term, row.toxic, row.clean))
-    return found[:most]
+    chance = likely.mapInArrow(_unlikely(share, at_least, expected_false), "term string, toxic long, clean long")
+    return [tuple(r) for r in chance.orderBy(F.desc("toxic"), "clean", "term").limit(most).collect()]
+
+
+def _unlikely(share: float, at_least: dict[int, int], expected_false: float):
+    """The terms whose toxic documents are too many for chance, given how many terms stand in as many documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, clean = batch["toxic"].to_numpy(), batch["clean"].to_numpy()
+            kept = [_log_tail(int(t), int(t + c), share) + np.log(at_least[int(t + c)]) <= np.log(expected_false) for t, c in zip(toxic, clean, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
 
 
 PATTERNS = ("shouting", "exclaiming", "several_terms", "two_terms", "no_term", "short_clean")
@@ -113,53 +121,164 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
 
 
-def fit_label_model(votes: np.ndarray, prior: float, *, rounds: int = 20, smoothing: float = 0.5, strength: float = 80.0, tolerance: float = 1e-4) -> LabelModel:
+def near_copies(hot: np.ndarray, agreement: float = 0.98) -> list[int]:
+    """For each voter itself, or an earlier one that gives the same vote in that share of the rows where either votes."""
+    votes = hot[:, :, :2].reshape(len(hot), -1)
+    both = (votes.T @ votes).reshape(hot.shape[1], 2, hot.shape[1], 2)
+    same = both[:, 0, :, 0] + both[:, 1, :, 1]
+    cast = same.diagonal()
+    either = cast[:, None] + cast - both.sum((1, 3))
+    first = []
+    for j in range(hot.shape[1]):
+        like = [i for i in range(j) if first[i] == i and either[i, j] and same[i, j] >= agreement * either[i, j]]
+        first.append(like[0] if like else j)
+    return first
+
+
+def triple_moments(signed: np.ndarray, prior: float, most_z: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(d, dependent pairs): each voter's mean vote over toxic rows less that over clean rows, without labels.
+
+    Of voters that err independently the covariance is prior * (1 - prior) * d_i * d_j, so three of them give
+    d_i from their three covariances; the median over all pairs of others is taken. The pair whose covariance
+    is furthest from its product, if by more than ``most_z`` standard errors, is dependent and left out, and all is
+    measured again.
+    """
+    n, voters = signed.shape
+    spread = prior * (1 - prior)
+    covariance = np.cov(signed, rowvar=False, bias=True).reshape(voters, voters)
+    deviation = np.sqrt(np.maximum(covariance.diagonal(), 1e-12))
+    error = np.outer(deviation, deviation) / np.sqrt(n)
+    free, dependent = ~np.eye(voters, dtype=bool), []
+    while True:
+        clear = free & (np.abs(covariance) > 2 * error)
+        d = np.zeros(voters)
+        for i in range(voters):
+            others = np.flatnonzero(free[i])
+            j, k = np.array([(j, k) for a, j in enumerate(others) for k in others[a + 1 :] if clear[j, k]], dtype=np.int64).reshape(-1, 2).T
+            if len(j):
+                d[i] = np.median(np.sqrt(np.maximum(covariance[i, j] * covariance[i, k] / covariance[j, k], 0) / spread))
+            elif len(others):
+                d[i] = np.sqrt(max(covariance[i, others].max(), 0) / spread)
+        off = np.where(free, (covariance - spread * np.outer(d, d)) / error, 0)
+        i, j = np.unravel_index(np.abs(off).argmax(), off.shape) if voters > 3 else (0, 0)
+        if abs(off[i, j]) <= most_z or len(dependent) >= voters * (voters - 1) // 4:
+            return d, dependent
+        free[i, j] = free[j, i] = False
+        dependent.append((int(i), int(j)))
+
+
+def _forest(weight: np.ndarray) -> list[int]:
+    """Parents in the forest of greatest total weight; pairs without a positive weight are not joined."""
+    voters = len(weight)
+    group, joined = list(range(voters)), [[] for _ in range(voters)]
+    for i, j in sorted(zip(*np.nonzero(np.triu(weight > 0, 1)), strict=True), key=lambda p: -weight[p]):
+        if group[i] != group[j]:
+            old, new = group[j], group[i]
+            group = [new if g == old else g for g in group]
+            joined[i].append(int(j))
+            joined[j].append(int(i))
+    parents, seen = [-1] * voters, set()
+    for root in range(voters):
+        stack = [root] if root not in seen else []
+        while stack:
+            at = stack.pop()
+            seen.add(at)
+            for other in joined[at]:
+                if other not in seen:
+                    parents[other] = at
+                    stack.append(other)
+    return parents
+
+
+def fit_label_model(votes: np.ndarray, prior: float, *, rounds: int = 5000, smoothing: float = 0.5, strength: float = 80.0, tolerance: float = 1e-4, structures: int = 3) -> LabelModel:
     """Accuracies and correlations of the voters, from how they agree; labels give the share ``prior`` of toxic rows alone.
 
-    Expectation-maximisation starts from independent voters that are all alike: a vote multiplies the odds of
-    its class by ``strength``, which only says what a vote for a class means. Every round
-    measures, under the current posteriors, each voter's table of votes and each pair's conditional mutual
-    information; the strongest dependencies, as a spanning tree, become parents, so that voters which
-    repeat one another do not count twice. Rounds end when no posterior moves by more than ``tolerance``.
+    Voters that all but repeat an earlier one hang on it from the start. For the others :func:`triple_moments` gives
+    what a vote says of the class, and which pairs depend on one another; expectation-maximisation goes on from
+    there until no posterior moves by more than ``tolerance``. Then each pair's mutual information, given the class, is
+    measured: pairs whose information pays for its parameters (by the Bayesian information criterion) are joined in
+    a forest, in which a voter's table has its parent's vote as a condition, and the model is fitted again,
+    ``structures`` times at most. Where moments tell nothing of a voter, a vote multiplies the odds of its class by
+    ``strength`` at the start. Equal rows of votes are worked on once.
     """
-    n, voters = votes.shape
+    votes, counts = np.unique(votes, axis=0, return_counts=True)
+    n, voters = int(counts.sum()), votes.shape[1]
     hot = (votes[:, :, None] == np.arange(3)).astype(np.float64)
+    first = near_copies(hot * np.sqrt(counts)[:, None, None])
+    own = [j for j in range(voters) if first[j] == j]
+    signed = np.repeat(hot[:, own, TOXIC] - hot[:, own, CLEAN], counts, axis=0)
+    d, dependent = triple_moments(signed, prior, np.sqrt(2 * np.log(n) + 2 * np.log(max(2, len(own)))))
+    used = {j: values for j, values in enumerate((hot.any(0)).sum(1))}
+    weight = np.zeros((voters, voters))
+    covariance = np.cov(signed, rowvar=False, bias=True).reshape(len(own), len(own))
+    for i, j in dependent:
+        weight[own[i], own[j]] = weight[own[j], own[i]] = 1e-9 + abs(covariance[i, j] - prior * (1 - prior) * d[i] * d[j]) / np.sqrt(max(covariance[i, i] * covariance[j, j], 1e-12))
+    copied = [(first[j], j) for j in range(voters) if first[j] != j]
+
+    def parents_of(weight: np.ndarray) -> list[int]:
+        weight = weight.copy()
+        for i, j in copied:
+            weight[j], weight[:, j] = 0, 0
+        for i, j in copied:
+            weight[i, j] = weight[j, i] = np.inf
+        return _forest(weight)
+
+    def tables_of(parents: list[int], q: np.ndarray) -> np.ndarray:
+        tables = np.empty((voters, 2, 3, 3))
+        for j, parent in enumerate(parents):
+            code = votes[:, j] + 3 * (votes[:, parent] if parent >= 0 else 0)
+            for c, w in enumerate(((1 - q) * counts, q * counts)):
+                found = np.bincount(code, weights=w, minlength=9).reshape(3, 3)
+                tables[j, c] = (found if parent >= 0 else found[:1].repeat(3, axis=0)) + smoothing
+        return tables / tables.sum(-1, keepdims=True)
+
+    # What each vote says of the class: its share in either class by its covariance with the other voters.
+    start = np.empty((voters, 2, 3))
     odds = prior / (1 - prior) * np.array([1 / strength, strength, 1.0])  # of rows with a vote CLEAN, TOXIC, ABSTAIN
+    shares = (hot * counts[:, None, None]).sum(0) / n
     toxic = odds / (1 + odds)
-    start = np.stack((1 - toxic, toxic)) * hot.sum(0)[:, None, :] + smoothing
+    bound = {frozenset((own[i], own[j])) for i, j in dependent}
+    centred = signed - signed.mean(0)
+    for j in range(voters):
+        others = [i for i in range(len(own)) if own[i] != first[j] and frozenset((own[i], first[j])) not in bound]
+        square = float((d[others] ** 2).sum())
+        if square > 1e-3 and d[own.index(first[j])] > 0:
+            with_others = np.repeat(hot[:, j], counts, axis=0).T @ centred[:, others] / n
+            shift = with_others @ d[others] / (prior * (1 - prior) * square)
+            start[j] = np.clip(shares[j] + np.outer([-prior, 1 - prior], shift), 1e-3, 1)
+            start[j][:, shares[j] == 0] = 1e-6
+        else:
+            start[j] = np.stack((1 - toxic, toxic)) * shares[j] + 1e-6
     start /= start.sum(-1, keepdims=True)
-    model = LabelModel(prior, [-1] * voters, np.repeat(start[:, :, None, :], 3, axis=2), np.empty(0), np.empty(0))
-    q = model.posterior(votes)
-    flat = hot.reshape(n, -1)
-    for _ in range(rounds):
-        joint = []
-        for w in (1 - q, q):
-            both = (flat * w[:, None]).T @ flat
-            joint.append(both.reshape(voters, 3, voters, 3).transpose(0, 2, 1, 3))  # own, other, own vote, other vote
-        joint = np.stack(joint)  # class first
-        p = (joint + smoothing / 9) / (n + smoothing * 2)
-        own, other = p.sum(4, keepdims=True), p.sum(3, keepdims=True)
+    alone = [j if first[j] == j else -2 for j in range(voters)]
+    logs = np.log([1 - prior, prior]) + sum(np.log(start[j][:, votes[:, j]]).T for j in range(voters) if alone[j] >= 0)
+    q = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+
+    parents, information = parents_of(weight), np.zeros((voters, voters))
+    model = LabelModel(prior, parents, tables_of(parents, q), np.empty(0), information)
+    for _ in range(structures):
+        for _ in range(rounds):
+            before, q = q, model.posterior(votes)
+            model.tables = tables_of(parents, q)
+            if np.abs(q - before).max() <= tolerance:
+                break
+        flat, joint = hot.reshape(len(hot), -1), []
+        for w in ((1 - q) * counts, q * counts):
+            joint.append(((flat * w[:, None]).T @ flat).reshape(voters, 3, voters, 3).transpose(0, 2, 1, 3))
+        p = (np.stack(joint) + smoothing / 9) / (n + smoothing * 2)
         by_class = p.sum((3, 4), keepdims=True)
-        information = (p * np.log(p * by_class / (own * other))).sum((0, 3, 4))
-        np.fill_diagonal(information, -1)
-        parents, inside = [-1] * voters, {0}
-        while len(inside) < voters:
-            rows, rest = sorted(inside), [j for j in range(voters) if j not in inside]
-            block = information[np.ix_(rows, rest)]
-            i, j = np.unravel_index(block.argmax(), block.shape)
-            parents[rest[j]] = rows[i]
-            inside.add(rest[j])
-        tables = np.empty((voters, 2, 3, 3))
-        for j, parent in enumerate(parents):
-            counts = joint[:, parent, j] if parent >= 0 else np.repeat(joint[:, j, j].diagonal(axis1=1, axis2=2)[:, None, :], 3, axis=1)
-            counts = counts + smoothing
-            tables[j] = counts / counts.sum(-1, keepdims=True)
-        model = LabelModel(prior, parents, tables, np.empty(0), information)
-        before, q = q, model.posterior(votes)
-        if np.abs(q - before).max() <= tolerance:
+        information = (p * np.log(p * by_class / (p.sum(4, keepdims=True) * p.sum(3, keepdims=True)))).sum((0, 3, 4))
+        cost = np.array([[(used[i] - 1) * (used[j] - 1) * np.log(n) / n for j in range(voters)] for i in range(voters)])
+        gain = information - cost
+        np.fill_diagonal(gain, 0)
+        fresh = parents_of(gain)
+        if fresh == parents:
             break
-    agreed = (hot[:, :, TOXIC] * q[:, None] + hot[:, :, CLEAN] * (1 - q)[:, None]).sum(0)
-    model.accuracies = agreed / np.maximum(hot[:, :, :2].sum((0, 2)), 1)
+        parents = fresh
+        model = LabelModel(prior, parents, tables_of(parents, q), np.empty(0), information)
+    model.correlations = information
+    agreed = ((hot[:, :, TOXIC] * q[:, None] + hot[:, :, CLEAN] * (1 - q)[:, None]) * counts[:, None]).sum(0)
+    model.accuracies = agreed / np.maximum((hot[:, :, :2] * counts[:, None, None]).sum((0, 2)), 1)
     return model
 
 

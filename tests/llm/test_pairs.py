@@ -94,6 +94,33 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == [1, 2]
 
 
+def test_of_repeated_ids_the_least_text_stays(spark):
+    rows = [(1, "z y x w v u", "a"), (1, "b c d e f g", "x"), (1, "b c d e f g", "y"), (2, None, "n"), (2, "q", "n"), (3, "", "e"), (3, None, "e")]
+    stayed = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame([(i, t, m, [m]) for i, t, m in order], "doc_id long, text string, id string, more array<string>").repartition(3)
+        left = sorted(minhash.one_of_each(docs, words=3).collect(), key=lambda r: r.doc_id)
+        assert [r.doc_id for r in left] == [1, 2, 3] and left[0].text == "b c d e f g" and left[1].text is None and docs.columns == list(left[0].asDict())
+        stayed.add(str(left))
+    assert len(stayed) == 1
+
+
+def test_shared_hashes_are_counted_exactly():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 5000, 9000, 7000)]
+    common = minhash.common_counts(sets)
+    assert common.dtype.kind == "i" and all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5) if i != j)
+
+
+def test_ids_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    texts = varied_texts(np.random.default_rng(1), groups=4, members=6)
+    want = components(texts, near_documents(texts, 3, 85)[1])
+    docs = spark.createDataFrame([*texts.items(), *list(texts.items())[:5]], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=3, percent=85).collect()} == want
+    assert sorted(r.doc_id for r in minhash.one_of_each(docs, words=3, percent=85).collect()) == sorted(set(want.values()))
+
+
 def test_banding_misses_little():
     for threshold in (0.8, 0.85, 0.9):
         bands, rows = minhash.banding(threshold, 256)
@@ -122,16 +149,33 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     assert got.component_id.to_dict() == want and (got.kept == (got.component_id == got.index)).all()
 
 
-def test_recall_near_the_threshold():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 64))
+@pytest.mark.parametrize(("width", "least"), [(1, 1), (2, 1), (3, 1), (5, 1), (8, 1), (9, 0.99), (16, 0.999), (64, 0.999), (300, 0.99), (768, 0.99), (1536, 0.99)])
+def test_recall_at_the_threshold(width, least):
+    rng, n = np.random.default_rng(1), 3000 if width <= 300 else 1000
+    x = rng.normal(size=(n, width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
-    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    (hx, vx), (hy, vy) = (cross_polytope.codes(v, 12, 2, 20240) for v in (x, y))
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True) if width > 1 else 2 * x
+    (hx, vx), (hy, vy) = (cross_polytope._codes_of(v, 0.9, 20240) for v in (x, y))
     found = ((hx == hy) | (vx == hy[:, :, None]).any(2) | (vy == hx[:, :, None]).any(2)).any(1)
-    assert found.mean() > 0.999
+    assert found.mean() >= least
+
+
+@pytest.mark.parametrize("width", [2, 3, 8, 12, 768])
+@pytest.mark.parametrize("idle", [0.0, 2.0])
+def test_vectors_of_other_lengths(spark, monkeypatch, width, idle):
+    """Few and many components, with idle buckets left out and not; all links of few components are found."""
+    monkeypatch.setattr(cross_polytope, "IDLE_SHARE", idle)
+    monkeypatch.setattr(cross_polytope, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(width)
+    centres = rng.normal(size=(30, width))
+    vectors = np.vstack([c + rng.normal(size=(6, width)) * 0.2 for c in centres]).astype(np.float32)
+    near = cosines(vectors.astype(float))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = cross_polytope.near_vectors(table).toPandas().set_index("vec_id").sort_index()
+    assert near.sum() > 100 and got.n_links.tolist() == near.sum(1).tolist()
+    assert got.component_id.to_dict() == components(range(len(vectors)), np.argwhere(near))
 
 
 def test_hadamard_is_a_rotation():

@@ -135,16 +135,67 @@ def test_stages_keep_columns(odd):
     assert weak_supervision.without_toxic(docs, labels).count() == len(CASES)
 
 
-def test_label_model_finds_accuracies_and_doubles():
-    rng = np.random.default_rng(4)
+@pytest.mark.parametrize("flips", [0.0, 0.03, 0.1])
+@pytest.mark.parametrize("seed", range(10))
+def test_label_model_finds_accuracies_and_doubles(seed, flips):
+    rng = np.random.default_rng(seed)
     truth = rng.uniform(size=4000) < 0.3
     right = [0.95, 0.85, 0.75, 0.6]
     votes = np.stack([np.where(rng.uniform(size=4000) < p, truth, ~truth) for p in right], axis=1).astype(int)
-    votes = np.column_stack((votes, votes[:, 2]))  # one voter repeats another
+    alone = weak_supervision.fit_label_model(votes, 0.3).posterior(votes)
+    votes = np.column_stack((votes, np.where(rng.uniform(size=4000) < flips, 1 - votes[:, 2], votes[:, 2])))  # one voter repeats another
     model = weak_supervision.fit_label_model(votes, 0.3)  # without any label
     assert np.abs(model.accuracies[:4] - right).max() < 0.06
     assert model.parents[4] == 2 or model.parents[2] == 4
-    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.94
+    posterior = model.posterior(votes)
+    assert ((posterior >= 0.5) == truth).mean() > 0.94
+    assert np.abs(posterior - alone).mean() < 0.02  # the double adds next to nothing
+
+
+def test_label_model_with_abstaining_voters():
+    """Voters that vote for one class or not at all, two of them in the same rows."""
+    rng = np.random.default_rng(3)
+    truth = rng.uniform(size=6000) < 0.25
+    rates = [(0.5, 0.02), (0.4, 0.05), (0.3, 0.01), (0.6, 0.2)]  # of a vote in toxic and in clean rows
+    votes = np.stack([np.where(rng.uniform(size=6000) < np.where(truth, a, b), 1, 2) for a, b in rates], axis=1)
+    clean = np.where(rng.uniform(size=6000) < np.where(truth, 0.1, 0.7), 0, 2)
+    votes = np.column_stack((votes, votes[:, 0], clean))
+    model = weak_supervision.fit_label_model(votes, 0.25)
+    want = [0.25 * a / (0.25 * a + 0.75 * b) for a, b in rates]
+    assert np.abs(model.accuracies[:4] - want).max() < 0.08 and model.parents[4] == 0
+    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.88
+
+
+def test_one_voter_or_none_that_agree():
+    for votes in (np.array([[1], [0], [2], [1]]), np.full((5, 3), 2), np.array([[1, 2], [2, 1], [1, 2], [2, 2]])):
+        q = weak_supervision.fit_label_model(votes, 0.3).posterior(votes)
+        assert np.isfinite(q).all() and ((q >= 0) & (q <= 1)).all()
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    """One id in 50,000 rows, with texts and labels that differ, gives one row; texts are bounded by bytes, too."""
+    docs = spark.range(50_000).selectExpr("7L as doc_id", "concat('w', id % 3) as text").union(spark.range(20).selectExpr("100 + id as doc_id", "repeat('x', 1000) as text"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1), *((100 + i, i % 2) for i in range(20))], "doc_id long, quality int")
+    take = lambda **more: labelled.labelled_sample(docs, labels, label_col="quality", rows=30, **more).toPandas()
+    found = take()
+    assert sorted(found.id) == [7, *range(100, 120)] and found.set_index("id").label[7] == 1
+    assert (found.set_index("id").text[7], found.text.map(len).sum()) == (take().set_index("id").text[7], 20_002)
+    few = take(most_bytes=5500)
+    assert len(few) in (5, 6) and set(few.id) < set(found.id) and len(take(most_bytes=10)) == 1
+    by_class = take(by_class=True, most_bytes=8000).label.value_counts()
+    assert by_class[0] == 4 and by_class[1] in (4, 5)
+
+
+@pytest.mark.parametrize("score", [subword.quality_scores, weak_supervision.toxicity_scores, rule_trees.quality_rules])
+def test_repeated_ids_with_other_texts_and_labels(spark, tables, score):
+    """An id in many rows, with texts and labels that differ, fits a model that does not vary between runs."""
+    docs, labels = (t.limit(300) for t in tables)
+    docs = docs.select("doc_id", "text").union(spark.range(3000).selectExpr("5L as doc_id", "concat('word ', id % 7, ' again') as text"))
+    labels = labels.union(spark.createDataFrame([(5, 0, 1), (5, 1, 0), (5, 0, 1)], labels.schema))
+    column = "score"
+    once, again = (sorted((str(r.doc_id), r[column]) for r in score(d, labels).select("doc_id", column).collect()) for d in (docs, docs.repartition(5)))
+    assert [i for i, _ in once] == [i for i, _ in again] and len(once) == docs.count()
+    assert np.allclose([x for _, x in once], [x for _, x in again], rtol=0, atol=1e-9)  # sums of floats come in another order
 
 
 def test_sample_is_bounded_and_leaves_the_fold_out(spark):
@@ -277,3 +328,29 @@ def test_mixing_cases(odd):
     assert got.count() == len(CASES) and got.where("copies >= 0 and rate >= 0").count() == len(CASES)
     assert mixing.mixed(docs, labels).columns == docs.columns
     assert mixing.mix(docs.limit(0), labels.limit(0)).count() == 0 and mixing.mixed(docs.limit(0), labels).count() == 0
+
+
+def test_mixing_of_many_domains(spark, tables, monkeypatch):
+    """More domains than the sums have columns, and rounds that go over written states, give the same rates."""
+    docs, labels = tables
+    plain = mixing.mix(docs, labels, weights={"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}).toPandas().set_index("doc_id")
+    monkeypatch.setattr(mixing, "KEEP_ROUNDS", 2)
+    kept = mixing.mix(docs, labels, weights={"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}).toPandas().set_index("doc_id")
+    assert np.abs(plain.rate - kept.rate).max() < 1e-9
+    monkeypatch.setattr(mixing, "KEEP_ROUNDS", 10)
+    many = docs.limit(400).withColumn("lang", F.concat("lang", (F.col("doc_id") % 30).cast("string")))
+    labels = docs.limit(400).selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = mixing.mix(many, labels).toPandas()
+    k = len(got.posteriors[0])
+    assert k > mixing.COLUMN_DOMAINS and (got.rate >= 0).all()
+    before, after = (np.abs(mixing.mixture_residual(spark.createDataFrame(got.assign(rate=r)[["tokens", "posteriors", "rate"]]), np.full(k, 1 / k))).max() for r in (1.0, got.rate))
+    # The least residual that rates of 0 or more allow, by brute force.
+    posteriors, n, rate = np.vstack(got.posteriors), (got.tokens / got.tokens.sum()).to_numpy(), np.ones(len(got))
+    fast = 1 / np.linalg.eigvalsh((posteriors * n[:, None]).T @ posteriors)[-1]
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - fast / 2 * (posteriors @ ((posteriors * (n * rate)[:, None]).sum(0) - 1 / k) + 1e-4 * (rate - 1)))
+    least = np.abs((posteriors * (n * rate)[:, None]).sum(0) - 1 / k).max()
+    assert after < before and abs(after - least) < 1e-3
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 3)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, labels)
