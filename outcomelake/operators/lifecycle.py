@@ -5,36 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LIFECYCLE, is_failure, lookup, pr_url_number, sha256
+from ..functions.columns import LIFECYCLE, OUTCOME_KINDS, clean_path, filled, pr_url_number, rfc3339, sha256
 from .recurrence import ranked
 
-#: What a review action makes of status, label and decision.
-REVIEWS = {
-    "approve": ("active", "accepted", "approved"),
-    "reject": ("retired", "needs_user_input", "rejected"),
-    "edit": ("candidate", "suggested", "pending"),
-    "merge": ("retired", "needs_user_input", "merged"),
-}
-CLOSED = ("stale", "contradicted", "retired")
-
-
-def reviewed(rules: DataFrame, actions: DataFrame) -> DataFrame:
-    """Rules after the last review action of each (columns rule_id, seq, action); refused ones keep the rule and say so.
-
-    Rules that are stale, contradicted or retired can't be approved or edited.
-    """
-    last = actions.groupBy(F.col("rule_id").alias("id")).agg(F.max_by("action", "seq").alias("action"))
-    both = rules.join(last, "id", "left")
-    refused = F.col("action").isin("approve", "edit") & F.col("status").isin(*CLOSED)
-    known = F.col("action").isin(*REVIEWS) & ~refused
-
-    def after(i: int, column: str) -> Column:
-        return F.when(known, lookup(F.col("action"), {a: v[i] for a, v in REVIEWS.items()})).otherwise(F.col(column))
-
-    out = both.withColumns({"status": after(0, "status"), "review_label": after(1, "review_label"), "review_decision": after(2, "review_decision"), "human_review": F.coalesce(F.col("human_review") | (known & (F.col("action") == "approve")), F.col("human_review")), "statement_origin": F.when(known & (F.col("action") == "edit"), "human_authored").otherwise(F.col("statement_origin"))})
-    return out.withColumn("refused", F.coalesce(refused, F.lit(False))).drop("action")
-
-
 def merge_lifecycle(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     """Drafts with earlier reviews carried over: an accepted active rule outlasts a candidate, a retired one anything."""
     kept = existing.select("id", *(F.col(c).alias(f"old_{c}") for c in ("status", "review_label", "review_decision", "human_review")))
@@ -90,39 +63,108 @@ def compiled(rules: DataFrame, most: int = 25) -> DataFrame:
     return own.orderBy(F.coalesce(F.col("confidence"), F.lit(-1.0)).desc(), "id").limit(most)
 
 
-def citation_errors(rules: DataFrame) -> DataFrame:
-    """(id, errors): rules whose fields or citations break the contract."""
-    c = F.col
+def confidence_label(confidence: Column) -> Column:
+    return F.when(confidence >= 0.75, "high").when(confidence >= 0.5, "medium").otherwise("low")
+
+
+def rule_errors(rules: DataFrame, known_paths: DataFrame | None = None) -> DataFrame:
+    """(id, errors): rules that break the contract, each with the names of what it breaks, in the contract's order.
+
+    A rule needs an id, statement, kind, status, a confidence from 0 to 1, a scope, experiences, evidence and citations
+    that agree with each other; its review must fit its status; what was not written by a human must state how its
+    confidence came about. Columns of the contract that ``rules`` lacks are not looked at. With ``known_paths`` (path:
+    files and directories) a scope path that is none of them, as it stands or as a glob's fixed beginning, is an error
+    unless the rule is stale.
+    """
+    c, own = F.col, set(rules.columns)
+    false = F.lit(False)
+    some = lambda x: F.coalesce(x, false)
+    none = F.array().cast("array<string>")
+    texts = lambda n: F.filter(F.coalesce(c(n), none), lambda x: filled(x) != "")
+    cites = c("provenance")
+    active, decision, label = c("status") == "active", c("review_decision"), c("review_label")
     broken = {
-        "id": F.coalesce(F.trim("id") == "", F.lit(True)),
-        "kind": ~c("kind").isin("avoid", "playbook"),
-        "status": ~c("status").isin(*LIFECYCLE),
-        "confidence": ~F.coalesce(c("confidence").between(0, 1), F.lit(False)),
-        "provenance": F.size("provenance") == 0,
-        "citation": F.exists("provenance", lambda p: F.coalesce(pr_url_number(p["url"]) != p["pr"], F.lit(True))),
-        "playbook_evidence": (c("kind") == "playbook") & ~F.exists("provenance", lambda p: ~is_failure(p["outcome"])),
-        "active_unreviewed": (c("status") == "active") & ((c("review_label") != "accepted") | (c("review_decision") != "approved")),
+        "id": filled(c("id")) == "",
+        "statement": filled(c("statement")) == "",
+        "kind": ~some(c("kind").isin("avoid", "playbook")),
+        "status": ~some(c("status").isin(*LIFECYCLE)),
+        "confidence": ~some(c("confidence").between(0, 1)),
+        "experiences": F.size(texts("experiences")) == 0,
+        "scope": F.size(F.concat(texts("scope_paths"), texts("scope_signals") if "scope_signals" in own else none)) == 0,
+        "scope_path": F.exists(F.coalesce(c("scope_paths"), none), lambda p: clean_path(p).isNull()),
+        "evidence_count": ~some(c("evidence_count") >= 1),
+        "contradictions": ~some(c("contradictions") >= 0),
+        "provenance": some(F.size(cites) < 1) | cites.isNull(),
+        "citation_pr": some(F.exists(cites, lambda p: ~some(p["pr"] >= 1))),
+        "citation": some(F.exists(cites, lambda p: F.coalesce(pr_url_number(p["url"]) != p["pr"], F.lit(True)))),
+        "citation_outcome": some(F.exists(cites, lambda p: ~some(p["outcome"].isin(*OUTCOME_KINDS)))),
+        "playbook_evidence": some((c("kind") == "playbook") & ~F.exists(cites, lambda p: some(p["outcome"].isin("fix_held", "merged_clean")))),
+        "review_label": ~some(label.isin("accepted", "suggested", "needs_user_input")),
+        "active_unreviewed": some(active & (label != "accepted")),
+        "accepted_inactive": some(~active & (label == "accepted")),
+        "review_decision": some(~decision.isin("pending", "approved", "needs_user_input", "rejected", "merged")),
+        "active_undecided": some(active & (decision != "approved")),
+        "approved_inactive": some(~active & (decision == "approved")),
+        "decided_alive": some(decision.isin("rejected", "merged") & (c("status") != "retired")),
+        "merged_into": some((decision == "merged") & (filled(c("merged_into") if "merged_into" in own else F.lit(None).cast("string")) == "")),
+        "statement_origin": ~some(c("statement_origin").isin("llm_drafted", "cluster_summary", "human_authored")),
     }
+    drafted = some(c("statement_origin") != "human_authored")
+    if "confidence_label" in own:
+        broken["confidence_label"] = drafted & ~some(c("confidence_label") == confidence_label(c("confidence")))
+    if "confidence_inputs" in own:
+        inputs = c("confidence_inputs")
+        broken["inputs_evidence"] = drafted & ~some((inputs["evidence_count"] >= 1) & (inputs["evidence_count"] == c("evidence_count")))
+        broken["inputs_contradictions"] = drafted & ~some((inputs["contradictions"] >= 0) & (inputs["contradictions"] == c("contradictions")))
+        broken |= {f"inputs_{n}": drafted & ~some(inputs[n].between(0, 1)) for n in ("recency_weight", "flake_discount", "extraction_confidence")}
+        broken["inputs_model_weight"] = drafted & ~some(inputs["drafting_model_weight"] == 0)
+    if "decay" in own:
+        broken["half_life"] = drafted & ~some(c("decay.half_life_days") >= 1)
+        broken |= {f"decay_{n}": drafted & rfc3339(c(f"decay.{n}")).isNull() for n in ("latest_evidence_at", "oldest_evidence_at", "anchor_recorded_at")}
+    if known_paths is not None:
+        asked = rules.where("status <> 'stale'").select("id", F.explode("scope_paths").alias("path")).select("id", clean_path(F.regexp_replace("path", r"/?[^/]*[*?\[].*$", "")).alias("path"))
+        lost = asked.where("path is not null").join(known_paths.select("path").distinct(), "path", "left_anti").select("id").distinct()
+        rules = rules.join(lost.withColumn("lost_path", F.lit(True)), "id", "left")
+        broken["scope_missing"] = some(c("lost_path"))
     return rules.select("id", F.array_compact(F.array(*(F.when(b, F.lit(n)) for n, b in broken.items()))).alias("errors")).where(F.size("errors") > 0)
 
 
 def comment_decision(assessments: DataFrame, prior: DataFrame, now: str, *, enabled: bool = True, most_comments: int = 1, debounce_minutes: int = 10, least_confidence: float = 0.6) -> DataFrame:
     """Whether each assessment (assessment_id, change_id, risk_level, coverage, max_avoid_confidence, diff_fingerprint) gets a comment.
 
-    Reasons not to, in this order: disabled, no comments allowed, clean, too little confidence, the change is
-    the one last commented on, or the last comment is too fresh.
+    ``prior`` has each change's last state (change_id, diff_fingerprint, risk_level, generated_at). Reasons not to
+    comment, in this order: disabled, no comments allowed, clean or too little confidence (a change that has a
+    state gets a comment that clears it instead, once for a fingerprint), the same fingerprint and risk as in the state,
+    a state that is too fresh. ``published_risk`` is the risk, or that its confidence is too small; the state that
+    follows is in ``state_fingerprint``, ``published_risk`` and ``state_at``. A path without coverage makes
+    confidence no matter.
     """
-    both = assessments.join(prior.select("change_id", F.col("diff_fingerprint").alias("last_fingerprint"), "generated_at"), "change_id", "left")
+    c = F.col
+    own = prior.select("change_id", c("diff_fingerprint").alias("last_fingerprint"), (c("risk_level") if "risk_level" in prior.columns else F.lit("")).alias("last_risk"), c("generated_at").alias("last_at"))
+    both = assessments.join(own, "change_id", "left")
     at = F.to_timestamp(F.lit(now))
+    known = F.coalesce(c("last_fingerprint"), F.lit("")) != ""
+    same = known & (c("diff_fingerprint") == c("last_fingerprint"))
+    uncovered = F.coalesce(c("coverage") == "no_coverage", F.lit(False)) if "coverage" in assessments.columns else F.lit(False)
+    clean = c("risk_level") == "covered_clean"
+    low = ~c("risk_level").isin("no_coverage", "covered_clean") & ~uncovered & (F.coalesce(c("max_avoid_confidence"), F.lit(0.0)) < least_confidence)
+    last_risk = F.coalesce(c("last_risk"), F.lit(""))
+    debounced = known & F.coalesce(at < c("last_at") + F.expr(f"INTERVAL {int(debounce_minutes)} MINUTES"), F.lit(False))
     reason = (
         F.when(F.lit(not enabled), "disabled")
         .when(F.lit(most_comments <= 0), "comment_cap")
-        .when(F.col("risk_level") == "covered_clean", "clean")
-        .when(F.col("risk_level").isin("match_high", "match_medium") & (F.col("max_avoid_confidence") < least_confidence), "low_confidence")
-        .when(F.col("diff_fingerprint") == F.col("last_fingerprint"), "unchanged")
-        .when(at < F.col("generated_at") + F.expr(f"INTERVAL {int(debounce_minutes)} MINUTES"), "debounced")
+        .when(clean, F.when(~known, "clean").when(same & (last_risk == "covered_clean"), "unchanged").otherwise(""))
+        .when(low, F.when(same & (last_risk == "below_min_confidence"), "unchanged").otherwise("low_confidence"))
+        .when(same & ((last_risk == "") | (last_risk == c("risk_level"))), "unchanged")
+        .when(debounced, "debounced")
+        .otherwise("")
     )
-    return both.withColumn("skip_reason", F.coalesce(reason, F.lit(""))).withColumn("comment", F.col("skip_reason") == "").drop("last_fingerprint", "generated_at")
+    both = both.withColumn("skip_reason", reason)
+    comment = (c("skip_reason") == "") | ((c("skip_reason") == "low_confidence") & known)
+    both = both.withColumn("comment", comment).withColumn("published_risk", F.when(c("skip_reason") == "low_confidence", "below_min_confidence").otherwise(c("risk_level")))
+    kept = c("skip_reason") == "debounced"
+    both = both.withColumn("state_fingerprint", F.when(kept, c("last_fingerprint")).otherwise(c("diff_fingerprint"))).withColumn("state_at", F.when(kept, c("last_at")).otherwise(at))
+    return both.drop("last_fingerprint", "last_risk", "last_at")
 
 
 def provider_cost(experiences: DataFrame, price_per_1000: float, cap: float, drafts: int = 1) -> DataFrame:

@@ -13,12 +13,12 @@ from ..functions.columns import (
     clean_path, distinct_filled, filled, has_secret_like_segment, has_secret_like_token, is_secret_name, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, staged, trimmed, url_repo, valid_provenance_url,
 )
 from ..schemas import EVENT, EXPERIENCE
+from .redaction import DIGEST, is_unsafe_key, looks_nested, redacted_maps
 
 NUL = "\u0000"
 URL_FIELDS = ("pr_url", "check_run_url", "revert_url", "review_url", "provenance_urls", "urls")
 #: Shapes of hashes, which are no secrets in the fields of these names.
-_DIGEST = r"[0-9a-fA-F]{6,128}|sha1:[0-9a-fA-F]{40}|sha256:[0-9a-fA-F]{64}|sha512:[0-9a-fA-F]{128}"
-HASH_FIELDS = {"commit": "[0-9a-fA-F]{6,64}", "commits": "[0-9a-fA-F]{6,64}", "diff_fingerprint": _DIGEST, "message_fingerprint": _DIGEST, "signature_id": "sig_[0-9a-fA-F]{6,64}|" + _DIGEST}
+HASH_FIELDS = {"commit": "[0-9a-fA-F]{6,64}", "commits": "[0-9a-fA-F]{6,64}", "diff_fingerprint": DIGEST, "message_fingerprint": DIGEST, "signature_id": "sig_[0-9a-fA-F]{6,64}|" + DIGEST}
 
 
 @dataclass(frozen=True)
@@ -75,9 +75,10 @@ def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
     if isinstance(kind, StructType):
         return [c for f in kind for c in _unsafe(value[f.name], f.dataType, f.name)]
     if isinstance(kind, MapType):
-        safe = lambda k, v: F.lower(k).contains("fingerprint") | F.lower(k).isin("digest", "checksum", "node_id") & trimmed(v).rlike(f"^({_DIGEST})$")
-        values = F.exists(F.map_entries(value), lambda e: has_secret_like_token(e["value"]) & ~safe(e["key"], e["value"]))
-        return [values, F.exists(F.map_keys(value), lambda k: has_secret_like_token(k) | (redact_tokens(k) != k))]
+        safe = lambda k, v: F.lower(k).contains("fingerprint") | F.lower(k).isin("digest", "checksum", "node_id") & trimmed(v).rlike(f"^({DIGEST})$")
+        # Objects and lists among the values have been judged leaf by leaf.
+        values = F.exists(F.map_entries(value), lambda e: ~looks_nested(e["value"]) & has_secret_like_token(e["value"]) & ~safe(e["key"], e["value"]))
+        return [values, F.exists(F.map_keys(value), is_unsafe_key)]
     if not isinstance(kind, StringType):
         return []
     if name in URL_FIELDS:
@@ -98,8 +99,9 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
 
     Every field is the first spelling that is not blank, flat or nested; columns of the schema that
     ``events`` lacks are null. Known tokens are redacted in every text field, and so are the values of secret
-    names in ``metadata``; a token that may be a secret of an unknown kind breaks the rule ``redaction``,
-    except for hashes in their fields and canonical URLs, of which each segment is looked at by itself. Rows of
+    names in ``metadata``, at any depth of its objects and lists; a token that may be a secret of an unknown kind
+    breaks the rule ``redaction``, except for hashes in their fields and canonical URLs, of which each segment is
+    looked at by itself. Errors of an export (its column ``export_errors``) come before the others. Rows of
     uncertain attribution leave the result unless the policy includes them.
 
     Fields are found, then what follows from them, each in a stage of its own, so that no expression is
@@ -108,9 +110,13 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
     c = F.col
     kinds = {f.name: f.dataType for f in StructType.fromDDL(EVENT)}
     given = {f.name: f.dataType for f in events.schema if f.name in kinds}
-    rows = events.select(*((_redacted(c(n), given[n]) if n in given else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()), (ref if ref is not None else F.lit("event")).alias("source_ref"))
+    source = ref if ref is not None else F.lit("event")
+    from_export = F.coalesce(c("export_errors"), F.array().cast("array<string>")) if "export_errors" in events.columns else F.array().cast("array<string>")
+    events = events.select(*given, source.alias("source_ref"), from_export.alias("export_errors"))
+    events = redacted_maps(events, "metadata") if isinstance(given.get("metadata"), MapType) else events.withColumn("nested_unsafe", F.lit(False))
+    rows = events.select(*((_redacted(c(n), given[n]) if n in given else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()), "source_ref", "export_errors", "nested_unsafe")
     rows = staged(rows)
-    unsafe = F.greatest(F.lit(False), F.lit(False), *(F.coalesce(x, F.lit(False)) for n, k in given.items() for x in _unsafe(c(n), k, n)))
+    unsafe = F.greatest(F.lit(False), c("nested_unsafe"), *(F.coalesce(x, F.lit(False)) for n, k in given.items() for x in _unsafe(c(n), k, n)))
     repo, kind = filled(c("repo")), filled(c("outcome_kind"), c("outcome.kind"))
     half = lambda i, k: filled(F.when(repo.startswith("{"), F.get_json_object(repo, f"$.{k}")).otherwise(F.split_part(repo, F.lit("/"), F.lit(i))), c(f"repo_{k}"))
     stated = filled(c("actor_kind"), c("attribution.actor_kind"))
@@ -122,7 +128,7 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
     reported = [c("source_kind"), c("memory_source"), c("metadata")["source_kind"], c("metadata")["memory_source"]]
     pr_number = number(filled(c("pr"), c("action.pr")))
     rows = rows.select(
-        "source_ref", "metadata", filled(c("experience_id")).alias("experience_id"), half(1, "owner").alias("repo_owner"), half(2, "name").alias("repo_name"),
+        "source_ref", "export_errors", "metadata", filled(c("experience_id")).alias("experience_id"), half(1, "owner").alias("repo_owner"), half(2, "name").alias("repo_name"),
         F.date_trunc("second", rfc3339(filled(c("recorded_at")))).alias("recorded_at"), F.when(pr_number == F.floor(pr_number), pr_number.cast("long")).alias("pr"),
         filled(c("commit"), c("action.commit"), F.try_element_at(_some(c("commits"), c("action.commits")), F.lit(1))).alias("commit"), _some(c("paths"), c("context.paths")).alias("paths"),
         kind.alias("kind"), filled(c("terminal_state"), c("terminal"), c("outcome.terminal_state"), c("outcome.terminal")).alias("terminal_state"),
@@ -152,7 +158,7 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
     })
     rows = staged(rows.drop("certainty"))
     made = experience_id(c("pr"), c("recorded_at"), c("urls"), c("commit"), c("kind"), c("terminal_state"), c("signature_id"), c("extraction"), c("class"), c("check_name"), c("key"), c("message"))
-    rows = rows.withColumns({"experience_id": filled(c("experience_id"), made), "errors": record_errors()})
+    rows = rows.withColumns({"experience_id": filled(c("experience_id"), made), "errors": F.concat("export_errors", record_errors())})
     return rows.select(*(f.name for f in StructType.fromDDL(EXPERIENCE)), "errors")
 
 

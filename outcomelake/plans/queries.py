@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import coverage, distill, lifecycle, normalize, recurrence
+from ..operators import advice, coverage, distill, lifecycle, normalize, recurrence, reviews
 from ..sources import changes, scans, sinks
 from ..sources.storage import written
 from .tables import EXPERIENCES, RULES, experiences, part_path, rules, table, text, touched
@@ -276,16 +276,43 @@ def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where(F.rlike("path", C.glob_regex(F.col("g.pattern")))).select("p_partkey", "g.glob")
 
 
-@registered(f"""WITH {EXPERIENCES}, a AS (SELECT experience_id AS assessment_id, pr AS change_id, CASE WHEN kind = 'merged_clean' THEN 'covered_clean' WHEN kind = 'ci_failure' THEN 'match_high' WHEN kind = 'revert' THEN 'match_medium' ELSE 'no_coverage' END AS risk_level, pr % 10 / 10.0 AS top, signature_id AS fp FROM exp),
-p AS (SELECT pr AS change_id, max(signature_id) AS fp, max(recorded_at) AS gen_at FROM exp WHERE pr % 2 = 0 GROUP BY 1),
-d AS (SELECT assessment_id, CASE WHEN risk_level = 'covered_clean' THEN 'clean' WHEN risk_level IN ('match_high', 'match_medium') AND top < 0.6 THEN 'low_confidence' WHEN a.fp = p.fp THEN 'unchanged' WHEN TIMESTAMP '2024-01-20 00:00:00' < p.gen_at + INTERVAL 10 MINUTE THEN 'debounced' ELSE '' END AS skip_reason FROM a LEFT JOIN p USING (change_id))
-SELECT assessment_id, skip_reason, skip_reason = '' AS comment FROM d""")
+_ASSESSED = """a AS (SELECT experience_id AS assessment_id, pr AS change_id, CASE WHEN kind = 'merged_clean' THEN 'covered_clean' WHEN kind = 'ci_failure' THEN 'match_high' WHEN kind = 'revert' THEN 'match_medium' ELSE 'no_coverage' END AS risk_level,
+  CASE WHEN kind NOT IN ('merged_clean', 'ci_failure', 'revert') OR pr % 5 = 0 AND kind <> 'merged_clean' THEN 'no_coverage' ELSE 'covered' END AS coverage, pr % 10 / 10.0 AS top, 'f' || (length(message) + pr) % 2 AS fp, recorded_at FROM exp)"""
+#: The decision about an assessment ``a`` after the state ``p`` of its change, at the time ``now``.
+_DECISION = """CASE WHEN a.risk_level = 'covered_clean' THEN CASE WHEN p.fp IS NULL THEN 'clean' WHEN a.fp = p.fp AND p.risk = 'covered_clean' THEN 'unchanged' ELSE '' END
+  WHEN a.risk_level <> 'no_coverage' AND a.coverage <> 'no_coverage' AND a.top < 0.6 THEN CASE WHEN a.fp = p.fp AND p.risk = 'below_min_confidence' THEN 'unchanged' ELSE 'low_confidence' END
+  WHEN a.fp = p.fp AND (coalesce(p.risk, '') = '' OR p.risk = a.risk_level) THEN 'unchanged' WHEN {now} < p.gen_at + INTERVAL {minutes} MINUTE THEN 'debounced' ELSE '' END"""
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, pr = F.col("kind"), F.col("pr")
+    level = F.when(kind == "merged_clean", "covered_clean").when(kind == "ci_failure", "match_high").when(kind == "revert", "match_medium").otherwise("no_coverage")
+    coverage = F.when(~kind.isin("merged_clean", "ci_failure", "revert") | ((pr % 5 == 0) & (kind != "merged_clean")), "no_coverage").otherwise("covered")
+    return experiences(spark, sf_dir).select(
+        F.col("experience_id").alias("assessment_id"), pr.alias("change_id"), level.alias("risk_level"), coverage.alias("coverage"), (pr % 10 / 10.0).alias("max_avoid_confidence"), text("f", (F.length("message") + pr) % 2).alias("diff_fingerprint"), F.col("recorded_at").alias("assessed_at")
+    )
+
+
+@registered(f"""WITH {EXPERIENCES}, {_ASSESSED}, p AS (SELECT pr AS change_id, max('f' || pr % 2) AS fp, CASE pr % 3 WHEN 0 THEN 'covered_clean' WHEN 1 THEN 'match_high' ELSE 'below_min_confidence' END AS risk, max(recorded_at) AS gen_at FROM exp WHERE pr % 2 = 0 GROUP BY 1),
+d AS (SELECT assessment_id, p.fp IS NOT NULL AS known, {_DECISION.format(now="TIMESTAMP '2024-01-20 00:00:00'", minutes=10)} AS skip_reason FROM a LEFT JOIN p USING (change_id))
+SELECT assessment_id, skip_reason, skip_reason = '' OR (skip_reason = 'low_confidence' AND known) AS comment FROM d""")
 def advise_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = experiences(spark, sf_dir)
-    level = F.when(F.col("kind") == "merged_clean", "covered_clean").when(F.col("kind") == "ci_failure", "match_high").when(F.col("kind") == "revert", "match_medium").otherwise("no_coverage")
-    asked = every.select(F.col("experience_id").alias("assessment_id"), F.col("pr").alias("change_id"), level.alias("risk_level"), (F.col("pr") % 10 / 10.0).alias("max_avoid_confidence"), F.col("signature_id").alias("diff_fingerprint"))
-    prior = every.where("pr % 2 = 0").groupBy(F.col("pr").alias("change_id")).agg(F.max("signature_id").alias("diff_fingerprint"), F.max("recorded_at").alias("generated_at"))
-    return lifecycle.comment_decision(asked, prior, "2024-01-20 00:00:00").select("assessment_id", "skip_reason", "comment")
+    """Comments on all assessments, each after a stored state of its change."""
+    pr = F.col("pr")
+    risk = F.when(pr % 3 == 0, "covered_clean").when(pr % 3 == 1, "match_high").otherwise("below_min_confidence")
+    prior = experiences(spark, sf_dir).where("pr % 2 = 0").groupBy(pr.alias("change_id"), text("f", pr % 2).alias("diff_fingerprint"), risk.alias("risk_level")).agg(F.max("recorded_at").alias("generated_at"))
+    return lifecycle.comment_decision(_assessed(spark, sf_dir), prior, "2024-01-20 00:00:00").select("assessment_id", "skip_reason", "comment")
+
+
+@registered(f"""WITH RECURSIVE {EXPERIENCES}, {_ASSESSED}, t AS (SELECT * REPLACE (change_id // 8 AS change_id), row_number() OVER (PARTITION BY change_id // 8 ORDER BY recorded_at, assessment_id) AS i FROM a),
+r AS (SELECT DISTINCT change_id, 0::BIGINT AS i, NULL::VARCHAR AS assessment_id, NULL::VARCHAR AS fp, NULL::VARCHAR AS risk, NULL::TIMESTAMP AS gen_at, '' AS skip_reason, false AS comment FROM t
+  UNION ALL SELECT change_id, i, assessment_id, CASE WHEN skip_reason = 'debounced' THEN old_fp ELSE fp END, CASE WHEN skip_reason = 'low_confidence' THEN 'below_min_confidence' ELSE risk_level END, CASE WHEN skip_reason = 'debounced' THEN old_at ELSE recorded_at END, skip_reason, skip_reason = '' OR (skip_reason = 'low_confidence' AND old_fp IS NOT NULL)
+  FROM (SELECT a.*, p.fp AS old_fp, p.gen_at AS old_at, {_DECISION.format(now="a.recorded_at", minutes=2880)} AS skip_reason FROM r p JOIN t a ON a.change_id = p.change_id AND a.i = p.i + 1))
+SELECT assessment_id, skip_reason, comment, risk AS published_risk, fp AS state_fingerprint FROM r WHERE i > 0""")
+def advise_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assessments in their order, 24 a change, each decided after the state that the one before it left."""
+    asked = _assessed(spark, sf_dir).withColumn("change_id", F.floor(F.col("change_id") / 8).cast("long"))
+    return advice.replayed(asked, advice.Policy(debounce_minutes=2880)).select("assessment_id", "skip_reason", "comment", "published_risk", "state_fingerprint")
 
 
 @registered(f"WITH {RULES} SELECT id, confidence FROM rules WHERE status = 'active' AND review_label = 'accepted' AND human_review AND review_decision = 'approved' ORDER BY confidence DESC, id LIMIT 25")
@@ -308,14 +335,44 @@ def lifecycle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.merge_lifecycle(drafts, existing).select("id", "status", "review_label")
 
 
-@registered("""WITH t AS (SELECT 'rule_' || (conv_id % 50) AS id, max_by((['approve', 'reject', 'edit', 'merge'])[(length(text) % 4) + 1], conv_id * 100 + turn) AS action FROM conversations GROUP BY 1),
-r AS (SELECT 'rule_' || i AS id, (['candidate', 'active', 'stale', 'contradicted', 'retired'])[i % 5 + 1] AS status FROM range(60) x(i)), b AS (SELECT r.*, action, coalesce(action IN ('approve', 'edit') AND status IN ('stale', 'contradicted', 'retired'), false) AS refused FROM r LEFT JOIN t USING (id))
-SELECT id, refused, CASE WHEN refused OR action IS NULL THEN status WHEN action = 'approve' THEN 'active' WHEN action = 'edit' THEN 'candidate' ELSE 'retired' END AS status FROM b""")
+#: A log of review actions made of all lines, about the rules made of their parts; replayed action by action.
+_REVIEWS = f"""WITH RECURSIVE {RULES}, log AS (SELECT 'rule_' || l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, l_quantity::BIGINT AS q, l_suppkey AS sup FROM lineitem),
+act AS (SELECT id, seq, CASE WHEN q <= 16 THEN 'approve' WHEN q <= 28 THEN 'edit' WHEN q <= 34 THEN 'label' WHEN q <= 44 THEN 'label' WHEN q <= 46 THEN 'reject' WHEN q <= 48 THEN 'merge' ELSE 'dance' END AS action,
+  CASE WHEN q <= 16 THEN 'approve' WHEN q <= 28 AND q % 4 <> 0 THEN 'edit' WHEN q <= 28 THEN 'none' WHEN q <= 34 THEN 'approve' WHEN q <= 44 THEN 'relabel' WHEN q <= 46 THEN 'reject' WHEN q <= 48 AND sup % 2 = 0 THEN 'merge' ELSE 'none' END AS step,
+  CASE WHEN q <= 16 OR q BETWEEN 29 AND 34 THEN 'accepted' WHEN q BETWEEN 45 AND 48 THEN 'needs_user_input' WHEN q <= 28 THEN 'suggested' WHEN q % 2 = 0 THEN 'suggested' ELSE 'needs_user_input' END AS label, 'rule_' || sup AS target, 'edited ' || seq AS statement FROM log),
+turns AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS i FROM act),
+played AS (SELECT id, 0::BIGINT AS i, NULL::BIGINT AS seq, '' AS action, false AS refused, '' AS status_before, status, review_label, review_decision, NULL::VARCHAR AS merged_into, 'statement ' || p_partkey AS statement, 'cluster_summary' AS statement_origin FROM rules
+  UNION ALL SELECT p.id, t.i, t.seq, t.action, t.step = 'none' OR t.step IN ('approve', 'edit') AND p.status IN ('stale', 'contradicted', 'retired'), p.status,
+    CASE WHEN t.step IN ('reject', 'merge') THEN 'retired' WHEN p.status IN ('stale', 'contradicted', 'retired') OR t.step = 'none' THEN p.status WHEN t.step = 'approve' THEN 'active' ELSE 'candidate' END,
+    CASE WHEN t.step = 'none' OR t.step IN ('approve', 'edit') AND p.status IN ('stale', 'contradicted', 'retired') THEN p.review_label ELSE t.label END,
+    CASE WHEN t.step = 'none' OR t.step IN ('approve', 'edit') AND p.status IN ('stale', 'contradicted', 'retired') OR t.step = 'relabel' AND p.status = 'retired' AND p.review_decision IN ('rejected', 'merged') THEN p.review_decision
+      WHEN t.step = 'approve' THEN 'approved' WHEN t.step = 'reject' THEN 'rejected' WHEN t.step = 'merge' THEN 'merged' WHEN t.step = 'relabel' AND t.label = 'needs_user_input' THEN 'needs_user_input' ELSE 'pending' END,
+    CASE WHEN t.step = 'merge' THEN t.target WHEN t.step = 'none' OR t.step IN ('approve', 'edit') AND p.status IN ('stale', 'contradicted', 'retired') OR t.step = 'relabel' AND p.status = 'retired' AND p.review_decision IN ('rejected', 'merged') THEN p.merged_into END,
+    CASE WHEN t.step = 'edit' AND p.status NOT IN ('stale', 'contradicted', 'retired') THEN t.statement ELSE p.statement END, CASE WHEN t.step = 'edit' AND p.status NOT IN ('stale', 'contradicted', 'retired') THEN 'human_authored' ELSE p.statement_origin END
+  FROM played p JOIN turns t ON t.id = p.id AND t.i = p.i + 1)"""
+
+
+def _review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, seq, other = F.col("l_quantity").cast("long"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_suppkey")
+    action = F.when(q <= 16, "approve").when(q <= 28, "edit").when(q <= 44, "label").when(q <= 46, "reject").when(q <= 48, "merge").otherwise("dance")
+    label = F.when(q.between(29, 34) & (q % 2 == 0), "accepted").when(q.between(35, 44), F.when(q % 2 == 0, "suggested").otherwise("needs_user_input"))
+    return table(spark, sf_dir, "lineitem").select(
+        text("rule_", F.col("l_partkey")).alias("rule_id"), seq.alias("seq"), action.alias("action"), label.alias("label"), F.when((action == "edit") & (q % 4 != 0), text(" edited ", seq, " ")).alias("statement"), F.when(other % 2 == 0, text("rule_", other)).alias("target")
+    )
+
+
+@registered(f"""{_REVIEWS}, n AS (SELECT id, count(*) FILTER (refused) AS refused FROM played GROUP BY 1)
+SELECT id, status, review_label, review_decision, merged_into, statement, statement_origin, n.refused FROM played JOIN n USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1""")
 def review_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions = table(spark, sf_dir, "conversations").select(text("rule_", F.col("conv_id") % 50).alias("rule_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.element_at(F.array(*map(F.lit, lifecycle.REVIEWS)), F.length("text") % 4 + 1).alias("action"))
-    actions = actions.withColumn("action", F.element_at(F.create_map(*(x for k, v in (("approve", "approve"), ("reject", "reject"), ("edit", "edit"), ("merge", "merge")) for x in (F.lit(k), F.lit(v)))), F.col("action")))
-    own = spark.range(60).select(text("rule_", F.col("id")).alias("id"), F.element_at(F.array(*map(F.lit, C.LIFECYCLE)), (F.col("id") % 5 + 1).cast("int")).alias("status"), F.lit("suggested").alias("review_label"), F.lit("pending").alias("review_decision"), F.lit(False).alias("human_review"), F.lit("cluster_summary").alias("statement_origin"))
-    return lifecycle.reviewed(own, actions).select("id", "refused", "status")
+    """All rules after all actions of a log made of all lines, some thirty for each rule."""
+    found = reviews.reviewed(rules(spark, sf_dir), _review_actions(spark, sf_dir))
+    return found.select("id", "status", "review_label", "review_decision", "merged_into", "statement", "statement_origin", "refused")
+
+
+@registered(f"{_REVIEWS} SELECT id AS rule_id, seq, action, status_before, status AS status_after, refused FROM played WHERE i > 0")
+def review_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each action of that log did."""
+    return reviews.review_receipts(rules(spark, sf_dir), _review_actions(spark, sf_dir)).select("rule_id", "seq", "action", "status_before", "status_after", "refused")
 
 
 @registered(f"""WITH {EXPERIENCES}, s AS (SELECT *, -1 AS seq FROM exp), f AS (SELECT * REPLACE (CASE WHEN pr % 6 = 0 THEN recorded_at + INTERVAL 40 DAY ELSE recorded_at END AS recorded_at, 1.0::DOUBLE AS flake_discount), pr AS seq FROM exp WHERE pr % 3 = 0),
@@ -464,6 +521,47 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("experience_id").alias("row_id"), *(v.alias(c) for c, v in given.items()))
 
 
+_UNKNOWN = "qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC"
+
+
+@registered(rf"""WITH p AS (SELECT page_id, sha256(page_id::VARCHAR) AS h, repeat('{{"w":[0,', (page_id % 5)::INTEGER) AS opened, repeat(']}}', (page_id % 5)::INTEGER) AS closed FROM pages)
+SELECT 'page:' || page_id AS source_ref, CASE WHEN page_id % 6 IN (0, 3) THEN 'redaction' ELSE '' END AS errors,
+  opened || CASE page_id % 6 WHEN 0 THEN '{{"list":["{_UNKNOWN}"],"n":null}}' WHEN 1 THEN '{{"a":{{"note":"see [REDACTED:token] now"}}}}' WHEN 2 THEN '{{"Client-Secret":"[REDACTED:secret]","h":"' || h || '"}}' WHEN 3 THEN '{{"{_UNKNOWN}":1}}'
+    WHEN 4 THEN '{{"big":[1,2.5,true,"é\"q"],"message_fingerprint":"sha256:' || h || '"}}' ELSE '[[],{{}},[["x"]]]' END || closed AS nested, CASE WHEN page_id % 7 = 0 THEN '[REDACTED:secret]' ELSE 'flat' END AS flat FROM p""")
+def nested_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events made of all pages, whose metadata hold objects and lists of several depths with secrets of all kinds, normalised."""
+    key = F.col("page_id")
+    h, m = F.sha2(key.cast("string"), 256), key % 6
+    inner = (
+        F.when(m == 0, f' {{"n": null, "list": ["{_UNKNOWN}"]}}').when(m == 1, text('{"a": {"note": "see ghp_', F.substring(h, 1, 30), ' now"}}')).when(m == 2, text('{"h": "', h, '", "Client-Secret": {"deep": ["', h, '"]}}'))
+        .when(m == 3, f'{{"{_UNKNOWN}": 1}}').when(m == 4, text('{"message_fingerprint": "sha256:', h, '", "big": [1, 2.5, true, "\\u00e9\\"q"]}')).otherwise('[[], {}, [["x"]]]')
+    )
+    depth = (key % 5).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"w": [0, '), depth), inner, F.repeat(F.lit("]}"), depth))
+    flat = F.when(key % 7 == 0, "api tokens").otherwise("flat")
+    events = table(spark, sf_dir, "pages").select(
+        text("page:", key).alias("row_id"), F.lit("acme/shop").alias("repo"), F.lit("2024-01-01T00:00:00Z").alias("recorded_at"), (key + 1).cast("string").alias("pr"), F.lit("abcdef1").alias("commit"), F.array(F.lit("a.py")).alias("paths"),
+        F.lit("ci_failure").alias("outcome_kind"), F.lit("agent").alias("actor_kind"), F.array(text("https://github.com/acme/shop/pull/", key + 1)).alias("provenance_urls"), F.create_map(F.lit("nested"), nested, flat, F.lit("flat")).alias("metadata"),
+    )
+    found = normalize.normalized(events, ref=F.col("row_id"))
+    return found.select("source_ref", F.array_join("errors", ",").alias("errors"), F.col("metadata")["nested"].alias("nested"), F.element_at(F.map_values(F.map_filter("metadata", lambda k, v: k != "nested")), 1).alias("flat"))
+
+
+@registered("""WITH e AS (SELECT l_orderkey AS pr, l_linenumber AS n, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 'acme/other/pull/' || l_orderkey WHEN l_linenumber = 2 AND l_orderkey % 3 = 1 THEN 'acme/shop/pull/' || (l_orderkey + 1) WHEN l_linenumber = 3 THEN 'Acme/SHOP/commit/' || l_orderkey ELSE 'acme/shop/pull/' || l_orderkey END AS address FROM lineitem),
+w AS (SELECT *, n = 1 AND pr % 3 = 0 OR n = 2 AND pr % 3 = 1 AS child, pr % 11 = 0 AS wrong, pr % 13 = 0 AND n = 4 AS bare FROM e)
+SELECT 'check:' || pr || '/' || n AS key, concat_ws(',', CASE WHEN pr = 0 THEN 'pull_number' END, CASE WHEN wrong THEN 'pull_provenance' END, CASE WHEN child THEN 'child_provenance' END, CASE WHEN pr % 13 = 0 THEN 'child_commit' END) AS errors, CASE WHEN wrong THEN 'https://github.com/acme/shop/pull/' || (pr + 1) ELSE 'https://github.com/acme/shop/pull/' || pr END
+  || CASE WHEN child OR (n > 3 OR n = 1 OR n = 2) AND NOT wrong THEN '' ELSE ',https://github.com/' || address END AS urls FROM w""")
+def export_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of all orders and lines, with addresses of other repositories and pull requests planted, through flattening."""
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    address = F.when((n == 1) & (key % 3 == 0), text("acme/other/pull/", key)).when((n == 2) & (key % 3 == 1), text("acme/shop/pull/", key + 1)).when(n == 3, text("Acme/SHOP/commit/", key)).otherwise(text("acme/shop/pull/", key))
+    check = F.struct(F.lit("build").alias("name"), F.lit("failure").alias("conclusion"), F.lit("2024-01-01T00:00:00Z").alias("completed_at"), text("https://github.com/", address).alias("html_url"), F.lit("x.py").alias("path"), text("check:", key, "/", n).alias("signature_key"))
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(check)).alias("checks"))
+    pull = text('{"repo":"acme/shop","pull_requests":[{"number":', key, ',"html_url":"https://github.com/acme/shop/pull/', key + F.when(key % 11 == 0, 1).otherwise(0), '"', F.when(key % 13 == 0, "").otherwise(',"head_sha":"c1"'), ',"checks":', F.col("checks"), "}]}")
+    found = scans.export_events(own.select(F.from_json(pull, scans.EXPORT).alias("e")).select("e.*"))
+    return found.select(F.col("signature_key").alias("key"), F.array_join("export_errors", ",").alias("errors"), F.array_join("provenance_urls", ",").alias("urls"))
+
+
 POLICY = normalize.AttributionPolicy(labels=("ai",), logins=("fix-bot",))
 
 
@@ -497,13 +595,45 @@ def source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.source_digest(experiences(spark, sf_dir), F.date_format("recorded_at", "yyyy-MM"), line)
 
 
-@registered(f"""WITH {RULES} SELECT id, concat_ws(',', CASE WHEN p_partkey % 6 = 0 OR p_partkey = 0 THEN 'citation' END, CASE WHEN kind = 'playbook' AND p_partkey % 4 = 0 THEN 'playbook_evidence' END,
-  CASE WHEN status = 'active' AND review_label <> 'accepted' THEN 'active_unreviewed' END) AS errors FROM rules WHERE p_partkey % 6 = 0 OR p_partkey = 0 OR (kind = 'playbook' AND p_partkey % 4 = 0) OR (status = 'active' AND review_label <> 'accepted')""")
+#: What is broken in a rule, by its number, and the errors that follow.
+_BREACHES = (
+    "id", "statement", "kind", "status", "confidence", "experiences", "scope", "scope_path", "evidence_count,inputs_evidence", "contradictions,inputs_contradictions", "provenance", "citation_pr,citation",
+    "citation", "citation_outcome", "playbook_evidence", "review_label", "active_unreviewed", "accepted_inactive", "review_decision", "active_undecided", "approved_inactive", "decided_alive", "merged_into",
+    "statement_origin", "confidence_label", "inputs_evidence", "inputs_recency_weight", "inputs_model_weight", "half_life", "decay_latest_evidence_at",
+)
+
+
+@registered(f"WITH {RULES}, b AS (SELECT p_partkey, id, ({list(_BREACHES)})[p_partkey % 34 + 1] AS errors FROM rules) SELECT CASE WHEN errors = 'id' THEN ' ' ELSE id END AS id, errors || CASE p_partkey WHEN 0 THEN ',citation_pr,citation' ELSE '' END AS errors FROM b WHERE errors IS NOT NULL")
 def rule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules that break the contract: wrong citations and evidence are planted, and half of the active ones are unreviewed."""
+    """All rules that break the contract: every rule of it is broken in turn, and four of 34 rules are sound."""
     key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
-    cited = F.transform("provenance", lambda p: F.struct(p["pr"].alias("pr"), F.when(key % 4 == 0, "ci_failure").otherwise(p["outcome"]).alias("outcome"), F.when(key % 6 == 0, F.concat(p["url"], F.lit("?x=1"))).otherwise(p["url"]).alias("url"), p["experience_id"].alias("experience_id")))
-    return lifecycle.citation_errors(rules(spark, sf_dir).withColumn("provenance", cited)).select("id", F.array_join("errors", ",").alias("errors"))
+    m = key % 34
+    c = F.col
+    state = lambda *given: F.when(m.isin(*given[:-1]), given[-1])
+    sound = c("status").isin("active") & (key % 5 == 1)
+    none = F.array().cast("array<string>")
+    own = rules(spark, sf_dir).withColumns({
+        "kind": F.when(m == 2, "other").when(m == 14, "playbook").when(m.isin(10, 13), "avoid").otherwise(c("kind")), "statement": F.when(m == 1, " \t").otherwise(c("statement")), "confidence": F.when(m == 4, 1.5).otherwise(c("confidence")),
+        "status": state(16, 19, "active").when(m.isin(15, 17, 18, 20, 21), "candidate").when(m == 22, "retired").when(m == 3, "paused").when(sound, "active").otherwise("candidate"),
+        "review_label": state(15, "maybe").when(m.isin(17, 19), "accepted").when(m.isin(3, 16, 18, 20, 21, 22), "suggested").when(sound, "accepted").otherwise("suggested"),
+        "review_decision": state(16, 20, "approved").when(m.isin(3, 15, 17, 19), "pending").when(m == 18, "later").when(m == 21, "rejected").when(m == 22, "merged").when(sound, "approved").otherwise("pending"),
+        "experiences": F.when(m == 5, none).otherwise(c("experiences")), "scope_paths": F.when(m == 6, none).when(m == 7, F.array(F.lit("../up"))).otherwise(c("scope_paths")),
+        "evidence_count": F.when(m == 8, 0).otherwise(c("evidence_count")).cast("long"), "contradictions": F.when(m == 9, -1).otherwise(key % 3).cast("long"), "statement_origin": F.when(m == 23, "robot").when(m == 33, "human_authored").otherwise(c("statement_origin")),
+    })
+    kind, url = c("kind"), text("https://github.com/acme/shop/pull/", key)
+    outcome = F.when(m == 13, "other").when(m == 14, "ci_failure").when(kind == "playbook", "fix_held").otherwise("ci_failure")
+    cited = F.array(F.struct(F.when(m == 11, 0).otherwise(key).cast("long").alias("pr"), outcome.alias("outcome"), F.when(m == 12, F.concat(url, F.lit("?x=1"))).otherwise(url).alias("url"), text("exp_", key).alias("experience_id")))
+    inputs = F.struct(
+        (c("evidence_count") + F.when(m == 25, 1).otherwise(0)).alias("evidence_count"), c("contradictions").alias("contradictions"), F.when(m == 26, 1.5).otherwise(0.5).alias("recency_weight"), F.lit(0.0).alias("flake_discount"),
+        F.lit(1.0).alias("extraction_confidence"), F.when(m == 27, 0.1).otherwise(0.0).alias("drafting_model_weight"),
+    )
+    at = F.lit("2024-01-02T00:00:00Z")
+    decay = F.struct(F.when(m == 28, 0).otherwise(90).cast("long").alias("half_life_days"), F.when(m == 29, "2024-01-02").otherwise(at).alias("latest_evidence_at"), at.alias("oldest_evidence_at"), at.alias("anchor_recorded_at"))
+    stated = F.when(c("confidence") >= 0.75, "high").when(c("confidence") >= 0.5, "medium").otherwise("low")
+    own = own.withColumns({"provenance": F.when(m == 10, F.array().cast(own.schema["provenance"].dataType)).otherwise(cited), "confidence_inputs": inputs, "decay": decay, "confidence_label": F.when(m == 24, "utter").otherwise(stated), "merged_into": F.lit(None).cast("string"), "scope_signals": none})
+    without_metadata = m == 33
+    own = own.withColumns({n: F.when(~without_metadata, c(n)) for n in ("confidence_inputs", "decay", "confidence_label")}).withColumn("id", F.when(m == 0, " ").otherwise(c("id")))
+    return lifecycle.rule_errors(own).select("id", F.array_join("errors", ",").alias("errors"))
 
 
 @registered(f"""{_ALL}, u AS (SELECT 'pairs' AS list, current_pr AS pr, current_experience_id AS experience_id FROM pairs UNION ALL SELECT 'uncertain', pr, experience_id FROM marked WHERE actor_kind = 'uncertain'

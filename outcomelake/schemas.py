@@ -16,7 +16,9 @@ RULE = (
     "id string, kind string, status string, statement string, scope_paths array<string>, scope_signals array<string>, "
     "confidence double, evidence_count long, contradictions long, experiences array<string>, "
     "provenance array<struct<pr: long, outcome: string, url: string, experience_id: string>>, "
-    "review_label string, review_decision string, statement_origin string, human_review boolean"
+    "review_label string, review_decision string, statement_origin string, human_review boolean, merged_into string, confidence_label string, "
+    "confidence_inputs struct<evidence_count: long, contradictions: long, recency_weight: double, flake_discount: double, extraction_confidence: double, drafting_model_weight: double>, "
+    "decay struct<half_life_days: long, latest_evidence_at: string, oldest_evidence_at: string, anchor_recorded_at: string>"
 )
 
 #: A raw outcome event as JSON lines give it, flat or nested.

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.columns import distinct_filled, filled, trimmed, url_repo, valid_provenance_url
+from ..functions.columns import distinct_filled, filled, pr_path_number, pr_url_number, staged, trimmed, url_repo, valid_provenance_url
 from ..schemas import EVENT, EXPERIENCE, RULE
 
 _SIGNATURE = "signature_id: string, class: string, key: string, check_name: string, check: string, extraction_confidence: string, message_fingerprint: string"
 #: What a check run, a revert, a correction and a pull request may all say. Fields that exports give as a text, a list
 #: or an object are read as text.
 _ITEM_TEXTS = (
-    "name check_name status conclusion completed_at updated_at created_at merged_at committed_at recorded_at resolved_at head_sha commit commit_sha sha commit_id merge_commit_sha "
-    "paths changed_files files path filename signature_class signature_key signature_id message summary title body html_url details_url url check_run_url commit_url revert_url review_url "
-    "extraction_confidence flake_discount message_fingerprint actor_kind attribution_method attribution_confidence marked correction requires_correction is_correction source_kind memory_source"
-).split()
+    "name", "check_name", "status", "conclusion", "completed_at", "updated_at", "created_at", "merged_at",
+    "committed_at", "recorded_at", "resolved_at", "head_sha", "commit", "commit_sha", "sha", "commit_id",
+    "merge_commit_sha", "paths", "changed_files", "files", "path", "filename", "signature_class",
+    "signature_key", "signature_id", "message", "summary", "title", "body", "html_url", "details_url", "url",
+    "check_run_url", "commit_url", "revert_url", "review_url", "extraction_confidence", "flake_discount",
+    "message_fingerprint", "actor_kind", "attribution_method", "attribution_confidence", "marked",
+    "correction", "requires_correction", "is_correction", "source_kind", "memory_source",
+)
 _ITEM = (
     ", ".join(f"{n}: string" for n in _ITEM_TEXTS) + f", outcome: struct<flake_discount: string, signature: struct<{_SIGNATURE}>>, output: struct<summary: string>, "
     "attribution: struct<actor_kind: string, method: string, confidence: string>"
@@ -74,13 +79,13 @@ def _list(value: Column) -> Column:
     """What a field holds as a list: a JSON list's elements, or a text alone; none for numbers and objects."""
     value = trimmed(value)
     alone = F.when((value != "") & ~value.rlike(r"^([0-9.+-]+$|\{|\[\])"), F.array(value))
-    return F.coalesce(F.from_json(value, "array<string>"), alone, F.array().cast("array<string>"))
+    return F.coalesce(F.when(value.startswith("["), F.from_json(value, "array<string>")), alone, F.array().cast("array<string>"))
 
 
 def _first_list(*fields: Column) -> Column:
-    """The texts of the first field that holds any."""
-    texts = [F.filter(_list(f), lambda x: (trimmed(x) != "") & ~x.startswith("{")) for f in fields]
-    return F.coalesce(*(F.when(F.size(t) > 0, t) for t in texts), F.array().cast("array<string>"))
+    """The texts of the first field that holds any. Every field is parsed once, by one expression for them all."""
+    texts = F.transform(F.array(*fields), lambda f: F.filter(_list(f), lambda x: (trimmed(x) != "") & ~x.startswith("{")))
+    return F.coalesce(F.try_element_at(F.filter(texts, lambda t: F.size(t) > 0), F.lit(1)), F.array().cast("array<string>"))
 
 
 def _names(field: Column, *keys: str) -> Column:
@@ -115,8 +120,8 @@ _KINDS = {
 }
 
 
-def _event(kind: str, item: Column) -> list[Column]:
-    """The columns of an outcome that ``item`` tells, of rows with their pull request's columns."""
+def _event(kind: Column, item: Column) -> list[Column]:
+    """The columns of an outcome of a kind that ``item`` tells, of rows with their pull request's columns."""
 
     def field(path: str) -> Column:
         out = item
@@ -124,22 +129,32 @@ def _event(kind: str, item: Column) -> list[Column]:
             out = out[key]
         return out
 
-    at, commit, check, message, address, default = _KINDS[kind]
-    paths, url = _paths(item, F.col("base_paths")), filled(*map(field, address)) if address else F.lit("")
+    def by_kind(value: Callable[[str], Column]) -> Column:
+        return F.coalesce(*(F.when(kind == k, value(k)) for k in _KINDS))
+
     given = item["outcome"]["signature"]
-    urls = F.array_compact(F.array(F.col("base_url"), F.when(valid_provenance_url(url), url)))
+    at = by_kind(lambda k: filled(*map(field, _KINDS[k][0]), item["updated_at"], item["created_at"]))
+    commit = by_kind(lambda k: filled(*map(field, _KINDS[k][1]), F.col("base_commit")))
+    check = by_kind(lambda k: filled(item["check_name"], given["check_name"], given["check"], *map(field, _KINDS[k][2]), F.lit("merge" if k == "merged_clean" else k)))
+    message = by_kind(lambda k: filled(*map(field, _KINDS[k][3])) if _KINDS[k][3] else F.lit(""))
+    own_class = by_kind(lambda k: filled(item["signature_class"], given["class"], F.lit(_KINDS[k][5])))
+    url = F.col("x_url")
+    matches = (url_repo(url) == F.lower("base_repo")) & F.coalesce(pr_path_number(url) == F.col("base_number").try_cast("long"), F.lit(True))
+    canonical = valid_provenance_url(url)
+    urls = F.array_compact(F.array(F.col("base_url"), F.when(canonical & matches, url)))
+    wrong = {"child_provenance": canonical & ~F.coalesce(matches, F.lit(False)), "child_commit": commit == "", "child_paths": F.size("x_paths") == 0}
+    errors = F.concat("base_errors", F.array_compact(F.array(*(F.when(bad, F.lit(n)) for n, bad in wrong.items()))))
     return [
-        F.col("base_repo").alias("repo"), F.col("base_number").alias("pr"), F.lit(kind).alias("outcome_kind"), filled(*map(field, at), item["updated_at"], item["created_at"]).alias("recorded_at"),
-        filled(*map(field, commit), F.col("base_commit")).alias("commit"), paths.alias("paths"), F.col("base_labels").alias("labels"), F.col("base_coauthors").alias("coauthors"), F.col("base_actor").alias("actor"),
-        filled(item["check_name"], given["check_name"], given["check"], *map(field, check), F.lit("merge" if kind == "merged_clean" else kind)).alias("check_name"),
-        filled(item["signature_class"], given["class"], F.lit(default)).alias("signature_class"),
-        filled(item["signature_key"], given["key"], *(_object_or_text(item[n], "path")[1] for n in ("path", "filename")), F.try_element_at(paths, F.lit(1))).alias("signature_key"),
-        filled(item["signature_id"], given["signature_id"]).alias("signature_id"), (filled(*map(field, message)) if message else F.lit("")).alias("message"),
+        F.col("base_repo").alias("repo"), F.col("base_number").alias("pr"), kind.alias("outcome_kind"), at.alias("recorded_at"),
+        commit.alias("commit"), F.col("x_paths").alias("paths"), F.col("base_labels").alias("labels"), F.col("base_coauthors").alias("coauthors"), F.col("base_actor").alias("actor"),
+        check.alias("check_name"), own_class.alias("signature_class"),
+        filled(item["signature_key"], given["key"], *(_object_or_text(item[n], "path")[1] for n in ("path", "filename")), F.try_element_at("x_paths", F.lit(1))).alias("signature_key"),
+        filled(item["signature_id"], given["signature_id"]).alias("signature_id"), message.alias("message"),
         filled(item["message_fingerprint"], given["message_fingerprint"]).alias("message_fingerprint"), filled(item["extraction_confidence"], given["extraction_confidence"], F.lit("structured")).alias("extraction_confidence"),
         filled(item["flake_discount"], item["outcome"]["flake_discount"]).alias("flake_discount"), filled(item["actor_kind"], item["attribution"]["actor_kind"], F.col("base_actor_kind")).alias("actor_kind"),
         filled(item["attribution_method"], item["attribution"]["method"], F.col("base_method")).alias("attribution_method"), filled(item["attribution_confidence"], item["attribution"]["confidence"], F.col("base_confidence")).alias("attribution_confidence"),
         F.array_distinct(urls).alias("provenance_urls"), filled(item["source_kind"], F.col("base_source_kind")).alias("source_kind"), filled(item["memory_source"], F.col("base_memory_source")).alias("memory_source"),
-        (filled(item["commit_sha"], item["sha"], item["commit"]) if kind == "revert" else F.lit("")).alias("source_commit"),
+        F.when(kind == "revert", filled(item["commit_sha"], item["sha"], item["commit"])).otherwise("").alias("source_commit"), errors.alias("export_errors"),
     ]
 
 
@@ -155,30 +170,48 @@ def export_events(export: DataFrame) -> DataFrame:
     need no mark. A pull request is a clean merge where it merged, reverts were looked for to the end, and
     none of the other three happened. What is missing in an outcome comes from its pull request, but a
     revert's own commit is its ``source_commit``. Addresses that are no canonical ones of the host are left
-    out. Every outcome's list is exploded for itself; nothing is gathered or sorted.
+    out. ``export_errors`` names what breaks the provenance of an event: a number that is none, an address of the pull
+    request that is not its own, an outcome's address of another repository or pull request (which never enters the
+    event), an outcome without commit or paths.
+
+    An export is parsed and its pull requests' fields are found once; all outcomes of a pull request, each with its
+    kind, are exploded as one list. Nothing is gathered or sorted.
     """
     whole = F.struct(F.col("repo"))
     envelope = filled(_repository(whole), F.when((filled(F.col("repo_owner")) != "") & (filled(F.col("repo_name")) != ""), F.concat(trimmed(F.col("repo_owner")), F.lit("/"), trimmed(F.col("repo_name")))))
     pulls = export.select(envelope.alias("envelope_repo"), F.explode(F.coalesce(F.when(F.size("pull_requests") > 0, F.col("pull_requests")), F.col("prs"))).alias("p"))
     p = F.col("p")
-    stated = filled(_repository(p), F.col("envelope_repo"))
-    number = filled(F.coalesce(p["number"], p["pr"], p["action"]["pr"]))
     logins, texts = zip(*(_object_or_text(p[n], "login") for n in ("author", "user", "actor")), strict=True)
-    url = filled(p["html_url"], p["pr_url"], F.when(valid_provenance_url(trimmed(p["url"])), p["url"]))
-    url = F.when(url != "", url).when((stated != "") & (number != ""), F.concat(F.lit("https://github.com/"), stated, F.lit("/pull/"), number))
+    pulls = staged(pulls.select("p", filled(_repository(p), F.col("envelope_repo")).alias("stated"), filled(F.coalesce(p["number"], p["pr"], p["action"]["pr"])).alias("base_number")))
+    given_url = filled(p["html_url"], p["pr_url"], F.when(valid_provenance_url(trimmed(p["url"])), p["url"]))
+    url = F.when(given_url != "", given_url).when((F.col("stated") != "") & (F.col("base_number") != ""), F.concat(F.lit("https://github.com/"), F.col("stated"), F.lit("/pull/"), F.col("base_number")))
     pulls = pulls.select(
-        "p", number.alias("base_number"), filled(stated, url_repo(url)).alias("base_repo"), url.alias("base_url"), filled(p["head_sha"], p["head"]["sha"], p["commit"], p["merge_commit_sha"]).alias("base_commit"),
+        "p", "stated", "base_number", url.alias("base_url"), filled(p["head_sha"], p["head"]["sha"], p["commit"], p["merge_commit_sha"]).alias("base_commit"),
         _paths(p, F.array().cast("array<string>")).alias("base_paths"), distinct_filled(F.concat(_first_list(p["labels"], p["label_names"]), _names(p["labels"], "name"))).alias("base_labels"),
         _first_list(p["coauthors"], p["coauthor_trailers"]).alias("base_coauthors"), filled(*logins, *texts).alias("base_actor"), filled(p["actor_kind"], p["attribution"]["actor_kind"]).alias("base_actor_kind"),
         filled(p["attribution_method"], p["attribution"]["method"]).alias("base_method"), filled(p["attribution_confidence"], p["attribution"]["confidence"]).alias("base_confidence"),
         filled(p["source_kind"]).alias("base_source_kind"), filled(p["memory_source"]).alias("base_memory_source"),
         F.filter(_items(p["check_runs"], p["checks"]), is_failed_check).alias("failed"), _items(p["reverts"]).alias("undone"),
         F.concat(F.filter(_items(p["review_corrections"]), is_marked), _items(p["marked_review_corrections"])).alias("corrected"),
+        (filled(p["merged_at"]) != "").alias("merged"), _truthy(p["revert_scan_truncated"], p["metadata"]["revert_scan_truncated"]).alias("truncated"),
     )
-    none_of_them = F.size("failed") + F.size("undone") + F.size("corrected") == 0
-    clean = pulls.where((filled(p["merged_at"]) != "") & ~_truthy(p["revert_scan_truncated"], p["metadata"]["revert_scan_truncated"]) & none_of_them)
-    parts = [pulls.withColumn("x", F.explode(c)).select(*_event(k, F.col("x"))) for k, c in (("ci_failure", "failed"), ("revert", "undone"), ("review_correction", "corrected"))]
-    return reduce(DataFrame.unionByName, [*parts, clean.select(*_event("merged_clean", p))])
+    pulls = staged(pulls)
+    # The pull request itself tells of its clean merge.
+    item_kind = StructType.fromDDL(_ITEM)
+    itself = F.struct(*(p[f.name].alias(f.name) for f in item_kind))
+    is_clean = F.col("merged") & ~F.col("truncated") & (F.size("failed") + F.size("undone") + F.size("corrected") == 0)
+    told = lambda name, kind: F.transform(name, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast(item_kind).alias("item")))
+    clean = F.when(is_clean, F.array(F.struct(F.lit("merged_clean").alias("kind"), itself.cast(item_kind).alias("item")))).otherwise(F.array().cast(f"array<struct<kind: string, item: struct<{_ITEM}>>>"))
+    outcomes = F.concat(told("failed", "ci_failure"), told("undone", "revert"), told("corrected", "review_correction"), clean)
+    repo, number = filled(F.col("stated"), url_repo(F.col("base_url"))), F.col("base_number").try_cast("long")
+    own = F.coalesce((url_repo(F.col("base_url")) == F.lower(repo)) & (pr_url_number(F.col("base_url")) == number), F.lit(False))
+    errors = F.array_compact(F.array(F.when(~F.coalesce(number >= 1, F.lit(False)), "pull_number"), F.when(~own, "pull_provenance")))
+    base = [c for c in pulls.columns if c.startswith("base_")]
+    rows = pulls.select(*base, repo.alias("base_repo"), errors.alias("base_errors"), F.explode(outcomes).alias("x"))
+    item = F.col("item")
+    address = F.coalesce(*(F.when(F.col("kind") == k, filled(*(item[n] for n in v[4])) if v[4] else F.lit("")) for k, v in _KINDS.items()))
+    rows = staged(rows.select(*base, "base_repo", "base_errors", "x.kind", "x.item")).withColumns({"x_url": address, "x_paths": _paths(item, F.col("base_paths"))})
+    return staged(rows).select(*_event(F.col("kind"), item))
 
 
 def coauthors(message: Column) -> Column:

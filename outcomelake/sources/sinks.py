@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import html
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .storage import new_path
+from ..functions.columns import LIFECYCLE
+from ..operators.lifecycle import rule_errors, status_counts
+from ..schemas import RULE
+from .storage import new_path, written
 
 
 def merged_months(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def report_text(report: DataFrame, kinds: DataFrame) -> str:
     """The one-row report for people, with failures by kind in order; a kind is one of a fixed few."""
     row = report.first()
     lines = [f"Recurrence: {row.headline_err_percent} ({row.confirmed_recurrence_count} of {row.agent_failure_denominator} failures)", f"Possible: {row.possible_recurrence_count}"]
-    return "\n".join(lines + [f"{r.kind}: {r.failures}" for r in kinds.orderBy("kind").limit(100).collect()]) + "\n"
+    return "\n".join(lines + [f"{r.kind}: {r.failures}" for r in kinds.orderBy("kind").collect()]) + "\n"
 
 
 def report_html(report: DataFrame) -> str:
@@ -100,12 +105,76 @@ def upsert_block(content: str, block: str) -> tuple[str, bool]:
     return out, out != content
 
 
-def memory_page(rules: DataFrame, most: int = 1000) -> str:
-    """A Markdown page of the rules by state; ``most`` bounds what comes to the driver, which is a page for people."""
-    lines = ["# Memory", ""]
-    for row in rules.orderBy("status", F.desc("confidence"), "id").limit(most).select("id", "kind", "status", "confidence", "statement").collect():
-        lines.append(f"- {code_span(row.id)} ({row.kind}, {row.status}, {row.confidence:.4g}): {row.statement}")
-    return "\n".join(lines) + "\n"
+class BrokenRules(ValueError):
+    """Some rule breaks the contract, so none is written."""
+
+
+def write_rules(rules: DataFrame, path: str, known_paths: DataFrame | None = None) -> None:
+    """Write rules in the schema of rules, all of them or, where one breaks the contract, none; columns that lack are null.
+
+    They are computed once, beside the table, which is replaced at the end.
+    """
+    kinds = StructType.fromDDL(RULE)
+    whole = written(rules.select(*((F.col(f.name) if f.name in rules.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds)), "rules")
+    stated = whole.drop(*(c for c in ("confidence_label", "confidence_inputs", "decay") if c not in rules.columns))
+    broken = rule_errors(stated, known_paths).limit(5).collect()
+    if broken:
+        raise BrokenRules("; ".join(f"{r.id}: {', '.join(r.errors)}" for r in broken))
+    whole.write.mode("overwrite").parquet(path)
+
+
+def _span(text: Column) -> Column:
+    """Markdown code of a text, on one line; :func:`code_span` as an expression."""
+    line = F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")
+    longest = F.array_max(F.transform(F.regexp_extract_all(line, F.lit("`+"), F.lit(0)), lambda x: F.length(x)))
+    fence = F.repeat(F.lit("`"), F.coalesce(longest, F.lit(0)) + 1)
+    pad = F.when(line.startswith("`") | line.endswith("`") | (F.trim(line) == ""), " ").otherwise("")
+    return F.concat(fence, pad, line, pad, fence)
+
+
+def memory_lines(rules: DataFrame) -> DataFrame:
+    """(place, line): the page of all rules, line by line; ``place`` is (section, state, rule id, number), in order.
+
+    The page has a table of all states with their counts, zeros included; active rules as strong memory, and all others
+    as weak memory, by state and id, each with what it says, its evidence and its receipts: the pull requests it
+    cites, without repeats. A rule's lines are made within its row, so a page of any length is made by all tasks.
+    """
+    c = F.col
+    n = F.lit
+    place = lambda section, state, rule, number: F.struct(section.cast("int").alias("section"), state.cast("int").alias("state"), rule.alias("rule"), number.cast("int").alias("number"))
+    spark = rules.sparkSession
+    counts = status_counts(rules).withColumn("state", F.array_position(F.array(*map(F.lit, LIFECYCLE)), c("status")))
+    heads = [(0, "# Memory"), (1, ""), (2, "## Lifecycle"), (3, ""), (4, "| state | rules | use |"), (5, "| --- | ---: | --- |")]
+    fixed = [(0, i, t) for i, t in heads] + [(2, i, t) for i, t in enumerate(["", "## Strong memory", "", "Active rules are served.", ""])] + [(4, i, t) for i, t in enumerate(["## Weak memory", "", "All other rules are visible for review only.", ""])]
+    parts = [spark.createDataFrame(fixed, "section int, number int, line string").select(place(c("section"), n(0), n(""), c("number")).alias("place"), "line")]
+    use = F.when(c("status") == "active", "served").otherwise("visible only")
+    parts.append(counts.select(place(n(1), c("state"), n(""), n(0)).alias("place"), F.concat(n("| "), "status", n(" | "), c("rules").cast("string"), n(" | "), use, n(" |")).alias("line")))
+    strong = c("status") == "active"
+    section = F.when(strong, 3).otherwise(5)
+    state = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LIFECYCLE)), c("status")), F.lit(0)), F.lit(len(LIFECYCLE) + 1))
+    some = counts.where("rules > 0")
+    parts.append(some.select(place(section, c("state"), n(""), n(0)).alias("place"), F.explode(F.array(F.concat(n("### "), F.initcap("status")), n(""))).alias("line")).withColumn("line", c("line")))
+    for flag, at, told in ((strong, 3, "No active rules."), (~strong, 5, "No weak rules.")):
+        parts.append(counts.agg(F.sum(F.when(flag, c("rules")).otherwise(0)).alias("n")).where("n = 0").select(place(n(at), n(0), n(""), n(0)).alias("place"), n(told).alias("line")))
+    plain = lambda name: F.regexp_replace(F.coalesce(c(name).cast("string"), n("")), r"[\x00-\x1F\x7F]+", " ")
+    cited = F.filter("provenance", lambda p: (p["pr"] > 0) & (F.coalesce(p["url"], n("")) != ""))
+    receipts = F.array_distinct(F.transform(cited, lambda p: F.concat(n("  - [PR #"), p["pr"].cast("string"), n("]("), p["url"], n(")"), F.when(p["outcome"] != "", F.concat(n(" - outcome `"), p["outcome"], n("`"))).otherwise(""), F.when(p["experience_id"] != "", F.concat(n(", experience `"), p["experience_id"], n("`"))).otherwise(""))))
+    confidence = F.format_string("%.4g", c("confidence"))
+    lines = F.concat(
+        F.array(F.concat(n("#### "), _span(c("id"))), n(""), F.concat(n("- "), plain("kind"), n(", "), plain("status"), n(", confidence "), confidence), F.concat(n("- review: "), plain("review_label"), n(", "), plain("statement_origin")),
+                F.concat(n("- evidence: "), c("evidence_count").cast("string"), n(" for, "), c("contradictions").cast("string"), n(" against")), F.concat(n("- statement: "), F.trim(plain("statement")))),
+        F.when(F.size(receipts) > 0, F.concat(F.array(n("- receipts:")), receipts)).otherwise(F.array().cast("array<string>")), F.array(n("")),
+    )
+    own = rules.select(section.alias("section"), state.alias("state"), "id", F.posexplode(lines).alias("number", "line"))
+    parts.append(own.select(place(c("section"), c("state"), c("id"), c("number")).alias("place"), "line"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_memory_page(rules: DataFrame, path: str) -> None:
+    """The page of all rules as text, in parts whose names are in the page's order."""
+    lines = memory_lines(rules)
+    parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "place", "line").sortWithinPartitions("place", F.desc("line")).select("line").write.mode("overwrite").text(path)
 
 
 def advisory_comment(risk_level: str, paths: list[str], fingerprint: str) -> str:

@@ -9,18 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.normalize import AttributionPolicy, accepted, normalized
 from ..schemas import EVENT
 from ..sources.sinks import upsert_experiences
+from ..sources.snapshots import upsert_snapshot
+from ..sources.storage import written
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(path)
 
 
-def ingest_stream(events: DataFrame, table: str, checkpoint: str, policy: AttributionPolicy = AttributionPolicy(), **trigger: object) -> StreamingQuery:
-    """Normalise and upsert; a batch that runs twice gives the same table. Broken rows are left out of the table."""
+def ingest_stream(events: DataFrame, table: str, checkpoint: str, policy: AttributionPolicy = AttributionPolicy(), *, stream: str | None = None, **trigger: object) -> StreamingQuery:
+    """Normalise and upsert; a batch that runs twice gives the same table. Broken rows are left out of the table.
+
+    With the name of a ``stream`` the table is one of snapshots: a batch's months change together, and once.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = accepted(normalized(batch, policy), mode="quarantine").withColumn("batch_seq", F.lit(batch_id).cast("long"))
-        if not rows.isEmpty():
+        if stream is not None:
+            upsert_snapshot(written(rows, "batch"), table, stream=stream, batch=batch_id)
+        elif not rows.isEmpty():
             upsert_experiences(rows, table)
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
