@@ -200,6 +200,9 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     group of thousands of copies never becomes pairs as rows, and no candidate pair is left out. A band of
     more than ``BLOCK_ROWS`` members, or ``BLOCK_SHINGLES`` shingles, is dealt out as pairs of blocks. Every link is confirmed on full sets.
 
+    Shingles are compared by 62-bit hashes of their words under fixed bases: two different ones are taken for one with a
+    chance of some 2 ** -60, but for texts that are made to collide.
+
     Defined cases: a null, empty or blank text has ``n_shingles`` 0, is its own component and kept. A null
     id is returned with a null component, kept. Rows that repeat an id are one vertex, each returned. Other
     columns are ignored, whatever their names. An empty table gives an empty result.

@@ -191,6 +191,9 @@ def quality_rules(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc
     hashes; more symbols, repeated lines, repeated windows, stuttered words, capitals or digits never
     raise the verdict.
 
+    Words and lines are compared within a text by 62-bit hashes of fixed bases, so texts made to collide could be
+    counted wrongly.
+
     Defined cases: a null or empty text has counts of 0 and fails the base rules. Without labels of both
     classes every score is 1, so the base rules decide alone. Null ids and repeated rows are judged like
     others; of rows that repeat an id, the trees are fitted on the one with the least counts. Other columns are ignored. An empty table gives an empty result.

@@ -24,3 +24,18 @@ def joined_by_count(rows: DataFrame, keyed: DataFrame, on: list[str], count_col:
     often, seldom = keyed.where(hot), keyed.where(~hot)
     rest = rows.join(F.broadcast(often.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(often), on).unionByName(rest.join(seldom, on))
+
+
+def left_joined_by_count(rows: DataFrame, keyed: DataFrame, on: str, count_col: str) -> DataFrame:
+    """The same as a left join by one key; rows without a key, or with one that ``keyed`` lacks, get nulls.
+
+    Rows without a key pass by the join, so that they never meet in one task.
+    """
+    keys, total = keyed.agg(F.count("*"), F.coalesce(F.sum(count_col), F.lit(0))).first()
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keyed), on, "left")
+    hot = F.col(count_col) > F.lit(total / BROADCAST_KEYS)
+    often, seldom = keyed.where(hot), keyed.where(~hot)
+    given = rows.where(F.col(on).isNotNull())
+    rest = given.join(F.broadcast(often.select(on)), on, "left_anti").join(seldom, on, "left")
+    return given.join(F.broadcast(often), on).unionByName(rest).unionByName(rows.where(F.col(on).isNull()), allowMissingColumns=True)

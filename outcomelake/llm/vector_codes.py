@@ -15,6 +15,8 @@ from .skew import joined_by_count
 
 #: Vectors in one tree, and points in a leaf.
 TREE_ROWS, LEAF = 4096, 16
+#: Differences of leaves' points and entries that are held at once.
+LEAF_CELLS = 1 << 21
 #: Whole numbers below this are worked on in 64 bits without overflow; greater ones as Python's integers.
 NARROW = 1 << 24
 #: Sums travel in pieces of so many bits, so that they stay exact however large they are.
@@ -97,13 +99,16 @@ class Tree:
             if level < self.depth:
                 nodes, left = np.repeat(2 * nodes, 2), np.repeat(left, 2, axis=0)
                 nodes[1::2] += 1
-        if len(nodes):
-            points, weight = self.points.reshape(len(self.low[-1]), LEAF, -1)[nodes], self.weight.reshape(-1, LEAF)[nodes]
+        # Leaves in runs, so that memory does not follow the width of the parts.
+        run = max(1, LEAF_CELLS // (LEAF * k * entries.shape[1]))
+        for at in range(0, len(nodes), run):
+            some, known = nodes[at : at + run], left[at : at + run]
+            points, weight = self.points.reshape(len(self.low[-1]), LEAF, -1)[some], self.weight.reshape(-1, LEAF)[some]
             away = points[:, :, None] - entries[None, None]
-            code = np.argmin(np.where(left[:, None], (away * away).sum(3), np.iinfo(np.int64).max), axis=2)
+            code = np.argmin(np.where(known[:, None], (away * away).sum(3), np.iinfo(np.int64).max), axis=2)
             np.add.at(counts, code.ravel(), weight.ravel())
             np.add.at(sums, code.ravel(), (points * weight[:, :, None]).reshape(code.size, -1))
-            codes.reshape(-1, LEAF)[nodes] = code
+            codes.reshape(-1, LEAF)[some] = code
         out = np.empty(int(self.order.max()) + 1, dtype=np.int64)
         out[self.order] = codes
         return out, counts, sums

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
+from .skew import left_joined_by_count
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -22,8 +23,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 _RECORD_URI = "urn:outcomelake:page:"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace of RFC 4122
-#: Up to so many repeated payloads are sent to all executors (about 100 bytes each); more are joined by a shuffle.
-BROADCAST_GROUPS = 500_000
 #: Keys of the boundary sample for each shard, and in all; for more shards there are fewer keys each.
 SAMPLE_PER_SHARD, SAMPLE = 32, 1 << 18
 #: What a record takes besides its payload, about.
@@ -186,28 +185,30 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
 
-    large = rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", F.sha1("payload").alias("digest"))
-    groups = written(large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").select("digest", "response"), "warc-groups")
-    several = groups.count()
-    if several:
-        rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_bytes, F.sha1("payload")))
-        rows = rows.join(F.broadcast(groups) if several <= BROADCAST_GROUPS else groups, "digest", "left")
+    digest = F.when(F.octet_length("payload") >= revisit_bytes, F.sha1("payload")).alias("digest")
+    tie = F.xxhash64("payload").alias("tie")
+    # Payloads are read once for what is known of them, and once more to be written.
+    facts = written(rows.select("page_id", "url", digest, tie, F.octet_length("payload").alias("size")), "warc-facts")
+    groups = facts.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 and response is not null"), "warc-groups")
+
+    def marked(found: DataFrame) -> DataFrame:
         revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-        rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("is_revisit"))
-    else:
-        rows = rows.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("is_revisit"))
+        own = left_joined_by_count(found, groups, "digest", "n")
+        return own.withColumns({"refers_to": F.when(revisit, F.col("response")), "is_revisit": revisit}).drop("digest", "response", "n")
 
-    rows = rows.withColumn("tie", F.xxhash64("payload"))
-    own_bytes = F.when(F.col("is_revisit"), 0).otherwise(F.octet_length("payload")) + HEAD_BYTES
-    total = rows.agg(F.sum(own_bytes).alias("n")).first().n or 0
+    known = marked(facts)
+    own_bytes = F.when(F.col("is_revisit"), 0).otherwise(F.col("size")) + HEAD_BYTES
+    total = known.agg(F.sum(own_bytes).alias("n")).first().n or 0
     shards = max(1, min(most_shards, -(-total // shard_bytes)))
     bounds: list[Key] = []
     if shards > 1:
-        keys = rows.select(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "tie", own_bytes.cast("long").alias("size"))
+        keys = known.select(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "tie", own_bytes.cast("long").alias("size"))
         drawn = keys.orderBy(F.xxhash64("url", "page_id", "tie"), "url", "page_id", "tie").limit(min(SAMPLE_PER_SHARD * shards, max(SAMPLE, shards))).collect()
         bounds = boundaries(sorted(((r.url.encode(), r.page_id, r.tie), r.size) for r in drawn), shards)
 
-    dealt = rows.mapInArrow(_shards(bounds), "page_id long, url string, payload binary, refers_to long, is_revisit boolean, tie long, shard int")
+    whole = marked(rows.select("page_id", "url", "payload", digest, tie)).select("page_id", "url", "payload", "refers_to", "is_revisit", "tie")
+    dealt = whole.mapInArrow(_shards(bounds), "page_id long, url string, payload binary, refers_to long, is_revisit boolean, tie long, shard int")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "url", "page_id", "tie", "payload")
     manifest = written(dealt.mapInArrow(_write(folder, roll_bytes, date), _MANIFEST), "warc-manifest")
     final = manifest.mapInArrow(_commit(folder), _MANIFEST).select("shard", "sequence", "name", "bytes", "records", "sha1")

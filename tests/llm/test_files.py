@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from outcomelake.llm import chat, packing, warc
+from outcomelake.llm import chat, packing, skew, warc
 from outcomelake.sources.storage import new_path
 
 BIG = "<p>" + "x" * 1200 + "é</p>"
@@ -209,3 +209,20 @@ def test_layouts(spark):
     want = [*((i, t) for i, (_, t) in enumerate(cases)), (90, None), (91, None), (92, None), (1, plain), (None, plain)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert chat.format_records(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keys", [100_000, 2])
+def test_archive_groups_by_any_join(spark, monkeypatch, keys):
+    """Groups that are sent to all tasks and groups that are joined by size; a third of all rows copies, many small and null payloads."""
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", keys)
+    rows = [(i, f"http://h/{i % 7}", "hot " * 400 if i % 3 == 0 else f"g{i % 20} " * 500 if i % 3 == 1 else (None, "small")[i % 2]) for i in range(150)]
+    folder = new_path(spark, "warc-test")
+    warc.write_archives(pages_of(spark, rows), folder)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, folder).collect()}
+    last = {}
+    for i, _, text in rows:
+        last[text] = i
+    for i, _, text in rows:
+        size = len((text or "").encode())
+        want = ("response", None, size) if size < 1000 or last[text] == i else ("revisit", last[text], size)
+        assert got[i] == want

@@ -113,9 +113,10 @@ def coded(spark, rows, **options):
     return sorted(str((r.vec_id, r.code, r.error, r.label_error)) for r in got.collect()), books
 
 
-@pytest.mark.parametrize("rows_a_tree", [4096, 40])
-def test_codes_match_brute_force(spark, monkeypatch, rows_a_tree):
+@pytest.mark.parametrize(("rows_a_tree", "cells"), [(4096, 1 << 21), (40, 1)])
+def test_codes_match_brute_force(spark, monkeypatch, rows_a_tree, cells):
     monkeypatch.setattr(vector_codes, "TREE_ROWS", rows_a_tree)
+    monkeypatch.setattr(vector_codes, "LEAF_CELLS", cells)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(9, 12))
     rows = [(int(i) - 50, None if i % 7 == 0 else int(i % 3), [round(float(x), int(i % 3)) for x in centres[i % 9] + rng.normal(size=12) * 0.2]) for i in rng.permutation(400)]

@@ -67,6 +67,21 @@ def test_trees_are_monotonic():
         assert (np.diff(scores) <= 1e-9).all()
 
 
+def test_flat_trees_equal_a_walk_from_the_root():
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(300, 4))
+    trees = rule_trees.boost(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float), (0, 0, 1, -1), rounds=12)
+
+    def walked(row, node):
+        if trees.left[node] == node:
+            return trees.value[node]
+        return walked(row, trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node])
+
+    probes = np.vstack([x[:50], rng.uniform(-1, 2, size=(50, 4))])
+    want = [trees.base + sum(walked(row, root) for root in trees.roots) for row in probes]
+    assert np.allclose(trees.margins(probes), want) and len({round(w, 9) for w in want}) > 5
+
+
 def test_rule_cases(odd):
     docs, labels = odd
     got = {}
