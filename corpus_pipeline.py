@@ -17,7 +17,7 @@ from outcomelake.llm.minhash import one_of_each
 from outcomelake.llm.mixing import mixed
 from outcomelake.llm.packing import pack
 from outcomelake.llm.queries import MIXTURE
-from outcomelake.sources.storage import written
+from outcomelake.sources.storage import new_path, remove, scratch, written
 from outcomelake.llm.subword import without_low_quality
 from outcomelake.llm.weak_supervision import without_toxic
 from outcomelake.packaging import ship_package
@@ -70,8 +70,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; what each returns is written to the shared folder and read again.
+
+    Of each stage but the last only what it returned stays, until the next one has read it.
+    """
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if kept:
+            remove(spark, kept)
+        kept = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -166,6 +166,18 @@ def review_label(status: Column, confidence_: Column) -> Column:
     return F.when(status == "active", "accepted").when(status.isin("stale", "contradicted", "retired"), "needs_user_input").when(confidence_ < 0.55, "needs_user_input").otherwise("suggested")
 
 
+def statement_of(kind: Column, signal: Column, paths: Column) -> Column:
+    """What a drafted rule says, by its kind, signal and scope."""
+    where = F.when(F.size(paths) > 0, F.array_join(paths, ", ")).otherwise("this scope")
+    playbook = F.concat(F.lit("Prefer the held "), signal, F.lit(" pattern in "), where, F.lit(" when this signature appears."))
+    return F.when(kind == "playbook", playbook).otherwise(F.concat(F.lit("Avoid repeating "), signal, F.lit(" in "), where, F.lit(" without addressing the prior failure evidence.")))
+
+
+def rule_id(kind: Column, signal: Column, cluster_key: Column) -> Column:
+    """A drafted rule's id: its kind, its signal in plain letters and a hash of its cluster's key."""
+    return F.concat_ws("-", kind, F.coalesce(F.nullif(slug(signal), F.lit("")), F.lit("signature")), short_hash(F.concat(kind, F.lit(SEPARATOR), cluster_key)))
+
+
 def draft_rules(experiences: DataFrame, *, half_life_days: int = 90, working_tree: DataFrame | None = None) -> DataFrame:
     """Drafted rules of all clusters of a set of experiences.
 
@@ -196,9 +208,7 @@ def draft_rules(experiences: DataFrame, *, half_life_days: int = 90, working_tre
         below = working_tree.select(F.explode(ancestors(F.col("path"))).alias("scope")).distinct()
         alive = rules.select(*by, F.explode("scope_paths").alias("scope")).join(below, "scope", "left_semi").select(*by).distinct().withColumn("alive", F.lit(True))
         rules = rules.join(alive, by, "left").withColumn("scope_missing", (F.size("scope_paths") > 0) & F.col("alive").isNull())
-    where = F.when(F.size("scope_paths") > 0, F.array_join("scope_paths", ", ")).otherwise("this scope")
-    statement = F.when(F.col("rule_kind") == "playbook", F.concat(F.lit("Prefer the held "), "signal", F.lit(" pattern in "), where, F.lit(" when this signature appears."))).otherwise(F.concat(F.lit("Avoid repeating "), "signal", F.lit(" in "), where, F.lit(" without addressing the prior failure evidence.")))
-    name = F.concat_ws("-", "rule_kind", F.coalesce(F.nullif(slug(F.col("signal")), F.lit("")), F.lit("signature")), short_hash(F.concat("rule_kind", F.lit(SEPARATOR), "cluster_key")))
+    statement, name = statement_of(F.col("rule_kind"), F.col("signal"), F.col("scope_paths")), rule_id(F.col("rule_kind"), F.col("signal"), F.col("cluster_key"))
     rules = rules.withColumn("status", rule_status(F.col("scope_missing"), F.col("contradictions")))
     return rules.select(
         name.alias("id"), F.col("rule_kind").alias("kind"), "status", statement.alias("statement"), "scope_paths", "scope_signals", "confidence", "confidence_label",

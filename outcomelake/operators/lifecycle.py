@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DateType, MapType, StringType, StructType, TimestampType
 
 from ..functions.columns import LIFECYCLE, OUTCOME_KINDS, clean_path, filled, pr_url_number, rfc3339, sha256
 from .recurrence import ranked
@@ -167,21 +170,76 @@ def comment_decision(assessments: DataFrame, prior: DataFrame, now: str, *, enab
     return both.drop("last_fingerprint", "last_risk", "last_at")
 
 
-def provider_cost(experiences: DataFrame, price_per_1000: float, cap: float, drafts: int = 1) -> DataFrame:
-    """One row: estimated tokens of all records as JSON (a quarter of the bytes each, rounded up) and their price."""
-    sums = experiences.agg(F.sum(F.ceil(F.octet_length(F.to_json(F.struct(*experiences.columns))) / 4.0)).alias("input_tokens"))
+def provider_cost(experiences: DataFrame, price_per_1000: float, cap: float, drafts: int = 1, line: Column | None = None) -> DataFrame:
+    """One row: estimated tokens of all records, as the text ``line`` or JSON (a quarter of the bytes each, rounded up), and their price."""
+    text = line if line is not None else F.to_json(F.struct(*experiences.columns))
+    sums = experiences.agg(F.sum(F.ceil(F.octet_length(text) / 4.0)).alias("input_tokens"))
     cost = F.round((F.col("input_tokens") + F.col("output_tokens")) / 1000.0 * price_per_1000, 4)
     return sums.withColumn("output_tokens", F.lit(96 + 64 * drafts).cast("long")).withColumn("cost", cost).withColumn("status", F.when(F.col("cost") > cap, "over_cap").otherwise("within_cap"))
 
 
+#: Fields that say when a record was taken in, not what happened; they have no influence on a digest.
+FRESHNESS = ("last_ingest_at", "merged_since_ingest", "source_ref")
+
+
+def canonical_json(value: Column, kind: DataType) -> Column:
+    """A value as one JSON text, whatever the order of its fields: keys of objects and maps stand in order at every depth."""
+    null = F.lit("null")
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name) + ":"), canonical_json(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNull(), null).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    if isinstance(kind, ArrayType):
+        return F.when(value.isNull(), null).otherwise(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]")))
+    if isinstance(kind, MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("k"), F.concat(_quoted(e["key"].cast("string")), F.lit(":"), canonical_json(e["value"], kind.valueType)).alias("t"))))
+        return F.when(value.isNull(), null).otherwise(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: e["t"]), ","), F.lit("}")))
+    if isinstance(kind, TimestampType):
+        return F.coalesce(_quoted(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), null)
+    if isinstance(kind, (StringType, DateType, BinaryType)):
+        return F.coalesce(_quoted(value.cast("string")), null)
+    return F.coalesce(value.cast("string"), null)
+
+
+def _quoted(text: Column) -> Column:
+    whole = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def record_line(experiences: DataFrame) -> Column:
+    """A whole record as canonical JSON, without the fields of :data:`FRESHNESS`."""
+    own = StructType([f for f in experiences.schema if f.name not in FRESHNESS])
+    return canonical_json(F.struct(*(F.col(f"`{f.name}`") for f in own)), own)
+
+
+def digest_parts(experiences: DataFrame, shard: Column, line: Column | None = None) -> DataFrame:
+    """(shard, n, p0, p1, p2, p3): how many records a shard has, and their digests added up in four parts.
+
+    Each record is the text ``line``, or its canonical JSON. Sums can be taken apart again: parts of a table that
+    changed follow from those before and the rows that went and came (:func:`changed_parts`).
+    """
+    lines = experiences.select(shard.alias("shard"), F.sha2(line if line is not None else record_line(experiences), 256).alias("digest"))
+    parts = [F.sum(F.conv(F.substring("digest", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    return lines.groupBy("shard").agg(F.count("*").alias("n"), *parts)
+
+
+def changed_parts(parts: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """The parts after some rows went and others came, from their own parts; shards without records are left out."""
+    names = ("n", "p0", "p1", "p2", "p3")
+    every = parts.unionByName(come).unionByName(gone.select("shard", *((-F.col(n)).alias(n) for n in names)))
+    sums = every.groupBy("shard").agg(F.sum("n").cast("long").alias("n"), *(F.sum(n).cast("decimal(38,0)").alias(n) for n in names[1:]))
+    return sums.where("n <> 0")
+
+
+def digest_of(parts: DataFrame) -> DataFrame:
+    """One row: the digest that the parts of all shards come to. The shards, months, are few; their digests are put in order."""
+    one = F.sha2(F.concat_ws(":", F.col("n").cast("string"), *(F.col(f"p{i}").cast("string") for i in range(4))), 256)
+    return parts.select(one.alias("digest")).agg(sha256(F.array_join(F.array_sort(F.collect_list("digest")), "\n")).alias("source_digest"))
+
+
 def source_digest(experiences: DataFrame, shard: Column, line: Column | None = None) -> DataFrame:
     """One row: a digest that changes with any record, whatever their order.
 
-    Of a shard's records, each as the text ``line`` (JSON without it), the digests are summed up in four parts,
-    so no list of them is ever made; the digests of the few shards are put in order.
+    Of a shard's records, each as the text ``line`` (its canonical JSON without it), the digests are summed up in four
+    parts, so no list of them is ever made; the digests of the few shards are put in order.
     """
-    text = line if line is not None else F.to_json(F.struct(*(c for c in experiences.columns if c not in ("last_ingest_at", "merged_since_ingest", "source_ref"))))
-    lines = experiences.select(shard.alias("shard"), F.sha2(text, 256).alias("digest"))
-    parts = [F.sum(F.conv(F.substring("digest", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
-    shards = lines.groupBy("shard").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
-    return shards.agg(sha256(F.array_join(F.array_sort(F.collect_list("digest")), "\n")).alias("source_digest"))
+    return digest_of(digest_parts(experiences, shard, line))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
-from ..functions.columns import clean_paths, is_failure, is_reliable, percent_text, primary_url, scope_paths, trimmed
+from ..functions.columns import clean_paths, is_failure, is_reliable, joined, percent_text, primary_url, rfc3339_text, scope_paths, short_hash, trimmed
 
 SEPARATOR = "\u0000"
 #: Rows of a key that are put in order by one task.
@@ -104,7 +104,12 @@ def newest_prior(rows: DataFrame, keys: list[str], chunk: str = "day") -> DataFr
 
 
 def chunk_of(rows: DataFrame, keys: list[str]) -> str:
-    """The longest unit of time in which no key has more than ``CHUNK_ROWS`` rows; seconds if there is none."""
+    """The longest unit of time in which no key has more than ``CHUNK_ROWS`` rows; seconds if there is none.
+
+    One sum answers where no key has more rows at all; only else keys are counted by time.
+    """
+    if (rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0) <= CHUNK_ROWS:
+        return "day"
     counts = rows.groupBy(*keys, F.date_trunc("minute", "recorded_at").alias("at")).agg(F.count("*").alias("n"))
     largest = {}
     for unit in ("minute", "hour", "day"):
@@ -136,7 +141,7 @@ def recurrence_pairs(experiences: DataFrame, *, chunk: str | None = None) -> Dat
     best = best.join(agents, "id", "left_semi").groupBy("id").agg(F.max(F.struct("confirmed", "prior")).alias("best"))
     best = best.select("id", "best.confirmed", F.col("best.prior.id").alias("prior_id"))
 
-    side = own.select("experience_id", "pr", "sigs", "signature_id", "source_ref", "url")
+    side = own.select("experience_id", "pr", "sigs", "signature_id", "source_ref", "url", "recorded_at")
     current = side.select(*(F.col(c).alias(f"current_{c}") for c in side.columns))
     prior = side.select(*(F.col(c).alias(f"prior_{c}") for c in side.columns))
     pairs = best.join(current, F.col("id") == F.col("current_experience_id")).join(prior, F.col("prior_id") == F.col("prior_experience_id"))
@@ -144,7 +149,7 @@ def recurrence_pairs(experiences: DataFrame, *, chunk: str | None = None) -> Dat
     return pairs.select(
         "current_experience_id", "prior_experience_id", "current_pr", "prior_pr", "current_url", "prior_url",
         F.col("current_signature_id").alias("signature_id"), key_text(matched).alias("matched_signature_id"),
-        F.when(F.col("confirmed"), "confirmed").otherwise("possible").alias("confidence"), F.array("prior_source_ref", "current_source_ref").alias("refs"),
+        F.when(F.col("confirmed"), "confirmed").otherwise("possible").alias("confidence"), F.array("prior_source_ref", "current_source_ref").alias("refs"), F.col("current_recorded_at").alias("seen_at"),
     )
 
 
@@ -244,11 +249,9 @@ def citations(experiences: DataFrame, pairs: DataFrame) -> DataFrame:
     explicit_human = (F.col("actor_kind") == "human") & is_failure(F.col("kind")) & (F.col("flake_discount") > 0)
     agent_flake = (F.col("actor_kind") == "agent") & is_failure(F.col("kind")) & is_discounted()
     single = experiences.where((F.col("actor_kind") == "uncertain") | explicit_human | agent_flake).select("pr", url.alias("url"), "experience_id", F.struct("recorded_at", "experience_id", F.lit(0).alias("turn")).alias("seen"))
-    turn = experiences.select(F.col("experience_id").alias("current_experience_id"), "recorded_at")
-    paired = pairs.join(turn, "current_experience_id")
-    as_prior = paired.select(F.col("prior_pr").alias("pr"), F.col("prior_url").alias("url"), F.col("prior_experience_id").alias("experience_id"), F.struct("recorded_at", F.col("current_experience_id").alias("experience_id"), F.lit(0).alias("turn")).alias("seen"))
-    as_current = paired.select(F.col("current_pr").alias("pr"), F.col("current_url").alias("url"), F.col("current_experience_id").alias("experience_id"), F.struct("recorded_at", F.col("current_experience_id").alias("experience_id"), F.lit(1).alias("turn")).alias("seen"))
-    every = single.unionByName(as_prior).unionByName(as_current).where("url <> ''")
+    side = lambda name, turn: F.struct(F.col(f"{name}_pr").alias("pr"), F.col(f"{name}_url").alias("url"), F.col(f"{name}_experience_id").alias("experience_id"), F.struct(F.col("seen_at").alias("recorded_at"), F.col("current_experience_id").alias("experience_id"), F.lit(turn).alias("turn")).alias("seen"))
+    paired = pairs.select(F.inline(F.array(side("prior", 0), side("current", 1))))
+    every = single.unionByName(paired).where("url <> ''")
     last = every.groupBy("pr").agg(F.max(F.struct("seen", "url", "experience_id")).alias("last"))
     return last.select("pr", "last.url", "last.experience_id")
 
@@ -285,3 +288,31 @@ def gate(report: DataFrame, enabled: bool, threshold: float | None) -> DataFrame
         return report.withColumns({"gate_status": F.lit("disabled"), "gate_exit_code": F.lit(0)})
     failed = F.col("headline_err") > threshold
     return report.withColumns({"gate_status": F.when(failed, "failed").otherwise("passed"), "gate_exit_code": F.when(failed, 5).otherwise(0)})
+
+
+def report_id(start: Column, end: Column, digest: Column) -> Column:
+    """An id of a report's window, sources and headline counts; the same sources give the same id."""
+    counts = ("agent_failure_denominator", "confirmed_recurrence_count", "possible_recurrence_count")
+    return F.concat(F.lit("backtest_"), short_hash(joined(SEPARATOR, rfc3339_text(start), rfc3339_text(end), digest, *(F.col(c) for c in counts))))
+
+
+#: What a report says about itself, by the column that must be over 0 (none for what it always says).
+DIAGNOSTICS = {
+    "memory_source_verified": ("pass", None),
+    "possible_recurrences_excluded": ("info", "possible_recurrence_count"),
+    "flake_discounts_visible": ("info", "flake_discounted_count"),
+    "uncertain_attribution_excluded": ("info", "attribution_uncertain_count"),
+}
+
+
+def diagnosed(report: DataFrame) -> DataFrame:
+    """One-row reports with ``diagnostics`` (type, status), in order, and ``feedback``: what it found in a sentence, and what to do next.
+
+    A baseline of other sources (``baseline_status`` stale) is a warning, where the report was compared with one.
+    """
+    found = [F.when(F.lit(True) if c is None else F.col(c) > 0, F.struct(F.lit(n).alias("type"), F.lit(s).alias("status"))) for n, (s, c) in DIAGNOSTICS.items()]
+    if "baseline_status" in report.columns:
+        found.append(F.when(F.col("baseline_status") == "stale", F.struct(F.lit("stale_baseline").alias("type"), F.lit("warn").alias("status"))))
+    summary = F.concat(F.col("headline_err_percent"), F.lit(" of failures repeated: "), F.col("confirmed_recurrence_count").cast("string"), F.lit(" confirmed recurrences across "), F.col("agent_failure_denominator").cast("string"), F.lit(" agent failures."))
+    following = F.when(F.col("agent_failure_denominator") > 0, "distill").otherwise("ingest")
+    return report.withColumns({"diagnostics": F.array_compact(F.array(*found)), "feedback": F.struct(summary.alias("summary"), following.alias("next_step"))})

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import advice, coverage, distill, lifecycle, normalize, recurrence, reviews
-from ..sources import changes, scans, sinks
-from ..sources.storage import written
+from ..sources import changes, lineage, scans, sinks
+from ..sources.storage import new_path, written
 from .tables import EXPERIENCES, RULES, experiences, part_path, rules, table, text, touched
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +103,7 @@ def flake_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"{_ALL} SELECT current_experience_id, prior_experience_id, current_pr, prior_pr, current_url, prior_url, signature_id, matched_signature_id, confidence FROM pairs")
 def recurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence.recurrence_pairs(_marked(spark, sf_dir)).drop("refs")
+    return recurrence.recurrence_pairs(_marked(spark, sf_dir)).drop("refs", "seen_at")
 
 
 @registered(f"""{_ALL}, c AS (SELECT count(*) AS window_experience_count, count(*) FILTER (actor_kind = 'agent' AND f) AS agent_failure_denominator, count(*) FILTER (actor_kind = 'human' AND f) AS human_failure_excluded_count,
@@ -151,6 +151,30 @@ def ingest_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrence.ingest_freshness(experiences(spark, sf_dir)).select(C.rfc3339_text(F.col("last_ingest_at")).alias("last_ingest_at"), "merged_since_ingest")
 
 
+_SUMMARY_ROW = """c AS (SELECT count(*) AS window_experience_count, count(*) FILTER (actor_kind = 'agent' AND f) AS agent_failure_denominator, count(*) FILTER (actor_kind = 'uncertain') AS attribution_uncertain_count,
+  count(*) FILTER (actor_kind = 'agent' AND f AND (flake_discount > 0 OR heuristic)) AS flake_discounted_count, min(recorded_at) AS first_at, max(recorded_at) AS last_at FROM (SELECT *, kind IN ('ci_failure', 'revert', 'review_correction') AS f FROM marked)),
+p AS (SELECT count(*) FILTER (confidence = 'confirmed') AS confirmed, count(*) FILTER (confidence = 'possible') AS possible FROM pairs), e AS (SELECT *, round(confirmed::DOUBLE / agent_failure_denominator, 4) AS err FROM c, p)"""
+
+
+@registered(f"""{_ALL}, {_SUMMARY_ROW}, l AS (SELECT sha256(concat_ws('|', experience_id, pr::VARCHAR, kind)) AS h FROM exp), s AS (SELECT sha256(concat_ws(':', count(*)::VARCHAR, {", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT)::VARCHAR" for i in range(4))})) AS digest FROM l),
+b AS (SELECT max(recorded_at) AS anchor FROM exp), z AS (SELECT *, 'sha256:' || sha256(digest) AS source_digest FROM e, s, b)
+SELECT 'backtest_' || substr(sha256(concat_ws(chr(0), strftime(anchor - INTERVAL {DAYS} DAY, '%Y-%m-%dT%H:%M:%SZ'), strftime(anchor, '%Y-%m-%dT%H:%M:%SZ'), source_digest, agent_failure_denominator::VARCHAR, confirmed::VARCHAR, possible::VARCHAR)), 1, 12) AS report_id,
+  concat_ws(',', 'memory_source_verified:pass', CASE WHEN possible > 0 THEN 'possible_recurrences_excluded:info' END, CASE WHEN flake_discounted_count > 0 THEN 'flake_discounts_visible:info' END, CASE WHEN attribution_uncertain_count > 0 THEN 'uncertain_attribution_excluded:info' END, 'stale_baseline:warn') AS diagnostics,
+  printf('%.1f%%', round(round_even(err * 100, 1), 1)) || ' of failures repeated: ' || confirmed || ' confirmed recurrences across ' || agent_failure_denominator || ' agent failures.' AS feedback, CASE WHEN agent_failure_denominator > 0 THEN 'distill' ELSE 'ingest' END AS next_step,
+  round(err - 0.25, 4) AS err_delta, CASE WHEN err > 0.25 THEN 'failed' ELSE 'passed' END AS gate_status FROM z""")
+def report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's id, diagnostics, feedback, gate and change since a baseline of other sources."""
+    every = experiences(spark, sf_dir)
+    start, anchor = recurrence.window_bounds(every, DAYS)
+    rows = _marked(spark, sf_dir)
+    line = F.concat_ws("|", "experience_id", F.col("pr").cast("string"), "kind")
+    summary = recurrence.error_recurrence(rows, recurrence.recurrence_pairs(rows)).join(lifecycle.source_digest(every, F.lit("all"), line))  # one row each
+    stored = spark.createDataFrame([(0.25, "other")], "baseline_err double, source_digest string")
+    report = recurrence.diagnosed(recurrence.gate(scans.compare_baseline(summary, stored), True, 0.25))
+    said = F.transform("diagnostics", lambda d: F.concat_ws(":", d["type"], d["status"]))
+    return report.select(recurrence.report_id(F.lit(start), F.lit(anchor), F.col("source_digest")).alias("report_id"), F.array_join(said, ",").alias("diagnostics"), F.col("feedback.summary").alias("feedback"), "feedback.next_step", "err_delta", "gate_status")
+
+
 @registered()
 def report_one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report: summary, freshness, badge, gate and baseline."""
@@ -247,14 +271,73 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.risk(*_summary(spark, sf_dir)).select("coverage", "max_avoid_confidence", "risk_level")
 
 
-@registered("""WITH r AS (SELECT 'rule_' || item_id AS id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS scope FROM benchmark),
+_CHANGES = f"""WITH {RULES}, asked AS (SELECT DISTINCT l_orderkey AS change_id, path, folder FROM lineitem JOIN files ON l_partkey = p_partkey),
+m AS (SELECT DISTINCT t.path, r.id, r.kind, r.confidence, r.evidence_count FROM asked t JOIN rules r ON t.folder = r.folder AND CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE true END),
+lv AS (SELECT path, max(CASE WHEN kind = 'avoid' THEN 1 ELSE 0 END) AS risky FROM m GROUP BY 1),
+w AS (SELECT change_id, count(*) AS touched_path_count, count(*) FILTER (risky = 0) AS covered_clean_count, count(*) FILTER (risky = 1) AS covered_risky_count, count(*) FILTER (risky IS NULL) AS no_coverage_count FROM asked LEFT JOIN lv USING (path) GROUP BY 1),
+u AS (SELECT change_id, count(*) AS matched_rule_count, sum(evidence_count)::BIGINT AS evidence_count, max(confidence) FILTER (kind <> 'playbook') AS top FROM (SELECT DISTINCT change_id, id, kind, confidence, evidence_count FROM asked JOIN m USING (path)) GROUP BY 1),
+x AS (SELECT w.*, coalesce(matched_rule_count, 0) AS matched_rule_count, coalesce(evidence_count, 0) AS evidence_count, top, CASE WHEN no_coverage_count > 0 THEN 'no_coverage' WHEN covered_risky_count > 0 THEN 'covered_risky' ELSE 'covered_clean' END AS coverage FROM w LEFT JOIN u USING (change_id)),
+z AS (SELECT *, CASE WHEN top >= 0.75 THEN 'match_high' WHEN top >= 0 THEN 'match_medium' WHEN coverage = 'covered_clean' THEN 'covered_clean' ELSE 'no_coverage' END AS risk_level FROM x)"""
+
+
+def _changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("change_id"), F.col("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part").select("p_partkey", part_path().alias("path")), "p_partkey").select("change_id", "path")
+
+
+@registered(f"{_CHANGES} SELECT * EXCLUDE (top), top AS max_avoid_confidence, round(evidence_count / touched_path_count, 4)::DOUBLE AS experience_density FROM z")
+def assess_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage and risk of every order as a change of the paths of its parts."""
+    return coverage.assess_changes(_changed_paths(spark, sf_dir), rules(spark, sf_dir))
+
+
+@registered(f"""{_CHANGES}, n AS (SELECT change_id, path, row_number() OVER (PARTITION BY change_id ORDER BY path) AS i, count(*) OVER (PARTITION BY change_id) AS n FROM asked)
+SELECT change_id, '<!-- outcomelake:advisory f' || change_id || ' -->' || chr(10) || '**Risk:** ' || risk_level || chr(10) || chr(10) || 'Without coverage: ' || string_agg('`' || path || '`', ', ' ORDER BY i) FILTER (i <= 3) || CASE WHEN max(n) > 3 THEN ' and ' || (max(n) - 3) || ' more' ELSE '' END || chr(10) AS comment
+FROM z JOIN n USING (change_id) GROUP BY change_id, risk_level""")
+def advice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comment on every order as a change, with three of its paths at most."""
+    asked = written(_changed_paths(spark, sf_dir).distinct(), "changed-paths")
+    levels = coverage.assess_changes(asked, rules(spark, sf_dir)).select("change_id", "risk_level")
+    named = asked.groupBy("change_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return levels.join(named, "change_id").select("change_id", sinks.comment_text(F.col("risk_level"), F.col("paths"), text("f", F.col("change_id"))).alias("comment"))
+
+
+@registered(f"""WITH {RULES} SELECT DISTINCT path, 'https://github.com/acme/shop/pull/' || p_partkey AS url FROM matches JOIN rules USING (id)""")
+def coverage_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses that back the coverage of each touched path, a row each."""
+    asked, own = touched(spark, sf_dir), rules(spark, sf_dir)
+    return coverage.path_citations(coverage.path_matches(asked, own), own)
+
+
+@registered(f"""WITH {RULES}, m AS (SELECT DISTINCT t.path AS context_id, r.* FROM files t JOIN rules r ON t.folder = r.folder AND CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE true END)
+SELECT context_id, count(*) AS rules, sum(evidence_count)::BIGINT AS evidence_count, CASE WHEN bool_or(kind = 'avoid') THEN 'covered_risky' ELSE 'covered_clean' END AS coverage, max(confidence) AS confidence, count(DISTINCT p_partkey) AS citations FROM m GROUP BY 1""")
+def recall_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recall answers to a text for every part that names its path: rules, evidence, coverage and citations."""
+    contexts = table(spark, sf_dir, "part").select(part_path().alias("context_id"), text("Please look at (", part_path(), "), first.").alias("context"))
+    own = rules(spark, sf_dir)
+    return coverage.recall_answers(written(coverage.recall_in_texts(contexts, own), "recalled"), own)
+
+
+@registered(f"""WITH {RULES}, n AS (SELECT s.status, count(r.id) AS rules FROM (SELECT unnest(['candidate', 'active', 'stale', 'contradicted', 'retired']) AS status) s LEFT JOIN rules r USING (status) GROUP BY 1),
+r AS (SELECT *, CASE WHEN status = 'active' THEN 3 ELSE 5 END AS section FROM rules)
+SELECT '| ' || status || ' | ' || rules || ' | ' || CASE WHEN status = 'active' THEN 'served' ELSE 'visible only' END || ' |' AS line, 1 AS section, '' AS rule FROM n
+UNION ALL SELECT unnest(['#### `' || id || '`', '- ' || kind || ', ' || status || ', confidence ' || p_partkey % 101 || '%', '- review: ' || review_label || ', cluster_summary', '- evidence: ' || evidence_count || ' for, ' || p_partkey % 3 || ' against', '- statement: statement ' || p_partkey, '- receipts:']
+  || CASE WHEN p_partkey = 0 THEN [] ELSE ['  - [PR #' || p_partkey || '](https://github.com/acme/shop/pull/' || p_partkey || ') - outcome `' || CASE WHEN kind = 'playbook' THEN 'fix_held' ELSE 'ci_failure' END || '`, experience `exp_' || p_partkey || '`'] END), section, id FROM r WHERE p_partkey > 0
+UNION ALL SELECT unnest(['#### `' || id || '`', '- ' || kind || ', ' || status || ', confidence ' || p_partkey % 101 || '%', '- review: ' || review_label || ', cluster_summary', '- evidence: ' || evidence_count || ' for, ' || p_partkey % 3 || ' against', '- statement: statement ' || p_partkey]), section, id FROM r WHERE p_partkey = 0""")
+def memory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the page of all rules that say something of a state or rule; blank lines and headings between are left out."""
+    own = rules(spark, sf_dir).withColumn("contradictions", F.regexp_extract("id", r"(\d+)", 1).cast("long") % 3)
+    found = sinks.memory_lines(own).where("(place.section = 1 or place.rule <> '') and line <> ''")
+    shown = F.when(F.col("line").rlike(r", confidence [0-9.e-]+$"), F.concat(F.regexp_extract("line", r"^(.*, confidence )", 1), F.rint(F.regexp_extract("line", r"([0-9.e-]+)$", 1).cast("double") * 100).cast("long").cast("string"), F.lit("%"))).otherwise(F.col("line"))
+    return found.select(shown.alias("line"), F.col("place.section").alias("section"), F.col("place.rule").alias("rule"))
+
+
+@registered("""WITH r AS (SELECT DISTINCT 'rule_' || item_id AS id, lower(trim(line, ' ' || chr(9) || chr(13))) AS scope FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)),
 d AS (SELECT doc_id, lower(text) AS low, len(list_filter(regexp_split_to_array(translate(text, '`"''()[]{},;:', '            '), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: contains(w, '/'))) AS slashes FROM documents)
-SELECT doc_id AS context_id, r.id AS rule_id FROM d JOIN r ON slashes = 0 AND contains(low, scope)""")
+SELECT DISTINCT doc_id AS context_id, r.id AS rule_id FROM d JOIN r ON slashes = 0 AND scope <> '' AND contains(low, scope)""")
 def recall_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules whose scope, the beginning of a ``benchmark`` passage, stands in any of the whole ``documents`` that name no path."""
-    own = table(spark, sf_dir, "benchmark").select(text("rule_", F.col("item_id")).alias("id"), F.array(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("scope_paths"))
-    found = coverage.recall_in_texts(table(spark, sf_dir, "documents"), own, id_col="doc_id", text_col="text")
-    return found
+    """Rules whose scope, a line of a whole ``benchmark`` passage, stands in any of the whole ``documents`` that name no path."""
+    own = table(spark, sf_dir, "benchmark").select(text("rule_", F.col("item_id")).alias("id"), F.split("text", "\n").alias("scope_paths"))
+    return coverage.recall_in_texts(table(spark, sf_dir, "documents"), own, id_col="doc_id", text_col="text")
 
 
 @registered(f"""WITH {RULES}, p AS (SELECT path, folder, p_partkey FROM files), one AS (SELECT path, folder FROM p)
@@ -475,6 +558,59 @@ def redaction_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(docs)
 
 
+@registered(f"""WITH {RULES}, old AS (SELECT l_partkey AS p_partkey, min(l_shipdate) AS added_at FROM lineitem GROUP BY 1), h AS (SELECT folder, min(added_at) AS since FROM files JOIN old USING (p_partkey) WHERE p_partkey % 3 = 0 GROUP BY 1),
+t AS (SELECT path, folder, added_at AS at FROM files JOIN old USING (p_partkey))
+SELECT DISTINCT t.path, t.at, r.id AS rule_id FROM t JOIN rules r ON t.folder = r.folder LEFT JOIN h ON h.folder = r.folder WHERE CASE r.form WHEN 0 THEN t.path = r.scope WHEN 1 THEN h.since <= t.at WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE true END""")
+def scope_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that covered each part's path when it first shipped; a directory counts from when a third of the parts, the known files, first lay in it."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_shipdate").cast("timestamp").alias("at"))
+    files = table(spark, sf_dir, "part").join(shipped, "p_partkey").select("p_partkey", part_path().alias("path"), "at")
+    history = files.where("p_partkey % 3 = 0").select("path", F.col("at").alias("added_at"))
+    return coverage.path_matches(files.select("path", "at"), rules(spark, sf_dir), history)
+
+
+_DIGESTED = """l AS (SELECT shard, CASE WHEN pr % 3 = 0 THEN 'new' ELSE 'old' END AS state, experience_id || '|' || pr || '|' || kind || '|' || CASE WHEN pr % 3 = 0 THEN '1' ELSE '0' END AS line FROM (SELECT *, strftime(recorded_at, '%Y-%m') AS shard FROM exp)),
+s AS (SELECT shard, sha256(line) AS h FROM l), c AS (SELECT shard, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS p0, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT) AS p1, sum(('0x' || substr(h, 31, 15))::BIGINT::HUGEINT) AS p2, sum(('0x' || substr(h, 46, 15))::BIGINT::HUGEINT) AS p3 FROM s GROUP BY 1)"""
+
+
+@registered(f"WITH {EXPERIENCES}, {_DIGESTED} SELECT 'sha256:' || sha256(string_agg(d, chr(10) ORDER BY d)) AS source_digest FROM (SELECT sha256(concat_ws(':', n::VARCHAR, p0::VARCHAR, p1::VARCHAR, p2::VARCHAR, p3::VARCHAR)) AS d FROM c)")
+def digest_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all experiences after a third of them changed, from the digest parts before, the old rows and the new ones."""
+    every = experiences(spark, sf_dir)
+    shard = F.date_format("recorded_at", "yyyy-MM")
+    parts = lambda rows, state: lifecycle.digest_parts(rows, shard, F.concat_ws("|", "experience_id", F.col("pr").cast("string"), "kind", F.lit(state)))
+    changed = every.where("pr % 3 = 0")
+    return lifecycle.digest_of(lifecycle.changed_parts(parts(every, "0"), parts(changed, "0"), parts(changed, "1")))
+
+
+@registered(f"""WITH {EXPERIENCES}, e AS (SELECT *, CAST(substr(experience_id, 5) AS BIGINT) AS n FROM exp WHERE actor_kind = 'agent' OR pr % 5 = 0), b AS (SELECT *, n % 13 = 0 OR n % 19 = 0 OR n % 23 = 0 AS broken FROM e)
+SELECT count(*) AS records, count(*) FILTER (NOT broken) AS accepted, count(*) FILTER (broken) AS rejected, count(*) FILTER (NOT broken) AS agent, 0::BIGINT AS human, 0::BIGINT AS uncertain FROM b""")
+def ingest_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that are taken while normalised events are written, sound and broken ones apart."""
+    checked = normalize.normalized(raw_events(spark, sf_dir), POLICY, ref=F.col("row_id"))
+    seen = lineage.ingest_observed(checked, new_path(spark, "observed"))
+    return spark.createDataFrame([tuple(seen.values())], ", ".join(f"{k} long" for k in seen))
+
+
+@registered("""WITH c AS (SELECT doc_id, text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM c),
+k AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id, n) AS line, regexp_full_match(value, '[ \\t\\n\\x0B\\f\\r]*') AS blank FROM l) SELECT doc_id, n, line FROM k WHERE NOT blank""")
+def line_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of all lines of all ``documents``, written as a text file for every 500 of them and read back in blocks of 256 KiB."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "value"))
+    blank = F.col("value").rlike(r"^[ \t\n\x0B\f\r]*$")
+    line = F.when(blank, "").otherwise(F.concat_ws(" ", F.col("doc_id").cast("string"), (F.col("n") + 1).cast("string"), F.regexp_replace("value", r"[\r\n]", " ")))
+    path = new_path(spark, "lines")
+    files = docs.select(F.floor(F.col("doc_id") / 500).alias("file"), "doc_id", "n", line.alias("value"))
+    files.repartition("file").sortWithinPartitions("file", "doc_id", "n").select("file", "value").write.partitionBy("file").text(path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        found = written(lineage.numbered_lines(spark, path).where("value <> ''").select(F.split_part("value", F.lit(" "), F.lit(1)).cast("long").alias("doc_id"), F.split_part("value", F.lit(" "), F.lit(2)).cast("long").alias("n"), "line"), "numbered")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    return found
+
+
 @registered(f"""WITH {RULES} SELECT p_partkey AS change_id, 'diff' AS input_kind, CASE WHEN p_partkey % 4 = 2 THEN 'sp ace/' ELSE '' END || path AS path FROM files
 UNION ALL SELECT p_partkey, 'diff', 'old/' || path FROM files WHERE p_partkey % 4 = 1""")
 def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,9 +718,43 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.ingest_counters(experiences(spark, sf_dir))
 
 
-@registered()
+@registered(f"""WITH {EXPERIENCES}, t AS (SELECT sum(ceil(octet_length(encode(concat_ws('|', experience_id, pr::VARCHAR, kind, signature_id, message, url))) / 4.0))::BIGINT AS input_tokens, 160::BIGINT AS output_tokens FROM exp), c AS (SELECT *, round((input_tokens + output_tokens) / 1000.0 * 0.01::DOUBLE, 4)::DOUBLE AS cost FROM t)
+SELECT *, CASE WHEN cost > 5.0 THEN 'over_cap' ELSE 'within_cap' END AS status FROM c""")
 def provider_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.provider_cost(experiences(spark, sf_dir), 0.01, 5.0)
+    line = F.concat_ws("|", "experience_id", F.col("pr").cast("string"), "kind", "signature_id", "message", F.col("urls")[0])
+    return lifecycle.provider_cost(experiences(spark, sf_dir), 0.01, 5.0, line=line)
+
+
+@registered(f"WITH {EXPERIENCES} SELECT experience_id, CASE WHEN trim(check_name) <> '' AND pr % 4 <> 0 THEN check_name WHEN pr % 3 <> 0 THEN key WHEN pr % 5 <> 0 THEN signature_id ELSE kind END AS signal FROM exp")
+def record_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each experience is about, with some of the fields that say so blank."""
+    pr = F.col("pr")
+    every = experiences(spark, sf_dir).withColumns({"check_name": F.when(pr % 4 == 0, " ").otherwise(F.col("check_name")), "key": F.when(pr % 3 == 0, "").otherwise(F.col("key")), "signature_id": F.when(pr % 5 == 0, None).otherwise(F.col("signature_id"))})
+    return every.select("experience_id", distill.record_signal().alias("signal"))
+
+
+_RATES = f"""WITH {EXPERIENCES}, r AS (SELECT pr, least(1.0, count(*) FILTER (kind = 'ci_failure') / 3.0)::DOUBLE AS headline_err FROM exp GROUP BY 1)"""
+
+
+@registered(f"{_RATES} SELECT pr, round(headline_err, 4) AS headline_err, CASE WHEN round(headline_err, 4) > 0.3333 THEN 'failed' ELSE 'passed' END AS gate_status, CASE WHEN round(headline_err, 4) > 0.3333 THEN 5 ELSE 0 END AS gate_exit_code FROM r")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each pull request's rate of failed checks passes a threshold; a rate just at it does."""
+    rates = experiences(spark, sf_dir).groupBy("pr").agg(F.round(F.least(F.lit(1.0), F.count_if(F.col("kind") == "ci_failure") / 3.0), 4).alias("headline_err"))
+    return recurrence.gate(rates, True, 0.3333)
+
+
+@registered(f"""WITH {RULES}, d AS (SELECT id, kind, folder, p_partkey, p_partkey % 4 AS c, p_partkey % 7 = 0 AS missing FROM rules), s AS (SELECT *, CASE WHEN missing THEN 'stale' WHEN c > 0 THEN 'contradicted' ELSE 'candidate' END AS status FROM d)
+SELECT id, status, CASE WHEN status <> 'candidate' THEN 'needs_user_input' WHEN p_partkey % 101 / 100.0 < 0.55 THEN 'needs_user_input' ELSE 'suggested' END AS review_label,
+  CASE WHEN kind = 'playbook' THEN 'Prefer the held unit ' || c || ' pattern in ' || CASE WHEN p_partkey % 5 = 0 THEN 'this scope' ELSE folder || ', tests' END || ' when this signature appears.' ELSE 'Avoid repeating unit ' || c || ' in ' || CASE WHEN p_partkey % 5 = 0 THEN 'this scope' ELSE folder || ', tests' END || ' without addressing the prior failure evidence.' END AS statement,
+  kind || '-unit-' || c || '-' || substr(sha256(kind || chr(0) || 'key ' || p_partkey), 1, 12) AS draft_id FROM s""")
+def draft_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, review label, statement and id of a draft for every rule."""
+    key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    own = rules(spark, sf_dir).join(table(spark, sf_dir, "part").select(text("rule_", F.col("p_partkey")).alias("id"), F.regexp_extract(part_path(), "^(.*)/[^/]*$", 1).alias("folder")), "id")
+    paths = F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("folder"), F.lit("tests")))
+    status = distill.rule_status(key % 7 == 0, key % 4)
+    signal = text("unit ", key % 4)
+    return own.select("id", status.alias("status"), distill.review_label(status, F.round((key % 101) / 100.0, 2)).alias("review_label"), distill.statement_of(F.col("kind"), signal, paths).alias("statement"), distill.rule_id(F.col("kind"), signal, text("key ", key)).alias("draft_id"))
 
 
 @registered(f"""WITH {EXPERIENCES}, l AS (SELECT strftime(recorded_at, '%Y-%m') AS shard, sha256(concat_ws('|', experience_id, pr::VARCHAR, kind, signature_id, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ'), message)) AS h FROM exp),

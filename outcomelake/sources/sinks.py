@@ -177,6 +177,14 @@ def write_memory_page(rules: DataFrame, path: str) -> None:
     lines.repartitionByRange(parts, "place", "line").sortWithinPartitions("place", F.desc("line")).select("line").write.mode("overwrite").text(path)
 
 
+def comment_text(risk_level: Column, paths: Column, fingerprint: Column) -> Column:
+    """:func:`advisory_comment` as an expression, for the comments of many changes."""
+    three = F.transform(F.slice(paths, 1, 3), _span)
+    more = F.when(F.size(paths) > 3, F.concat(F.lit(" and "), (F.size(paths) - 3).cast("string"), F.lit(" more"))).otherwise("")
+    named = F.when(F.size(paths) > 0, F.concat(F.array_join(three, ", "), more)).otherwise("none")
+    return F.concat(F.lit("<!-- outcomelake:advisory "), fingerprint, F.lit(" -->\n**Risk:** "), risk_level, F.lit("\n\nWithout coverage: "), named, F.lit("\n"))
+
+
 def advisory_comment(risk_level: str, paths: list[str], fingerprint: str) -> str:
     """A comment's text with a hidden marker of the change; no more than three uncovered paths are named."""
     named = ", ".join(code_span(p) for p in paths[:3]) + (f" and {len(paths) - 3} more" if len(paths) > 3 else "")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Folders of :func:`scratch` that are open, the innermost last.
+_scratch: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses, under this application's part of the shared folder."""
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else _own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder; whether there was one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes at the end, so nothing that reads it may outlast it; write results to a path made before."""
+    folder = new_path(spark, "scratch")
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        remove(spark, folder)
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -39,16 +63,15 @@ def _own_dir(spark: SparkSession) -> str:
 
 def clear_shared(spark: SparkSession) -> bool:
     """Remove all that this application wrote to the shared folder; for the end of a job, when no result is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, _own_dir(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, or at ``path``, and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that ran on it, never the steps before.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from outcomelake.operators import advice, lifecycle
+from outcomelake.operators import advice, coverage, lifecycle
 from outcomelake.operators.normalize import accepted, normalized
-from outcomelake.sources import pulls, scans, snapshots
+from outcomelake.sources import lineage, pulls, scans, snapshots
 from outcomelake.streaming import advice as advice_streaming
 from outcomelake.streaming import ingest
 
@@ -245,3 +245,84 @@ def test_policies_and_empty_advice(spark):
     assert {r.skip_reason for r in advice.replayed(table, advice.Policy(enabled=False)).collect()} == {"disabled"}
     assert {r.skip_reason for r in advice.replayed(table, advice.Policy(most_comments=0)).collect()} == {"comment_cap"}
     assert advice.replayed(table.limit(0)).count() == 0
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path, monkeypatch):
+    """Files larger than a block: every line's number is that of Python's enumerate."""
+    rng = __import__("random").Random(2)
+    files = {}
+    for name in ("a.jsonl", "b.jsonl", "empty.jsonl"):
+        own = ["" if rng.random() < 0.1 else f"{name} {i} " + "x" * rng.randint(0, 400) + "é" for i in range(0 if name.startswith("e") else 3000)]
+        (tmp_path / name).write_text("".join(line + "\n" for line in own))
+        files[name] = own
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        for few in (lineage.BROADCAST_BLOCKS, 0):
+            monkeypatch.setattr(lineage, "BROADCAST_BLOCKS", few)
+            found = lineage.numbered_lines(spark, str(tmp_path / "*.jsonl"))
+            assert found.rdd.getNumPartitions() > 8 or not few
+            got = {(r.file.rsplit("/", 1)[1], r.line): r.value for r in found.collect()}
+            assert got == {(name, i): line for name, own in files.items() for i, line in enumerate(own, 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_shards_of_stored_and_raw_records(spark, tmp_path):
+    stored = {"experience_id": "e1", "object_type": "record", "repo": {"owner": "acme", "name": "shop"}, "recorded_at": "2026-01-08T10:00:00Z", "attribution": {"actor_kind": "agent"}, "context": {"paths": ["a.py"]}, "action": {"pr": 1, "commit": "c1"}, "outcome": {"kind": "revert"}, "provenance": {"urls": [f"{WEB}/pull/1"]}}
+    lines = [json.dumps(EVENTS[0]), "", json.dumps(stored), "{broken", "  ", "[1]", json.dumps(EVENTS[1] | {"pr": 0})]
+    (tmp_path / "s.jsonl").write_text("\n".join(lines) + "\n")
+    events, rejects = lineage.read_shards(spark, str(tmp_path))
+    path = str(tmp_path / "s.jsonl")
+    assert sorted((r.source_ref, r.line) for r in rejects.collect()) == [(f"{path}:4", "{broken"), (f"{path}:6", "[1]")]
+    assert sorted((r.source_line, r.canonical) for r in events.collect()) == [(1, False), (3, True), (7, False)]
+    checked = normalized(events, ref=F.col("source_ref"))
+    counters = lineage.ingest_observed(checked, str(tmp_path / "out"))
+    assert counters == {"records": 3, "accepted": 2, "rejected": 1, "agent": 2, "human": 0, "uncertain": 0}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [(r.source_ref, r.errors) for r in out.where("part = 'rejected'").collect()] == [(f"{path}:7", ["pr", "provenance_pr"])]
+    assert {r.experience_id for r in out.where("part = 'accepted'").collect()} == {"exp_0", "e1"}
+
+
+def test_digests_of_whole_records(spark):
+    """Canonical JSON is the same for any order of fields and keys; parts follow an upsert; freshness has no influence."""
+    a = spark.createDataFrame([(1, "x\"é", [1.5, None], {"b": "2", "a": None}, START, (2, "z"))], "n long, s string, l array<double>, m map<string, string>, t timestamp, o struct<q: int, p: string>")
+    line = a.select(lifecycle.record_line(a).alias("j")).first().j
+    assert json.loads(line) == {"l": [1.5, None], "m": {"a": None, "b": "2"}, "n": 1, "o": {"p": "z", "q": 2}, "s": 'x"é', "t": "2026-01-01T00:00:00.000000Z"}
+    b = spark.createDataFrame([((2, "z"), START, {"a": None, "b": "2"}, [1.5, None], "x\"é", 1, "elsewhere")], "o struct<q: int, p: string>, t timestamp, m map<string, string>, l array<double>, s string, n long, source_ref string")
+    assert b.select(lifecycle.record_line(b).alias("j")).first().j == line
+    rows = spark.range(50).selectExpr("id", "cast(id % 4 as string) as shard", "'v' as v")
+    other = rows.withColumn("v", F.when(F.col("id") < 13, "w").otherwise(F.col("v"))).where("id <> 49")
+    shard = F.col("shard")
+    parts = lifecycle.changed_parts(lifecycle.digest_parts(rows, shard), lifecycle.digest_parts(rows.where("id < 13 or id = 49"), shard), lifecycle.digest_parts(other.where("id < 13"), shard))
+    whole = lifecycle.source_digest(other, shard).first().source_digest
+    assert lifecycle.digest_of(parts).first().source_digest == whole != lifecycle.source_digest(rows, shard).first().source_digest
+    assert lifecycle.digest_of(lifecycle.digest_parts(rows.limit(0), shard)).count() == 1
+
+
+def test_scopes_that_once_were_directories(spark):
+    rules = spark.createDataFrame([("gone", ["old/dir"]), ("file", ["src/a"]), ("named", ["lib/"]), ("glob", ["src/*.py"]), ("below", ["x/**"]), ("same", ["src/a/b.py"])], "id string, scope_paths array<string>")
+    history = spark.createDataFrame([("old/dir/x.py", START), ("old/dir/y.py", START + timedelta(days=9)), ("src/a", START)], "path string, added_at timestamp")
+    paths = ["old/dir/z.py", "src/a/b.py", "src/a", "lib/q", "src/p.py", "x/y/z"]
+    asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = sorted(tuple(r) for r in coverage.path_matches(asked, rules, history).collect())
+    assert got == sorted([("old/dir/z.py", "gone"), ("src/a", "file"), ("lib/q", "named"), ("src/p.py", "glob"), ("x/y/z", "below"), ("src/a/b.py", "same")])
+    early = asked.withColumn("at", F.lit(START - timedelta(days=1)))
+    assert ("old/dir/z.py", "gone") not in {(r.path, r.rule_id) for r in coverage.path_matches(early, rules, history).collect()}
+    assert {r.rule_id for r in coverage.path_matches(asked, rules).where("path = 'src/a/b.py'").collect()} == {"file", "same"}
+
+
+def test_recall_by_anchors_equals_a_scan(spark):
+    """Scopes of one word, two and more, cut words at their ends, words of other case, repeated and empty texts."""
+    rng = __import__("random").Random(4)
+    words = ["alpha", "Beta", "gammaRay", "de", "épsilon", "zeta-9", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))).replace("x ", "x\t" if i % 3 else "x ") for i in range(120)] + [None, "", "ALPHA BETA", "prealpha betapost"]
+    scopes = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(30)] + ["lph", "a b", "pha bet", "ha beta gamm", "é", "nothing here", "  "]
+    rules = spark.createDataFrame([(f"r{i}", [s, s.upper()]) for i, s in enumerate(scopes)], "id string, scope_paths array<string>")
+    contexts = spark.createDataFrame(list(enumerate(texts)), "context_id long, context string")
+    want = {(i, f"r{j}") for i, t in enumerate(texts) for j, s in enumerate(scopes) if t and s.strip() and s.strip().lower() in t.lower()}
+    for few in (coverage.BROADCAST_GRAMS, 0):
+        coverage.BROADCAST_GRAMS, kept = few, coverage.BROADCAST_GRAMS
+        found = [tuple(r) for r in coverage.recall_in_texts(contexts, rules).collect()]
+        coverage.BROADCAST_GRAMS = kept
+        assert len(want) > 100 and set(found) == want and len(found) == len(want)
