@@ -198,11 +198,57 @@ def has_secret_like_token(c: Column, chars: str = r"A-Za-z0-9+_=/-") -> Column:
     return F.when(F.length(c) < SHORTEST_SECRET, False).otherwise(F.coalesce(F.exists(tokens, lambda t: is_secret_like(F.btrim(t, F.lit("-_=+/")))), F.lit(False)))
 
 
+#: Segments of the host's addresses that are routes, by what must follow them.
+ROUTES_TO_HASH, ROUTES_TO_NUMBER, ROUTES_TO_ANY, ROUTES_TO_TREE = ("commit", "commits"), ("pull", "pulls", "issues", "runs"), ("checks", "suites", "workflow-runs", "tree", "blob", "compare"), ("tree", "blob")
+_FRAGMENT = "^[A-Za-z0-9+_=-]*$"
+
+
+def _bits_above(text: Column, least: int, bits: float) -> Column:
+    """Whether a text with slashes has ``least`` characters besides them, of two alphabets, and more than ``bits`` a character."""
+    bare = F.regexp_replace(text, "/", "")
+    return (F.length(bare) >= least) & (alphabets(bare) >= 2) & (entropy(text) > bits)
+
+
+def has_spread_secret(path: Column, nested: bool = True) -> Column:
+    """Whether consecutive segments of an address's path look like a secret that slashes cut into pieces.
+
+    Every window of two segments or more counts, with its slashes; blank segments and routes (``pull`` before a number
+    and the like, third after owner and name) are passed over. A window does not go on over the route, unless owner and
+    name look like a secret's beginning and what follows the route is not what belongs there.
+    """
+    raw = F.split(F.btrim(path, F.lit("/")), "/")
+    at = lambda i: F.coalesce(F.get(raw, F.lit(i)), F.lit(""))
+    bare = lambda i: F.btrim(at(i), F.lit("-_=+"))
+    route, following = F.lower(bare(2)), at(3)
+    more = F.size(raw) > 3
+    is_hash, is_number = F.trim(following).rlike("^[0-9a-fA-F]{6,64}$"), following.rlike("^[0-9]+$")
+    boundary = more & ((route.isin(*ROUTES_TO_HASH) & is_hash) | (route.isin(*ROUTES_TO_NUMBER) & is_number) | ((route == "actions") & (F.lower(following) == "runs")) | route.isin(*ROUTES_TO_ANY))
+    typed = more & ((route.isin(*ROUTES_TO_HASH) & is_hash) | (route.isin(*ROUTES_TO_NUMBER) & is_number) | ((route == "actions") & (F.lower(bare(3)) == "runs") & bare(4).rlike("^[0-9]+$")))
+    safe = typed
+    if nested:
+        payload = F.slice(raw, F.lit(4), F.greatest(F.size(raw) - 3, F.lit(0)))
+        sound = F.forall(payload, lambda x: (F.btrim(x, F.lit("-_=+")) != "") & ~has_secret_like_token(x, r"A-Za-z0-9+_=-"))
+        safe = typed | (more & route.isin(*ROUTES_TO_TREE) & sound & ~has_spread_secret(F.array_join(payload, "/"), nested=False))
+    second_route = (route == "actions") & (F.lower(bare(3)) == "runs")
+    segments = F.transform(raw, lambda x, i: F.when(((i == 2) & boundary) | ((i == 3) & second_route), "").otherwise(F.btrim(x, F.lit("-_=+"))))
+    begins = F.array_join(F.filter(F.slice(segments, 1, 2), lambda x: x != ""), "/")
+    crosses = F.contains(begins, F.lit("/")) & _bits_above(begins, 16, 3.2) & ~safe
+    last = F.size(segments) - 1
+    window = lambda s, e: F.slice(segments, s + 1, e - s + 1)
+    allowed = lambda s, e: ~(boundary & (s <= 1) & (e > 2)) | ((s == 0) & crosses)
+    whole = lambda s, e: F.when(allowed(s, e) & F.forall(window(s, e), lambda x: x.rlike(_FRAGMENT)), F.array_join(F.filter(window(s, e), lambda x: x != ""), "/")).otherwise("")
+    windows = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda s: F.transform(F.sequence(s, last), lambda e: whole(s, e))))
+    found = F.exists(windows, lambda w: F.contains(w, F.lit("/")) & _bits_above(w, SHORTEST_SECRET, 4.2))
+    return F.when(F.length(path) <= SHORTEST_SECRET, False).otherwise(F.coalesce(found, F.lit(False)))
+
+
 def has_secret_like_segment(url: Column) -> Column:
-    """The same for a URL of the host: its path's segments, as written and unescaped, count one by one, if it is canonical."""
+    """The same for a URL of the host: its path's segments, as written and unescaped, count one by one and in a row, if it is canonical."""
     path = F.regexp_extract(url, r"^(?i:https://github\.com)/([^?#]*)", 1)
-    inside = has_secret_like_token(path, r"A-Za-z0-9+_=-") | has_secret_like_token(F.try_url_decode(path), r"A-Za-z0-9+_=-")
-    return inside | (~valid_provenance_url(url) & has_secret_like_token(url))
+    plain = F.try_url_decode(path)
+    inside = has_secret_like_token(path, r"A-Za-z0-9+_=-") | has_secret_like_token(plain, r"A-Za-z0-9+_=-")
+    spread = has_spread_secret(path) | F.when(F.contains(path, F.lit("%")), has_spread_secret(plain)).otherwise(False)
+    return inside | F.coalesce(spread, F.lit(False)) | (~valid_provenance_url(url) & has_secret_like_token(url))
 
 
 def is_secret_name(c: Column) -> Column:

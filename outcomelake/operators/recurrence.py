@@ -75,7 +75,7 @@ def is_discounted() -> Column:
 
 
 def newest_prior(rows: DataFrame, keys: list[str], chunk: str = "day") -> DataFrame:
-    """(id, prior): of rows with columns ``keys``, recorded_at, id and pr, the newest earlier row of the same
+    """(*keys, id, prior): of rows with columns ``keys``, recorded_at, id and pr, the newest earlier row of the same
     key and another pr.
 
     No pairs are made. A key's rows are taken in chunks of time; each chunk is summed up by its newest row
@@ -100,7 +100,7 @@ def newest_prior(rows: DataFrame, keys: list[str], chunk: str = "day") -> DataFr
     placed = placed.withColumn("other", F.coalesce(F.last(F.when(F.col("before.pr") != F.col("row.pr"), F.col("before")), ignorenulls=True).over(inside), F.when(F.col("carry.row.pr") != F.col("row.pr"), F.col("carry.row")), F.col("carry.other")))
     second = F.coalesce(F.lag("other").over(inside), F.col("carry.other"))
     prior = F.when(F.col("before.pr") != F.col("row.pr"), F.col("before")).otherwise(second)
-    return placed.select(F.col("row.id").alias("id"), prior.alias("prior")).where("prior is not null")
+    return placed.select(*keys, F.col("row.id").alias("id"), prior.alias("prior")).where("prior is not null")
 
 
 def chunk_of(rows: DataFrame, keys: list[str]) -> str:
@@ -134,10 +134,11 @@ def recurrence_pairs(experiences: DataFrame, *, chunk: str | None = None) -> Dat
     keyed = own.select("recorded_at", F.col("experience_id").alias("id"), "pr", "actor_kind", "extraction", "signature_id", "clean", F.explode("sigs").alias("sig"))
     chunk = chunk or chunk_of(keyed, ["sig"])
     agents = own.where("actor_kind = 'agent'").select(F.col("experience_id").alias("id"))
-    possible = newest_prior(keyed, ["sig"], chunk)
-    reliable = keyed.where(is_reliable(F.col("extraction")) & (trimmed(F.col("signature_id")) != "")).withColumn("path", F.explode("clean"))
-    confirmed = newest_prior(reliable, ["sig", "path"], chunk)
-    best = possible.select("id", F.lit(False).alias("confirmed"), "prior").unionByName(confirmed.select("id", F.lit(True).alias("confirmed"), "prior"))
+    # A row stands under its key alone, and, if it can confirm, under its key with each of its paths: one search for both.
+    reliable = is_reliable(F.col("extraction")) & (trimmed(F.col("signature_id")) != "")
+    anywhere = F.array(F.lit(""))
+    placed = keyed.select("recorded_at", "id", "pr", "sig", F.explode(F.when(reliable, F.concat(anywhere, "clean")).otherwise(anywhere)).alias("path"))
+    best = newest_prior(placed, ["sig", "path"], chunk).select("id", (F.col("path") != "").alias("confirmed"), "prior")
     best = best.join(agents, "id", "left_semi").groupBy("id").agg(F.max(F.struct("confirmed", "prior")).alias("best"))
     best = best.select("id", "best.confirmed", F.col("best.prior.id").alias("prior_id"))
 

@@ -1,11 +1,14 @@
 """Review logs against a sequential replay, redaction at depth against recursion, and the whole rule contract."""
 
 import json
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from outcomelake.functions import columns
 from outcomelake.operators import lifecycle, redaction, reviews
 from outcomelake.schemas import RULE
 from outcomelake.sources import scans, sinks
@@ -164,3 +167,74 @@ def test_page_has_all_rules(spark, tmp_path):
     assert page.index("### Candidate") < page.index("### Retired") and "### Stale" not in page
     empty = sinks.memory_lines(rules.limit(0)).orderBy("place").collect()
     assert any(r.line == "No active rules." for r in empty) and any(r.line == "No weak rules." for r in empty)
+
+
+def spread_secret(path):
+    """Secrets over several segments, window by window."""
+    trim = lambda x: x.strip("-_=+")
+    raw = path.strip("/").split("/")
+    alphabets = lambda t: any(c.islower() for c in t) + any(c.isupper() for c in t) + any(c.isdigit() for c in t)
+
+    def bits(t):
+        return -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))
+
+    def follows(i):
+        route = trim(raw[2]).lower() if len(raw) > 2 else ""
+        if i != 2 or len(raw) < 4:
+            return False
+        if route in ("commit", "commits"):
+            return bool(re.fullmatch("[0-9a-fA-F]{6,64}", raw[3].strip()))
+        if route in ("pull", "pulls", "issues", "runs"):
+            return raw[3].isdigit()
+        return raw[3].lower() == "runs" if route == "actions" else route in ("checks", "suites", "workflow-runs", "tree", "blob", "compare")
+
+    def safe():
+        route = trim(raw[2]).lower()
+        if route in ("commit", "commits", "pull", "pulls", "issues", "runs"):
+            return follows(2)
+        if route == "actions":
+            return trim(raw[3]).lower() == "runs" and len(raw) > 4 and trim(raw[4]).isdigit()
+        return route in ("tree", "blob") and all(trim(x) for x in raw[3:]) and not spread_secret("/".join(raw[3:]))
+
+    segments = []
+    for i, x in enumerate(raw):
+        structural = follows(i) or (i == 3 and trim(raw[2]).lower() == "actions" and trim(raw[3]).lower() == "runs")
+        segments.append("" if structural else trim(x))
+    for start in range(len(segments)):
+        own = []
+        for end in range(start, len(segments)):
+            x = segments[end]
+            if not x:
+                if follows(end):
+                    text = "/".join(own)
+                    bare = "".join(own)
+                    suspicious = len(own) > 1 and len(bare) >= 16 and alphabets(bare) >= 2 and bits(text) > 3.2
+                    if not suspicious or safe():
+                        own = []
+                continue
+            if not re.fullmatch("[A-Za-z0-9+_=-]+", x):
+                break
+            own.append(x)
+            bare = "".join(own)
+            if len(own) > 1 and len(bare) >= 32 and alphabets(bare) >= 2 and bits("/".join(own)) > 4.2:
+                return True
+    return False
+
+
+def test_secrets_over_several_segments(spark):
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    routes = ["pull", "commit", "tree", "blob", "actions", "checks", "runs", "wiki", "-pull-", "compare"]
+    paths = ["acme/shop/pull/12/checks/3456789", "acme/shop/commit/" + "0a" * 20, "a/b", "", "acme/shop/actions/runs/12/job/34", "acme/shop/tree/main/src/very/long/path/of/many/common/words/in/it.py"]
+    for _ in range(400):
+        own = [rng.choice(["acme", token(rng.randint(6, 14))]), rng.choice(["shop", token(rng.randint(6, 14))])]
+        own += [rng.choice(routes)] if rng.random() < 0.8 else []
+        own += [rng.choice(["12", "main", "runs", "abcdef12", token(8), "x.py", "", "--"]) for _ in range(rng.randint(0, 2))]
+        own += [token(rng.randint(4, 20)) for _ in range(rng.randint(0, 3))]
+        paths.append("/".join(own))
+    rows = spark.createDataFrame(list(enumerate(paths)), "i long, p string").select("i", columns.has_spread_secret(F.col("p")).alias("r")).collect()
+    got = {r.i: r.r for r in rows}
+    want = {i: len(p) > 32 and spread_secret(p) for i, p in enumerate(paths)}
+    assert got == want and 50 < sum(want.values()) < 350, [(paths[i], got[i]) for i in got if got[i] != want[i]][:5]
+    url = f"https://github.com/acme/shop/wiki/{token(18)}/{token(18)}"
+    assert spark.createDataFrame([(url,), ("https://github.com/acme/shop/pull/7",)], "u string").select(columns.has_secret_like_segment(F.col("u")).alias("r")).collect() == [(True,), (False,)]
