@@ -1,13 +1,11 @@
-"""Paths that a diff, a structured plan or a plan in prose would touch. Small helpers for one text at a time."""
+"""Paths that a diff, a structured plan or a plan in prose would touch, as column expressions: all run inside the JVM."""
 
 from __future__ import annotations
 
-import json
-import posixpath
-import re
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-_HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
-_RENAMED = ("rename from ", "rename to ", "copy from ", "copy to ")
+from .columns import clean_path
 
 #: Keys of structured plans that name paths, that hold prose, and that say what not to touch.
 PATH_KEYS = {
@@ -32,179 +30,164 @@ PROSE_PAIRS = {
 BARE_NAMES = {"Makefile", "Dockerfile", "LICENSE", "NOTICE", "README", "CHANGELOG"}
 DOMAINS = {"ai", "app", "biz", "co", "com", "dev", "io", "net", "org"}
 
+_HUNK = r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"
+_RENAMED = "^(rename|copy) (from|to) "
+_LINE_ENDS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\u2028\u2029]"
 #: Words with a slash that name no path: numbers, and chains of task numbers.
-_NUMBERS = re.compile(r"\d+(?:/\d+)+")
-_TASKS = re.compile(r"(?:(?=[^/]*[A-Z])(?=[^/]*\d)[A-Z\d._-]+(?:/|$))+")
-_ABBREVIATION = re.compile(r"[A-Za-z](?:\.[A-Za-z])+")
-_DOMAIN = re.compile(r"[^ _:/]+\.(?:" + "|".join(sorted(DOMAINS)) + ")", re.IGNORECASE)
-_SUFFIX = re.compile(r"\.[^./]*[A-Za-z][^./]*$")
-_ASSIGNMENT = re.compile(r"[A-Za-z_]\w*=.", re.ASCII)
-_ISSUE = re.compile(r"[A-Za-z\d_-]+/[A-Za-z\d_-]+#\d+")
-_QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|(?<![A-Za-z])'[^'\n]+'")
-_BETWEEN = re.compile(r"[\s`()\[\]{}<>,;\"']+")
+_NUMBERS = r"\A\d+(?:/\d+)+\z"
+_TASKS = r"\A(?:(?=[^/]*[A-Z])(?=[^/]*\d)[A-Z\d._-]+(?:/|$))+\z"
+_ABBREVIATION = r"\A[A-Za-z](?:\.[A-Za-z])+\z"
+_DOMAIN = r"(?i)\A[^ _:/]+\.(?:" + "|".join(sorted(DOMAINS)) + r")\z"
+_SUFFIX = r"\.[^./]*[A-Za-z][^./]*$"
+_ASSIGNMENT = r"^[A-Za-z_]\w*=."
+_ISSUE = r"\A[A-Za-z\d_-]+/[A-Za-z\d_-]+#\d+\z"
+_QUOTED = r"`[^`\n]+`|\"[^\"\n]+\"|(?<![A-Za-z])'[^'\n]+'"
+_BETWEEN = r"(?U)[\s`()\[\]{}<>,;\"']+"
+_MARKS = "`'\"()[]{}<>,;"
+_NONE = "array<string>"
 
 
-def clean(path: str) -> str | None:
-    """The path relative to the repository's root, or none for a blank, absolute or escaping one."""
-    path = path.strip()
-    if not path or path.startswith("/"):
-        return None
-    path = posixpath.normpath(path)
-    return None if path in (".", "..") or path.startswith("../") else path
+def _none() -> Column:
+    return F.array().cast(_NONE)
 
 
-def _unquoted(text: str) -> str:
-    if len(text) > 1 and text[0] == text[-1] == '"':
-        raw = re.sub(rb"\\([0-7]{3})", lambda m: bytes([int(m[1], 8)]), text[1:-1].encode())
-        return re.sub(r"\\(.)", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), raw.decode("utf-8", "replace"))
-    return text
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def _side(text: str, prefix: str) -> str | None:
-    """A file name of a header line, without its time, quotes and side letter."""
-    name = _unquoted(text.split("\t")[0].rstrip())
-    return None if name == "/dev/null" else name.removeprefix(prefix)
+def _unquoted(text: Column) -> Column:
+    """A name without quotes and escapes: octal bytes, tabs, newlines, and other characters as they stand."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+|\\"), F.lit(0))
 
+    def as_hex(p: Column) -> Column:
+        octal = F.right(F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"), F.lit(2))
+        return F.when(p.rlike(r"\A\\[0-7]{3}\z"), octal).when(p == "\\t", "09").when(p == "\\n", "0A").when(p.startswith("\\") & (F.length(p) == 2), F.hex(F.substring(p, 2, 1))).otherwise(F.hex(p))
 
-def _header_names(rest: str) -> list[str]:
+    plain = F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, as_hex), "")).cast("string"))
+    return F.when((F.length(text) > 1) & text.startswith('"') & text.endswith('"'), plain).otherwise(text)
+
+
+def _without(name: Column, prefix: str) -> Column:
+    return F.when(name.startswith(prefix), F.substring(name, F.lit(len(prefix) + 1), F.length(name))).otherwise(name)
+
+
+def _git_names(rest: Column) -> Column:
     """The names of a ``diff --git`` line where they are quoted or alike; other lines tell the rest."""
-    if rest.startswith('"'):
-        return [_unquoted(x) for x in re.findall(r'"(?:[^"\\]|\\.)*"', rest)]
-    sides = re.match(r"^a/(.+) b/(.+)$", rest)
-    if sides and sides[1] == sides[2]:
-        return [f"a/{sides[1]}", f"b/{sides[2]}"]
-    half = len(rest) // 2
-    return [rest[:half], rest[half + 1 :]] if rest[:half] == rest[half + 1 :] else []
-
-
-def diff_paths(text: str) -> list[str] | None:
-    """Paths of a unified diff, sorted; none where the text is no diff.
-
-    Lines of a hunk are counted off, so that content never counts as a header.
-    """
-    found: set[str] = set()
-    old = new = 0
-    is_diff, git = False, False
-    for line in text.splitlines():
-        if old > 0 or new > 0:
-            old -= line[:1] in ("-", " ", "")
-            new -= line[:1] in ("+", " ", "")
-            continue
-        names: list[str | None] = []
-        if line.startswith("diff --git "):
-            is_diff = git = True
-            names = [n.removeprefix(p) for n, p in zip(_header_names(line[11:]), ("a/", "b/"))]
-        elif hunk := _HUNK.match(line):
-            old, new = int(hunk[1] or 1), int(hunk[2] or 1)
-        elif git and line.startswith(_RENAMED):
-            names = [_unquoted(line.split(" ", 2)[2])]
-        elif line.startswith(("--- ", "+++ ")):
-            is_diff = True
-            names = [_side(line[4:], "a/" if line[0] == "-" else "b/")]
-        found |= {p for n in names if n and (p := clean(n))}
-    return sorted(found) if is_diff else None
-
-
-def _looks_like_path(word: str) -> bool:
+    quoted = F.transform(F.regexp_extract_all(rest, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0)), _unquoted)
+    sides = r"^a/(.+) b/(.+)$"
+    left, right = F.regexp_extract(rest, sides, 1), F.regexp_extract(rest, sides, 2)
+    half = F.floor(F.length(rest) / 2).cast("int")
+    first, second = F.substring(rest, F.lit(1), half), F.substring(rest, half + 2, F.length(rest))
+    found = F.when(rest.startswith('"'), quoted).when((left != "") & (left == right), F.array(left, right)).when(first == second, F.array(first, second)).otherwise(_none())
+    return F.transform(F.slice(found, 1, 2), lambda n, i: F.when(i == 0, _without(n, "a/")).otherwise(_without(n, "b/")))
+
+
+def _head_names(line: Column) -> Column:
+    """The names that a header line gives."""
+    after = F.regexp_extract(line, r"(?s)^\S+ \S+ (.*)$", 1)
+    side = _unquoted(F.regexp_replace(F.split_part(F.substring(line, F.lit(5), F.length(line)), F.lit("\t"), F.lit(1)), r"(?U)\s+$", ""))
+    plain = F.when(line.startswith("-"), _without(side, "a/")).otherwise(_without(side, "b/"))
+    return F.when(line.startswith("diff --git "), _git_names(F.substring(line, F.lit(12), F.length(line)))).when(line.rlike(_RENAMED), F.array(_unquoted(after))).otherwise(F.when(side == "/dev/null", _none()).otherwise(F.array(plain)))
+
+
+def _cleaned(found: Column) -> Column:
+    """Cleaned paths, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, clean_path), lambda p: p.isNotNull())))
+
+
+def diff_heads(text: Column) -> Column:
+    """(is_diff, heads) of a text: the header lines of a unified diff. Lines of a hunk are counted off, so that content is no header."""
+    start = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.lit(False).alias("git"), F.lit(False).alias("is_diff"), _none().alias("heads"))
+
+    def step(a: Column, line: Column) -> Column:
+        inside, first = (a["old"] > 0) | (a["new"] > 0), F.left(line, F.lit(1))
+        hunk = ~inside & line.startswith("@@ -") & line.rlike(_HUNK)
+        git = ~inside & line.startswith("diff --git ")
+        side = ~inside & (line.startswith("--- ") | line.startswith("+++ "))
+        renamed = ~inside & a["git"] & line.rlike(_RENAMED)
+        size = lambda group: F.coalesce(F.nullif(F.regexp_extract(line, _HUNK, group), F.lit("")).cast("int"), F.lit(1))
+        old = F.when(inside, a["old"] - first.isin("-", " ", "").cast("int")).when(hunk, size(1)).otherwise(a["old"])
+        new = F.when(inside, a["new"] - first.isin("+", " ", "").cast("int")).when(hunk, size(2)).otherwise(a["new"])
+        heads = F.when(git | side | renamed, F.concat(a["heads"], F.array(line))).otherwise(a["heads"])
+        return F.struct(old.alias("old"), new.alias("new"), (a["git"] | git).alias("git"), (a["is_diff"] | git | side).alias("is_diff"), heads.alias("heads"))
+
+    return F.aggregate(F.split(text, _LINE_ENDS), start, step, lambda a: F.struct(a["is_diff"].alias("is_diff"), a["heads"].alias("heads")))
+
+
+def head_paths(heads: Column) -> Column:
+    """Paths that header lines name."""
+    return _cleaned(F.filter(F.flatten(F.transform(heads, _head_names)), lambda n: n != ""))
+
+
+def _tidy(words: Column) -> Column:
+    """Words without marks at their ends, line numbers and fragments; an option's value; nothing of an assignment or an issue."""
+    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.btrim(w, F.lit(_MARKS)), "[!?]+$", ""), r"(?<!\.)\.{1,2}$", ""), ":+$", ""))
+    own = F.transform(bare, lambda w: F.when(F.contains(w, F.lit("://")) | w.rlike(_ISSUE) | w.rlike(_ASSIGNMENT), "").when(w.startswith("-"), F.regexp_extract(w, r"(?s)^[^=]*=(.*)$", 1)).otherwise(w))
+    return F.transform(own, lambda w: F.regexp_replace(F.regexp_replace(w, "(?s)#.*$", ""), r"(?::\d+)+$", ""))
+
+
+def looks_like_path(word: Column) -> Column:
     """A relative path of two parts or more, or a file's name with a suffix, that is no prose, number, task, address or pattern."""
-    if not word or "..." in word or "://" in word or any(c in word for c in "\\*?"):
-        return False
-    first, slash, _ = word.partition("/")
-    if slash:
-        remote = "." in first and not first.startswith(".")
-        return bool(first) and not (remote or word.lower() in PROSE_PAIRS or _NUMBERS.fullmatch(word) or _TASKS.fullmatch(word))
-    return word in BARE_NAMES or bool(_SUFFIX.search(word)) and not (_ABBREVIATION.fullmatch(word) or _DOMAIN.fullmatch(word))
-
-
-def _tidy(word: str) -> str:
-    """A word without marks at its end, line numbers and fragment; an option's value; nothing of an assignment or an issue."""
-    word = word.strip("`'\"()[]{}<>,;").rstrip("!?")
-    word = (word if word.endswith("...") else word.rstrip(".")).rstrip(":")
-    if "://" in word or _ISSUE.fullmatch(word) or _ASSIGNMENT.match(word):
-        return ""
-    if word.startswith("-"):
-        word = word.partition("=")[2]
-    return re.sub(r"(?::\d+)+$", "", word.partition("#")[0])
-
-
-def _words_paths(words: list[str]) -> list[str]:
+    first = F.split_part(word, F.lit("/"), F.lit(1))
+    remote = F.contains(first, F.lit(".")) & ~first.startswith(".")
+    of_parts = (first != "") & ~(remote | F.lower(word).isin(*sorted(PROSE_PAIRS)) | word.rlike(_NUMBERS) | word.rlike(_TASKS))
+    of_name = word.isin(*sorted(BARE_NAMES)) | (word.rlike(_SUFFIX) & ~(word.rlike(_ABBREVIATION) | word.rlike(_DOMAIN)))
+    return (word != "") & ~F.contains(word, F.lit("...")) & ~F.contains(word, F.lit("://")) & ~word.rlike(r"[\\*?]") & F.when(F.contains(word, F.lit("/")), of_parts).otherwise(of_name)
+
+
+def _judged(words: Column) -> Column:
+    """Each word with what is asked of it: tidied, an option, with a slash, a command, an interpreter, a path, with a suffix."""
+    pairs = F.zip_with(words, _tidy(words), lambda raw, word: F.struct(word.alias("word"), raw.startswith("-").alias("option"), F.contains(raw, F.lit("/")).alias("slash")))
+    return F.transform(pairs, lambda p: F.struct(p["word"].alias("word"), p["option"].alias("option"), p["slash"].alias("slash"), p["word"].isin(*sorted(COMMANDS)).alias("command"), p["word"].isin(*sorted(INTERPRETERS)).alias("interpreter"), looks_like_path(p["word"]).alias("path"), p["word"].rlike(_SUFFIX).alias("suffix")))
+
+
+def _in_a_row(judged: Column) -> Column:
     """Paths among words in a row; a command's interpreter takes its script as a helper, which is not touched."""
-    out, helper = [], False
-    for raw in words:
-        word = _tidy(raw)
-        if word in COMMANDS:
-            helper = word in INTERPRETERS
-        elif helper and not raw.startswith("-"):
-            helper = False
-        elif _looks_like_path(word):
-            out.append(word)
-    return out
-
-
-def _quoted_paths(span: str) -> list[str]:
-    """Paths of a quoted span: one path with blanks, a list of paths, or a command with its targets."""
-    words = span.split()
-    if not words:
-        return []
-    first, rest = _tidy(words[0]), words[1:]
-    if rest and first not in COMMANDS and not _SUFFIX.search(first):
-        if "/" in first and all("/" in w and _looks_like_path(_tidy(w)) for w in rest):
-            return _words_paths(rest)  # a local helper's targets
-        whole = _tidy(span)
-        if not any("/" in w for w in rest) and _looks_like_path(whole) and _SUFFIX.search(whole) and ("/" in first or len(words) == 2):
-            return [whole]
-        if "/" not in first:
-            return []
-    return _words_paths(words)
-
-
-def prose_paths(text: str) -> list[str]:
+    start = F.struct(F.lit(False).alias("helper"), _none().alias("out"))
+
+    def step(a: Column, w: Column) -> Column:
+        script = a["helper"] & ~w["option"]
+        helper = F.when(w["command"], w["interpreter"]).when(script, False).otherwise(a["helper"])
+        out = F.when(~w["command"] & ~script & w["path"], F.concat(a["out"], F.array(w["word"]))).otherwise(a["out"])
+        return F.struct(helper.alias("helper"), out.alias("out"))
+
+    return F.aggregate(judged, start, step, lambda a: a["out"])
+
+
+def _of_spans(spans: Column) -> Column:
+    """Paths of quoted spans: one path with blanks, a list of paths, or a command with its targets."""
+    read = F.transform(spans, lambda s: F.struct(_judged(_words(s)).alias("words"), F.element_at(_tidy(F.array(s)), 1).alias("whole")))
+
+    def chosen(s: Column) -> Column:
+        first, rest = F.get(s["words"], F.lit(0)), F.slice(s["words"], F.lit(2), F.greatest(F.size(s["words"]) - 1, F.lit(0)))
+        several = (F.size(s["words"]) > 1) & ~first["command"] & ~first["suffix"]
+        slash = F.contains(first["word"], F.lit("/"))
+        targets = slash & F.forall(rest, lambda w: w["slash"] & w["path"])
+        whole = ~F.exists(rest, lambda w: w["slash"]) & looks_like_path(s["whole"]) & s["whole"].rlike(_SUFFIX) & (slash | (F.size(s["words"]) == 2))
+        nothing = F.slice(s["words"], 1, 0)
+        words = F.when(several & targets, rest).when(several & (whole | ~slash), nothing).otherwise(s["words"])
+        return F.struct(words.alias("words"), F.when(several & ~targets & whole, s["whole"]).alias("whole"))
+
+    picked = F.transform(F.filter(read, lambda s: F.size(s["words"]) > 0), chosen)
+    return F.flatten(F.transform(picked, lambda s: F.when(s["whole"].isNotNull(), F.array(s["whole"])).otherwise(_in_a_row(s["words"]))))
+
+
+def prose_paths(text: Column) -> Column:
     """Paths named in prose or in quoted spans, sorted and distinct."""
-    found: list[str] = []
-
-    def take(match: re.Match) -> str:
-        found.extend(_quoted_paths(match[0][1:-1]))
-        return " "
-
-    rest = _QUOTED.sub(take, text)
-    found += _words_paths(_BETWEEN.split(rest))
-    return sorted({p for f in found if (p := clean(f))})
-
-
-def _listed(value: str) -> list[str]:
-    """A string under a path key: a path, or several with commas, or several that all look like paths with blanks."""
-    parts = [p.strip() for p in value.split(",") if p.strip()]
-    if len(parts) > 1:
-        return parts
-    words = value.split()
-    return words if len(words) > 1 and all(_looks_like_path(w) for w in words) else [value]
-
-
-def structured_paths(record: object, key: str = "") -> list[str]:
-    """Paths of a JSON plan: under path keys as they stand, under prose keys as in prose, none under ignored keys."""
-    key = key.lower()
-    if key in IGNORED_KEYS or key.endswith(("_ref", "_refs")):
-        return []
-    if isinstance(record, dict):
-        return [p for k, v in record.items() for p in structured_paths(v, k)]
-    if isinstance(record, list):
-        return [p for v in record for p in structured_paths(v, key)]
-    if isinstance(record, str):
-        if key in PATH_KEYS:
-            return [p for raw in _listed(record) if (p := clean(_tidy(raw)))]
-        if key in PROSE_KEYS:
-            return prose_paths(record)
-    return []
-
-
-def touched(text: str) -> tuple[str, list[str]]:
-    """(kind, paths) of a change given as a diff or as a plan, tried in this order."""
-    if (paths := diff_paths(text)) is not None:
-        return "diff", paths
-    try:
-        record = json.loads(text)
-    except ValueError:
-        record = None
-    if isinstance(record, (dict, list)):
-        return "plan", sorted(set(structured_paths(record)))
-    return "plan", prose_paths(text)
+    spans = F.transform(F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(0)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    rest = F.split(F.regexp_replace(text, _QUOTED, " "), _BETWEEN)
+    return _cleaned(F.concat(_of_spans(spans), _in_a_row(_judged(rest))))
+
+
+def listed_paths(value: Column) -> Column:
+    """Paths of a string under a path key: a path, or several with commas, or several that all look like paths with blanks."""
+    parts = F.filter(F.transform(F.split(value, ","), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    words = _words(value)
+    own = F.when(F.size(parts) > 1, parts).when((F.size(words) > 1) & F.forall(words, looks_like_path), words).otherwise(F.array(value))
+    return _cleaned(_tidy(own))
+
+
+def is_ignored(key: Column) -> Column:
+    """Keys of structured plans under which nothing is touched."""
+    return key.isin(*sorted(IGNORED_KEYS)) | key.endswith("_ref") | key.endswith("_refs")

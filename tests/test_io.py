@@ -2,10 +2,10 @@
 
 import json
 
+import plain_changes
 import pytest
 from pyspark.sql import functions as F
 
-from outcomelake.functions import changes
 from outcomelake.functions import columns as C
 from outcomelake.operators import coverage, lifecycle, normalize
 from outcomelake.sources import scans, sinks, storage
@@ -144,12 +144,43 @@ def test_paths_of_changes(spark):
         "Edit src/app/main.py, then run python3 scripts/x.py": ("plan", ["src/app/main.py"]),
     }
     for text, want in cases.items():
-        assert changes.touched(text) == want, text
+        assert plain_changes.touched(text) == want, text
     rows = [(i, t) for i, t in enumerate(cases)] + [(99, None)]
     got = touched_paths(spark.createDataFrame(rows, "change_id long, content string")).collect()
     assert sorted((r.change_id, r.input_kind, r.path) for r in got) == sorted((i, k, p) for i, (k, ps) in enumerate(cases.values()) for p in ps)
 
 
+def test_paths_of_changes_equal_a_reading_line_by_line(spark):
+    """Diffs, plans in JSON and plans in prose made of odd pieces, against a plain reading of one text at a time."""
+    rng = __import__("random").Random(8)
+    words = ["src/a.py", "`lib/b c.txt`", "'docs/My File.md'", "and/or", "J12/K7", "3/4", "README", "Makefile", "e.g.", "example.org", "https://x.org/a/b.py", "python3", "bash", "tools/run.sh", "--out=gen/x.py", "-v", "LEVEL=debug/x", "shop/app#12", "a/b:3:4", "x.py:7!", "../up.py", "/abs/path", "it's", "\"src/q.go, src/r.go\"", "`bash tools/x.sh src/t.py`", "...", "a...b/c", "*.py", "v1.2", "x.tar.gz,", "(pkg/mod.rs)", "`src/one.py src/two.py`", "`my notes.md`", "dir/", "é/ü.py", "go", "`make all`", "`scripts/gen src/a.py lib/c.py`", "U.S.A", "data.json#L3", "`unclosed", "'", "\"a\nb\""]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) + rng.choice(["", ".", "\n", "?!"]) for _ in range(150)]
+    texts += ["\n".join(texts[i : i + 3]) for i in range(0, 30, 3)]
+    keys = ["paths", "Planned_Paths", "summary", "plan", "commands", "source_ref", "x", "forbidden_paths", "path", "description"]
+
+    def made(depth):
+        if depth > 3 or rng.random() < 0.3:
+            return rng.choice([rng.choice(words), ", ".join(rng.sample(words, 2)), "src/a.py lib/b.py", 3, None, True, ""])
+        return [made(depth + 1) for _ in range(rng.randint(0, 3))] if rng.random() < 0.4 else {rng.choice(keys): made(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    texts += [json.dumps(made(0)) for _ in range(100)]
+    pieces = [
+        "diff --git a/x/y.py b/x/y.py", "diff --git a/old name.py b/new name.py", 'diff --git "a/t\\303\\251.py" "b/t\\303\\251.py"', "diff --git same.txt same.txt", "rename from old/a.py", 'rename to "new/\\"q\\".py"', "copy from c.py", "similarity index 90%",
+        "--- a/x/y.py", "+++ b/x/y.py\t2024-01-01", "--- /dev/null", "+++ /dev/null", '+++ "b/sp ace\\tt.py"', "--- plain.txt", "+++ b/../escape", "@@ -1,2 +1,3 @@ def f", "@@ -1 +1 @@", "@@ -0,0 +1,2 @@", " kept", "+added", "-gone", "", "+++ b/looks/like.py", "--- a/like/too.py", "\\ No newline at end of file", "prose src/z.py",
+    ]
+    texts += ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) + rng.choice(["", "\n", "\r\n"]) for _ in range(200)]
+    got = {}
+    for r in touched_paths(spark.createDataFrame(list(enumerate(texts)), "change_id long, content string")).collect():
+        got.setdefault((r.change_id, r.input_kind), []).append(r.path)
+    wrong = []
+    for i, text in enumerate(texts):
+        kind, paths = plain_changes.touched(text)
+        if sorted(got.get((i, kind), [])) != sorted(paths) or (i, {"diff": "plan", "plan": "diff"}[kind]) in got:
+            wrong.append((text, kind, paths, {k: v for k, v in got.items() if k[0] == i}))
+    assert not wrong, (len(wrong), wrong[:4])
+    assert sum(map(len, got.values())) > 400
+
+
 @pytest.mark.parametrize(
     ("function", "value", "want"),
     [
