@@ -307,3 +307,9 @@ def reverts_pull(message: Column, pr: Column, shas: Column) -> Column:
     by_number = F.rlike(low, F.concat(F.lit(r"(?<![a-z0-9_])(#|pull/|pr |pr#)"), pr.cast("string"), F.lit(r"(?![a-z0-9_])")))
     by_sha = F.exists(F.coalesce(shas, F.array().cast("array<string>")), lambda s: (s != "") & F.contains(low, F.lower(s)))
     return F.coalesce(F.contains(low, F.lit("revert")) & (by_sha | by_number), F.lit(False))
+
+
+def nested_field(text: Column, path: str) -> Column:
+    """The text at a dotted path in a JSON text of any shape; objects and lists as JSON, null where there is nothing."""
+    keys = "".join(f"['{key}']" for key in path.split("."))
+    return F.try_variant_get(F.try_parse_json(text), "$" + keys, "string")

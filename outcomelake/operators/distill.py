@@ -166,6 +166,18 @@ def review_label(status: Column, confidence_: Column) -> Column:
     return F.when(status == "active", "accepted").when(status.isin("stale", "contradicted", "retired"), "needs_user_input").when(confidence_ < 0.55, "needs_user_input").otherwise("suggested")
 
 
+def scopes_alive(rules: DataFrame, working_tree: DataFrame, by: list[str]) -> DataFrame:
+    """The ``by`` of rules some of whose scope paths, as files or directories, exist in a tree of files (path)."""
+    below = working_tree.select(F.explode(ancestors(F.col("path"))).alias("scope")).distinct()
+    return rules.select(*by, F.explode("scope_paths").alias("scope")).join(below, "scope", "left_semi").select(*by).distinct()
+
+
+def provenance_entries(rules: DataFrame) -> DataFrame:
+    """(id, place, pr, outcome, url, experience_id): what rules cite, in the order of pull request and experience, a row each."""
+    ordered = F.array_sort(F.transform("provenance", lambda p: F.struct(F.coalesce(p["pr"], F.lit(0).cast("long")).alias("pr"), p["experience_id"].alias("experience_id"), p["outcome"].alias("outcome"), p["url"].alias("url"))))
+    return rules.select("id", F.posexplode(ordered).alias("place", "p")).select("id", (F.col("place") + 1).alias("place"), "p.pr", "p.outcome", "p.url", "p.experience_id")
+
+
 def statement_of(kind: Column, signal: Column, paths: Column) -> Column:
     """What a drafted rule says, by its kind, signal and scope."""
     where = F.when(F.size(paths) > 0, F.array_join(paths, ", ")).otherwise("this scope")
@@ -205,9 +217,7 @@ def draft_rules(experiences: DataFrame, *, half_life_days: int = 90, working_tre
     if working_tree is None:
         rules = rules.withColumn("scope_missing", F.lit(False))
     else:
-        below = working_tree.select(F.explode(ancestors(F.col("path"))).alias("scope")).distinct()
-        alive = rules.select(*by, F.explode("scope_paths").alias("scope")).join(below, "scope", "left_semi").select(*by).distinct().withColumn("alive", F.lit(True))
-        rules = rules.join(alive, by, "left").withColumn("scope_missing", (F.size("scope_paths") > 0) & F.col("alive").isNull())
+        rules = rules.join(scopes_alive(rules, working_tree, by).withColumn("alive", F.lit(True)), by, "left").withColumn("scope_missing", (F.size("scope_paths") > 0) & F.col("alive").isNull())
     statement, name = statement_of(F.col("rule_kind"), F.col("signal"), F.col("scope_paths")), rule_id(F.col("rule_kind"), F.col("signal"), F.col("cluster_key"))
     rules = rules.withColumn("status", rule_status(F.col("scope_missing"), F.col("contradictions")))
     return rules.select(

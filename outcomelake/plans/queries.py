@@ -271,13 +271,13 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.risk(*_summary(spark, sf_dir)).select("coverage", "max_avoid_confidence", "risk_level")
 
 
-_CHANGES = f"""WITH {RULES}, asked AS (SELECT DISTINCT l_orderkey AS change_id, path, folder FROM lineitem JOIN files ON l_partkey = p_partkey),
-m AS (SELECT DISTINCT t.path, r.id, r.kind, r.confidence, r.evidence_count FROM asked t JOIN rules r ON t.folder = r.folder AND CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE true END),
+_ASSESS = """m AS (SELECT DISTINCT t.path, r.id, r.kind, r.confidence, r.evidence_count FROM asked t JOIN rules r ON t.folder = r.folder AND CASE r.form WHEN 0 THEN t.path = r.scope WHEN 2 THEN regexp_full_match(t.path, replace(r.folder, '.', '\\.') || '/[^/]*1\\.py') ELSE true END),
 lv AS (SELECT path, max(CASE WHEN kind = 'avoid' THEN 1 ELSE 0 END) AS risky FROM m GROUP BY 1),
 w AS (SELECT change_id, count(*) AS touched_path_count, count(*) FILTER (risky = 0) AS covered_clean_count, count(*) FILTER (risky = 1) AS covered_risky_count, count(*) FILTER (risky IS NULL) AS no_coverage_count FROM asked LEFT JOIN lv USING (path) GROUP BY 1),
 u AS (SELECT change_id, count(*) AS matched_rule_count, sum(evidence_count)::BIGINT AS evidence_count, max(confidence) FILTER (kind <> 'playbook') AS top FROM (SELECT DISTINCT change_id, id, kind, confidence, evidence_count FROM asked JOIN m USING (path)) GROUP BY 1),
 x AS (SELECT w.*, coalesce(matched_rule_count, 0) AS matched_rule_count, coalesce(evidence_count, 0) AS evidence_count, top, CASE WHEN no_coverage_count > 0 THEN 'no_coverage' WHEN covered_risky_count > 0 THEN 'covered_risky' ELSE 'covered_clean' END AS coverage FROM w LEFT JOIN u USING (change_id)),
 z AS (SELECT *, CASE WHEN top >= 0.75 THEN 'match_high' WHEN top >= 0 THEN 'match_medium' WHEN coverage = 'covered_clean' THEN 'covered_clean' ELSE 'no_coverage' END AS risk_level FROM x)"""
+_CHANGES = f"WITH {RULES}, asked AS (SELECT DISTINCT l_orderkey AS change_id, path, folder FROM lineitem JOIN files ON l_partkey = p_partkey), {_ASSESS}"
 
 
 def _changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -615,6 +615,10 @@ def line_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT p_partkey, 'diff', 'old/' || path FROM files WHERE p_partkey % 4 = 1""")
 def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of diffs, one for every part: changed, renamed, quoted and new files, with content that looks like headers."""
+    return changes.touched_paths(_diffs(spark, sf_dir))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, key = part_path(), F.col("p_partkey")
     hunk = "@@ -1,2 +1,2 @@\n keep\n--- old/path.py\n+++ new/path.py\n"
     body = (
@@ -623,7 +627,15 @@ def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 2, text('diff --git "a/sp ace/', path, '" "b/sp ace/', path, '"\n--- "a/sp ace/', path, '"\n+++ "b/sp ace/', path, '"\n' + hunk))
         .otherwise(text("--- /dev/null\n+++ b/", path, "\t2024-01-01\n@@ -0,0 +1 @@\n++++ b/fake.py\n"))
     )
-    return changes.touched_paths(table(spark, sf_dir, "part").select(key.alias("change_id"), body.alias("content")))
+    return table(spark, sf_dir, "part").select(key.alias("change_id"), body.alias("content"))
+
+
+@registered(f"""WITH {RULES}, asked AS (SELECT p_partkey AS change_id, CASE WHEN p_partkey % 4 = 2 THEN 'sp ace/' ELSE '' END || path AS path, CASE WHEN p_partkey % 4 <> 2 THEN folder END AS folder FROM files UNION ALL SELECT p_partkey, 'old/' || path, NULL FROM files WHERE p_partkey % 4 = 1), {_ASSESS}
+SELECT change_id, touched_path_count, matched_rule_count, coverage, top AS max_avoid_confidence, risk_level FROM z""")
+def assess_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the text of a diff to its risk, for a diff of every part."""
+    touched_by = changes.touched_paths(_diffs(spark, sf_dir)).select("change_id", "path")
+    return coverage.assess_changes(touched_by, rules(spark, sf_dir)).select("change_id", "touched_path_count", "matched_rule_count", "coverage", "max_avoid_confidence", "risk_level")
 
 
 @registered(f"""WITH {RULES} SELECT p_partkey AS change_id, 'plan' AS input_kind, path FROM files UNION ALL SELECT p_partkey, 'plan', 'NOTICE' FROM files WHERE p_partkey % 6 = 5
@@ -657,6 +669,42 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("experience_id").alias("row_id"), *(v.alias(c) for c, v in given.items()))
 
 
+@registered(f"""WITH {RULES}, t AS (SELECT DISTINCT folder FROM files WHERE p_partkey % 6 = 0) SELECT id, form > 1 OR CASE WHEN form = 0 THEN p_partkey % 6 <> 0 ELSE folder NOT IN (SELECT folder FROM t) END AS scope_missing FROM rules""")
+def scope_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules none of whose scope paths is a file or directory of a tree of a sixth of all parts; patterns are no such paths."""
+    own = rules(spark, sf_dir)
+    tree = table(spark, sf_dir, "part").where("p_partkey % 6 = 0").select(part_path().alias("path"))
+    alive = distill.scopes_alive(own, tree, ["id"]).withColumn("alive", F.lit(True))
+    return own.join(alive, "id", "left").select("id", F.col("alive").isNull().alias("scope_missing"))
+
+
+@registered(f"""WITH {RULES}, c AS (SELECT id, unnest([p_partkey + 5, p_partkey, p_partkey]) AS pr, unnest(['b', 'z', 'c']) AS experience_id, unnest(['revert', 'fix_held', 'ci_failure']) AS outcome FROM rules)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY pr, experience_id) AS place, pr, outcome, 'https://github.com/acme/shop/pull/' || pr AS url, experience_id FROM c""")
+def rule_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all rules cite, three entries each, in order."""
+    key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    cite = lambda pr, e, o: F.struct(pr.cast("long").alias("pr"), F.lit(o).alias("outcome"), text("https://github.com/acme/shop/pull/", pr).alias("url"), F.lit(e).alias("experience_id"))
+    own = rules(spark, sf_dir).withColumn("provenance", F.array(cite(key + 5, "b", "revert"), cite(key, "z", "fix_held"), cite(key, "c", "ci_failure")))
+    return distill.provenance_entries(own).withColumn("place", F.col("place").cast("long"))
+
+
+@registered(f"""WITH {EXPERIENCES}, c AS (SELECT pr % 10 AS part, actor_kind AS expected, CASE WHEN length(message) > 0 THEN 'agent' ELSE actor_kind END AS actual FROM exp)
+SELECT count(*) AS cases, count(*) FILTER (expected <> 'uncertain') AS evaluated, round(count(*) FILTER (expected <> 'uncertain' AND expected = actual)::DOUBLE / count(*) FILTER (expected <> 'uncertain'), 4) AS precision FROM c""")
+def attribution_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often attribution is right, where those of experiences with a message all go to agents."""
+    cases = experiences(spark, sf_dir).select(F.col("actor_kind").alias("expected"), F.when(F.length("message") > 0, "agent").otherwise(F.col("actor_kind")).alias("actual"))
+    return normalize.attribution_precision(cases)
+
+
+@registered("""SELECT page_id, sha256(url) AS found, CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR END AS number, '["x",1]' AS listed FROM pages""")
+def nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields at dotted paths of JSON texts made of all pages; some texts lack one."""
+    key = F.col("page_id")
+    value = text('{"a": {"b c": {"url": "', F.sha2("url", 256), '"}', F.when(key % 2 == 0, F.concat(F.lit(', "n": '), key.cast("string"))).otherwise(""), '}, "l": ["x", 1]}')
+    docs = table(spark, sf_dir, "pages").select("page_id", value.alias("j"))
+    return docs.select("page_id", C.nested_field(F.col("j"), "a.b c.url").alias("found"), C.nested_field(F.col("j"), "a.n").alias("number"), C.nested_field(F.col("j"), "l").alias("listed"))
+
+
 _UNKNOWN = "qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import StructType
+
 #: A normalised outcome: what happened to a pull request, to whom it is attributed, and by which signature.
 EXPERIENCE = (
     "experience_id string, repo_owner string, repo_name string, recorded_at timestamp, pr long, commit string, "
@@ -34,3 +36,16 @@ EVENT = (
     "attribution struct<actor_kind: string, method: string, confidence: string>, "
     "provenance struct<urls: array<string>, pr_url: string, check_run_url: string, revert_url: string, review_url: string>, metadata map<string, string>"
 )
+
+
+def mismatches(schema: StructType, contract: str) -> list[str]:
+    """What a table's schema lacks of a contract (the schemas above): fields that are missing or of another type, in order."""
+    own = {f.name: f.dataType.simpleString() for f in schema}
+    out = []
+    for field in StructType.fromDDL(contract):
+        kind = own.get(field.name)
+        if kind is None:
+            out.append(f"{field.name} is missing")
+        elif kind != field.dataType.simpleString():
+            out.append(f"{field.name} is {kind}, not {field.dataType.simpleString()}")
+    return out

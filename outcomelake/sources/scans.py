@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.columns import distinct_filled, filled, pr_path_number, pr_url_number, staged, trimmed, url_repo, valid_provenance_url
+from ..functions.columns import distinct_filled, filled, pr_path_number, pr_url_number, rfc3339, staged, trimmed, url_repo, valid_provenance_url
 from ..schemas import EVENT, EXPERIENCE, RULE
 
 _SIGNATURE = "signature_id: string, class: string, key: string, check_name: string, check: string, extraction_confidence: string, message_fingerprint: string"
@@ -227,6 +227,37 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.when(value.between(0, 1), value).alias("baseline_err"), "source_digest")
 
 
+def forward_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """One row (status, baseline_err, reason) for advice ahead of a report: a stored baseline can't be verified there, so it is stale, or missing.
+
+    ``reason`` says what a later comparison would lack: digest, window, or only the comparison itself. A baseline that
+    gives no rate from 0 to 1 has the status broken.
+    """
+    kinds = "headline_err string, summary struct<headline_err: string>, metadata struct<source_artifact_digest: string>, window struct<start: string, end: string>"
+    c = F.col
+    raw = spark.read.json(path, schema=kinds, multiLine=True, mode="PERMISSIVE") if _exists(spark, path) else spark.createDataFrame([], kinds)
+    value = F.coalesce(c("headline_err").try_cast("double"), c("summary.headline_err").try_cast("double"))
+    reason = F.when(filled(c("metadata.source_artifact_digest")) == "", "no_digest").when((filled(c("window.start")) == "") | (filled(c("window.end")) == ""), "no_window").otherwise("unverified")
+    sound = F.coalesce(value.between(0, 1), F.lit(False))
+    found = raw.limit(1).select(F.when(sound, "stale").otherwise("broken").alias("status"), F.when(sound, value).alias("baseline_err"), F.when(sound, reason).otherwise("no_rate").alias("reason"))
+    one = spark.range(1).select(F.lit(1).alias("one"))
+    both = one.join(found.withColumn("one", F.lit(1)), "one", "left")
+    return both.select(F.coalesce("status", F.lit("missing")).alias("status"), "baseline_err", F.coalesce("reason", F.lit("not_saved")).alias("reason"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def advisory_states(spark: SparkSession, path: str) -> DataFrame:
+    """(change_id, diff_fingerprint, risk_level, skip_reason, generated_at): stored states of changes, as JSON lines of :func:`~.sinks.state_text`."""
+    kinds = "change_id long, diff_fingerprint string, skip_reason string, assessment struct<risk_level: string>, metadata struct<generated_at: string, risk_level: string>"
+    raw = spark.read.json(path, schema=kinds, mode="FAILFAST")
+    risk = filled(F.col("metadata.risk_level"), F.col("assessment.risk_level"))
+    return raw.select("change_id", "diff_fingerprint", risk.alias("risk_level"), "skip_reason", rfc3339(F.col("metadata.generated_at")).alias("generated_at"))
+
+
 def compare_baseline(report: DataFrame, stored: DataFrame | None) -> DataFrame:
     """The report with the baseline's rate and the change since; status is missing, stale (of other sources) or current."""
     if stored is None or stored.isEmpty():

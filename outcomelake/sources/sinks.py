@@ -189,3 +189,19 @@ def advisory_comment(risk_level: str, paths: list[str], fingerprint: str) -> str
     """A comment's text with a hidden marker of the change; no more than three uncovered paths are named."""
     named = ", ".join(code_span(p) for p in paths[:3]) + (f" and {len(paths) - 3} more" if len(paths) > 3 else "")
     return f"<!-- outcomelake:advisory {fingerprint} -->\n**Risk:** {risk_level}\n\nWithout coverage: {named or 'none'}\n"
+
+
+def state_text(decided: DataFrame) -> DataFrame:
+    """``decided`` (see :func:`~outcomelake.operators.lifecycle.comment_decision`) with ``state``: each change's next state as JSON.
+
+    A debounced assessment keeps the fingerprint and time of the state before; the fingerprint that it had is noted beside.
+    """
+    at = F.date_format("state_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    debounced = F.when(F.col("skip_reason") == "debounced", F.col("diff_fingerprint"))
+    metadata = F.struct(at.alias("generated_at"), F.col("published_risk").alias("risk_level"), debounced.alias("debounced_diff_fingerprint"))
+    return decided.withColumn("state", F.to_json(F.struct("change_id", F.col("state_fingerprint").alias("diff_fingerprint"), F.col("comment").alias("should_comment"), "skip_reason", F.struct("risk_level").alias("assessment"), metadata.alias("metadata"))))
+
+
+def write_states(decided: DataFrame, path: str) -> None:
+    """The next states of all changes as JSON lines, replacing those at ``path``."""
+    state_text(decided).select("state").write.mode("overwrite").text(path)

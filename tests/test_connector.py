@@ -6,9 +6,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from outcomelake import schemas
 from outcomelake.operators import advice, coverage, lifecycle
 from outcomelake.operators.normalize import accepted, normalized
-from outcomelake.sources import lineage, pulls, scans, snapshots
+from outcomelake.sources import lineage, pulls, scans, sinks, snapshots
 from outcomelake.streaming import advice as advice_streaming
 from outcomelake.streaming import ingest
 
@@ -326,3 +327,25 @@ def test_recall_by_anchors_equals_a_scan(spark):
         found = [tuple(r) for r in coverage.recall_in_texts(contexts, rules).collect()]
         coverage.BROADCAST_GRAMS = kept
         assert len(want) > 100 and set(found) == want and len(found) == len(want)
+
+
+def test_states_and_baselines_ahead_of_a_report(spark, tmp_path):
+    table = spark.createDataFrame([(n, c, r, v, x, f) for c, n, _, r, v, x, f in assessments(4)], "assessment_id string, change_id long, risk_level string, coverage string, max_avoid_confidence double, diff_fingerprint string")
+    prior = spark.createDataFrame([(1, "f0", "match_high", START)], "change_id long, diff_fingerprint string, risk_level string, generated_at timestamp")
+    decided = lifecycle.comment_decision(table.withColumn("diff_fingerprint", F.lit("f9")).withColumn("risk_level", F.lit("no_coverage")), prior, "2026-01-01 00:05:00")
+    sinks.write_states(decided, str(tmp_path / "states"))
+    got = {r.change_id: (r.diff_fingerprint, r.risk_level, r.skip_reason, r.generated_at) for r in scans.advisory_states(spark, str(tmp_path / "states")).collect()}
+    want = {r.change_id: (r.state_fingerprint, r.published_risk, r.skip_reason, r.state_at) for r in decided.collect()}
+    assert got == want and got[1][:3] == ("f0", "no_coverage", "debounced") and got[2][:3] == ("f9", "no_coverage", "")
+    again = lifecycle.comment_decision(table.withColumn("diff_fingerprint", F.lit("f9")).withColumn("risk_level", F.lit("no_coverage")), scans.advisory_states(spark, str(tmp_path / "states")), "2026-01-01 00:06:00")
+    assert {r.change_id: r.skip_reason for r in again.collect()} == {0: "unchanged", 1: "debounced", 2: "unchanged", 3: "unchanged"}
+    for name, value, want in [("a", {"headline_err": "0.2"}, ("stale", 0.2, "no_digest")), ("b", {"summary": {"headline_err": 0.3}, "metadata": {"source_artifact_digest": "d"}}, ("stale", 0.3, "no_window")), ("c", {"headline_err": 0, "metadata": {"source_artifact_digest": "d"}, "window": {"start": "s", "end": "e"}}, ("stale", 0.0, "unverified")), ("d", {"headline_err": 7}, ("broken", None, "no_rate"))]:
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+        assert tuple(scans.forward_baseline(spark, str(tmp_path / f"{name}.json")).first()) == want
+    assert tuple(scans.forward_baseline(spark, str(tmp_path / "none.json")).first()) == ("missing", None, "not_saved")
+
+
+def test_schemas_against_their_contract(spark):
+    rules = spark.createDataFrame([], schemas.RULE)
+    assert schemas.mismatches(rules.schema, schemas.RULE) == []
+    assert schemas.mismatches(rules.drop("id").withColumn("confidence", F.lit("x")).schema, schemas.RULE) == ["id is missing", "confidence is string, not double"]
