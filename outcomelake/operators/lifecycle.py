@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, DateType, MapType, StringType, StructType, TimestampType
 
-from ..functions.columns import LIFECYCLE, OUTCOME_KINDS, clean_path, filled, pr_url_number, rfc3339, sha256
+from ..functions.columns import LIFECYCLE, OUTCOME_KINDS, clean_path, filled, pr_url_number, rfc3339, sha256, staged
 from .recurrence import ranked
 
 def merge_lifecycle(drafts: DataFrame, existing: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def rule_errors(rules: DataFrame, known_paths: DataFrame | None = None) -> DataF
         lost = asked.where("path is not null").join(known_paths.select("path").distinct(), "path", "left_anti").select("id").distinct()
         rules = rules.join(lost.withColumn("lost_path", F.lit(True)), "id", "left")
         broken["scope_missing"] = some(c("lost_path"))
-    return rules.select("id", F.array_compact(F.array(*(F.when(b, F.lit(n)) for n, b in broken.items()))).alias("errors")).where(F.size("errors") > 0)
+    return staged(rules.select("id", F.array_compact(F.array(*(F.when(b, F.lit(n)) for n, b in broken.items()))).alias("errors"))).where(F.size("errors") > 0)
 
 
 def comment_decision(assessments: DataFrame, prior: DataFrame, now: str, *, enabled: bool = True, most_comments: int = 1, debounce_minutes: int = 10, least_confidence: float = 0.6) -> DataFrame:

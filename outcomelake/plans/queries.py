@@ -826,20 +826,21 @@ _BREACHES = (
 @registered(f"WITH {RULES}, b AS (SELECT p_partkey, id, ({list(_BREACHES)})[p_partkey % 34 + 1] AS errors FROM rules) SELECT CASE WHEN errors = 'id' THEN ' ' ELSE id END AS id, errors || CASE p_partkey WHEN 0 THEN ',citation_pr,citation' ELSE '' END AS errors FROM b WHERE errors IS NOT NULL")
 def rule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules that break the contract: every rule of it is broken in turn, and four of 34 rules are sound."""
-    key = F.regexp_extract("id", r"(\d+)", 1).cast("long")
-    m = key % 34
     c = F.col
+    key, m = c("key"), c("m")
     state = lambda *given: F.when(m.isin(*given[:-1]), given[-1])
     sound = c("status").isin("active") & (key % 5 == 1)
     none = F.array().cast("array<string>")
-    own = rules(spark, sf_dir).withColumns({
+    # Each step reads the values of the one before, or every error would spell out all of them again.
+    numbered = C.staged(rules(spark, sf_dir).withColumn("key", F.regexp_extract("id", r"(\d+)", 1).cast("long")))
+    own = C.staged(numbered.withColumn("m", key % 34).withColumns({
         "kind": F.when(m == 2, "other").when(m == 14, "playbook").when(m.isin(10, 13), "avoid").otherwise(c("kind")), "statement": F.when(m == 1, " \t").otherwise(c("statement")), "confidence": F.when(m == 4, 1.5).otherwise(c("confidence")),
         "status": state(16, 19, "active").when(m.isin(15, 17, 18, 20, 21), "candidate").when(m == 22, "retired").when(m == 3, "paused").when(sound, "active").otherwise("candidate"),
         "review_label": state(15, "maybe").when(m.isin(17, 19), "accepted").when(m.isin(3, 16, 18, 20, 21, 22), "suggested").when(sound, "accepted").otherwise("suggested"),
         "review_decision": state(16, 20, "approved").when(m.isin(3, 15, 17, 19), "pending").when(m == 18, "later").when(m == 21, "rejected").when(m == 22, "merged").when(sound, "approved").otherwise("pending"),
         "experiences": F.when(m == 5, none).otherwise(c("experiences")), "scope_paths": F.when(m == 6, none).when(m == 7, F.array(F.lit("../up"))).otherwise(c("scope_paths")),
         "evidence_count": F.when(m == 8, 0).otherwise(c("evidence_count")).cast("long"), "contradictions": F.when(m == 9, -1).otherwise(key % 3).cast("long"), "statement_origin": F.when(m == 23, "robot").when(m == 33, "human_authored").otherwise(c("statement_origin")),
-    })
+    }))
     kind, url = c("kind"), text("https://github.com/acme/shop/pull/", key)
     outcome = F.when(m == 13, "other").when(m == 14, "ci_failure").when(kind == "playbook", "fix_held").otherwise("ci_failure")
     cited = F.array(F.struct(F.when(m == 11, 0).otherwise(key).cast("long").alias("pr"), outcome.alias("outcome"), F.when(m == 12, F.concat(url, F.lit("?x=1"))).otherwise(url).alias("url"), text("exp_", key).alias("experience_id")))
@@ -853,6 +854,7 @@ def rule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = own.withColumns({"provenance": F.when(m == 10, F.array().cast(own.schema["provenance"].dataType)).otherwise(cited), "confidence_inputs": inputs, "decay": decay, "confidence_label": F.when(m == 24, "utter").otherwise(stated), "merged_into": F.lit(None).cast("string"), "scope_signals": none})
     without_metadata = m == 33
     own = own.withColumns({n: F.when(~without_metadata, c(n)) for n in ("confidence_inputs", "decay", "confidence_label")}).withColumn("id", F.when(m == 0, " ").otherwise(c("id")))
+    own = C.staged(own.drop("key", "m"))
     return lifecycle.rule_errors(own).select("id", F.array_join("errors", ",").alias("errors"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from outcomelake.operators import coverage
+from outcomelake.plans import queries as plans
 from outcomelake.plans import tables
 
 RULE = "id string, kind string, scope_paths array<string>, confidence double, evidence_count long, experiences array<string>, provenance array<struct<pr: long, outcome: string, url: string, experience_id: string>>"
@@ -53,3 +54,14 @@ def test_parts_are_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert tables.table(spark, "/root/testdata/sf0.1", "part").rdd.getNumPartitions() == 1 < cores
     assert tables.rules(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == tables.parts(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == cores
+
+
+def test_contract_computes_a_number_once(spark):
+    """What errors are made of is read as values; spelled out in each of them, it is computed hundreds of times for a row."""
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = plans.queries()["rule_contract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert plan.count(r", (\d+), 1)") == 1
