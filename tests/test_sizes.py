@@ -31,6 +31,25 @@ def test_paths_meet_types_of_rules(spark, many, asked):
     assert coverage.path_matches(asked, many).distinct().count() == coverage.path_matches(asked, many).count() == N * (N + 1) + 1 + 1
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_a_type_meet(spark, many, asked, monkeypatch):
+    """Rows for single rules come from lists that met; no join makes them. Short lists give the same rows."""
+    monkeypatch.setattr(coverage, "LIST_ROWS", 7)
+    texts = asked.where("path is not null").selectExpr("path as context_id", "concat('see ', path) as context")
+    own = sorted((f"src/a/{i}.py", f"r{n:03}") for i in range(N) for n in range(N)) + [(f"src/a/{i}.py", "both") for i in range(N)] + [("src/a/1.py", "file"), ("doc/x.md", "good")]
+    for found in (coverage.path_matches(asked, many), coverage.recall_in_texts(texts, many)):
+        plan = _plan(found)
+        assert plan.index("Generate explode(right") < plan.index("Join")
+        assert sorted(tuple(r) for r in found.collect()) == sorted(own)
+    cited = coverage.path_citations(asked, many)
+    assert _plan(cited).index("Generate explode(right") < _plan(cited).index("Join")
+    # What two types share is one address.
+    assert sorted(tuple(r) for r in cited.collect()) == sorted({(p, {"both": f"u{N}", "file": "u0", "good": "u"}.get(r, f"u{r[1:].lstrip('0') or 0}")) for p, r in own})
+
+
 def test_changes_and_levels_count_rules_once(spark, many, asked):
     got = {r.change_id: r for r in coverage.assess_changes(asked, many).collect()}
     assert [(got[i].touched_path_count, got[i].covered_risky_count, got[i].covered_clean_count, got[i].no_coverage_count) for i in range(4)] == [(N // 2, N // 2, 0, 0), (N // 2, N // 2, 0, 0), (1, 0, 1, 0), (2, 0, 0, 2)]
