@@ -50,6 +50,26 @@ def test_lists_of_a_type_meet(spark, many, asked, monkeypatch):
     assert sorted(tuple(r) for r in cited.collect()) == sorted({(p, {"both": f"u{N}", "file": "u0", "good": "u"}.get(r, f"u{r[1:].lstrip('0') or 0}")) for p, r in own})
 
 
+def test_paths_share_their_lists(spark, many, asked, monkeypatch):
+    """The rules of a directory are put in order once for its paths, and by compiled code."""
+    monkeypatch.setattr(coverage, "SET_PATHS", 3)
+    found = coverage.path_coverage(asked, many)
+    assert "array_sort" not in _plan(found) and "lambdafunction" not in _plan(found).split("Join")[0]
+    got = {r.path: r for r in found.collect()}
+    assert len(got) == N + 3
+    ordered = [f"r{i:03}" for i in range(N - 1, -1, -1)]
+    ordered.insert(ordered.index(f"r{N // 10:03}"), "both")
+    for i in range(N):
+        names = list(ordered)
+        if i == 1:
+            names.insert(names.index(f"r{N // 5:03}"), "file")
+        row = got[f"src/a/{i}.py"]
+        assert row.matched_rule_ids == names and row.matched_rule_count == len(names) and row.coverage == "covered_risky"
+        assert row.citations == list(dict.fromkeys({"both": f"u{N}", "file": "u0"}.get(r, f"u{r[1:].lstrip('0') or 0}") for r in names))
+    assert (got["doc/x.md"].matched_rule_ids, got["doc/x.md"].citations, got["doc/x.md"].coverage) == (["good"], ["u"], "covered_clean")
+    assert (got["none"].matched_rule_ids, got["none"].experience_ids, got["none"].coverage, got[None].matched_rule_ids) == ([], [], "no_coverage", [])
+
+
 def test_changes_and_levels_count_rules_once(spark, many, asked):
     got = {r.change_id: r for r in coverage.assess_changes(asked, many).collect()}
     assert [(got[i].touched_path_count, got[i].covered_risky_count, got[i].covered_clean_count, got[i].no_coverage_count) for i in range(4)] == [(N // 2, N // 2, 0, 0), (N // 2, N // 2, 0, 0), (1, 0, 1, 0), (2, 0, 0, 2)]
