@@ -46,7 +46,15 @@ def cluster_members(experiences: DataFrame) -> DataFrame:
 
 class _Cluster:
     def __init__(self, key: str):
-        self.key, self.signal = key, ""
+        self.key, self.signal, self.into = key, "", self
+
+    def root(self) -> _Cluster:
+        """The cluster that took this one over, or itself; what is passed on the way is pointed nearer."""
+        at = self
+        while at.into is not at:
+            at.into = at.into.into
+            at = at.into
+        return at
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +62,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A component's records are replayed in order. The cluster of a record's first known key takes over
     those of its other known keys; it is called after a message when messages are all that the record
-    has in common with it. Only the keys seen are held.
+    has in common with it. Only the keys seen are held, and what a cluster takes over is not gone through.
     """
     current: str | None = None
     by_key: dict[str, _Cluster] = {}
@@ -68,11 +76,9 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 current, by_key = component, {}
             known = [k for k in keys if k in by_key]
             if known:
-                cluster = by_key[known[0]]
-                absorbed = {id(by_key[k]) for k in known[1:]} - {id(cluster)}
-                for k, other in by_key.items() if absorbed else ():
-                    if id(other) in absorbed:
-                        by_key[k] = cluster
+                cluster = by_key[known[0]].root()
+                for k in known[1:]:
+                    by_key[k].root().into = cluster
                 if all(k.startswith(MESSAGE) for k in known):
                     cluster.key = known[0]
             else:
@@ -89,6 +95,12 @@ def clusters(experiences: DataFrame) -> DataFrame:
     """(experience_id, component, cluster_key, signal)."""
     members = written(cluster_members(experiences), "cluster-members")
     rows = experiences.select("experience_id", "recorded_at", cluster_keys().alias("keys"), record_signal().alias("signal")).join(members, "experience_id")
+    # Once its keys are known in one cluster, a record with the same ones changes nothing but, by messages alone, the name,
+    # so the last of these stands for all but the first.
+    seen = F.struct("recorded_at", "experience_id", "signal")
+    rows = rows.groupBy("component", "keys").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    renames = F.forall("keys", lambda k: k.startswith(MESSAGE)) & (F.col("last") > F.col("first"))
+    rows = rows.select("component", "keys", F.explode(F.when(renames, F.array("first", "last")).otherwise(F.array("first"))).alias("seen")).select("component", "keys", "seen.*")
     rows = rows.repartition("component").sortWithinPartitions("component", "recorded_at", "experience_id").select("component", "keys", "signal")
     names = rows.mapInArrow(_names, "component string, cluster_key string, signal string")
     return members.join(written(names, "cluster-names"), "component")

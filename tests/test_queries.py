@@ -3,8 +3,11 @@
 import glob
 import math
 import os
+import random
+import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from outcomelake.functions import columns as C
@@ -110,3 +113,28 @@ def test_no_experiences(spark):
     assert plans.recurrence.recurrence_pairs(marked).count() == 0
     assert plans.recurrence.error_recurrence(marked, plans.recurrence.recurrence_pairs(marked)).first().headline_err == 0
     assert C.FAILURE_KINDS == ("ci_failure", "revert", "review_correction")
+
+
+def test_clusters_of_repeated_records_equal_a_replay(spark):
+    """Few keys in any order, many records with the same ones; only the first of them, and the last by messages alone, can change a cluster."""
+    draw = random.Random(5)
+    pick = lambda name, n: draw.choice(["", *(f"{name}{i}" for i in range(n))])
+    rows = [(f"e{i:04}", draw.randrange(300), "agent", pick("s", 9), pick("c", 3), pick("k", 30), pick("x", 3), pick("m", 25), "ci_failure") for i in range(600)]
+    kinds = "experience_id string, at int, actor_kind string, signature_id string, check_name string, key string, class string, message string, kind string"
+    every = spark.createDataFrame(rows, kinds).selectExpr("*", "timestamp_seconds(at) as recorded_at")
+    found = {}
+    for r in distill.clusters(every).collect():
+        members, _ = found.setdefault(r.component, (set(), r.cluster_key))
+        members.add(r.experience_id)
+    keyed = every.select("recorded_at", "experience_id", distill.cluster_keys().alias("keys")).collect()
+    assert sorted((sorted(m), k) for m, k in found.values()) == replayed(keyed)
+
+
+def test_a_cluster_is_taken_over_at_once():
+    """One record after another joins a cluster to the first; going through all keys each time took the square of them."""
+    n = 20_000
+    keys = [[f"k{i}"] for i in range(n)] + [["k0", f"k{i}"] for i in range(1, n)]
+    batch = pa.record_batch({"component": pa.array(["e"] * len(keys)), "keys": pa.array(keys), "signal": pa.array(["s"] * len(keys))})
+    began = time.process_time()
+    (found,) = distill._names(iter([batch]))
+    assert found.to_pylist() == [{"component": "e", "cluster_key": "k0", "signal": "s"}] and time.process_time() - began < 8
