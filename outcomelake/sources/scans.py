@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,21 +83,43 @@ def _list(value: Column) -> Column:
     return F.coalesce(F.when(value.startswith("["), F.from_json(value, "array<string>")), alone, F.array().cast("array<string>"))
 
 
+def _is_list(field: Column) -> Column:
+    return F.coalesce(trimmed(field).startswith("["), F.lit(False))
+
+
+def _first_text(*fields: Column) -> Column:
+    """What :func:`_first_list` finds where no field is a list: the first text that is no number and no object, or null."""
+    return F.coalesce(*(F.when((f != "") & ~f.rlike(r"^([0-9.+-]+$|\{)"), f) for f in map(trimmed, fields)))
+
+
+def _any_list(fields: Sequence[Column], lists: Column, text: Callable[[Column], Column]) -> Column:
+    """``lists`` where some field is a list, else ``text`` of :func:`_first_text`: functions over lists are not compiled, so rows without lists keep off them."""
+    return F.when(reduce(Column.__or__, map(_is_list, fields)), lists).otherwise(text(_first_text(*fields)))
+
+
 def _first_list(*fields: Column) -> Column:
     """The texts of the first field that holds any. Every field is parsed once, by one expression for them all."""
+    none = F.array().cast("array<string>")
     texts = F.transform(F.array(*fields), lambda f: F.filter(_list(f), lambda x: (trimmed(x) != "") & ~x.startswith("{")))
-    return F.coalesce(F.try_element_at(F.filter(texts, lambda t: F.size(t) > 0), F.lit(1)), F.array().cast("array<string>"))
+    lists = F.coalesce(F.try_element_at(F.filter(texts, lambda t: F.size(t) > 0), F.lit(1)), none)
+    return _any_list(fields, lists, lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(none))
 
 
 def _names(field: Column, *keys: str) -> Column:
     """Of a list's objects the first of the keys that each fills."""
     own = F.transform(F.filter(_list(field), lambda x: x.startswith("{")), lambda x: filled(*(F.get_json_object(x, f"$.{k}") for k in keys)))
-    return F.filter(own, lambda x: x != "")
+    return F.when(_is_list(field), F.filter(own, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def _paths(item: Column, fallback: Column) -> Column:
-    own = distinct_filled(F.concat(_first_list(*(item[n] for n in ("paths", "changed_files", "files", "path", "filename"))), _names(item["files"], "filename", "path")))
-    return F.when(F.size(own) > 0, own).otherwise(fallback)
+    fields = [item[n] for n in ("paths", "changed_files", "files", "path", "filename")]
+    own = distinct_filled(F.concat(_first_list(*fields), _names(item["files"], "filename", "path")))
+    return _any_list(fields, F.when(F.size(own) > 0, own).otherwise(fallback), lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(fallback))
+
+
+def _labels(labels: Column, names: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return _any_list([labels, names], distinct_filled(F.concat(_first_list(labels, names), _names(labels, "name"))), lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(none))
 
 
 def _object_or_text(value: Column, key: str) -> tuple[Column, Column]:
@@ -138,12 +161,12 @@ def _event(kind: Column, item: Column) -> list[Column]:
     check = by_kind(lambda k: filled(item["check_name"], given["check_name"], given["check"], *map(field, _KINDS[k][2]), F.lit("merge" if k == "merged_clean" else k)))
     message = by_kind(lambda k: filled(*map(field, _KINDS[k][3])) if _KINDS[k][3] else F.lit(""))
     own_class = by_kind(lambda k: filled(item["signature_class"], given["class"], F.lit(_KINDS[k][5])))
-    url = F.col("x_url")
-    matches = (url_repo(url) == F.lower("base_repo")) & F.coalesce(pr_path_number(url) == F.col("base_number").try_cast("long"), F.lit(True))
-    canonical = valid_provenance_url(url)
-    urls = F.array_compact(F.array(F.col("base_url"), F.when(canonical & matches, url)))
-    wrong = {"child_provenance": canonical & ~F.coalesce(matches, F.lit(False)), "child_commit": commit == "", "child_paths": F.size("x_paths") == 0}
-    errors = F.concat("base_errors", F.array_compact(F.array(*(F.when(bad, F.lit(n)) for n, bad in wrong.items()))))
+    # Chosen between lists, not by functions over lists, which are not compiled.
+    none, own_url, url = F.array().cast("array<string>"), F.col("base_url"), F.col("x_url")
+    taken = F.col("x_canonical") & F.col("x_matches")
+    urls = F.when(own_url.isNull(), F.when(taken, F.array(url)).otherwise(none)).when(taken & (own_url != url), F.array(own_url, url)).otherwise(F.array(own_url))
+    wrong = {"child_provenance": F.col("x_canonical") & ~F.col("x_matches"), "child_commit": commit == "", "child_paths": F.size("x_paths") == 0}
+    errors = F.when(reduce(Column.__or__, wrong.values()), F.concat("base_errors", F.array_compact(F.array(*(F.when(bad, F.lit(n)) for n, bad in wrong.items()))))).otherwise(F.col("base_errors"))
     return [
         F.col("base_repo").alias("repo"), F.col("base_number").alias("pr"), kind.alias("outcome_kind"), at.alias("recorded_at"),
         commit.alias("commit"), F.col("x_paths").alias("paths"), F.col("base_labels").alias("labels"), F.col("base_coauthors").alias("coauthors"), F.col("base_actor").alias("actor"),
@@ -153,7 +176,7 @@ def _event(kind: Column, item: Column) -> list[Column]:
         filled(item["message_fingerprint"], given["message_fingerprint"]).alias("message_fingerprint"), filled(item["extraction_confidence"], given["extraction_confidence"], F.lit("structured")).alias("extraction_confidence"),
         filled(item["flake_discount"], item["outcome"]["flake_discount"]).alias("flake_discount"), filled(item["actor_kind"], item["attribution"]["actor_kind"], F.col("base_actor_kind")).alias("actor_kind"),
         filled(item["attribution_method"], item["attribution"]["method"], F.col("base_method")).alias("attribution_method"), filled(item["attribution_confidence"], item["attribution"]["confidence"], F.col("base_confidence")).alias("attribution_confidence"),
-        F.array_distinct(urls).alias("provenance_urls"), filled(item["source_kind"], F.col("base_source_kind")).alias("source_kind"), filled(item["memory_source"], F.col("base_memory_source")).alias("memory_source"),
+        urls.alias("provenance_urls"), filled(item["source_kind"], F.col("base_source_kind")).alias("source_kind"), filled(item["memory_source"], F.col("base_memory_source")).alias("memory_source"),
         F.when(kind == "revert", filled(item["commit_sha"], item["sha"], item["commit"])).otherwise("").alias("source_commit"), errors.alias("export_errors"),
     ]
 
@@ -182,36 +205,41 @@ def export_events(export: DataFrame) -> DataFrame:
     pulls = export.select(envelope.alias("envelope_repo"), F.explode(F.coalesce(F.when(F.size("pull_requests") > 0, F.col("pull_requests")), F.col("prs"))).alias("p"))
     p = F.col("p")
     logins, texts = zip(*(_object_or_text(p[n], "login") for n in ("author", "user", "actor")), strict=True)
-    pulls = staged(pulls.select("p", filled(_repository(p), F.col("envelope_repo")).alias("stated"), filled(F.coalesce(p["number"], p["pr"], p["action"]["pr"])).alias("base_number")))
+    item_kind = StructType.fromDDL(_ITEM)
+    itself = F.struct(*(p[f.name].alias(f.name) for f in item_kind)).cast(item_kind)
     given_url = filled(p["html_url"], p["pr_url"], F.when(valid_provenance_url(trimmed(p["url"])), p["url"]))
-    url = F.when(given_url != "", given_url).when((F.col("stated") != "") & (F.col("base_number") != ""), F.concat(F.lit("https://github.com/"), F.col("stated"), F.lit("/pull/"), F.col("base_number")))
     pulls = pulls.select(
-        "p", "stated", "base_number", url.alias("base_url"), filled(p["head_sha"], p["head"]["sha"], p["commit"], p["merge_commit_sha"]).alias("base_commit"),
-        _paths(p, F.array().cast("array<string>")).alias("base_paths"), distinct_filled(F.concat(_first_list(p["labels"], p["label_names"]), _names(p["labels"], "name"))).alias("base_labels"),
+        filled(_repository(p), F.col("envelope_repo")).alias("stated"), filled(F.coalesce(p["number"], p["pr"], p["action"]["pr"])).alias("base_number"), given_url.alias("given_url"),
+        filled(p["head_sha"], p["head"]["sha"], p["commit"], p["merge_commit_sha"]).alias("base_commit"),
+        _paths(p, F.array().cast("array<string>")).alias("base_paths"), _labels(p["labels"], p["label_names"]).alias("base_labels"),
         _first_list(p["coauthors"], p["coauthor_trailers"]).alias("base_coauthors"), filled(*logins, *texts).alias("base_actor"), filled(p["actor_kind"], p["attribution"]["actor_kind"]).alias("base_actor_kind"),
         filled(p["attribution_method"], p["attribution"]["method"]).alias("base_method"), filled(p["attribution_confidence"], p["attribution"]["confidence"]).alias("base_confidence"),
         filled(p["source_kind"]).alias("base_source_kind"), filled(p["memory_source"]).alias("base_memory_source"),
         F.filter(_items(p["check_runs"], p["checks"]), is_failed_check).alias("failed"), _items(p["reverts"]).alias("undone"),
         F.concat(F.filter(_items(p["review_corrections"]), is_marked), _items(p["marked_review_corrections"])).alias("corrected"),
-        (filled(p["merged_at"]) != "").alias("merged"), _truthy(p["revert_scan_truncated"], p["metadata"]["revert_scan_truncated"]).alias("truncated"),
+        ((filled(p["merged_at"]) != "") & ~_truthy(p["revert_scan_truncated"], p["metadata"]["revert_scan_truncated"])).alias("landed"), itself.alias("itself"),
     )
     pulls = staged(pulls)
+    url = F.when(F.col("given_url") != "", F.col("given_url")).when((F.col("stated") != "") & (F.col("base_number") != ""), F.concat(F.lit("https://github.com/"), F.col("stated"), F.lit("/pull/"), F.col("base_number")))
     # The pull request itself tells of its clean merge.
-    item_kind = StructType.fromDDL(_ITEM)
-    itself = F.struct(*(p[f.name].alias(f.name) for f in item_kind))
-    is_clean = F.col("merged") & ~F.col("truncated") & (F.size("failed") + F.size("undone") + F.size("corrected") == 0)
+    is_clean = F.col("landed") & (F.size("failed") + F.size("undone") + F.size("corrected") == 0)
     told = lambda name, kind: F.transform(name, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast(item_kind).alias("item")))
-    clean = F.when(is_clean, F.array(F.struct(F.lit("merged_clean").alias("kind"), itself.cast(item_kind).alias("item")))).otherwise(F.array().cast(f"array<struct<kind: string, item: struct<{_ITEM}>>>"))
+    clean = F.when(is_clean, F.array(F.struct(F.lit("merged_clean").alias("kind"), F.col("itself").alias("item")))).otherwise(F.array().cast(f"array<struct<kind: string, item: struct<{_ITEM}>>>"))
     outcomes = F.concat(told("failed", "ci_failure"), told("undone", "revert"), told("corrected", "review_correction"), clean)
-    repo, number = filled(F.col("stated"), url_repo(F.col("base_url"))), F.col("base_number").try_cast("long")
-    own = F.coalesce((url_repo(F.col("base_url")) == F.lower(repo)) & (pr_url_number(F.col("base_url")) == number), F.lit(False))
-    errors = F.array_compact(F.array(F.when(~F.coalesce(number >= 1, F.lit(False)), "pull_number"), F.when(~own, "pull_provenance")))
+    pulls = pulls.withColumn("base_url", url).withColumn("url_repo", url_repo(F.col("base_url")))
     base = [c for c in pulls.columns if c.startswith("base_")]
-    rows = pulls.select(*base, repo.alias("base_repo"), errors.alias("base_errors"), F.explode(outcomes).alias("x"))
+    pulls = staged(pulls.select(*base, "stated", "url_repo", outcomes.alias("outcomes")))
+    repo, number = filled(F.col("stated"), F.col("url_repo")), F.col("base_number").try_cast("long")
+    own = F.coalesce((F.col("url_repo") == F.lower(repo)) & (pr_url_number(F.col("base_url")) == number), F.lit(False))
+    errors = F.array_compact(F.array(F.when(~F.coalesce(number >= 1, F.lit(False)), "pull_number"), F.when(~own, "pull_provenance")))
+    # Staged before outcomes are exploded, or what a pull request says would be found again for each.
+    pulls = staged(pulls.select(*base, repo.alias("base_repo"), errors.alias("base_errors"), "outcomes"))
+    rows = pulls.select(*base, "base_repo", "base_errors", F.explode("outcomes").alias("x")).select(*base, "base_repo", "base_errors", "x.kind", "x.item")
     item = F.col("item")
     address = F.coalesce(*(F.when(F.col("kind") == k, filled(*(item[n] for n in v[4])) if v[4] else F.lit("")) for k, v in _KINDS.items()))
-    rows = staged(rows.select(*base, "base_repo", "base_errors", "x.kind", "x.item")).withColumns({"x_url": address, "x_paths": _paths(item, F.col("base_paths"))})
-    return staged(rows).select(*_event(F.col("kind"), item))
+    matches = (url_repo(address) == F.lower("base_repo")) & F.coalesce(pr_path_number(address) == F.col("base_number").try_cast("long"), F.lit(True))
+    rows = staged(rows.withColumns({"x_url": address, "x_paths": _paths(item, F.col("base_paths")), "x_canonical": valid_provenance_url(address), "x_matches": F.coalesce(matches, F.lit(False))}))
+    return rows.select(*_event(F.col("kind"), item))
 
 
 def coauthors(message: Column) -> Column:

@@ -349,3 +349,26 @@ def test_schemas_against_their_contract(spark):
     rules = spark.createDataFrame([], schemas.RULE)
     assert schemas.mismatches(rules.schema, schemas.RULE) == []
     assert schemas.mismatches(rules.drop("id").withColumn("confidence", F.lit("x")).schema, schemas.RULE) == ["id is missing", "confidence is string, not double"]
+
+
+def test_fields_without_lists_read_as_with_lists(spark):
+    """A field that is no list is read without functions over lists, with the same result."""
+    values = [None, "", " ", " a.py ", "5", "-1.5", '{"x":1}', "[", "[]", "[broken", ' ["x", " ", "{y}", "5"] ', '[{"filename":"f"},"g"]']
+    rows = spark.createDataFrame([(a, b) for a in values for b in values], "files string, path string")
+    fields = [F.col("files"), F.col("path")]
+    texts = F.filter(F.transform(F.array(*fields), lambda f: F.filter(scans._list(f), lambda x: (F.trim(x) != "") & ~x.startswith("{"))), lambda t: F.size(t) > 0)
+    plain = F.coalesce(F.try_element_at(texts, F.lit(1)), F.array().cast("array<string>"))
+    for r in rows.select("files", "path", plain.alias("want"), scans._first_list(*fields).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_an_address_is_judged_once(spark):
+    """An outcome's address is taken apart once; all that follows from it reads values."""
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        export = spark.range(1).select(F.from_json(F.col("id").cast("string"), scans.EXPORT).alias("e")).select("e.*")
+        plan = scans.export_events(export)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert plan.count("/pull/([1-9][0-9]{0,17})(?:/") == 1
