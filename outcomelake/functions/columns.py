@@ -34,6 +34,11 @@ def filled(*candidates: Column) -> Column:
     return F.coalesce(*(F.nullif(trimmed(c), F.lit("")) for c in candidates), F.lit(""))
 
 
+def first_filled(*candidates: Column) -> Column:
+    """The same of candidates that are trimmed already: a search for white space costs more than most of what is done to a value."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates), F.lit(""))
+
+
 def lookup(c: Column, table: dict, default: object = None) -> Column:
     """The table's value for a column, as a chain of comparisons."""
     chain = reduce(lambda w, kv: w.when(c == kv[0], F.lit(kv[1])), list(table.items())[1:], F.when(c == next(iter(table)), F.lit(next(iter(table.values())))))
@@ -58,19 +63,26 @@ def joined(separator: str, *parts: Column) -> Column:
     return F.concat(*(x for i, p in enumerate(parts) for x in ([F.lit(separator)] * bool(i) + [F.coalesce(p.cast("string"), F.lit(""))])))
 
 
+#: An empty part of a path, ``.`` or ``..``.
+_ODD_PART = r"(?:\A|/)\.{0,2}(?:/|\z)"
+
+
 def clean_path(c: Column) -> Column:
-    """A repository-relative path with ``.``, ``//`` and ``a/..`` folded; null for blank, absolute or escaping paths."""
+    """A repository-relative path with ``.``, ``//`` and ``a/..`` folded; null for blank, absolute or escaping paths.
+
+    A path without such parts is clean as it stands, and is not taken apart.
+    """
     raw = trimmed(c)
     parts = F.filter(F.split(raw, "/"), lambda x: (x != "") & (x != "."))
     # An escape leaves a leading "..", onto which nothing folds.
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda kept, x: F.when((x == "..") & (F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")) != ".."), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x))))
-    bad = raw.isNull() | (raw == "") | raw.startswith("/") | (F.size(folded) == 0) | F.array_contains(folded, "..")
-    return F.when(~bad, F.array_join(folded, "/"))
+    bad = (raw == "") | raw.startswith("/") | (F.size(folded) == 0) | F.array_contains(folded, "..")
+    return F.when(raw.rlike(_ODD_PART), F.when(~bad, F.array_join(folded, "/"))).otherwise(raw)
 
 
 def clean_paths(c: Column) -> Column:
     """Distinct valid cleaned paths, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(c, clean_path), lambda x: x.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(c, clean_path), lambda x: x.isNotNull())))
 
 
 def is_test_path(c: Column) -> Column:

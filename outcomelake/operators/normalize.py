@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructTy
 
 from ..functions.columns import (
     ACTOR_KINDS, ATTRIBUTION_METHODS, CLASS_BY_KIND, EXTRACTION_SCORES, OUTCOME_KINDS, TERMINAL_BY_KIND, TERMINAL_STATES,
-    clean_path, distinct_filled, filled, has_secret_like_segment, has_secret_like_token, is_secret_name, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, staged, trimmed, url_repo, valid_provenance_url,
+    clean_path, filled, first_filled, has_secret_like_segment, has_secret_like_token, is_secret_name, is_self_report, joined, lookup, number, pr_path_number, redact_tokens, rfc3339, rfc3339_text, sha256, short_hash, staged, trimmed, url_repo, valid_provenance_url,
 )
 from ..schemas import EVENT, EXPERIENCE
 from .redaction import DIGEST, is_unsafe_key, looks_nested, redacted_maps
@@ -36,7 +36,7 @@ class InvalidEvents(ValueError):
 
 
 def _any_of(values: Column, wanted: tuple[str, ...]) -> Column:
-    own = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(trimmed(x)))
+    own = F.transform(F.coalesce(values, F.array().cast("array<string>")), F.lower)
     return F.arrays_overlap(own, F.array(*(F.lit(w.strip().lower()) for w in wanted))) if wanted else F.lit(False)
 
 
@@ -56,9 +56,9 @@ def experience_id(pr: Column, recorded_at: Column, urls: Column, *parts: Column)
 
 
 def _redacted(value: Column, kind: DataType) -> Column:
-    """A field with the known tokens of all its texts replaced, and the values of a map's secret names."""
+    """A field with the known tokens of all its texts replaced, its texts trimmed, and the values of a map's secret names replaced."""
     if isinstance(kind, StringType):
-        return redact_tokens(value)
+        return trimmed(redact_tokens(value))
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda x: _redacted(x, kind.elementType))
     if isinstance(kind, StructType):
@@ -69,7 +69,7 @@ def _redacted(value: Column, kind: DataType) -> Column:
 
 
 def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
-    """Conditions under which a field's texts hold a token that may be a secret of an unknown kind, or a key any token."""
+    """Conditions under which a field's trimmed texts hold a token that may be a secret of an unknown kind, or a key any token."""
     if isinstance(kind, ArrayType):
         return [F.exists(value, lambda x: F.greatest(*_unsafe(x, kind.elementType, name), F.lit(False)))]
     if isinstance(kind, StructType):
@@ -82,15 +82,17 @@ def _unsafe(value: Column, kind: DataType, name: str) -> list[Column]:
     if not isinstance(kind, StringType):
         return []
     if name in URL_FIELDS:
-        return [has_secret_like_segment(trimmed(value))]
+        return [has_secret_like_segment(value)]
     if name in HASH_FIELDS:
-        return [has_secret_like_token(value) & ~trimmed(value).rlike(f"^({HASH_FIELDS[name]})$")]
+        return [has_secret_like_token(value) & ~value.rlike(f"^({HASH_FIELDS[name]})$")]
     return [has_secret_like_token(value)]
 
 
 def _some(*lists: Column) -> Column:
-    """The first list that holds a text that is not blank, without blanks and repeats; an empty one without."""
-    own = F.filter(F.array(*(distinct_filled(x) for x in lists)), lambda x: F.size(x) > 0)
+    """The first list of trimmed texts that holds one that is not empty, without empty ones and repeats; an empty one without."""
+    if not lists:
+        return F.array().cast("array<string>")
+    own = F.filter(F.array(*(F.array_distinct(F.filter(x, lambda t: t != "")) for x in lists)), lambda x: F.size(x) > 0)
     return F.coalesce(F.try_element_at(own, F.lit(1)), F.array().cast("array<string>"))
 
 
@@ -114,51 +116,54 @@ def normalized(events: DataFrame, policy: AttributionPolicy = AttributionPolicy(
     from_export = F.coalesce(c("export_errors"), F.array().cast("array<string>")) if "export_errors" in events.columns else F.array().cast("array<string>")
     events = events.select(*given, source.alias("source_ref"), from_export.alias("export_errors"))
     events = redacted_maps(events, "metadata") if isinstance(given.get("metadata"), MapType) else events.withColumn("nested_unsafe", F.lit(False))
-    rows = events.select(*((_redacted(c(n), given[n]) if n in given else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()), "source_ref", "export_errors", "nested_unsafe")
-    rows = staged(rows)
+    # Texts of actor and author are logins or JSON objects as they stand.
+    rows = staged(events.select(*((redact_tokens(c(n)) if n in ("actor", "author") else _redacted(c(n), k)).alias(n) for n, k in given.items()), "source_ref", "export_errors", "nested_unsafe"))
+    # Fields that aren't given are left out of what is computed, instead of being read as nulls row by row.
+    own = lambda *names: [c(n) for n in names if n.partition(".")[0] in given]
     unsafe = F.greatest(F.lit(False), c("nested_unsafe"), *(F.coalesce(x, F.lit(False)) for n, k in given.items() for x in _unsafe(c(n), k, n)))
-    repo, kind = filled(c("repo")), filled(c("outcome_kind"), c("outcome.kind"))
-    half = lambda i, k: filled(F.when(repo.startswith("{"), F.get_json_object(repo, f"$.{k}")).otherwise(F.split_part(repo, F.lit("/"), F.lit(i))), c(f"repo_{k}"))
-    stated = filled(c("actor_kind"), c("attribution.actor_kind"))
-    login = filled(*(F.when(c(n).startswith("{"), F.get_json_object(n, "$.login")) for n in ("actor", "author")), c("actor"), c("author"))
+    repo, kind = first_filled(*own("repo")), first_filled(*own("outcome_kind", "outcome.kind"))
+    half = lambda i, k: first_filled(trimmed(F.when(repo.startswith("{"), F.get_json_object(repo, f"$.{k}")).otherwise(F.split_part(repo, F.lit("/"), F.lit(i)))), *own(f"repo_{k}"))
+    stated = first_filled(*own("actor_kind", "attribution.actor_kind"))
+    login = filled(*(F.when(x.startswith("{"), F.get_json_object(x, "$.login")) for x in own("actor", "author")), *own("actor", "author"))
     none = F.array().cast("array<string>")
     address = ("pr_url", "check_run_url", "revert_url", "review_url")
-    single = F.array_compact(F.array(*(F.nullif(filled(c(n), c(f"provenance.{n}")), F.lit("")) for n in address)))
-    discount_text = filled(c("flake_discount"))
-    reported = [c("source_kind"), c("memory_source"), c("metadata")["source_kind"], c("metadata")["memory_source"]]
-    pr_number = number(filled(c("pr"), c("action.pr")))
+    single = F.array_compact(F.array(*(F.nullif(first_filled(*own(n, f"provenance.{n}")), F.lit("")) for n in address)))
+    discount_text = first_filled(*own("flake_discount"))
+    metadata = c("metadata") if "metadata" in given else F.lit(None).cast(kinds["metadata"])
+    reported = [*own("source_kind", "memory_source"), *(x["source_kind"] for x in own("metadata")), *(x["memory_source"] for x in own("metadata"))]
+    pr_number = number(first_filled(*own("pr", "action.pr")))
     rows = rows.select(
-        "source_ref", "export_errors", "metadata", filled(c("experience_id")).alias("experience_id"), half(1, "owner").alias("repo_owner"), half(2, "name").alias("repo_name"),
-        F.date_trunc("second", rfc3339(filled(c("recorded_at")))).alias("recorded_at"), F.when(pr_number == F.floor(pr_number), pr_number.cast("long")).alias("pr"),
-        filled(c("commit"), c("action.commit"), F.try_element_at(_some(c("commits"), c("action.commits")), F.lit(1))).alias("commit"), _some(c("paths"), c("context.paths")).alias("paths"),
-        kind.alias("kind"), filled(c("terminal_state"), c("terminal"), c("outcome.terminal_state"), c("outcome.terminal")).alias("terminal_state"),
-        *(x.alias(n) for x, n in zip(attribution(_some(c("labels"), c("pr_labels")), _some(c("coauthors"), c("coauthor_trailers")), login, stated, policy), ("actor_kind", "found"), strict=True)),
-        filled(c("attribution_method"), c("attribution.method")).alias("method"), stated.alias("stated"), number(filled(c("attribution_confidence"), c("attribution.confidence"))).alias("certainty"),
-        filled(c("signature_class"), c("outcome.signature.class")).alias("class"), filled(c("check_name"), c("outcome.signature.check"), c("outcome.signature.check_name")).alias("check_name"),
-        filled(c("signature_key"), c("outcome.signature.key")).alias("key"), filled(c("extraction_confidence"), c("outcome.signature.extraction_confidence"), F.lit("structured")).alias("extraction"),
-        filled(c("message_fingerprint"), c("outcome.signature.message_fingerprint")).alias("fingerprint"), filled(c("message"), c("log"), c("outcome.message")).alias("text"),
-        filled(c("signature_id"), c("outcome.signature.signature_id")).alias("signature_id"), distinct_filled(F.concat(_some(c("provenance_urls"), c("provenance.urls")), F.coalesce(single, none))).alias("urls"),
-        filled(c("diff_fingerprint"), c("context.diff_fingerprint")).alias("diff"), F.when(discount_text == "", 0.0).otherwise(number(discount_text)).alias("flake_discount"),
-        rfc3339(c("metadata")["last_ingest_at"]).alias("last_ingest_at"), F.coalesce(c("metadata")["merged_prs_since_last_ingest"], c("metadata")["merged_since_ingest"]).try_cast("long").alias("merged_since_ingest"),
-        F.exists(F.array(*reported), is_self_report).alias("self_reported"), unsafe.alias("unsafe"),
+        "source_ref", "export_errors", metadata.alias("metadata"), first_filled(*own("experience_id")).alias("experience_id"), half(1, "owner").alias("repo_owner"), half(2, "name").alias("repo_name"),
+        F.date_trunc("second", rfc3339(first_filled(*own("recorded_at")))).alias("recorded_at"), F.when(pr_number == F.floor(pr_number), pr_number.cast("long")).alias("pr"),
+        first_filled(*own("commit", "action.commit"), F.try_element_at(_some(*own("commits", "action.commits")), F.lit(1))).alias("commit"), _some(*own("paths", "context.paths")).alias("paths"),
+        kind.alias("kind"), first_filled(*own("terminal_state", "terminal", "outcome.terminal_state", "outcome.terminal")).alias("terminal_state"),
+        *(x.alias(n) for x, n in zip(attribution(_some(*own("labels", "pr_labels")), _some(*own("coauthors", "coauthor_trailers")), login, stated, policy), ("actor_kind", "found"), strict=True)),
+        first_filled(*own("attribution_method", "attribution.method")).alias("method"), stated.alias("stated"), number(first_filled(*own("attribution_confidence", "attribution.confidence"))).alias("certainty"),
+        first_filled(*own("signature_class", "outcome.signature.class")).alias("class"), first_filled(*own("check_name", "outcome.signature.check", "outcome.signature.check_name")).alias("check_name"),
+        first_filled(*own("signature_key", "outcome.signature.key")).alias("key"), first_filled(*own("extraction_confidence", "outcome.signature.extraction_confidence"), F.lit("structured")).alias("extraction"),
+        first_filled(*own("message_fingerprint", "outcome.signature.message_fingerprint")).alias("fingerprint"), first_filled(*own("message", "log", "outcome.message")).alias("text"),
+        first_filled(*own("signature_id", "outcome.signature.signature_id")).alias("signature_id"), F.array_distinct(F.concat(_some(*own("provenance_urls", "provenance.urls")), F.coalesce(single, none))).alias("urls"),
+        first_filled(*own("diff_fingerprint", "context.diff_fingerprint")).alias("diff"), F.when(discount_text == "", 0.0).otherwise(number(discount_text)).alias("flake_discount"),
+        rfc3339(metadata["last_ingest_at"]).alias("last_ingest_at"), F.coalesce(metadata["merged_prs_since_last_ingest"], metadata["merged_since_ingest"]).try_cast("long").alias("merged_since_ingest"),
+        (F.exists(F.array(*reported), is_self_report) if reported else F.lit(False)).alias("self_reported"), unsafe.alias("unsafe"),
     )
     if not policy.include_uncertain:
         rows = rows.where("actor_kind <> 'uncertain'")
     rows = staged(rows)
     rows = rows.withColumns({
-        "terminal_state": filled(c("terminal_state"), lookup(c("kind"), TERMINAL_BY_KIND)), "class": filled(c("class"), lookup(c("kind"), CLASS_BY_KIND, "unknown")), "check_name": filled(c("check_name"), c("kind")),
-        "key": filled(c("key"), F.try_element_at("paths", F.lit(1)), c("commit")), "message": filled(c("fingerprint"), F.when(c("text") != "", sha256(c("text")))),
-        "attribution_method": F.when(c("stated") == "", c("found")).otherwise(filled(c("method"), F.when(c("actor_kind") == "human", "manual").otherwise("uncertain"))),
-        "diff_fingerprint": filled(c("diff"), sha256(F.concat(c("pr").cast("string"), F.lit("|"), c("commit"), F.lit("|"), F.array_join("paths", "|")))),
+        "terminal_state": first_filled(c("terminal_state"), lookup(c("kind"), TERMINAL_BY_KIND)), "class": first_filled(c("class"), lookup(c("kind"), CLASS_BY_KIND, "unknown")), "check_name": first_filled(c("check_name"), c("kind")),
+        "key": first_filled(c("key"), F.try_element_at("paths", F.lit(1)), c("commit")), "message": first_filled(c("fingerprint"), F.when(c("text") != "", sha256(c("text")))),
+        "attribution_method": F.when(c("stated") == "", c("found")).otherwise(first_filled(c("method"), F.when(c("actor_kind") == "human", "manual").otherwise("uncertain"))),
+        "diff_fingerprint": first_filled(c("diff"), sha256(F.concat(c("pr").cast("string"), F.lit("|"), c("commit"), F.lit("|"), F.array_join("paths", "|")))),
     })
     rows = staged(rows.drop("fingerprint", "text", "found", "method", "stated", "diff"))
     default = F.when(c("attribution_method") == "manual", 1.0).when(c("attribution_method").isin("pr_label", "coauthor_trailer", "bot_login"), 0.9).otherwise(0.0)
     rows = rows.withColumns({
-        "signature_id": filled(c("signature_id"), F.concat(F.lit("sig_"), short_hash(joined("|", c("class"), c("check_name"), c("key"))))), "attribution_confidence": F.when(c("certainty") >= 0, c("certainty")).otherwise(default),
+        "signature_id": first_filled(c("signature_id"), F.concat(F.lit("sig_"), short_hash(joined("|", c("class"), c("check_name"), c("key"))))), "attribution_confidence": F.when(c("certainty") >= 0, c("certainty")).otherwise(default),
     })
     rows = staged(rows.drop("certainty"))
     made = experience_id(c("pr"), c("recorded_at"), c("urls"), c("commit"), c("kind"), c("terminal_state"), c("signature_id"), c("extraction"), c("class"), c("check_name"), c("key"), c("message"))
-    rows = rows.withColumns({"experience_id": filled(c("experience_id"), made), "errors": F.concat("export_errors", record_errors())})
+    rows = rows.withColumns({"experience_id": first_filled(c("experience_id"), made), "errors": F.concat("export_errors", record_errors())})
     return rows.select(*(f.name for f in StructType.fromDDL(EXPERIENCE)), "errors")
 
 

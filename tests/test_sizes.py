@@ -1,8 +1,9 @@
 """Steps whose rows must grow with the tables, not with their product, and work that must not stand in one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from outcomelake.operators import coverage
+from outcomelake.operators import coverage, normalize
 from outcomelake.plans import queries as plans
 from outcomelake.plans import tables
 
@@ -104,3 +105,16 @@ def test_contract_computes_a_number_once(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", kept)
     assert plan.count(r", (\d+), 1)") == 1
+
+
+def test_fields_not_given_are_not_computed(spark):
+    """Normalising trims each field that events have once, and reads none that they lack."""
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        checked = normalize.normalized(plans.raw_events(spark, "/root/testdata/sf0.001"), plans.POLICY, ref=F.col("row_id"))
+        plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert "signature_class" in plan and plan.count("trim(") < 250
+    assert "coauthor_trailers" not in plan and "check_run_url" not in plan
