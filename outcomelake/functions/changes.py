@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import clean_path
+from .columns import clean_path, staged
 
 #: Keys of structured plans that name paths, that hold prose, and that say what not to touch.
 PATH_KEYS = {
@@ -51,6 +53,11 @@ def _none() -> Column:
     return F.array().cast(_NONE)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named there: within functions over lists nothing else shares it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
@@ -65,7 +72,8 @@ def _unquoted(text: Column) -> Column:
         return F.when(p.rlike(r"\A\\[0-7]{3}\z"), octal).when(p == "\\t", "09").when(p == "\\n", "0A").when(p.startswith("\\") & (F.length(p) == 2), F.hex(F.substring(p, 2, 1))).otherwise(F.hex(p))
 
     plain = F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, as_hex), "")).cast("string"))
-    return F.when((F.length(text) > 1) & text.startswith('"') & text.endswith('"'), plain).otherwise(text)
+    plain = F.when(F.contains(inner, F.lit("\\")), plain).otherwise(F.make_valid_utf8(inner))
+    return F.when(text.startswith('"') & text.endswith('"') & (F.length(text) > 1), plain).otherwise(text)
 
 
 def _without(name: Column, prefix: str) -> Column:
@@ -83,17 +91,9 @@ def _git_names(rest: Column) -> Column:
     return F.transform(F.slice(found, 1, 2), lambda n, i: F.when(i == 0, _without(n, "a/")).otherwise(_without(n, "b/")))
 
 
-def _head_names(line: Column) -> Column:
-    """The names that a header line gives."""
-    after = F.regexp_extract(line, r"(?s)^\S+ \S+ (.*)$", 1)
-    side = _unquoted(F.regexp_replace(F.split_part(F.substring(line, F.lit(5), F.length(line)), F.lit("\t"), F.lit(1)), r"(?U)\s+$", ""))
-    plain = F.when(line.startswith("-"), _without(side, "a/")).otherwise(_without(side, "b/"))
-    return F.when(line.startswith("diff --git "), _git_names(F.substring(line, F.lit(12), F.length(line)))).when(line.rlike(_RENAMED), F.array(_unquoted(after))).otherwise(F.when(side == "/dev/null", _none()).otherwise(F.array(plain)))
-
-
 def _cleaned(found: Column) -> Column:
     """Cleaned paths, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, clean_path), lambda p: p.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(found, clean_path), lambda p: p.isNotNull())))
 
 
 def diff_heads(text: Column) -> Column:
@@ -101,30 +101,51 @@ def diff_heads(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.lit(False).alias("git"), F.lit(False).alias("is_diff"), _none().alias("heads"))
 
     def step(a: Column, line: Column) -> Column:
+        """Only a line that may be a header is looked at closely."""
         inside, first = (a["old"] > 0) | (a["new"] > 0), F.left(line, F.lit(1))
-        hunk = ~inside & line.startswith("@@ -") & line.rlike(_HUNK)
-        git = ~inside & line.startswith("diff --git ")
-        side = ~inside & (line.startswith("--- ") | line.startswith("+++ "))
-        renamed = ~inside & a["git"] & line.rlike(_RENAMED)
+        hunk = line.startswith("@@ -") & line.rlike(_HUNK)
+        git = line.startswith("diff --git ")
+        side = line.startswith("--- ") | line.startswith("+++ ")
+        renamed = a["git"] & line.rlike(_RENAMED)
         size = lambda group: F.coalesce(F.nullif(F.regexp_extract(line, _HUNK, group), F.lit("")).cast("int"), F.lit(1))
-        old = F.when(inside, a["old"] - first.isin("-", " ", "").cast("int")).when(hunk, size(1)).otherwise(a["old"])
-        new = F.when(inside, a["new"] - first.isin("+", " ", "").cast("int")).when(hunk, size(2)).otherwise(a["new"])
-        heads = F.when(git | side | renamed, F.concat(a["heads"], F.array(line))).otherwise(a["heads"])
-        return F.struct(old.alias("old"), new.alias("new"), (a["git"] | git).alias("git"), (a["is_diff"] | git | side).alias("is_diff"), heads.alias("heads"))
+        state = lambda old, new, git, is_diff, heads: F.struct(old.alias("old"), new.alias("new"), git.alias("git"), is_diff.alias("is_diff"), heads.alias("heads"))
+        counted = state(a["old"] - first.isin("-", " ", "").cast("int"), a["new"] - first.isin("+", " ", "").cast("int"), a["git"], a["is_diff"], a["heads"])
+        opened = state(size(1), size(2), a["git"], a["is_diff"], a["heads"])
+        named = state(a["old"], a["new"], a["git"] | git, a["is_diff"] | git | side, F.concat(a["heads"], F.array(line)))
+        return F.when(inside, counted).when(~first.isin(*"@d-+rc"), a).when(hunk, opened).when(git | side | renamed, named).otherwise(a)
 
     return F.aggregate(F.split(text, _LINE_ENDS), start, step, lambda a: F.struct(a["is_diff"].alias("is_diff"), a["heads"].alias("heads")))
 
 
-def head_paths(heads: Column) -> Column:
-    """Paths that header lines name."""
-    return _cleaned(F.filter(F.flatten(F.transform(heads, _head_names)), lambda n: n != ""))
+def head_paths(lines: DataFrame) -> DataFrame:
+    """(..., path): a row for each path that header lines name; ``lines`` has a column ``line``, a row each.
+
+    A line is read stage by stage, in rows instead of lists, so that all of it is compiled and nothing is read twice.
+    """
+    c, line = F.col, F.col("line")
+    keys = [n for n in lines.columns if n != "line"]
+    git, renamed = line.startswith("diff --git "), line.rlike(_RENAMED)
+    side = F.regexp_replace(F.split_part(F.substring(line, F.lit(5), F.length(line)), F.lit("\t"), F.lit(1)), r"(?U)\s+$", "")
+    name = F.when(git, F.substring(line, F.lit(12), F.length(line))).when(renamed, F.regexp_extract(line, r"(?s)^\S+ \S+ (.*)$", 1)).otherwise(side)
+    kind = F.when(git, "git").when(renamed, "renamed").when(line.startswith("-"), "old").otherwise("new")
+    read = staged(lines.select(*keys, kind.alias("kind"), name.alias("name")))
+    read = staged(read.withColumn("plain", F.when(c("kind") != "git", _unquoted(c("name")))))
+    found = (
+        F.when(c("kind") == "git", _git_names(c("name"))).when(c("kind") == "renamed", F.array("plain")).when(c("plain") == "/dev/null", _none())
+        .when(c("kind") == "old", F.array(_without(c("plain"), "a/"))).otherwise(F.array(_without(c("plain"), "b/")))
+    )
+    return read.select(*keys, F.explode(found).alias("name")).where("name <> ''").select(*keys, clean_path(c("name")).alias("path")).where("path is not null")
+
+
+def _tidied(word: Column) -> Column:
+    """A word without marks at its ends, line numbers and fragments; an option's value; nothing of an assignment or an issue."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.btrim(word, F.lit(_MARKS)), "[!?]+$", ""), r"(?<!\.)\.{1,2}$", ""), ":+$", "")
+    own = lambda w: F.when(F.contains(w, F.lit("://")) | w.rlike(_ISSUE) | w.rlike(_ASSIGNMENT), "").when(w.startswith("-"), F.regexp_extract(w, r"(?s)^[^=]*=(.*)$", 1)).otherwise(w)
+    return F.regexp_replace(F.regexp_replace(_let(bare, own), "(?s)#.*$", ""), r"(?::\d+)+$", "")
 
 
 def _tidy(words: Column) -> Column:
-    """Words without marks at their ends, line numbers and fragments; an option's value; nothing of an assignment or an issue."""
-    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.btrim(w, F.lit(_MARKS)), "[!?]+$", ""), r"(?<!\.)\.{1,2}$", ""), ":+$", ""))
-    own = F.transform(bare, lambda w: F.when(F.contains(w, F.lit("://")) | w.rlike(_ISSUE) | w.rlike(_ASSIGNMENT), "").when(w.startswith("-"), F.regexp_extract(w, r"(?s)^[^=]*=(.*)$", 1)).otherwise(w))
-    return F.transform(own, lambda w: F.regexp_replace(F.regexp_replace(w, "(?s)#.*$", ""), r"(?::\d+)+$", ""))
+    return F.transform(words, _tidied)
 
 
 def looks_like_path(word: Column) -> Column:
@@ -137,9 +158,20 @@ def looks_like_path(word: Column) -> Column:
 
 
 def _judged(words: Column) -> Column:
-    """Each word with what is asked of it: tidied, an option, with a slash, a command, an interpreter, a path, with a suffix."""
-    pairs = F.zip_with(words, _tidy(words), lambda raw, word: F.struct(word.alias("word"), raw.startswith("-").alias("option"), F.contains(raw, F.lit("/")).alias("slash")))
-    return F.transform(pairs, lambda p: F.struct(p["word"].alias("word"), p["option"].alias("option"), p["slash"].alias("slash"), p["word"].isin(*sorted(COMMANDS)).alias("command"), p["word"].isin(*sorted(INTERPRETERS)).alias("interpreter"), looks_like_path(p["word"]).alias("path"), p["word"].rlike(_SUFFIX).alias("suffix")))
+    """Each word with what is asked of it: tidied, an option, with a slash, a command, an interpreter, a path, with a suffix.
+
+    A word of ASCII letters, digits and ``_`` alone is tidy as it stands, and no path unless it is a bare name.
+    """
+
+    def judged(word: Column, option: Column, slash: Column, path: Column, suffix: Column) -> Column:
+        return F.struct(word.alias("word"), option.alias("option"), slash.alias("slash"), word.isin(*sorted(COMMANDS)).alias("command"), word.isin(*sorted(INTERPRETERS)).alias("interpreter"), path.alias("path"), suffix.alias("suffix"))
+
+    def one(raw: Column) -> Column:
+        no = F.lit(False)
+        whole = _let(_tidied(raw), lambda word: judged(word, raw.startswith("-"), F.contains(raw, F.lit("/")), looks_like_path(word), word.rlike(_SUFFIX)))
+        return F.when(raw.rlike(r"\A[A-Za-z0-9_]+\z"), judged(raw, no, no, raw.isin(*sorted(BARE_NAMES)), no)).otherwise(whole)
+
+    return F.transform(words, one)
 
 
 def _in_a_row(judged: Column) -> Column:

@@ -42,7 +42,8 @@ def touched_paths(changes: DataFrame, *, id_col: str = "change_id", text_col: st
     is_diff = F.col("diff.is_diff")
     parsed = F.when(~is_diff & F.col("content").rlike(r"^\s*[{\[]"), F.try_parse_json("content"))
     read = written(read.select("change_id", is_diff.alias("is_diff"), F.when(is_diff, F.col("diff.heads")).alias("heads"), F.when(~is_diff, F.col("content")).alias("content"), parsed.alias("value")), "changes")
-    paths = [read.where("is_diff").select("change_id", F.lit("diff").alias("input_kind"), F.explode(head_paths(F.col("heads"))).alias("path"))]
+    named = head_paths(read.where("is_diff").select("change_id", F.explode("heads").alias("line")))
+    paths = [named.select("change_id", F.lit("diff").alias("input_kind"), "path")]
     prose = read.where("not is_diff and value is null").select("change_id", F.lit("prose").alias("form"), F.col("content").alias("text"))
     plans = read.where("value is not null").select("change_id", "value")
     texts = reduce(DataFrame.unionByName, [prose, *(_plan_texts(plans) if not plans.isEmpty() else [])])

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from outcomelake.functions import changes
 from outcomelake.operators import coverage, normalize
 from outcomelake.plans import queries as plans
 from outcomelake.plans import tables
@@ -118,3 +119,9 @@ def test_fields_not_given_are_not_computed(spark):
         spark.conf.set("spark.sql.debug.maxToStringFields", kept)
     assert "signature_class" in plan and plan.count("trim(") < 250
     assert "coauthor_trailers" not in plan and "check_run_url" not in plan
+
+
+def test_header_lines_are_read_as_rows(spark):
+    """A row for each header line and not a list for each diff, so that what is read from a line is compiled."""
+    names = changes.head_paths(spark.createDataFrame([(1, '+++ "b/sp ace/x.py"'), (2, "--- /dev/null"), (3, 'diff --git "a/q\\303\\251.py" b/q')], "change_id long, line string"))
+    assert sorted(map(tuple, names.collect())) == [(1, "sp ace/x.py"), (3, "qé.py")]
