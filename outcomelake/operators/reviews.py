@@ -30,6 +30,8 @@ LEADS_TO = {
 NEED_OPEN = ("approve", "edit")
 #: Actions of a stretch, as a power of two, and stretches that are gone through as one list, likewise.
 STRETCH_BITS, LIST_BITS = 7, 9
+#: Actions that one task sorts and folds, so that its memory doesn't grow with the log.
+TASK_ROWS = 500_000
 
 
 #: The number of the state of a rule that isn't there, after those of :data:`STATES`.
@@ -55,15 +57,16 @@ def _step(action: Column, label: Column, statement: Column, paths: Column, targe
     )
 
 
-def _beginnings(maps: DataFrame, first: DataFrame) -> DataFrame:
+def _beginnings(maps: DataFrame, first: DataFrame, parts: int) -> DataFrame:
     """(rule_id, stretch, state): the state in which each stretch begins; ``maps`` has (rule_id, stretch, to)."""
-    lists = maps.groupBy("rule_id", F.shiftright("stretch", LIST_BITS).alias("stretch")).agg(F.sort_array(F.collect_list(F.struct(F.col("stretch").alias("at"), "to"))).alias("maps"))
+    several = maps.withColumn("list", F.shiftright("stretch", LIST_BITS)).repartition(parts, "rule_id", "list")
+    lists = several.groupBy("rule_id", "list").agg(F.sort_array(F.collect_list(F.struct(F.col("stretch").alias("at"), "to"))).alias("maps")).withColumnRenamed("list", "stretch")
     lists = written(lists, "review-lists")
     if lists.groupBy("rule_id").count().where("count > 1").isEmpty():
-        known = lists.join(first, "rule_id")
+        known = lists.repartition(parts, "rule_id").join(first, "rule_id")
     else:
         whole = F.aggregate("maps", F.array(*map(F.lit, range(len(STATES) + 1))), lambda to, m: F.transform(to, lambda s: m["to"][s]))
-        known = lists.join(_beginnings(lists.select("rule_id", "stretch", whole.alias("to")), first), ["rule_id", "stretch"])
+        known = lists.join(_beginnings(lists.select("rule_id", "stretch", whole.alias("to")), first, parts), ["rule_id", "stretch"])
     start = F.struct(F.col("state"), F.array().cast("array<struct<stretch: long, state: int>>").alias("found"))
     found = F.aggregate("maps", start, lambda a, m: F.struct(m["to"][a["state"]].alias("state"), F.concat(a["found"], F.array(F.struct(m["at"].alias("stretch"), a["state"].alias("state")))).alias("found")))
     return known.select("rule_id", F.explode(found["found"]).alias("one")).select("rule_id", "one.stretch", "one.state")
@@ -78,26 +81,26 @@ def review_receipts(rules: DataFrame, actions: DataFrame) -> DataFrame:
     (its states are null). Actions of equal seq stand in the order of their texts.
 
     The log is sorted by rule and seq over all tasks and cut into stretches, so that a rule which a third of the
-    log is about is worked on by many of them.
+    log is about is worked on by many of them. The number of tasks follows from the counted log: what one holds is bounded.
     """
     kinds = {"label": "string", "statement": "string", "scope_paths": "array<string>", "target": "string"}
     given = actions.select("rule_id", F.col("seq").cast("long").alias("seq"), "action", *((F.col(n) if n in actions.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()))
     c = F.col
     given = given.withColumn("step", F.array_position(F.array(*map(F.lit, STEPS)), _step(c("action"), c("label"), c("statement"), c("scope_paths"), c("target"))).cast("int") - 1)
     spark = rules.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // TASK_ROWS))
     order = ("rule_id", "seq", "action", "label", "statement", "scope_paths", "target")
     log = given.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     log = written(log.withColumn("stretch", F.shiftright("at", STRETCH_BITS)), "review-log")
 
     rows = F.sort_array(F.collect_list(F.struct("at", "step", "seq", "action", *kinds))).alias("rows")
-    stretches = written(log.groupBy("rule_id", "stretch").agg(rows), "review-stretches")
+    stretches = written(log.repartition(parts, "rule_id", "stretch").groupBy("rule_id", "stretch").agg(rows), "review-stretches")
     decided = (c("status") == "retired") & c("review_decision").isin("rejected", "merged")
     first = rules.select(c("id").alias("rule_id"), (F.when(decided, F.lit(STATES.index("decided") + 1)).otherwise(F.array_position(F.array(*map(F.lit, STATES[:-1])), c("status"))) - 1).cast("int").alias("state"))
     first = first.where("state >= 0")
     to = F.aggregate("rows", F.array(*map(F.lit, range(len(STATES) + 1))), lambda m, a: F.transform(m, lambda s: _table()[a["step"]][s]))
-    starts = _beginnings(stretches.select("rule_id", "stretch", to.alias("to")), first)
-    begun = stretches.join(starts, ["rule_id", "stretch"], "left").withColumn("state", F.coalesce("state", F.lit(UNKNOWN)))
+    starts = _beginnings(stretches.select("rule_id", "stretch", to.alias("to")), first, parts)
+    begun = stretches.repartition(parts, "rule_id", "stretch").join(starts.repartition(parts, "rule_id", "stretch"), ["rule_id", "stretch"], "left").withColumn("state", F.coalesce("state", F.lit(UNKNOWN)))
     states = F.aggregate("rows", F.array(c("state")), lambda found, a: F.concat(found, F.array(_table()[a["step"]][F.element_at(found, -1)])))
     begun = begun.select("rule_id", "rows", states.alias("states"))
     each = begun.select("rule_id", F.explode(F.zip_with("rows", F.zip_with(F.slice("states", F.lit(1), F.size("rows")), F.slice("states", F.lit(2), F.size("rows")), lambda a, b: F.struct(a.alias("before"), b.alias("after"))), lambda r, s: F.struct(r.alias("row"), s.alias("state")))).alias("one"))

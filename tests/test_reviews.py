@@ -236,3 +236,14 @@ def test_secrets_over_several_segments(spark):
     got = {r.i: r.r for r in rows}
     want = {i: len(p) > 32 and spread_secret(p) for i, p in enumerate(paths)}
     assert got == want and 50 < sum(want.values()) < 350, [(paths[i], got[i]) for i in got if got[i] != want[i]][:5]
+
+
+def test_tasks_of_a_log_follow_its_length(spark, monkeypatch):
+    """Twice the actions are dealt out to twice the tasks, so that what one task holds stays the same."""
+    monkeypatch.setattr(reviews, "TASK_ROWS", 10)
+    table = spark.createDataFrame([(f"r{i}", "candidate", "suggested", "pending") for i in range(20)], "id string, status string, review_label string, review_decision string")
+    for n in (200, 400):
+        log = spark.range(n).select(F.format_string("r%d", F.col("id") % 20).alias("rule_id"), F.col("id").alias("seq"), F.lit("approve").alias("action"))
+        found = reviews.review_receipts(table, log)
+        assert found.rdd.getNumPartitions() == n // 10
+        assert found.count() == n and found.where("refused").isEmpty()
