@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from outcomelake.functions import changes
+from outcomelake.functions import changes, columns
 from outcomelake.operators import coverage, normalize
 from outcomelake.plans import queries as plans
 from outcomelake.plans import tables
@@ -125,3 +125,9 @@ def test_header_lines_are_read_as_rows(spark):
     """A row for each header line and not a list for each diff, so that what is read from a line is compiled."""
     names = changes.head_paths(spark.createDataFrame([(1, '+++ "b/sp ace/x.py"'), (2, "--- /dev/null"), (3, 'diff --git "a/q\\303\\251.py" b/q')], "change_id long, line string"))
     assert sorted(map(tuple, names.collect())) == [(1, "sp ace/x.py"), (3, "qé.py")]
+
+
+def test_a_clean_path_is_not_taken_apart(spark):
+    """Only a path with an empty part, ``.`` or ``..`` is folded part by part."""
+    text = columns.clean_path(F.col("p"))._jc.toString().lower()
+    assert "rlike" in text and text.index("rlike") < text.index("aggregate(")
