@@ -52,6 +52,24 @@ def test_lists_of_a_type_meet(spark, many, asked, monkeypatch):
     assert sorted(tuple(r) for r in cited.collect()) == sorted({(p, {"both": f"u{N}", "file": "u0", "good": "u"}.get(r, f"u{r[1:].lstrip('0') or 0}")) for p, r in own})
 
 
+def _sent(spark):
+    """Bytes that all stages up to now have written for others."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pairs_of_a_type_are_not_sent(spark):
+    """What is sent grows with the rows of both sides, not with the pairs that they make."""
+    left, right = (spark.range(3000).select(F.lit(7).cast("long").alias("type"), F.sha2(F.concat(F.lit(n), F.col("id").cast("string")), 256).alias(n)) for n in ("path", "rule_id"))
+    before = _sent(spark)
+    found = coverage.of_types(left, right)
+    assert found.agg(F.count("*"), F.count_distinct("path"), F.count_distinct("rule_id"), F.min(F.length("path") + F.length("rule_id"))).first() == (9_000_000, 3000, 3000, 128)
+    assert _sent(spark) - before < 2_000_000
+    plan = _plan(found)
+    assert "Repartition" not in plan[: plan.index("Join")]
+
+
 def test_paths_share_their_lists(spark, many, asked, monkeypatch):
     """The rules of a directory are put in order once for its paths, and by compiled code."""
     monkeypatch.setattr(coverage, "SET_PATHS", 3)
