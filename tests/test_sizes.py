@@ -90,6 +90,28 @@ def test_paths_share_their_lists(spark, many, asked, monkeypatch):
     assert (got["none"].matched_rule_ids, got["none"].experience_ids, got["none"].coverage, got[None].matched_rule_ids) == ([], [], "no_coverage", [])
 
 
+def test_equal_lists_are_made_once_and_stand_together(spark, monkeypatch):
+    """Texts of lists are joined for a directory, not for each path, and paths with rules of their own stand apart from those that share one."""
+    monkeypatch.setattr(coverage, "SET_PATHS", 15)
+    row = lambda i, name, scope: (name, "avoid", [scope], i / 100, 1, [f"e{i % 7}"], [])
+    rules = spark.createDataFrame([row(i, f"d{i:02}", "src/a") for i in range(20)] + [row(3 * i, f"f{i:02}", f"src/a/{4 * i}.py") for i in range(10)], RULE)
+    paths = spark.createDataFrame([(f"src/a/{i}.py",) for i in range(40)] + [("none",)], "path string")
+    monkeypatch.setattr(plans, "touched", lambda *_: paths)
+    monkeypatch.setattr(plans, "rules", lambda *_: rules)
+    found = plans.coverage_paths(spark, "")
+    assert "array_join" not in _plan(found).split("Join")[0]
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    for task in {r.task for r in got}:
+        texts = [r.matched_rule_ids for r in got if r.task == task]
+        assert len(set(texts)) == 1 + sum(a != b for a, b in zip(texts, texts[1:]))
+    for r in got:
+        n = -1 if r.path == "none" else int(r.path[6:-3])
+        own = [(-i / 100, f"d{i:02}", f"e{i % 7}") for i in range(20) if n >= 0] + [(-3 * i / 100, f"f{i:02}", f"e{3 * i % 7}") for i in range(10) if n == 4 * i]
+        assert (r.matched_rule_ids, r.experience_ids) == (",".join(x[1] for x in sorted(own)), ",".join(dict.fromkeys(x[2] for x in sorted(own))))
+        assert (r.matched_rule_count, r.evidence_count, r.coverage) == (len(own), len(own), "covered_risky" if own else "no_coverage")
+    assert len(got) == 41
+
+
 def test_changes_and_levels_count_rules_once(spark, many, asked):
     got = {r.change_id: r for r in coverage.assess_changes(asked, many).collect()}
     assert [(got[i].touched_path_count, got[i].covered_risky_count, got[i].covered_clean_count, got[i].no_coverage_count) for i in range(4)] == [(N // 2, N // 2, 0, 0), (N // 2, N // 2, 0, 0), (1, 0, 1, 0), (2, 0, 0, 2)]
