@@ -61,11 +61,13 @@ def _sent(spark):
 
 def test_pairs_of_a_type_are_not_sent(spark):
     """What is sent grows with the rows of both sides, not with the pairs that they make."""
-    left, right = (spark.range(3000).select(F.lit(7).cast("long").alias("type"), F.sha2(F.concat(F.lit(n), F.col("id").cast("string")), 256).alias(n)) for n in ("path", "rule_id"))
+    sides = {"path": 6000, "rule_id": 900}
+    left, right = (spark.range(rows).select(F.lit(7).cast("long").alias("type"), F.sha2(F.concat(F.lit(n), F.col("id").cast("string")), 256).alias(n)) for n, rows in sides.items())
     before = _sent(spark)
     found = coverage.of_types(left, right)
-    assert found.agg(F.count("*"), F.count_distinct("path"), F.count_distinct("rule_id"), F.min(F.length("path") + F.length("rule_id"))).first() == (9_000_000, 3000, 3000, 128)
+    assert found.agg(F.count("*"), F.min(F.length("path") + F.length("rule_id"))).first() == (5_400_000, 128)
     assert _sent(spark) - before < 2_000_000
+    assert found.agg(F.count_distinct("path"), F.count_distinct("rule_id")).first() == (6000, 900)
     plan = _plan(found)
     assert "Repartition" not in plan[: plan.index("Join")]
 
